@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, mixing
+from . import common, exact_dedup, langid, license_scan, mixing, token_output, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,5 +17,13 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (mixing.op5_mixing, exact_dedup.op7_exact_dedup)}
+_ALL = (
+    token_output.op1_token_output,
+    toxicity.op2_toxicity,
+    mixing.op5_mixing,
+    license_scan.op6_license_scan,
+    exact_dedup.op7_exact_dedup,
+    langid.op10_language_id,
+)
+QUERIES = {f.__name__: _shipped(f) for f in _ALL}
 ORACLES = {"op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
