@@ -59,11 +59,16 @@ def stream_state(
     best = F.struct("n", (-F.col("doc_id")).alias("low_id"), "locator")
     grouped = _rows(source, id_col, text_col, digest).groupBy("digest").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
     out, marks = common.scratch(spark, "dedup-state"), common.scratch(spark, "dedup-marks")
+    rocksdb = "spark.sql.streaming.stateStore.rocksdb"
     asked = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside for each
+        # many small stores: one bounded cache for all of an executor, small write buffers, no space set aside on disk
+        f"{rocksdb}.boundedMemoryUsage": "true",
+        f"{rocksdb}.maxMemoryUsageMB": "128",
+        f"{rocksdb}.writeBufferSizeMB": "4",
+        f"{rocksdb}.maxWriteBufferNumber": "2",
+        f"{rocksdb}.allowFAllocate": "false",
+        f"{rocksdb}.trackTotalNumberOfRows": "false",
     }
     before = {k: spark.conf.get(k, None) for k in asked}
     for k, v in asked.items():
