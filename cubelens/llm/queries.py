@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, langid, license_scan, mixing, token_output, toxicity
+from . import common, decontaminate, exact_dedup, langid, license_scan, mixing, simhash, token_output, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,9 +20,11 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 _ALL = (
     token_output.op1_token_output,
     toxicity.op2_toxicity,
+    decontaminate.op3_decontamination,
     mixing.op5_mixing,
     license_scan.op6_license_scan,
     exact_dedup.op7_exact_dedup,
+    simhash.op8_simhash,
     langid.op10_language_id,
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}
