@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, exact_dedup, langid, license_scan, mixing, simhash, token_output, toxicity
+from . import common, decontaminate, exact_dedup, html_text, langid, license_scan, mixing, simhash, substring, token_output, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,10 +21,12 @@ _ALL = (
     token_output.op1_token_output,
     toxicity.op2_toxicity,
     decontaminate.op3_decontamination,
+    html_text.op4_html_text,
     mixing.op5_mixing,
     license_scan.op6_license_scan,
     exact_dedup.op7_exact_dedup,
     simhash.op8_simhash,
+    substring.op9_substring,
     langid.op10_language_id,
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}
