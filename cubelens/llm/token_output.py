@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -58,11 +57,23 @@ def _as_bytes(words: dict[str, int]) -> list[str]:
     return _MARK.join(words).encode().decode("latin-1").translate(_LETTERS).split(_MARK_LETTERS)
 
 
+class _Index(dict):
+    """Piece -> number; a piece that is asked for and missing gets the next number and is noted as new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Ids of whole texts from a byte-level BPE file of the tokenizers library.
+    """Ids of whole texts, each with the end id after it, from a byte-level BPE file of the tokenizers library.
 
     The rule by which such files split texts never joins what stands before a single space between two other
-    characters with what follows, so the texts are cut there, and the library's model encodes each distinct word
+    characters with what follows, so the texts are cut there, and the library's model encodes each distinct piece
     once; tests hold this against the library on whole texts. Texts with two spaces in a row or a special token's
     string, and all texts where the file has another rule or a normalizer, are encoded whole.
     """
@@ -78,75 +89,90 @@ class Encoder:
         rule = json.loads(self.tokenizer.to_str())
         byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.plain = rule["normalizer"] is None and byte_level.items() <= (rule["pre_tokenizer"] or {}).items()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(map(re.escape, ["  ", _MARK, *special])))
+        self.whole = ["  ", _MARK, *[t.content for t in self.tokenizer.get_added_tokens_decoder().values()]]
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        """Piece 0 is the end id; the others are written without the space that they begin with."""
+        self.index = _Index()
+        self.index[""] = 0
         self.ids, self.ends = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
-        self.used = 0
+        self.ids[0], self.ends[1] = END, 1
+        self.used = 1
 
-    def _ids_of(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _tokens(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _add(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        n, k = len(self.index), len(pieces)
+    def _store(self, ids: np.ndarray, sizes: np.ndarray, at: int) -> None:
+        """Ids of the pieces numbered from ``at`` on."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + k + 1 > len(self.ends):
+        while at + len(sizes) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.ends[n + 1 : n + k + 1] = self.used + ends
+        self.ends[at + 1 : at + len(sizes) + 1] = self.used + np.cumsum(sizes)
         self.used += len(ids)
-        self.index.update(zip(pieces, range(n, n + k), strict=True))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces that begin with a space and hold something else are split end to end, the others are encoded alone."""
-        joined = [p for p in pieces if p[0] == " " and not p.isspace()]
-        if joined:
-            cut = self.split.findall("".join(joined))
-            known = {w: i for i, w in enumerate(dict.fromkeys(cut))}
-            tokenize = self.tokenizer.model.tokenize
-            got = [[t.id for t in tokenize(w)] for w in _as_bytes(known)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            start = np.cumsum(size) - size
-            flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
-            of = np.fromiter(map(known.__getitem__, cut), np.int64, len(cut))
-            after = np.concatenate([[0], np.cumsum(size[of])])
-            ids = flat[np.repeat(start[of] - after[:-1], size[of]) + np.arange(after[-1])]
-            begins = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))  # characters after each word
-            last = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))))
-            self._add(joined, ids, after[last + 1])
-        alone = [p for p in pieces if p[0] != " " or p.isspace()]
-        if alone:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
-            self._add(alone, np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.cumsum([len(x) for x in got]))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+
+    def _learn(self) -> None:
+        """Pieces that hold more than white space are split end to end into words, each word encoded once."""
+        new, self.index.new = self.index.new, []
+        at = len(self.index) - len(new)
+        odd = [i for i, p in enumerate(new) if p.isspace()]
+        joined = [p for p in new if not p.isspace()] if odd else new
+        cut = self.split.findall(" " + " ".join(joined)) if joined else []
+        known = {w: i for i, w in enumerate(dict.fromkeys(cut))}
+        tokenize = self.tokenizer.model.tokenize
+        got = [[t.id for t in tokenize(w)] for w in _as_bytes(known)] if known else []
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
+        of = np.fromiter(map(known.__getitem__, cut), np.int64, len(cut))
+        after = np.concatenate([[0], np.cumsum(size[of])])
+        ids = flat[np.repeat((np.cumsum(size) - size)[of] - after[:-1], size[of]) + np.arange(after[-1])]
+        begins = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))  # characters after each word
+        last = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)) + 1))
+        sizes = np.diff(np.concatenate([[0], after[last + 1]])) if joined else np.zeros(0, np.int64)
+        if odd:  # white space alone, in its place among the others
+            rows = iter(np.split(ids, np.cumsum(sizes)[:-1]) if joined else [])
+            parts = [np.array(self._tokens(" " + p), np.uint32) if p.isspace() else next(rows) for p in new]
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+        self._store(ids, sizes, at)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each text begins and the last ends)."""
         if len(self.index) > _CACHE_LIMIT:
             self.forget()
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not self.plain or self.whole.search(text):
-                cut.append(None)
-                continue
-            first, *rest = text.split(" ")
-            cut.append(([first] if first else []) + [" " + x for x in rest])
-        if new := set(itertools.chain.from_iterable(filter(None, cut))).difference(self.index):
-            self._learn(new)
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(self._ids_of(text))
-                continue
-            at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-            lo = self.ends[at]
-            size = self.ends[at + 1] - lo
-            total = int(size.sum())
-            step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-            out.append(self.ids[np.repeat(lo, size) + step])
-        return out
+        look = self.index.__getitem__
+        pieces: list[np.ndarray] = []
+        lone: dict[int, list[int]] = {}  # ids that no piece has: of the first word, or of the whole text
+        for i, text in enumerate(texts):
+            if not self.plain or any(w in text for w in self.whole):
+                lone[i], rest = self._tokens(text), []
+            else:
+                first, *rest = text.split(" ")
+                if first:
+                    lone[i] = self._tokens(first)
+                if rest and not rest[-1]:  # a space at the end
+                    lone[~i] = self._tokens(" ")
+                    rest.pop()
+            pieces.append(np.fromiter(map(look, rest), np.int64, len(rest)))
+        if self.index.new:
+            self._learn()
+        zero = np.zeros(1, np.int64)
+        at = np.concatenate([x for p in pieces for x in (p, zero)] or [zero[:0]])
+        low = self.ends[at]
+        size = self.ends[at + 1] - low
+        after = np.cumsum(size)
+        flat = self.ids[np.repeat(low - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+        limit = np.concatenate([zero, after[np.cumsum([len(p) + 1 for p in pieces]) - 1]]) if pieces else zero
+        if lone:
+            where = [(int(limit[i]), x) if i >= 0 else (int(limit[~i + 1]) - 1, x) for i, x in lone.items()]
+            where.sort(key=lambda w: w[0])
+            more = np.zeros(len(texts), np.int64)
+            for i, x in lone.items():
+                more[i if i >= 0 else ~i] += len(x)
+            flat = np.insert(flat, np.repeat([p for p, _ in where], [len(x) for _, x in where]), list(itertools.chain.from_iterable(x for _, x in where)))
+            limit = limit + np.concatenate([zero, np.cumsum(more)])
+        return flat, limit
 
 
 def encoder(path: str) -> Encoder:
@@ -169,8 +195,9 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple
         _, offsets = common.text_bytes(batch.column(1))
         for a, b in common.slices(offsets, 1 << 20):
             texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-            for doc_id, got in zip(ids[a:b], enc.encode(texts), strict=True):
-                yield doc_id, np.append(got, np.uint32(END))
+            flat, limit = enc.encode(texts)
+            for doc_id, low, high in zip(ids[a:b], limit[:-1].tolist(), limit[1:].tolist(), strict=True):
+                yield doc_id, flat[low:high]
 
 
 def train_dictionary(spark: SparkSession, docs: DataFrame, tokenizer: str, width: int) -> bytes:
