@@ -94,21 +94,14 @@ class Seeds:
 def longest(same: np.ndarray, share: float) -> tuple[int, int]:
     """(start, length) of the longest stretch that begins and ends with True and of which at least ``share`` is True."""
     total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, 0.0) - share)]) + np.arange(len(same) + 1) * 1e-12
-    least = np.minimum.accumulate(total)
-    most = np.maximum.accumulate(total[::-1])[::-1]
-    i = j = start = size = 0
-    n = len(total)
-    while i < n and j < n:
-        if most[j] >= least[i]:
-            if j - i > size:
-                start, size = i, j - i
-            j += 1
-        else:
-            i += 1
-    if not size:
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)  # for each end the first start that no less than share leaves
+    true = np.flatnonzero(same)
+    if not len(true):
         return 0, 0
-    inner = np.flatnonzero(same[start : start + size])
-    return (start + int(inner[0]), int(inner[-1] - inner[0]) + 1) if len(inner) else (0, 0)
+    begin = np.append(true, len(same))[np.searchsorted(true, first)]  # from there on its first True
+    sizes = np.where(np.concatenate([[False], same]), np.arange(len(total)) - begin, 0)
+    end = int(sizes.argmax())
+    return int(begin[end]), int(sizes[end])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
