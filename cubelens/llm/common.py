@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import hashlib
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: dict[str, str] = {}
-_SCRATCH: dict[str, str] = {}
-
+from ..shipping import ship  # noqa: F401
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    files = sorted(root.rglob("*.py"))
-    tag = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:12]
-    target = os.path.join(tempfile.mkdtemp(), f"{root.name}-{tag}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for f in files:
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(target)
-    _SHIPPED[sc.applicationId] = target
+_SCRATCH: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
