@@ -17,7 +17,9 @@ OUTCOMES = {"False positive": "is_fp", "False negative": "is_fn", "True positive
 
 def ngram_top(df: DataFrame, column: str, n: int, top: int = 30, keys: list[str] | None = None) -> DataFrame:
     """``keys, term, count`` of the most frequent n-grams; ties by the term."""
-    terms = df.select(*(keys or []), F.explode(text.ngrams(text.word_tokens(F.col(column)), n)).alias("term"))
+    # tokens as a column of their own: inside the n-grams' lambda they would be made anew for every place
+    tokens = df.select(*(keys or []), text.word_tokens(F.col(column)).alias("_tokens"))
+    terms = tokens.select(*(keys or []), F.explode(text.ngrams(F.col("_tokens"), n)).alias("term"))
     counted = terms.groupBy(*(keys or []), "term").agg(F.count(F.lit(1)).alias("count"))
     if not keys:
         return counted.orderBy(F.desc("count"), "term").limit(top)
