@@ -261,7 +261,7 @@ def factor_label(factor: str, value: Column) -> Column:
 def count_percent(x: Column, total: Column) -> Column:
     """``x/y (z%)``."""
     share = F.when(total > 0, F.lit(100.0) * x / total).otherwise(F.lit(0.0))
-    return F.format_string("%d/%d (%.1f%%)", x.cast("long"), total.cast("long"), share)
+    return F.format_string("%d/%d (%.1f%%)", x.cast("long"), total.cast("long"), F.bround(share, 1))
 
 
 def slug(value: Column) -> Column:

@@ -23,7 +23,8 @@ def counts(y: str = "y", p: str = "p") -> list[Column]:
         F.count(F.lit(1)).alias("n"),
         F.count_if(pos & yes).alias("tp"), F.count_if(~pos & yes).alias("fp"),
         F.count_if(~pos & ~yes).alias("tn"), F.count_if(pos & ~yes).alias("fn"),
-        F.sum((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("sq"),
+        # as decimals, so that the sum doesn't depend on the order of the rows
+        F.sum(((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).cast("decimal(18,8)")).cast("double").alias("sq"),
     ]
 
 

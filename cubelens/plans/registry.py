@@ -403,7 +403,7 @@ rep AS (SELECT drawn.model_canon, b, sum(n) AS n, sum(tp) AS tp, sum(fp) AS fp,
 
 
 def _boot_sql(cluster: str, n: int, names: tuple[str, ...]) -> str:
-    base = f"SELECT model_canon, {cluster}, count(*) AS n, count(*) FILTER (y = 1 AND p >= 0.5)::DOUBLE AS tp, count(*) FILTER (y = 0 AND p >= 0.5)::DOUBLE AS fp, count(*) FILTER (y = 0 AND p < 0.5)::DOUBLE AS tn, count(*) FILTER (y = 1 AND p < 0.5)::DOUBLE AS fn, sum((p - y) * (p - y)) AS sq FROM policy WHERE denominator = 'all_attempts' GROUP BY 1, 2"
+    base = f"SELECT model_canon, {cluster}, count(*) AS n, count(*) FILTER (y = 1 AND p >= 0.5)::DOUBLE AS tp, count(*) FILTER (y = 0 AND p >= 0.5)::DOUBLE AS fp, count(*) FILTER (y = 0 AND p < 0.5)::DOUBLE AS tn, count(*) FILTER (y = 1 AND p < 0.5)::DOUBLE AS fn, sum(((p - y) * (p - y))::DECIMAL(18, 8))::DOUBLE AS sq FROM policy WHERE denominator = 'all_attempts' GROUP BY 1, 2"
     cells = ", ".join(f"round(avg({m}) - quantile_cont({m}, 0.025), 6) AS {m}_lo, round(quantile_cont({m}, 0.975) - avg({m}), 6) AS {m}_hi, round(avg({m}), 6) AS {m}_mean, round(quantile_cont({m}, 0.025), 6) AS {m}_ci_low, round(quantile_cont({m}, 0.975), 6) AS {m}_ci_high" for m in names)
     point = ", ".join(f"{POINT[m]} AS {m}" for m in names)
     return f"WITH {CUBE}, {PREPARED}, {_BOOT.format(base=base, cluster=cluster, n=n)}, pt AS (SELECT model_canon, {point} FROM rep) SELECT model_canon, {cells} FROM pt GROUP BY 1"

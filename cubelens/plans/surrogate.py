@@ -101,7 +101,7 @@ prep AS (
 """
 
 COUNTS = """count(*)::BIGINT AS n, count(*) FILTER (y = 1 AND p >= 0.5)::DOUBLE AS tp, count(*) FILTER (y = 0 AND p >= 0.5)::DOUBLE AS fp,
-  count(*) FILTER (y = 0 AND p < 0.5)::DOUBLE AS tn, count(*) FILTER (y = 1 AND p < 0.5)::DOUBLE AS fn, sum((p - y) * (p - y)) AS sq"""
+  count(*) FILTER (y = 0 AND p < 0.5)::DOUBLE AS tn, count(*) FILTER (y = 1 AND p < 0.5)::DOUBLE AS fn, sum(((p - y) * (p - y))::DECIMAL(18, 8))::DOUBLE AS sq"""
 
 
 def _div(a: str, b: str) -> str:
