@@ -38,7 +38,7 @@ LEXICON = {
     "R": "said says wrote writes claimed called quoted allegedly sagte dit dijo".split(),
 }
 EVENTS = ("insult", "aimed_insult", "negated_insult", "reported_insult", "threat", "aimed_threat")
-PRIOR = np.array([4.0, 5.0, 1.0, 1.0, 0.5, 3.0])
+PRIOR = np.array([5.5, 6.0, 1.0, 1.0, 0.5, 4.0])
 BIAS = -3.0
 
 
@@ -148,16 +148,21 @@ def _seed_words() -> dict[str, str]:
     return {w: s for s, ws in LEXICON.items() for w in ws}
 
 
-def _fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps, drawn to the fixed prior weights."""
+def _fit_weights(x: np.ndarray, y: np.ndarray, repeat: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps, drawn to the fixed prior weights.
+
+    A pattern of events counts by the logarithm of how often it occurs: rows without events, nearly all of one class,
+    would otherwise set the bias so low that a single insult is nothing.
+    """
+    mass = np.log1p(repeat)
     x1 = np.hstack([np.log1p(x), np.ones((len(x), 1))])
     prior = np.append(PRIOR, BIAS)
     w = prior.copy()
     strength = np.append(np.full(len(PRIOR), 1.0), 1.0)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (p - y) + strength * (w - prior)
-        curve = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(strength)
+        grad = x1.T @ (mass * (p - y)) + strength * (w - prior)
+        curve = (x1 * (mass * p * (1 - p))[:, None]).T @ x1 + np.diag(strength)
         w = w - np.clip(np.linalg.solve(curve, grad), -2, 2)
     return w[:-1], float(w[-1])
 
@@ -223,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     got.sort(key=lambda r: (r["toxic"], r["x"]))
     x = np.array([list(r["x"]) for r in got])
     repeat = np.array([r["n"] for r in got])
-    w, b = _fit_weights(np.repeat(x, repeat, axis=0), np.repeat(np.array([float(r["toxic"]) for r in got]), repeat))
+    w, b = _fit_weights(x, np.array([float(r["toxic"]) for r in got]), repeat)
     return Model(words, stems, w, b)
 
 
