@@ -1,0 +1,524 @@
+"""Brute-force comparisons and edge cases of the training-data operators."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cubelens.llm import common, components, decontaminate, exact_dedup, html_text, langid, license_scan, mixing, simhash, substring, textops, token_output, toxicity
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, start string"
+WORDS = "the of and erth thonble was inges reheat onthe idea stone river light green paper cloud north".split()
+
+
+def prose(rng: random.Random, n: int, words: list[str] = WORDS) -> str:
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def frame(spark, texts, schema=DOCS, **more):
+    rows = [(i, t, more.get("lang", "en"), f"s{i % 3}" if i % 5 else None, len(t or ""), 7, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, schema)
+
+
+EDGES = ["", None, "a", " \n\t ", "same text", "same text", "ß é 中文 字", "x" * 200_000, "word " * 60_000, "idiot. You idiot!", "<|endoftext|> two  spaces"]
+
+
+def saved(df, tmp_path, name="documents"):
+    df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+# ---- shared text work ---------------------------------------------------------------------------------------------
+
+
+def test_words_stop_at_text_limits():
+    raw, at = common.text_bytes(pa.array(["Ab c", None, "", "cAB", "é1"]))
+    start, end, first = textops.words(raw, at)
+    got = [raw[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)]
+    assert got == ["Ab", "c", "cAB", "é1"] and first.tolist() == [0, 2, 2, 2, 3, 4]
+    h = textops.word_hashes(raw, start, end)
+    raw2, at2 = common.text_bytes(pa.array(["xx aB"]))
+    s2, e2, _ = textops.words(raw2, at2)
+    assert textops.word_hashes(raw2, s2, e2)[1] == h[0] and len(set(h.tolist())) == 4
+
+
+def test_slices_cover_all_rows():
+    at = np.cumsum([0, 5, 0, 100, 1, 1, 1])
+    got = list(common.slices(at, 6))
+    assert [a for a, _ in got] == [0, 2, 3] and got[-1][1] == 6
+
+
+# ---- 1 ------------------------------------------------------------------------------------------------------------
+
+
+def test_tokens_round_trip(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    texts = [*EDGES, *[prose(rng, rng.randrange(1, 300)) for _ in range(60)], "a  b", " lead", "tail ", "\n", "it's I'll"]
+    d = saved(frame(spark, texts), tmp_path)
+    path = f"{tmp_path}/files"
+    token_output.write(spark.read.parquet(f"{d}/documents.parquet"), path)
+    got = {r["doc_id"]: r for r in token_output.read(spark, path).collect()}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), crc), t
+        start += len(ids)
+    assert token_output.read_document(spark, path, 12).tolist() == [*tok.encode(texts[12], add_special_tokens=False).ids, 0]
+
+
+def test_tokens_of_no_documents_and_null_ids(spark, tmp_path):
+    token_output.write(frame(spark, []), f"{tmp_path}/none")
+    assert token_output.read(spark, f"{tmp_path}/none").count() == 0
+    rows = spark.createDataFrame([(None, "a b"), (3, "c"), (3, "b"), (1, None)], "doc_id bigint, text string")
+    token_output.write(rows, f"{tmp_path}/odd")
+    got = token_output.read(spark, f"{tmp_path}/odd").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, 1, 3, 3] and [r["start"] for r in got] == [0, 3, 4, 6]
+
+
+# ---- 2 ------------------------------------------------------------------------------------------------------------
+
+
+def test_grammar_composes_aim_negation_and_report():
+    model = toxicity.Model(toxicity._seed_words(), ("zorg",), toxicity.PRIOR, toxicity.BIAS)
+    events = lambda t: dict(zip(toxicity.EVENTS, model.events(t).tolist(), strict=True))
+    assert events("a clown here")["insult"] == 1
+    assert events("you are an idiot")["aimed_insult"] == 1.5
+    assert events("they are not an idiot")["negated_insult"] > 0 and events("they are not an idiot")["aimed_insult"] == 0
+    assert events("he said the word idiot")["reported_insult"] > 0
+    assert events("i will hurt you")["threat"] == 1 and events("you, i will hurt")["aimed_threat"] == 1.5
+    assert events("zorgling stands")["insult"] == 1
+    assert not model.events("nothing of note. not said").any()
+    assert events("he said it. idiot")["insult"] == 1  # another clause
+
+
+def test_toxicity_learns_stems_and_leaves_clean_rows(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = prose(rng, 60).split()
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), "blarg" + rng.choice(["a", "en", "ix", "ot", "um"]) if i % 8 else "moron")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame([*rows, (9000, None), (None, "moron"), (9001, "")], "doc_id bigint, text string")
+    train = spark.createDataFrame([(i, y) for i, y in labels if i % 5], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, train)
+    assert any(s.startswith("blar") for s in model.stems)
+    got = {r["doc_id"]: r["_toxic_score"] for r in toxicity.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, y in labels)
+    assert got[9000] == got[9001] < 0.5 and got[None] >= 0.5
+
+
+def test_toxicity_without_labels_or_documents(spark):
+    docs = frame(spark, EDGES)
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, none)
+    assert model.stems == () and toxicity.score(docs, model).count() == len(EDGES)
+    assert toxicity.score(frame(spark, []), model).count() == 0
+
+
+# ---- 3 ------------------------------------------------------------------------------------------------------------
+
+
+def test_longest_stretch_is_the_longest():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        s = rng.random(rng.integers(0, 25)) < rng.choice([0.0, 0.5, 0.8])
+        start, n = decontaminate.longest(s, 0.8)
+        every = [j - i for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s[i] and s[j - 1] and s[i:j].sum() >= 0.8 * (j - i) - 1e-9]
+        assert n == max(every, default=0)
+        assert not n or s[start : start + n].mean() >= 0.8 - 1e-9
+
+
+def test_decontamination_finds_changed_copies_and_leaves_clean_rows(spark, tmp_path):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, prose(rng, rng.randrange(15, 50), vocabulary)) for i in range(30)]
+    texts, truth = [], set()
+    for i in range(90):
+        words = prose(rng, 60, vocabulary).split()
+        if i % 3 == 0:
+            copy = items[i // 3][1].split()
+            for k in rng.sample(range(len(copy)), len(copy) // 8):
+                copy[k] = "changed"
+            words[20:20] = " ".join(copy).upper().split()
+            truth.add((i, i // 3))
+        texts.append(" ".join(words))
+    docs = frame(spark, [*texts, *EDGES])
+    bench = spark.createDataFrame([*items, (99, None), (98, ""), (97, "too short")], "item_id bigint, text string")
+    got = decontaminate.overlaps(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == truth
+    kept = {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()}
+    assert kept == set(range(90 + len(EDGES))) - {i for i, _ in truth}
+    assert decontaminate.clean(docs, bench).columns == docs.columns
+    empty = bench.limit(0)
+    assert decontaminate.overlaps(docs, empty).count() == 0 and decontaminate.clean(docs, empty).count() == docs.count()
+
+
+def test_decontamination_in_blocks_gives_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, prose(rng, 30, vocabulary)) for i in range(8)]
+    docs = frame(spark, [prose(rng, 20, vocabulary) + " " + t for _, t in items])
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK", 60)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()} == one == {(i, i) for i in range(8)}
+
+
+# ---- 4 ------------------------------------------------------------------------------------------------------------
+
+
+def page(article: str, extra: str = "") -> str:
+    return f"<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href=a>Menu</a></li></ul></nav><div class=\"ad\">Buy</div>{article}{extra}<footer>&copy; site</footer></body></html>"
+
+
+def test_html_extracts_the_article():
+    got = html_text.lines_of(page("<article><h1>Head &amp; tail</h1><p><b>One\n two<br><p>Three&nbsp;4<section class='comments'><p>no</p></section><aside>no</aside></article>"))
+    assert [x for x, p, _ in got if p == html_text.ARTICLE] == ["Head & tail", "One two", "Three 4"]
+    assert all(p == html_text.CHROME for x, p, _ in got if x in ("Menu", "Buy", "no", "© site"))
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(100):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        left, right = html_text.common_lines(a, b)
+        best = max((len(c) for n in range(len(a) + 1) for c in itertools.combinations(range(len(a)), n) if _within([a[i] for i in c], b)), default=0)
+        assert len(left) == len(right) == best and [a[i] for i in sorted(left)] == [b[j] for j in sorted(right)]
+
+
+def _within(a, b):
+    it = iter(b)
+    return all(x in it for x in a)
+
+
+def test_pages_without_markup_lose_what_their_neighbour_has(spark):
+    body = "<html><body><div>Site head</div><p>{}</p><p>{}</p><div>Site foot</div></body></html>"
+    rows = [(i, f"http://h.example/a/{i}", body.format(f"first words of {i}", f"and more of {i} here to read")) for i in range(40)]
+    rows += [(100, None, None), (101, "http://other.example/", ""), (102, "http://h.example/a/3", "<p>unclosed <b>bold"), (None, "x", page("<article><p>Deep</p></article>"))]
+    schema = "page_id bigint, url string, html string, text string"
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(*r, "clash") for r in rows], schema)).collect()}
+    assert all(got[i] == f"first words of {i}\nand more of {i} here to read" for i in range(40))
+    assert got[100] == got[101] == "" and got[102] == "unclosed bold" and got[None] == "Deep"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_articles_that_quote_each_other_stay_whole(spark):
+    art = "<article><h1>T{0}</h1><p>shared line of both</p><p>own {0}</p></article>"
+    rows = [(i, f"http://h.example/{i}", page(art.format(i))) for i in range(4)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"T{i}\nshared line of both\nown {i}" for i in range(4)}
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+# ---- 5 ------------------------------------------------------------------------------------------------------------
+
+
+def _targets(sizes):
+    """The contract's loop: excess over three times the source goes to the others by weight until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        left = total - sum(fixed.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = [s for s in free if share[s] > 3 * sizes[s]]
+        if not above:
+            return fixed | share
+        fixed |= {s: 3 * sizes[s] for s in above}
+
+
+def test_mixing_meets_targets(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(1, 80)), rng.choice(["a", "b", "b", "b", "b", "b", "c", None, "é"]), "x") for i in range(900)]
+    rows += [(9000, None, "a", "x"), (9001, " \n ", "empty", "x"), (5, rows[5][1], rows[5][2], "x"), (None, "one two three", "b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size string")
+    got = mixing.mixed_sizes(docs).collect()
+    sizes: dict = {}
+    for _, t, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    want = _targets(sizes)
+    source = {i: s for i, _, s, _ in rows}
+    taken: dict = {}
+    for r in got:
+        s = source[r["doc_id"]]
+        taken[s] = taken.get(s, 0) + r["taken"]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s]) and r["taken"] <= 3 * r["size"]
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 2 for s in want)
+    assert sorted(map(tuple, mixing.mixed_sizes(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
+    drawn: dict = {}
+    for r in mixing.mix(docs).collect():
+        drawn[r["source"]] = drawn.get(r["source"], 0) + len((r["text"] or "").split())
+    assert {s: n for s, n in drawn.items() if n} == {s: n for s, n in taken.items() if n}
+
+
+def test_splitting_tree_keeps_quotas(spark):
+    tickets = spark.createDataFrame([(s, r) for s, n in ((1, 300), (2, 40), (3, 1)) for r in range(1, n + 1)], "src int, rank bigint")
+    got = mixing.split(tickets, 7).collect()
+    assert sorted((r["src"], r["rank"]) for r in got) == sorted((r["src"], r["rank"]) for r in tickets.collect())
+    per = [sum(r["shard"] == k for r in got) for k in range(7)]
+    assert max(per) - min(per) <= 3 and all(20 < sum(r["shard"] == k and r["src"] == 1 for r in got) < 60 for k in range(7))
+
+
+def test_mixing_of_nothing(spark):
+    docs = frame(spark, [])
+    assert mixing.mixed_sizes(docs).count() == 0 and mixing.mix(docs).count() == 0
+    blank = frame(spark, ["", None, " "])
+    assert all(r["target"] == 0 and r["taken"] == 0 for r in mixing.mixed_sizes(blank).collect())
+
+
+# ---- 6 ------------------------------------------------------------------------------------------------------------
+
+
+def _license(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    at = [(i, label) for p, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_license_base_places_and_labels(spark):
+    texts = [*EDGES, "CC-BY and cc by", "All rights  reserved. ALL RIGHTS RESERVED", "the General public\nLicense", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "under the license of mit and general", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."]
+    got = license_scan.scan_documents(frame(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == _license(t), t
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    by = {t: r["labels"] for t, r in zip(texts, got, strict=True)}
+    assert by["Released under the MIT License."] == "mit" and by["under the license of mit and general"] == ""
+    assert by[texts[-2]] == "apache-2.0" and by[texts[-1]] == "gpl,gpl-3.0" and by["Licensed under CC BY-NC 4.0."] == "cc-by,cc-by-nc-4.0"
+    assert license_scan.scan_documents(frame(spark, [])).count() == 0
+
+
+# ---- 7 ------------------------------------------------------------------------------------------------------------
+
+
+def _dedup(rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append((-len(t or ""), i))
+    return {i: (min(groups[norm(t)])[1], len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows}
+
+
+@pytest.mark.parametrize("per_trigger", [None, 1])
+def test_exact_dedup_over_batches(spark, tmp_path, per_trigger):
+    rows = [(i, t) for i, t in enumerate([*EDGES, "same\ntext", "sametext  ", "b", "A", "a"])]
+    frame(spark, [t for _, t in rows]).repartition(5).write.parquet(f"{tmp_path}/d.parquet")
+    got = exact_dedup.dedup(spark, f"{tmp_path}/d.parquet", files_per_trigger=per_trigger).collect()
+    want = _dedup(rows)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["text_sha256"]) for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+
+
+def test_exact_dedup_compares_bytes_on_hits(spark, tmp_path):
+    texts = ["alpha", "al pha", "beta", "gamma", "gam ma", "delta"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/d.parquet")
+    weak = lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 0)  # noqa: E731  every text collides
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.dedup(spark, f"{tmp_path}/d.parquet", digest=weak).collect()}
+    assert got == {i: v[:2] for i, v in _dedup(list(enumerate(texts))).items()}
+
+
+def test_exact_dedup_of_one_file_repeats_null_ids_and_nothing(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a b"), (None, "ab"), (2, "c")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/dir")
+    one = next((tmp_path / "dir").glob("part-*.parquet"))
+    one.rename(tmp_path / "one.parquet")
+    got = exact_dedup.dedup(spark, f"{tmp_path}/one.parquet").collect()
+    assert len(got) == 4 and sum(r["kept"] for r in got) == 2 and {r["keep_id"] for r in got} == {1, 2}
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/none.parquet")
+    assert exact_dedup.dedup(spark, f"{tmp_path}/none.parquet").count() == 0
+
+
+# ---- 8 ------------------------------------------------------------------------------------------------------------
+
+
+def _fingerprint(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def _components(fps):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 4:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 3])
+def test_simhash_components(spark, bucket):
+    rng = random.Random(7)
+    base = [prose(rng, 120).split() for _ in range(12)]
+    texts = [t for t in EDGES]
+    for b in base:
+        for _ in range(8):
+            w = list(b)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = "Changed"
+            texts.append(" ".join(w))
+    got = simhash.near_groups(frame(spark, texts), bucket=bucket).orderBy("doc_id").collect()
+    fps = [_fingerprint(t) for t in texts]
+    assert [r["fp"] & (2**64 - 1) for r in got] == fps
+    assert [r["component_id"] for r in got] == _components(fps)
+
+
+def test_simhash_keeps_one_of_each_group(spark):
+    texts = ["one two three four five", "one two three four five", "other words stand here now", "", None, " "]
+    docs = frame(spark, texts).unionByName(frame(spark, texts[:1]))
+    got = simhash.keep_one(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 2, 3] and simhash.keep_one(docs).columns == docs.columns
+    assert simhash.near_groups(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_pigeonhole_thresholds_cover_every_link():
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 2**63, 1500, dtype=np.uint64) * np.uint64(2)
+    for n in (10**3, 10**6, 10**9, 10**11):
+        plan = simhash.allocate(fp, n)
+        assert sum(t + 1 for _, t in plan) == simhash.LINK + 1
+        assert len({b for g, _ in plan for b in g}) == sum(len(g) for g, _ in plan)
+
+
+def test_components_by_stars(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
+    got = {r["u"]: r["v"] for r in components.stars(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    root = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            m = min(root[a], root[b])
+            changed |= root[a] != m or root[b] != m
+            root[a] = root[b] = m
+    assert got == {x: r for x, r in root.items() if x != r}
+    assert components.stars(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# ---- 9 ------------------------------------------------------------------------------------------------------------
+
+
+def _windows(v, t):
+    key = [(int(x) >> 24, i) if x else (0, i) for i, x in enumerate(v)]
+    out = set()
+    for c in np.flatnonzero(v):
+        left = right = c
+        while left > 0 and key[left - 1] > key[c]:
+            left -= 1
+        while right + 1 < len(v) and key[right + 1] > key[c]:
+            right += 1
+        if right - left + 1 >= t:
+            out.add((int(c), int(left), int(right)))
+    return out
+
+
+def test_compact_windows_are_those_of_the_cartesian_tree():
+    rng = np.random.default_rng(10)
+    for trial in range(150):
+        v = rng.integers(1, 2**64, rng.integers(0, 50), dtype=np.uint64)
+        v = np.sort(v)[:: rng.choice([1, -1])] if trial % 3 == 0 else rng.integers(1, 5, len(v)).astype(np.uint64) << np.uint64(40) if trial % 3 == 1 else v
+        v = np.where(rng.random(len(v)) < 0.06, np.uint64(0), v)
+        t = int(rng.integers(1, 8))
+        assert set(zip(*(x.tolist() for x in substring.windows(v, t)), strict=True)) == _windows(v, t)
+
+
+def test_passages_that_repeat_across_documents(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(900)]
+    shared = [prose(rng, rng.randrange(52, 90), vocabulary) for _ in range(6)]
+    texts, held = [], set()
+    for i in range(80):
+        parts = [prose(rng, rng.randrange(20, 120), vocabulary) for _ in range(2)]
+        if i % 4 == 0:
+            parts.insert(1, shared[i // 4 % 6].upper() if i % 8 else shared[i // 4 % 6])
+            held.add(i)
+        texts.append(" ".join(parts))
+    texts += [t for t in EDGES] + ["line one of it repeats. " * 400]
+    got = substring.passages(frame(spark, texts)).collect()
+    assert {x for r in got for x in (r["doc_id"], r["match_id"])} == held
+    for r in got:
+        assert r["n_words"] >= 50 and r["similarity"] >= 0.8
+        a, b = (re.findall(r"[a-z0-9]+", texts[r[k]].lower()) for k in ("doc_id", "match_id"))
+        same = [x == y for x, y in zip(a[r["start_word"] :][: r["n_words"]], b[r["match_word"] :][: r["n_words"]], strict=True)]
+        assert sum(same) / len(same) >= 0.8
+    assert substring.passages(frame(spark, [])).count() == 0
+
+
+# ---- 10 -----------------------------------------------------------------------------------------------------------
+
+
+def test_language_codes_and_predictions(spark):
+    rng = random.Random(12)
+    words = {"aa": "kara bota mila sona tiru".split(), "bb": "strof knecht grund pfal wurz".split(), "cc": "elleau vrée pourquoi éant oiseau".split()}
+    rows = [(i, prose(rng, rng.randrange(3, 60), words[k]), k) for i, k in enumerate(itertools.islice(itertools.cycle(words), 240))]
+    extra = [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !?", "cc"), (1003, "kara bota", None), (1004, "中", None)]
+    docs = spark.createDataFrame([*rows, *extra], "doc_id bigint, text string, lang string")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    assert all(got[i]["lang_pred"] == k for i, _, k in rows) and all(0 <= r["score"] <= 1 for r in got.values())
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "aa"] and got[1004]["lang_pred"] in words
+    assert langid.predict(docs.limit(0), model).count() == 0
+    assert langid.train(docs.where("lang is null")) is None
+    assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
+    one = langid.train(docs.where("lang = 'aa'"))
+    assert {r["lang_pred"] for r in langid.predict(docs.where("lang = 'aa' and text like '%a%'"), one).collect()} == {"aa"}
+
+
+def test_codewords_are_apart():
+    for n in (2, 3, 4, 6, 9, 20):
+        code = langid.codewords(n)
+        assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 1
+
+
+# ---- pipeline -----------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    vocabulary = [f"v{i}" for i in range(700)]
+    item = prose(rng, 40, vocabulary)
+    texts = [prose(rng, 80, vocabulary) for _ in range(40)]
+    texts += [texts[0], texts[1] + " ", prose(rng, 30, vocabulary) + " " + item, prose(rng, 30, vocabulary) + " idiot moron " + prose(rng, 30, vocabulary)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == DOCS.replace(" bigint", "").replace(" string", "").split(", ")
+        kept.append({r["doc_id"] for r in docs.collect()})
+    assert kept[0] == set(range(43)) and kept[1] == set(range(40)) | {42} and kept[2] == set(range(40)) and kept[3] <= kept[2]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == docs.count() and out.agg(F.min("start")).first()[0] == 0
