@@ -37,6 +37,16 @@ def mcnemar_pairs(cube: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     return table.withColumns({"p_exact_mcnemar": stats.mcnemar_p(F.col("n10"), F.col("n01")), "accuracy_diff": F.col("accuracy_a") - F.col("accuracy_b")})
 
 
+def _design(cube: DataFrame, columns: list[str], roles: Roles) -> tuple[DataFrame, list, list[tuple[str, str]], np.ndarray]:
+    """(rows with ``ok`` and the factors as strings, counts by pattern of levels, dummies, a pattern's row of the design)."""
+    rows = cube.withColumn("ok", correctness(scores.number(F.col(roles.truth)), scores.clean_likelihood(F.col(roles.score))))
+    rows = rows.where("ok is not null").dropna(subset=[roles.subject, *columns]).withColumns({c: F.col(c).cast("string") for c in columns})
+    cells = rows.groupBy(*columns).agg(F.sum("ok").alias("good"), F.count(F.lit(1)).alias("n")).orderBy(*columns).collect()  # a row for each pattern
+    levels = {c: sorted({r[c] for r in cells}) for c in columns}
+    dummies = [(c, v) for c in columns if len(levels[c]) > 1 for v in levels[c][1:]]
+    return rows, cells, dummies, np.array([[1.0, *[float(r[c] == v) for c, v in dummies]] for r in cells])
+
+
 def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = ("shot", "model"), least_rows: int = 50) -> DataFrame:
     """Logistic regression of correctness on factors, with standard errors clustered by subject.
 
@@ -47,16 +57,11 @@ def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[s
     schema = "term string, estimate_log_odds double, std_error double, p_value double, odds_ratio double, n_rows bigint"
     spark = cube.sparkSession
     columns = [getattr(roles, f) for f in factors]
-    rows = cube.withColumn("ok", correctness(scores.number(F.col(roles.truth)), scores.clean_likelihood(F.col(roles.score))))
-    rows = rows.where("ok is not null").dropna(subset=[roles.subject, *columns]).withColumns({c: F.col(c).cast("string") for c in columns})
-    cells = rows.groupBy(*columns).agg(F.sum("ok").alias("good"), F.count(F.lit(1)).alias("n")).orderBy(*columns).collect()  # a row for each pattern of levels
-    n_rows = sum(r["n"] for r in cells)
-    levels = {c: sorted({r[c] for r in cells}) for c in columns}
-    dummies = [(c, v) for c in columns if len(levels[c]) > 1 for v in levels[c][1:]]
+    rows, cells, dummies, x = _design(cube, columns, roles)
+    n, good = np.array([r["n"] for r in cells], float), np.array([r["good"] for r in cells], float)
+    n_rows = int(n.sum())
     if n_rows < least_rows or not dummies:
         return spark.createDataFrame([], schema)
-    x = np.array([[1.0, *[float(r[c] == v) for c, v in dummies]] for r in cells])
-    n, good = np.array([r["n"] for r in cells], float), np.array([r["good"] for r in cells], float)
     beta = np.zeros(x.shape[1])
     for _ in range(50):
         mu = 1 / (1 + np.exp(-x @ beta))
@@ -80,3 +85,66 @@ def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[s
     names = ["Intercept", *[f"{c}[T.{v}]" for c, v in dummies]]
     out = [(t, float(b), float(s), math.erfc(abs(b / s) / math.sqrt(2)) if s > 0 else None, float(np.exp(b)), n_rows) for t, b, s in zip(names, beta, se, strict=True)]
     return spark.createDataFrame(out, schema)
+
+
+def _posterior(subjects: DataFrame, etas: list[float], variance: float) -> DataFrame:
+    """``k, p, q``: for each pattern k and subject n * mu and n * mu * (1 - mu); for k = -1 the mode squared plus variance, and 1."""
+    eta = F.array(*map(F.lit, etas))
+
+    def mu(c: Column, b: Column) -> Column:
+        return 1 / (1 + F.exp(-(eta[c["k"]] + b)))
+
+    def slope(b: Column) -> Column:
+        return F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["good"] - c["n"] * mu(c, b)) - b / variance
+
+    def bend(b: Column) -> Column:
+        return F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["n"] * mu(c, b) * (1 - mu(c, b))) + 1 / variance
+
+    def step(b: Column, _: Column) -> Column:
+        return b + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), slope(b) / bend(b)))
+
+    mode = subjects.withColumn("b", F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.lit(0.0), step)).withColumn("v", 1 / bend(F.col("b")))
+    b = F.col("b")
+    parts = F.transform("cells", lambda c: F.struct(c["k"].alias("k"), (c["n"] * mu(c, b)).alias("p"), (c["n"] * mu(c, b) * (1 - mu(c, b))).alias("q")))
+    whole = F.array(F.struct(F.lit(-1).alias("k"), (b * b + F.col("v")).alias("p"), F.lit(1.0).alias("q")))
+    return mode.select(F.explode(F.concat(parts, whole)).alias("s")).select("s.*")
+
+
+def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = ("shot", "model"), least_rows: int = 50, rounds: int = 25) -> DataFrame:
+    """Logistic regression of correctness with a random intercept for each subject, by a Laplace approximation.
+
+    Each round finds every subject's posterior mode and variance by Newton steps over the subject's own cells, in
+    parallel and inside the JVM; what comes back is three sums for each pattern of levels, on which the fixed effects
+    take one Newton step, and the mean of mode squared plus variance, which is the new variance of the intercepts. An
+    approximation of the variational fit that a mixed model package would make. Columns: ``term, estimate_log_odds,
+    posterior_sd, p_value, odds_ratio, n_rows``, the intercepts' standard deviation as term ``subject_sd``.
+    """
+    schema = "term string, estimate_log_odds double, posterior_sd double, p_value double, odds_ratio double, n_rows bigint"
+    spark = cube.sparkSession
+    columns = [getattr(roles, f) for f in factors]
+    rows, cells, dummies, x = _design(cube, columns, roles)
+    n_rows = sum(r["n"] for r in cells)
+    if n_rows < least_rows or not dummies:
+        return spark.createDataFrame([], schema)
+    good = np.array([r["good"] for r in cells], float)
+    pattern = F.coalesce(*[F.when(F.concat_ws("\x1f", *columns) == "\x1f".join(r[c] for c in columns), F.lit(k)) for k, r in enumerate(cells)])
+    per = rows.withColumn("k", pattern).groupBy(roles.subject, "k").agg(F.sum("ok").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
+    subjects = per.groupBy(roles.subject).agg(F.collect_list(F.struct("k", "n", "good")).alias("cells")).select("cells").persist()  # at most a cell for each pattern
+    beta, variance = np.zeros(x.shape[1]), 0.5
+    try:
+        for _ in range(rounds):
+            found = _posterior(subjects, (x @ beta).tolist(), variance).groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()
+            sums = {r["k"]: (r["p"], r["q"]) for r in found}
+            weight = np.array([sums[k][1] for k in range(len(cells))])
+            bread = (x * weight[:, None]).T @ x + 1e-8 * np.eye(len(beta))
+            move = np.clip(np.linalg.solve(bread, x.T @ (good - np.array([sums[k][0] for k in range(len(cells))]))), -2, 2)
+            last, variance = variance, max(1e-6, sums[-1][0] / sums[-1][1])
+            beta = beta + move
+            if np.abs(move).max() < 1e-5 and abs(variance - last) < 1e-4:
+                break
+    finally:
+        subjects.unpersist()
+    sd = np.sqrt(np.diag(np.linalg.inv(bread)))
+    names = ["Intercept", *[f"{c}[T.{v}]" for c, v in dummies]]
+    out = [(t, float(b), float(d), math.erfc(abs(b / d) / math.sqrt(2)), float(np.exp(b)), n_rows) for t, b, d in zip(names, beta, sd, strict=True)]
+    return spark.createDataFrame([*out, ("subject_sd", float(np.sqrt(variance)), None, None, None, n_rows)], schema)

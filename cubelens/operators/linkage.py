@@ -58,17 +58,29 @@ def asof_join(
     return out.select(*left.columns, *[F.col(f"_taken.{v}").alias(v) for v in values.values()])
 
 
-def asof_ordered(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: dict[str, str]) -> DataFrame:
-    """Backward as-of join of strictly earlier rows in one sort: both sides in one stream by time, last value carried on.
+def asof_ordered(
+    left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: dict[str, str],
+    direction: str = "backward", window_days: int | None = None, order: str | None = None,
+) -> DataFrame:
+    """:func:`asof_join` in one sort: both sides in one stream by time, the last right value carried on.
 
-    For subjects with very many rows on both sides, where an equi-join would multiply them.
+    Linear in a subject's rows, where an equi-join would multiply its two sides; keeps repeated left rows. Right rows of
+    equal time go by ``order``, its least winning.
     """
-    a = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(F.struct(*values).alias("x")).schema["x"].dataType).alias("_value"))
-    b = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct(*values).alias("_value"))
-    both = a.unionByName(b)
-    order = W.partitionBy("_k").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    carried = both.withColumn("_last", F.last("_value", ignorenulls=True).over(order)).where("_side = 0")
-    return carried.select("_row.*", *[F.col(f"_last.{c}").alias(v) for c, v in values.items()])
+    ahead = direction == "forward"
+    shift = F.make_dt_interval(F.lit(1)) if ahead else F.make_dt_interval(F.lit(0))
+    taken = F.struct(*[F.col(c).alias(v) for c, v in values.items()], F.col(right_time).alias("_at"))
+    rank = -F.col(order) if order else F.lit(0)
+    a = left.select(F.col(key).alias("_k"), (F.col(left_time) + shift).alias("_t"), F.lit(int(ahead)).alias("_side"), F.lit(0).cast("long").alias("_o"), F.struct(*left.columns).alias("_row"))
+    b = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(int(not ahead)).alias("_side"), rank.cast("long").alias("_o"), taken.alias("_value"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    time = F.col("_t").desc() if ahead else F.col("_t").asc()
+    run = W.partitionBy("_k").orderBy(time, "_side", "_o").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = both.withColumn("_last", F.last("_value", ignorenulls=True).over(run)).where("_row is not null")
+    if window_days is not None:
+        near = F.abs(days_between(F.col("_last._at"), F.col(f"_row.{left_time}"))) <= window_days
+        carried = carried.withColumn("_last", F.when(near, F.col("_last")))
+    return carried.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values.values()])
 
 
 def chronology(primary: DataFrame, secondary: DataFrame, notes: DataFrame, band_days: int = 2, window_days: int | None = None, max_cases: int | None = None) -> DataFrame:
@@ -83,7 +95,7 @@ def chronology(primary: DataFrame, secondary: DataFrame, notes: DataFrame, band_
     out = linked
     for side, direction in (("preceding", "backward"), ("following", "forward")):
         values = {"clean_content": f"{side}_clinic_letter", "date_creation": f"{side}_clinic_date"}
-        out = asof_join(out, notes, "patient_id", "procedure_date", "date_creation", values, direction, window_days)
+        out = asof_ordered(out, notes, "patient_id", "procedure_date", "date_creation", values, direction, window_days)
     day = F.date_format("procedure_date", "yyyy-MM-dd")
     out = out.withColumns({
         "episode_id": F.concat_ws("::", "patient_id", day),

@@ -89,3 +89,22 @@ def nmf(rows: DataFrame, column: str, topics: int = TOPICS) -> DataFrame:
     terms = [[vocabulary[i] for i in np.argsort(-row, kind="stable")[:TERMS]] for row in h]
     frame = rows.sparkSession.createDataFrame([(r["outcome"], s.tolist()) for r, s in zip(got, share, strict=True)], "outcome string, weights array<double>")
     return table(frame, terms)
+
+
+def shot_skew(rows: DataFrame, column: str, shot: str = "shot_type", topics: int = TOPICS, seed: int = 42) -> DataFrame:
+    """``shot, topic_index, fp_weight, fn_weight, skew_score``: how a topic's skew differs by prompt style."""
+    vectors, _ = counted(rows, column)
+    model = LDA(k=topics, maxIter=10, seed=seed, featuresCol="_counts").fit(vectors)
+    long = model.transform(vectors).select(shot, "outcome", F.posexplode(vector_to_array("topicDistribution")).alias("topic_index", "w"))
+    side = lambda o: F.coalesce(F.avg(F.when(F.col("outcome") == o, F.col("w"))), F.lit(0.0))
+    found = long.groupBy(shot, "topic_index").agg(side("fp").alias("fp_weight"), side("fn").alias("fn_weight"))
+    total = F.col("fp_weight") + F.col("fn_weight")
+    return found.withColumn("skew_score", F.when(total > 0, (F.col("fp_weight") - F.col("fn_weight")) / total).otherwise(0.0))
+
+
+def section(flagged: DataFrame, column: str, order: str = "ord") -> dict[str, DataFrame]:
+    """Topic tables of rows with outcome flags; none where either outcome has fewer than ``LEAST`` documents."""
+    rows = sample(flagged.where(F.trim(F.coalesce(column, F.lit(""))) != ""), order).persist()
+    if not enough(rows):
+        return {}
+    return {"topic_skew_lda": lda(rows, column), "topic_skew_nmf": nmf(rows, column), "shot_topic_skew_lda": shot_skew(rows, column)}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -85,7 +84,8 @@ def document_truth(df: DataFrame, roles: Roles = DEFAULT, markers: dict[str, str
 def subject_truth(df: DataFrame, roles: Roles = DEFAULT, markers: dict[str, str] | None = None, into: str = "patient_truth") -> DataFrame:
     """Rows with the OR of all their subject's markers: a partial aggregate by subject, joined back."""
     flags = [scores.coerce_marker(F.col(c)) for c in resolve_markers(df, markers).values()]
-    return df.withColumn(into, F.max(any_of(flags)).over(W.partitionBy(roles.subject)).cast("double"))
+    per = df.groupBy(F.col(roles.subject).alias("_subject")).agg(F.max(any_of(flags)).cast("double").alias(into))
+    return df.join(per, F.col(roles.subject).eqNullSafe(F.col("_subject"))).drop("_subject")
 
 
 def tier_truths(df: DataFrame, roles: Roles = DEFAULT, markers: dict[str, str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scores
-from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, thresholds, tiers, truth, views
+from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, thresholds, tiers, topics, truth, views
 from ..roles import Roles
 from ..shipping import ship
 from ..sources import batches, sinks
@@ -85,7 +85,7 @@ def full_performance(cube: DataFrame, mode: str = "patient", n_boot: int = 1000,
     keys = ["denominator", "factor", "value"]
     out = {
         "overall_performance_by_factor_fair": bootstrap.with_intervals(long, keys, roles.subject, n_boot, seed), "primary_estimand": metrics.primary_estimand(rows, roles),
-        "mcnemar_model_pairs": inference.mcnemar_pairs(rows, roles), "mixed_effects_correctness": inference.clustered_logistic(rows, roles),
+        "mcnemar_model_pairs": inference.mcnemar_pairs(rows, roles), "mixed_effects_correctness": inference.mixed_logistic(rows, roles), "clustered_logistic_correctness": inference.clustered_logistic(rows, roles),
     }
     if "_document_sequence_truth_strict" in rows.columns:
         out["strict_marker_sensitivity"] = metrics.factor_metrics(rows, roles, "_document_sequence_truth_strict")
@@ -109,7 +109,7 @@ def narrative_analysis(cube: DataFrame, column: str, mode: str = "patient") -> T
     for factor in ("shot_type", "temperature", "report_sequence_name"):
         for name, lexicon in (("cue", K.CUES), ("heuristic_theme", K.THEMES)):
             out[f"{factor}_{name}_deltas"] = narrative.factor_deltas(rows, factor, column, lexicon, roles)
-    return out
+    return out | topics.section(flagged, column, roles.order)
 
 
 def tiered_performance(cube: DataFrame, n_boot: int = 1000, seed: int = 42, chart_truth: str = "ground_truth") -> Tables:

@@ -433,6 +433,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return inference.clustered_logistic(cube(spark, d))
 
 
+@query("mixed_logistic")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return inference.mixed_logistic(cube(spark, d))
+
+
 # ---- summaries ----------------------------------------------------------------------------------------------------
 
 
@@ -625,6 +630,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").select("o_orderkey", F.floor(number / 50).alias("batch"), "o_orderstatus")
 
 
+@query("asof_ordered_forward", _ASOF.format(sides=_SIDES, order="b_ts, b_id", test=f"{_REV} > 0").replace("SELECT user_id, a_id, b_id FROM j WHERE r = 1", f"SELECT j.user_id, j.a_id, CASE WHEN {_REV} <= 5 THEN j.b_id END AS b_id FROM j JOIN a USING (a_id) LEFT JOIN b ON b.b_id = j.b_id WHERE r = 1"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    return linkage.asof_ordered(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}, "forward", 5, "b_id").select("user_id", "a_id", "b_id")
+
+
 # ---- prompts ------------------------------------------------------------------------------------------------------
 
 _TEMPLATES = {"zero": "Read and judge.", "single": "One example first.", "dual": "Two examples first."}
@@ -796,3 +807,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("nmf_topics")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return topics.nmf(topics.sample(narrative.flagged(cube(spark, d)), "ord"), "Combined_Content", 4)
+
+
+@query("shot_topic_skew")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return topics.shot_skew(topics.sample(narrative.flagged(cube(spark, d)), "ord"), "Combined_Content", topics=4)
+
+
+@query("display_labels_sequences", "SELECT s AS report_sequence_name, l AS sequence_label FROM (VALUES " + ", ".join(f"('{s}', '{K.SEQUENCE_NAMES[s]}')" for s in K.SEQUENCE_NAMES) + ") AS t(s, l)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(s,) for s in K.SEQUENCE_NAMES], "report_sequence_name string")
+    return rows.select("report_sequence_name", scores.sequence_label(F.col("report_sequence_name")).alias("sequence_label"))
+
+
+@query("statistics_by_segment", "SELECT c_mktsegment, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std_dev, count(*) AS n, round(median(c_acctbal), 6) AS median, round(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 6) AS iqr, round(skewness(c_acctbal), 6) AS skewness, round(kurtosis(c_acctbal), 6) AS kurtosis FROM customer GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = descriptive.statistics(_table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal").drop("ci_lower", "ci_upper")
+    return _rounded(found, ["c_mktsegment", "n"])

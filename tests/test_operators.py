@@ -146,3 +146,22 @@ def test_clustered_logistic_recovers_odds(spark):
     odds = {s: sum(x) / (len(x) - sum(x)) for s, x in right.items()}
     assert got["shot_type[T.zero]"]["odds_ratio"] == pytest.approx(odds["zero"] / odds["dual"], rel=1e-6)
     assert inference.clustered_logistic(df.limit(10)).count() == 0
+
+
+def test_mixed_logistic_finds_effect_and_spread(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for s in range(150):
+        own = rng.gauss(0, 1.0)
+        for i in range(60):
+            zero = i % 2
+            p = 1 / (1 + math.exp(-(-0.3 + 0.9 * zero + own)))
+            rows.append((i, f"p{s}", "zero" if zero else "dual", "m", 0.6, 8.0 if rng.random() < p else 1.0, 1))
+    df = spark.createDataFrame(rows, "ord int, patient_id string, shot_type string, model_canon string, temperature double, likelihood_score double, truth int")
+    got = {r["term"]: r for r in inference.mixed_logistic(df).collect()}
+    assert got["shot_type[T.zero]"]["estimate_log_odds"] == pytest.approx(0.9, abs=0.2)
+    assert got["subject_sd"]["estimate_log_odds"] == pytest.approx(1.0, abs=0.25) and 0 < got["shot_type[T.zero]"]["posterior_sd"] < 0.1
+    assert inference.mixed_logistic(df.limit(10)).count() == 0
