@@ -57,6 +57,14 @@ def test_slices_cover_all_rows():
     assert [a for a, _ in got] == [0, 2, 3] and got[-1][1] == 6
 
 
+def test_bounded_sample_is_the_first_by_hash(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    place = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
+    want = {r["k"] for r in df.orderBy(place).limit(50).collect()}
+    assert {r["k"] for r in common.bounded_sample(df, 50, "k").collect()} == want
+    assert common.bounded_sample(df.limit(7), 50, "k").count() == 7 and common.bounded_sample(df.limit(0), 50, "k").count() == 0
+
+
 # ---- 1 ------------------------------------------------------------------------------------------------------------
 
 
