@@ -12,8 +12,8 @@ consecutive documents and their index:
 Beside it stand ``dictionary`` (dict_id, dictionary) and ``shards`` (shard, start: ids of all shards before).
 A document is read alone from its segment row: slice the payload by the offsets and decompress one frame.
 
-The dictionary is trained on the serialised ids of a bounded sample: the ``SAMPLE`` documents of at most
-``SAMPLE_CHARS`` characters that come first by a hash of their id. It changes only how small the frames get.
+The dictionary is trained on the serialised ids of a bounded sample: of the ``SAMPLE`` documents that come first by a
+hash of their id those of at most ``SAMPLE_CHARS`` characters. It changes only how small the frames get.
 """
 
 from __future__ import annotations
@@ -208,8 +208,7 @@ def train_dictionary(spark: SparkSession, docs: DataFrame, tokenizer: str, width
         for _, ids in encoded(batches, tokenizer):
             yield pa.record_batch([pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary())], ["ids"])
 
-    short = docs.where(F.char_length("text") <= SAMPLE_CHARS)
-    sample = short.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE)
+    sample = common.bounded_sample(docs, SAMPLE, "doc_id").where(F.char_length("text") <= SAMPLE_CHARS)
     rows = [bytes(r[0]) for r in sample.mapInArrow(serialise, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, sorted(rows), level=LEVEL).as_bytes()
