@@ -221,7 +221,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``a, b``: edges whose components are those of all links between the distinct values ``fp`` of ``nodes``."""
     n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()  # at most SAMPLE values
+    sample = common.bounded_sample(nodes, SAMPLE, "fp").collect()  # at most SAMPLE values
     values = np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
     if len(values) < 2:
         return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
