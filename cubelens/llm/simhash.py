@@ -281,14 +281,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with its smallest id, with all columns; of repeated rows with that id one."""
-    found = near_groups(docs, id_col, text_col)
-    kept = common.stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
-    name = "_kept_id"
-    plain = docs.join(kept.where("n = 1").select(F.col("doc_id").alias(name)), F.col(id_col) == F.col(name), "left_semi")
-    nameless = docs.where(F.col(id_col).isNull())  # rows without an id can't stand for others
-    repeated = kept.where("n > 1")
-    if not repeated.isEmpty():
-        again = docs.join(repeated.select(F.col("doc_id").alias(name)), F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
-        plain = plain.unionByName(again)
-    return plain if nameless.isEmpty() else plain.unionByName(nameless)
+    """Of each component the row with its smallest id, with all columns; of repeated rows with that id one.
+
+    The rows are joined with the ids that go, which are far fewer than those that stay. A row without an id can't stand
+    for others and stays.
+    """
+    found = near_groups(docs, id_col, text_col).where("doc_id is not null")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    ids = common.stored(ids.where("not kept or n > 1"), "simhash-ids")
+    gone, repeated = ids.where("not kept").select("_id"), ids.where("kept").select("_id")
+    out = docs.join(common.stored(gone, "simhash-gone"), F.col(id_col) == F.col("_id"), "left_anti")
+    if repeated.isEmpty():
+        return out
+    once = docs.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    return out.join(repeated, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)
