@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,6 +72,13 @@ def bounded_sample(df: DataFrame, n: int, *key: str) -> DataFrame:
     return df.where(place < int(share * (1 << 40))).orderBy(place, *key).limit(n)
 
 
+def release() -> None:
+    """Hand memory that earlier tasks of this Python worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def is_directory(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory()

@@ -32,7 +32,7 @@ from . import common
 
 SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL, SEGMENT = 600, 20_000, 1 << 16, 3, 1 << 21
 END = 0
-_CACHE_LIMIT = 900_000
+_CACHE_LIMIT = 800_000  # pieces, about 160 MB
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -189,6 +189,7 @@ def _tokenizer_path(name: str) -> str:
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[object, np.ndarray]]:
     """(doc_id, ids with the end id) for each row of (doc_id, text), in order."""
+    common.release()
     enc = encoder(_tokenizer_path(tokenizer))
     for batch in batches:
         ids = batch.column(0).to_pylist()
