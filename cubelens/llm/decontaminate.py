@@ -149,7 +149,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 kinds = [*[pa.int64()] * 5, pa.float64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "n_equal", "similarity", "item_word"])
 
-        out = out.unionByName(docs.mapInArrow(run, schema))
+        out = out.unionByName(docs.mapInArrow(common.released(run), schema))
     return out
 
 
@@ -167,7 +167,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                     keep[[a + g[0] for g in got]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, kind)
+        docs = docs.mapInArrow(common.released(run), kind)
     return docs
 
 

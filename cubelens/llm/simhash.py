@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(raw[a:b].tobytes()) for a, b in itertools.pairwise(at.tolist())], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.mapInArrow(common.released(run), "doc_id bigint, fp bigint")
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -233,14 +233,14 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
             for key, value, probe in _rows(fp, plan):
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(value.view(np.int64)), pa.array(np.full(len(fp), probe))], ["key", "fp", "probe"])
 
-    rows = nodes.select("fp").mapInArrow(keyed, "key bigint, fp bigint, probe boolean")
+    rows = nodes.select("fp").mapInArrow(common.released(keyed), "key bigint, fp bigint, probe boolean")
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
     hot = common.stored(hot, "hot-buckets")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if hot.isEmpty():
-        return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verified, "a bigint, b bigint")
+        return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(common.released(_verified), "a bigint, b bigint")
     cool = rows.join(hot, "key", "left_anti").repartition(parts, "key").sortWithinPartitions("key")
-    edges = cool.mapInArrow(_verified, "a bigint, b bigint")
+    edges = cool.mapInArrow(common.released(_verified), "a bigint, b bigint")
     return edges.unionByName(_halfway(rows.join(hot, "key").select("fp").distinct()))
 
 
@@ -255,7 +255,7 @@ def _halfway(nodes: DataFrame) -> DataFrame:
                 part = fp[k : k + 64]
                 yield pa.record_batch([pa.array((part[:, None] ^ flips[None, :]).ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], ["at", "fp"])
 
-    rows = nodes.mapInArrow(spread, "at bigint, fp bigint")
+    rows = nodes.mapInArrow(common.released(spread), "at bigint, fp bigint")
     met = rows.groupBy("at").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "b")
     return rows.join(met, "at").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 

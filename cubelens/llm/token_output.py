@@ -189,7 +189,6 @@ def _tokenizer_path(name: str) -> str:
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[object, np.ndarray]]:
     """(doc_id, ids with the end id) for each row of (doc_id, text), in order."""
-    common.release()
     enc = encoder(_tokenizer_path(tokenizer))
     for batch in batches:
         ids = batch.column(0).to_pylist()
@@ -210,7 +209,7 @@ def train_dictionary(spark: SparkSession, docs: DataFrame, tokenizer: str, width
             yield pa.record_batch([pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary())], ["ids"])
 
     sample = common.bounded_sample(docs, SAMPLE, "doc_id").where(F.char_length("text") <= SAMPLE_CHARS)
-    rows = [bytes(r[0]) for r in sample.mapInArrow(serialise, "ids binary").collect()]
+    rows = [bytes(r[0]) for r in sample.mapInArrow(common.released(serialise), "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, sorted(rows), level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -263,7 +262,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", widt
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(segments, schema).write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    ordered.mapInArrow(common.released(segments), schema).write.option("compression", "uncompressed").parquet(f"{path}/segments")
     done = spark.read.parquet(f"{path}/segments").select("shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     totals = sorted((r["shard"], r["n"]) for r in done.groupBy("shard").agg(F.sum("n").alias("n")).collect())  # a row for each partition
     starts = [(s, sum_before) for (s, _), sum_before in zip(totals, itertools.accumulate((n for _, n in totals), initial=0), strict=False)]
@@ -309,7 +308,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "n_bytes"])
 
     rows = spark.read.parquet(f"{path}/segments").join(spark.read.parquet(f"{path}/shards"), "shard")
-    return rows.mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint")
+    return rows.mapInArrow(common.released(documents), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray:

@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             terms = list(bad | good)
             yield pa.record_batch([pa.array(terms, pa.string()), pa.array([bad[t] for t in terms], pa.int64()), pa.array([good[t] for t in terms], pa.int64())], ["term", "bad", "good"])
 
-    found = sample.mapInArrow(frequencies, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    found = sample.mapInArrow(common.released(frequencies), "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     pure = found.where((F.col("bad") >= LEAST) & (F.col("good") * 50 < F.col("bad"))).orderBy(F.desc("bad"), "term").limit(4000)
     candidates = {r["term"] for r in pure.collect()}  # a report of at most 4,000 terms
 
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             kept = [sorted(_terms(t) & candidates) for t in texts]
             yield pa.record_batch([pa.array([bool(start.events(t)[:2].any()) for t in texts], pa.bool_()), pa.array(kept, pa.list_(pa.string()))], ["known", "terms"])
 
-    rows = sample.where("toxic = 1").mapInArrow(holds, "known boolean, terms array<string>").collect()  # at most the sample
+    rows = sample.where("toxic = 1").mapInArrow(common.released(holds), "known boolean, terms array<string>").collect()  # at most the sample
     open_rows = [set(r["terms"]) for r in rows if not r["known"]]
     least = max(LEAST, 0.002 * len(rows))
     chosen: list[str] = []
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             x = np.array([learned.events(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(EVENTS))
             yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    got = sample.mapInArrow(measured, "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # at most the sample
+    got = sample.mapInArrow(common.released(measured), "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # at most the sample
     got.sort(key=lambda r: (r["toxic"], r["x"]))
     x = np.array([list(r["x"]) for r in got])
     repeat = np.array([r["n"] for r in got])
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             more = [pa.array(model.score(x), pa.float64()), pa.array(list(x), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_toxic_score", "_toxic_events"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.released(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:
