@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A clause's words become symbols: I insult, T threat, Y target, N negation, R reported speech, O other. Five small
+A clause's words become symbols: I insult, T threat, Y target, N negation, R reported speech, O other. Six small
 transducers over them are composed into one machine (:func:`grammar`): insult and threat give weights to their words;
 target raises what stands within reach of a target word; negation and reported speech lower what they govern. Running
 the machine over a clause gives the events of the clause with their weights; a text's score is a logistic function of
@@ -77,11 +77,26 @@ def _reach(opener: str, changed: dict[str, tuple[str, float]], symbols: str, rea
     return Transducer(arcs)
 
 
+def _answered(openers: dict[str, tuple[str, float]], symbols: str, reach: int) -> Transducer:
+    """A target word within ``reach`` words after an opener comes out as the opener's event."""
+    arcs = {}
+    start = {o: reach * i for i, o in enumerate(openers)}
+    for state in range(reach * len(openers) + 1):
+        for s in symbols:
+            if s in openers:
+                arcs[state, s] = (s, 1.0, start[s] + reach)
+            elif state and s == "Y":
+                arcs[state, s] = (*list(openers.values())[(state - 1) // reach], 0)
+            elif state and (state - 1) % reach:
+                arcs[state, s] = (s, 1.0, state - 1)
+    return Transducer(arcs)
+
+
 SYMBOLS = "ITYNRO" + "inrtat"
 
 
 def grammar() -> Transducer:
-    """Reported speech, then negation, then target, over the insult and threat acceptors.
+    """Reported speech, then negation, then target before and after, over the insult and threat acceptors.
 
     Out: I insult, i aimed insult, n negated insult, r reported insult, T threat, t aimed threat; the last two changes
     win over an aim, so that "they are not idiots" and "he said idiots" count little.
@@ -92,7 +107,8 @@ def grammar() -> Transducer:
     negated = _reach("N", {"I": ("n", 0.5), "T": ("n", 0.5)}, everything, 2, stop="I")
     aimed = _reach("Y", {"I": ("i", 1.5), "T": ("t", 1.5)}, everything, 4)
     machine = weigh
-    for part in (reported, negated, aimed):
+    answered = _answered({"I": ("i", 1.5), "T": ("t", 1.5)}, everything, 3)
+    for part in (reported, negated, aimed, answered):
         machine = compose(machine, part, everything)
     return machine
 

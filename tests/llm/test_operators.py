@@ -108,6 +108,9 @@ def test_grammar_composes_aim_negation_and_report():
     assert events("they are not an idiot")["negated_insult"] > 0 and events("they are not an idiot")["aimed_insult"] == 0
     assert events("he said the word idiot")["reported_insult"] > 0
     assert events("i will hurt you")["threat"] == 1 and events("you, i will hurt")["aimed_threat"] == 1.5
+    assert events("i will hurt you")["aimed_threat"] == 1.5 and events("idiots like you")["aimed_insult"] == 1.5
+    assert events("i will hurt no one here that you know")["aimed_threat"] == 0
+    assert events("not an idiot like you")["aimed_insult"] == 0
     assert events("zorgling stands")["insult"] == 1
     assert not model.events("nothing of note. not said").any()
     assert events("he said it. idiot")["insult"] == 1  # another clause
