@@ -32,7 +32,7 @@ from . import common
 
 SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL, SEGMENT = 600, 20_000, 1 << 16, 3, 1 << 21
 END = 0
-_CACHE_LIMIT = 800_000  # pieces, about 160 MB
+_CACHE_LIMIT = 500_000  # pieces, about 100 MB
 _ENCODERS: dict[str, Encoder] = {}
 
 
