@@ -484,6 +484,17 @@ def test_passages_that_repeat_across_documents(spark):
     assert substring.passages(frame(spark, [])).count() == 0
 
 
+def test_passages_around_a_line_in_many_contexts(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    line, texts = prose(rng, 35, vocabulary), []
+    for _ in range(30):
+        left, right = prose(rng, 12, vocabulary), prose(rng, 13, vocabulary)
+        texts += [" ".join([prose(rng, 60, vocabulary), left, line, right, prose(rng, 60, vocabulary)]) for _ in range(2)]
+    got = substring.passages(frame(spark, texts)).collect()
+    assert {(r["match_id"], r["doc_id"]) for r in got} == {(2 * i, 2 * i + 1) for i in range(30)}
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------
 
 
