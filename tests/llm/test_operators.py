@@ -495,6 +495,20 @@ def test_passages_around_a_line_in_many_contexts(spark):
     assert {(r["match_id"], r["doc_id"]) for r in got} == {(2 * i, 2 * i + 1) for i in range(30)}
 
 
+def test_near_passages_with_a_line_that_the_leader_also_has_before(spark):
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(150):
+        parts = [prose(rng, n, vocabulary).split() for n in (36, 20, 4)]
+        passage = sum(parts, [])
+        near = [f"x{i}" if i == 28 else w for i, w in enumerate(passage)]
+        texts.append(" ".join([prose(rng, 60, vocabulary), *parts[1], prose(rng, 60, vocabulary), *passage, prose(rng, 60, vocabulary)]))
+        texts.append(" ".join([prose(rng, 60, vocabulary), *near, prose(rng, 60, vocabulary)]))
+    found = {(r["match_id"], r["doc_id"]) for r in substring.passages(frame(spark, texts)).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(150)}
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------
 
 
