@@ -2,8 +2,8 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z as a-z. The index holds short licence
 templates as postings word -> (template, position). One pass counts, over all documents, in how many each licence word
-occurs; a second looks up each document's ``RARE`` rarest licence words at all their places. Every posting votes for a
-template at a relative position; a template is found where the votes at one relative position (within ``SLACK``)
+occurs; a second looks up the ``RARE`` rarest words of each possible template at all their places in a document, so that
+no licence takes another's votes. Every posting votes for its template at a relative position; a template is found where the votes at one relative position (within ``SLACK``)
 reach ``VOTES`` of its words and one of its mandatory key phrases stands next to that place.
 """
 
@@ -69,19 +69,17 @@ class Index:
 
     def find(self, got: list[bytes], places: dict[bytes, list[int]], among: set[int]) -> list[tuple[str, int, float]]:
         """(label, place, share of the template's looked-up words that agree) of each verified match."""
-        of = {w for i in among for w in self.templates[i][1]}
-        rare = sorted((w for w in places if w in of), key=lambda w: (-self.idf.get(w, 0.0), w))[:RARE]
+        own = {i: set(sorted((w for w in set(self.templates[i][1]) if w in places), key=lambda w: (-self.idf.get(w, 0.0), w))[:RARE]) for i in among}
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for w in rare:
-            for at in places[w]:
-                for i, p in self.postings[w]:
-                    if i in among:
+        for w in set().union(*own.values()):
+            for i, p in self.postings[w]:
+                if w in own.get(i, ()):
+                    for at in places[w]:
                         votes[i, at - p].add(w)
         out = []
-        looked = set(rare)
         for (i, base), agreed in votes.items():
             label, tokens, keys = self.templates[i]
-            need = looked & set(tokens)
+            need = own[i]
             near = set().union(*(votes.get((i, base + s), ()) for s in range(-SLACK, SLACK + 1)))
             if len(agreed) * 2 < len(need) or len(near) < VOTES * len(need):
                 continue

@@ -318,6 +318,12 @@ def test_license_base_places_and_labels(spark):
     assert license_scan.scan_documents(frame(spark, [])).count() == 0
 
 
+def test_every_license_of_a_document_is_found(spark):
+    texts = ["\n\nand then ".join(t for _, t, _ in license_scan.TEMPLATES), f"{license_scan.TEMPLATES[2][1]}. Some files are licensed under the Apache License, Version 2.0"]
+    got = [set(r["labels"].split(",")) for r in license_scan.scan_documents(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert {x for x, _, _ in license_scan.TEMPLATES} <= got[0] and got[1] == {"mit", "apache-2.0"}
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------------
 
 
