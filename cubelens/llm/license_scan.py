@@ -3,8 +3,9 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z as a-z. The index holds short licence
 templates as postings word -> (template, position). One pass counts, over all documents, in how many each licence word
 occurs; a second looks up the ``RARE`` rarest words of each possible template at all their places in a document, so that
-no licence takes another's votes. Every posting votes for its template at a relative position; a template is found where the votes at one relative position (within ``SLACK``)
-reach ``VOTES`` of its words and one of its mandatory key phrases stands next to that place.
+no licence takes another's votes. Every posting votes for its template at a relative position; a template is found where
+the votes at one relative position (within ``SLACK``) reach ``VOTES`` of its words and one of its mandatory key phrases
+stands next to that place.
 """
 
 from __future__ import annotations
