@@ -1,25 +1,30 @@
-"""Main text of web pages by differencing each page with its nearest neighbour by URL.
-
-1. A page becomes text lines, one for each block, each marked by its place: in the article, in page furniture by its
-   tag, class, id or role, or unknown (:func:`lines_of`).
-2. Pages are ordered by host and path, numbers in a path by value. A page is paired with the neighbour in that order
-   that shares more of its path, on the same host; if the two are copies (most of their lines are alike) or share no
-   line at all, with the other neighbour.
-3. The lines of the two pages are aligned by longest common subsequence. Shared lines go, and so do lines of page
-   furniture. Lines inside ``<article>`` or ``<main>`` are checked against the markup and stay though a neighbour has
-   them too, unless they are nothing but links: articles may quote each other.
-
-The order is cut into ranges by a sample of at most ``SAMPLE`` pages, which only decides which task sees a page; a
-range is streamed, so that a host with most pages is spread over ranges and none is gathered.
+"""Main text of web pages by differencing each page with its nearest neighbours by URL.
+
+1. A page becomes text lines, one for each block, each marked by its place: in page furniture by its tag, class, id or
+   role, in an article, or neither (:func:`lines_of`).
+2. Pages are ordered by host and path, numbers in a path by value. A page is paired with pages of its host near it in
+   that order, those first that share more of its path; equal pages next to each other count as one.
+3. The lines of two pages are aligned by longest common subsequence (:func:`common_lines`). What the page shares with
+   the neighbour that shares least is the host's template; a neighbour that shares most of the rest too is a copy of
+   the page and says nothing. The lines that the nearest of the others shares are deleted (:func:`main_text`).
+4. The markup is a check on both sides. Page furniture goes although it differs from page to page. A shared line inside
+   an article stays, because articles quote each other, unless it is nothing but links, or it stands at the head or the
+   end of the article and all of the three or four nearest neighbours have it. Where articles hold most of what is not
+   shared, lines outside of them go.
+
+The order is cut into blocks at pages chosen by a hash of their keys, so that the blocks, and with them the result,
+depend on the pages alone and not on the number of partitions. A page at which a block begins is also seen, but not
+returned, by the block before. Blocks are streamed: a host with most pages is spread over blocks and none is gathered.
 """
 
 from __future__ import annotations
 
-import bisect
 import html
 import re
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +32,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, LEAST, COPY = 2048, 200, 0.6
+# pages in a block on average, blocks at most, neighbours looked at on each side, neighbours that decide
+BLOCK_PAGES, MOST_BLOCKS, REACH, PARTNERS = 256, 1 << 15, 8, 4
+# share of a page's text from which on another is its copy, and the same where three neighbours share it alike
+COPY, MANY = 0.6, 0.8
+_CELLS = 1 << 28
 
 # Tags whose content is no text, page furniture, and blocks.
 NO_TEXT = "script style noscript template svg math iframe object canvas video audio select option textarea button title".split()
@@ -41,7 +50,10 @@ ROLES = "navigation banner contentinfo complementary search form dialog alert al
 
 ARTICLE, OTHER, CHROME = 2, 1, 0
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*+(?:(?:\"[^\"<>]*\"|'[^'<>]*')[^<>\"']*+)*+)>")
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTE = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _NO_TEXT, _FURNITURE, _BLOCKS, _VOID, _MARKS, _ROLES = (frozenset(x) for x in (NO_TEXT, FURNITURE, BLOCKS, VOID, MARKS, ROLES))
@@ -60,15 +72,56 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+class _Tags:
+    """Tags of a page from left to right, in one pass however the page is broken."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str]:
+        """(start, end, whether it closes, name or None for a comment or declaration, attributes) of the next tag from ``at`` on."""
+        page = self.page
+        while m := _OPEN.search(page, at):
+            start = m.start()
+            if tag := _TAG.match(page, start):
+                return start, tag.end(), bool(tag[1]), tag[2].lower(), tag[3]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, None, ""
+            name = _NAME.match(page, start)
+            if name is None and page[start + 1] == "/":
+                at = start + 1
+                continue
+            end = self._end(name.end() if name else start + 2, name is not None)
+            if end < 0:  # no tag ends any more
+                break
+            if name is None:
+                return start, end, False, None, ""
+            return start, end, bool(name[1]), name[2].lower(), page[name.end() : end - 1]
+        return len(page), len(page), False, None, ""
+
+    def _end(self, at: int, quotes: bool) -> int:
+        """Behind the > that ends a tag, quoted ones skipped; once that fails, quotes aren't heeded any more."""
+        place = at
+        while quotes and self.quoted and (m := _QUOTE.search(self.page, place)):
+            if m[0] == ">":
+                return m.end()
+            close = self.page.find(m[0], m.end())
+            place = close + 1 if close >= 0 else m.end()
+        self.quoted = self.quoted and not quotes
+        return self.page.find(">", at) + 1 or -1
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, ARTICLE, OTHER or CHROME, whether all of it is links) of each block with text, in page order."""
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, int]] = []  # tag, place inside it
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = plain = 0
     in_link = 0
     place = OTHER
-    at, end = 0, len(page)
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal linked, plain
@@ -79,33 +132,54 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.clear()
         linked = plain = 0
 
-    while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            piece = page[at:stop]
+    def close(tag: str) -> bool:
+        """Take the innermost such tag and all inside it off the stack; False if none is open."""
+        if not opened[tag]:
+            return False
+        while stack:
+            t, _ = stack.pop()
+            opened[t] -= 1
+            if t == tag:
+                break
+        return True
+
+    def above(wanted: set[str]) -> str | None:
+        """The innermost open tag of those wanted, not beyond one that holds blocks."""
+        if not any(opened[t] for t in wanted):
+            return None
+        for t, _ in reversed(stack):
+            if t in wanted:
+                return t
+            if t in _SCOPE:
+                return None
+        return None
+
+    at = 0
+    while at < len(page):
+        start, end, closing, tag, attributes = tags.after(at)
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if not piece.isspace():
                 if in_link:
                     linked += 1
                 else:
                     plain += 1
-        if not m:
-            break
-        at = m.end()
-        if m.group(2) is None:  # comment or declaration
+        at = end
+        if tag is None:  # comment, declaration or the end
             continue
-        closing, tag = m.group(1), m.group(2).lower()
         if closing:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag in _BLOCKS:
                 flush()
-            elif k is not None and (stack[k - 1][1] if k else OTHER) != place:
-                flush()
-            if k is not None:
-                del stack[k:]
+            elif opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                if (stack[k - 1][1] if k else OTHER) != place:
+                    flush()
+            if close(tag):
                 place = stack[-1][1] if stack else OTHER
             continue
         if tag == "br":
@@ -115,28 +189,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if tag == "hr":
                 flush()
             continue
-        if tag in _RAW_END and (tag in _NO_TEXT):
+        if tag in _RAW_END and tag in _NO_TEXT:
             raw = _RAW_END[tag].search(page, at)
-            at = raw.end() if raw else end
+            at = raw.end() if raw else len(page)
             continue
         if tag in _BLOCKS:
             flush()
-            if stack and stack[-1][0] == "p" or any(t == "p" for t, _ in stack[-4:]):
-                k = max(i for i, (t, _) in enumerate(stack) if t == "p")  # a block ends an open paragraph
-                if not any(t in _SCOPE for t, _ in stack[k + 1 :]):
-                    del stack[k:]
-            if tag in _CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in _CLOSES[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _SCOPE:
-                        break
+            for wanted in ({"p"}, _CLOSES.get(tag, ())):  # a block ends an open paragraph, an item the one before
+                if wanted and (found := above(wanted)):
+                    close(found)
             place = stack[-1][1] if stack else OTHER
         if tag == "a":
             in_link += 1
         inner = place
-        attributes = m.group(3)
         if tag in _NO_TEXT or tag in _FURNITURE and not (tag == "header" and place == ARTICLE):
             inner = CHROME
         elif attributes and tag not in ("html", "body") and _marked(attributes):
@@ -148,35 +213,61 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if inner != place and tag not in _BLOCKS:
             flush()
         stack.append((tag, inner))
+        opened[tag] += 1
         place = inner
     flush()
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
-    """Indices of the lines of a longest common subsequence, in a and in b (Hunt and Szymanski)."""
-    where: dict[str, list[int]] = defaultdict(list)
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """A bit vector for each line of a: bit j is 0 where the longest common subsequence grows with line j of b."""
+    where: dict[str, int] = {}
     for j, line in enumerate(b):
-        where[line].append(j)
-    lows: list[int] = []
-    chain: list[tuple[int, int, object]] = []
-    for i, line in enumerate(a):
-        for j in reversed(where.get(line, ())):
-            k = bisect.bisect_left(lows, j)
-            node = (i, j, chain[k - 1] if k else None)
-            if k == len(lows):
-                lows.append(j)
-                chain.append(node)
-            else:
-                lows[k] = j
-                chain[k] = node
-    left, right = set(), set()
-    node = chain[-1] if chain else None
-    while node:
-        left.add(node[0])
-        right.add(node[1])
-        node = node[2]
-    return left, right
+        where[line] = where.get(line, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for line in a:
+        used = row & where.get(line, 0)
+        row = (row + used | row - used) & full
+        yield row
+
+
+def _aligned(a: list[str], b: list[str], i0: int, j0: int, out: list[tuple[int, int]]) -> None:
+    if not a or not b:
+        return
+    if len(a) > 1 and len(a) * len(b) > _CELLS:  # halves, so that memory stays in proportion to the lines
+        half = len(a) // 2
+        front = back = (1 << len(b)) - 1
+        for front in _rows(a[:half], b):
+            pass
+        for back in _rows(a[:half - 1 : -1], b[::-1]):
+            pass
+        grown = lambda row: [0, *accumulate("1" != c for c in bin(row | 1 << len(b))[:2:-1])]
+        left, right = grown(front), grown(back)
+        cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
+        _aligned(a[:half], b[:cut], i0, j0, out)
+        _aligned(a[half:], b[cut:], i0 + half, j0 + cut, out)
+        return
+    rows = list(_rows(a, b))
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i0 + i, j0 + j))
+
+
+def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
+    """Indices of the lines of a longest common subsequence, in a and in b; bit-parallel, so that repeated lines cost no more."""
+    both = set(a).intersection(b)
+    if not both:
+        return set(), set()
+    ia, ib = [i for i, x in enumerate(a) if x in both], [j for j, x in enumerate(b) if x in both]
+    pairs: list[tuple[int, int]] = []
+    _aligned([a[i] for i in ia], [b[j] for j in ib], 0, 0, pairs)
+    return {ia[i] for i, _ in pairs}, {ib[j] for _, j in pairs}
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -199,92 +290,151 @@ def nearness(a: str, b: str) -> int:
 
 
 class Page:
-    def __init__(self, page_id: int, url: str, host: str, path: str, lines: list[str], places: list[int], links: list[bool]):
-        self.page_id, self.url, self.host, self.path = page_id, url, host, path
-        self.lines, self.places, self.links = lines, places, links
+    """Lines of a page, and the pages next to it in URL order with the very same lines: (id, url, whether it is returned)."""
+
+    def __init__(self, host: str, path: str, lines: list[str], places: list[int], links: list[bool]):
+        self.host, self.path, self.lines, self.places, self.links = host, path, lines, places, links
+        self.rows: list[tuple[int | None, str | None, bool]] = []
 
+    def same(self, other: Page) -> bool:
+        return (self.host, self.lines, self.places, self.links) == (other.host, other.lines, other.places, other.links)
 
-def main_text(page: Page, before: Page | None, after: Page | None) -> str:
-    near = [p for p in (before, after) if p is not None and p.host == page.host]
-    near.sort(key=lambda p: -nearness(page.path, p.path))
-    shared: set[int] = set()
-    size = sum(map(len, page.lines)) or 1
-    for other in near:
+
+def shared_lines(page: Page, near: list[Page]) -> tuple[set[int], set[int]]:
+    """Lines that the nearest page that is no copy has too, and those that all of three pages or more have."""
+    size = lambda found: sum(len(page.lines[i]) for i in found if page.places[i] != CHROME)
+    total = size(range(len(page.lines)))
+    held: list[set[int]] = []
+    strangers = False
+    for k, other in enumerate(near):
         found, _ = common_lines(page.lines, other.lines)
-        if found and sum(len(page.lines[i]) for i in found if page.places[i] != CHROME) <= COPY * size:
-            shared = found  # a copy, or a page of another make, says nothing about furniture
+        if found:
+            held.append(found)
+        elif k < PARTNERS:  # a page of another make
+            strangers = True
+        if len(held) >= PARTNERS and min(map(size, held)) <= COPY * total:
             break
-    article = ARTICLE in page.places
+    if not held:
+        return set(), set()
+    template = min(held, key=size)
+    alike = sum(template <= found for found in held)
+    if size(template) > (MANY if alike >= 3 else COPY) * total:  # copies are all there is
+        return set(), set()
+    partners = [f for f in held if size(f - template) <= COPY * (total - size(template))]
+    return partners[0], set.intersection(*partners) if len(partners) >= 3 and not strangers else set()
+
+
+def main_text(page: Page, near: list[Page], difference: bool = True) -> str:
+    """The page's lines but for what it shares with pages near it, nearest first, and for page furniture."""
+    shared, everywhere = shared_lines(page, near) if difference else (set(), set())
+    own = [0, 0, 0]
+    for i, (line, place) in enumerate(zip(page.lines, page.places, strict=True)):
+        own[place] += len(line) if i not in shared else 0
+    article = ARTICLE in page.places and own[ARTICLE] >= own[OTHER]
+    alone = [i for i, place in enumerate(page.places) if place == ARTICLE and i not in shared]
+    inner = range(alone[0], alone[-1]) if alone else range(len(page.lines))
     kept = []
     for i, (line, place, link) in enumerate(zip(page.lines, page.places, page.links, strict=True)):
         if place == CHROME or article and place != ARTICLE:
             continue
-        if i in shared and (not article or link):
+        if i in shared and (place != ARTICLE or link or i in everywhere and i not in inner):
             continue
         kept.append(line)
     return "\n".join(kept)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _differenced(pages: Iterator[Page], difference: bool) -> Iterator[tuple[Page, str]]:
+    """Each of the pages of one block with its text; at most 2 * REACH + 1 pages are held."""
+    held: deque[Page] = deque()
+    done = 0  # of those held
+
+    def text(k: int) -> tuple[Page, str]:
+        page = held[k]
+        near = [(-nearness(page.path, held[j].path), abs(k - j), j) for j in range(max(0, k - REACH), min(len(held), k + REACH + 1)) if j != k and held[j].host == page.host]
+        return page, main_text(page, [held[j] for _, _, j in sorted(near)], difference)
+
+    for page in pages:
+        if held and held[-1].same(page):
+            held[-1].rows += page.rows
+            continue
+        held.append(page)
+        if len(held) - 1 - done > REACH:
+            yield text(done)
+            done += 1
+            if done > REACH:
+                held.popleft()
+                done -= 1
+    for k in range(done, len(held)):
+        yield text(k)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", difference: bool = True) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row; null html is empty and gives an empty text.
 
-    Null urls are one host without a path. Pages of equal url stand next to each other in order of id. No pages give no
-    rows; other columns are not read.
+    Null urls are one host without a path. Pages of equal url stand next to each other in order of id (null first) and
+    then of their html, and each of repeated rows has its row. Of neighbours that are equally near the earlier one
+    counts first. Pages of any length are taken whole: tags are scanned once whatever is left open, and alignment takes
+    memory in proportion to the lines. No pages give no rows; other columns are not read. Without ``difference`` the
+    markup alone decides.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    sample = common.bounded_sample(pages.select("page_id", "url"), SAMPLE, "page_id", "url").collect()  # at most SAMPLE urls
-    keys = sorted((*url_key(r["url"]), r["page_id"] or 0) for r in sample)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 4 * parts if len(keys) == SAMPLE else len(keys) // LEAST
-    bounds = keys[:: len(keys) // ranges][1:] if ranges > 1 else []
+    share = min(1 / BLOCK_PAGES, MOST_BLOCKS / max(1, pages.count()))
+    place = F.pmod(F.xxhash64(F.lit("html"), "page_id", "url"), F.lit(1 << 40))
+    bounds = pages.where(place < int(share * (1 << 40))).select("page_id", "url").distinct().collect()  # about MOST_BLOCKS rows at most
+    key = lambda url, page_id: (*url_key(url), page_id is not None, page_id or 0)
+    sent = spark.sparkContext.broadcast(sorted({key(r["url"], r["page_id"]) for r in bounds}))
     line_type = pa.struct([("line", pa.string()), ("place", pa.int8()), ("link", pa.bool_())])
+    names = ["block", "own", "page_id", "url", "host", "path", "lines"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids, urls = part.column(0).to_pylist(), part.column(1).to_pylist()
-                places = [url_key(u) for u in urls]
-                ranges = [bisect.bisect_right(bounds, (*k, i or 0)) for k, i in zip(places, ids, strict=True)]
-                found = [[{"line": x, "place": p, "link": a} for x, p, a in lines_of(h or "")] for h in part.column(2).to_pylist()]
-                yield pa.record_batch(
-                    [pa.array(ranges, pa.int32()), part.column(0), part.column(1), pa.array([k[0] for k in places], pa.string()), pa.array([k[1] for k in places], pa.string()), pa.array(found, pa.list_(line_type))],
-                    ["range", "page_id", "url", "host", "path", "lines"],
-                )
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 100):
+                rows = []
+                for i, u, h in zip(*(c.slice(at, 100).to_pylist() for c in batch.columns), strict=True):
+                    where = key(u, i)
+                    k = bisect_right(bounds, where)
+                    found = [{"line": x, "place": p, "link": a} for x, p, a in lines_of(h or "")]
+                    rows.append((k, True, i, u, where[0], where[1], found))
+                    if k and bounds[k - 1] == where:
+                        rows.append((k - 1, False, *rows[-1][2:]))
+                kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(line_type)]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read() -> Iterator[tuple[int, Page]]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    rows = r["lines"] or []
-                    yield r["range"], Page(r["page_id"], r["url"], r["host"], r["path"], [x["line"] for x in rows], [x["place"] for x in rows], [x["link"] for x in rows])
-
-        done: list[tuple[int, str, str]] = []
-
-        def batch() -> pa.RecordBatch:
-            columns = [[d[0] for d in done], [d[1] for d in done], [d[2] for d in done], [len(d[2]) for d in done]]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
-
-        before: tuple[int, Page] | None = None
-        page: tuple[int, Page] | None = None
-        for after in [None], read(), [None]:
-            for x in after:
-                if page is not None:
-                    left = before[1] if before and before[0] == page[0] else None
-                    right = x[1] if x and x[0] == page[0] else None
-                    done.append((page[1].page_id, page[1].url, main_text(page[1], left, right)))
-                    if len(done) >= 200:
-                        yield batch()
+                for at in range(0, batch.num_rows, 100):
+                    for r in batch.slice(at, 100).to_pylist():
+                        lines = r["lines"] or []
+                        page = Page(r["host"], r["path"], [x["line"] for x in lines], [x["place"] for x in lines], [x["link"] for x in lines])
+                        page.rows.append((r["page_id"], r["url"], r["own"]))
+                        yield r["block"], page
+
+        done: list[tuple[int | None, str | None, str, int]] = []
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+        out = lambda: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], ["page_id", "url", "text", "n_chars"])
+        size = 0
+        for _, block in groupby(read(), key=lambda x: x[0]):
+            for page, text in _differenced((p for _, p in block), difference):
+                for i, u, own in page.rows:
+                    if own:
+                        done.append((i, u, text, len(text)))
+                        size += len(text)
+                    if size > 1 << 22 or len(done) >= 1000:
+                        yield out()
                         done.clear()
-                before, page = page, x
+                        size = 0
         if done:
-            yield batch()
+            yield out()
 
     line = "array<struct<line: string, place: tinyint, link: boolean>>"
-    parsed = pages.mapInArrow(parse, f"range int, page_id bigint, url string, host string, path string, lines {line}")
-    ordered = parsed.repartition(parts, "range").sortWithinPartitions("range", "host", "path", "page_id")
-    return ordered.mapInArrow(difference, "page_id bigint, url string, text string, n_chars bigint")
+    parsed = pages.mapInArrow(parse, f"block int, own boolean, page_id bigint, url string, host string, path string, lines {line}")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*map(F.col, ("block", "host", "path", "page_id")), F.xxhash64("lines"), F.desc("own")]
+    ordered = parsed.repartition(parts, "block").sortWithinPartitions(*order)
+    return ordered.mapInArrow(common.released(run), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 import re
 import zlib
 
@@ -239,6 +240,66 @@ def test_articles_that_quote_each_other_stay_whole(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_shared_lines_inside_articles_go_only_where_all_neighbours_have_them(spark):
+    """A notice of the host goes, a quotation that two articles share stays, and so does the text beside a teaser card."""
+    def article(i):
+        quote = "<p>a quotation of both</p>" if i in (4, 5) else ""
+        return f"<main><p>Read our rules</p><h1>T{i}</h1><p>own text of {i}</p>{quote}<p>Log in to reply</p></main>"
+
+    rows = [(i, f"http://h/a/{i}", f"<body>{article(i)}</body>") for i in range(12)]
+    rows += [(20 + i, f"http://g/a/{i}", f"<body><div>Site</div><article><p>Teaser {i}</p></article><div>the main text of page {i}, much longer</div></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"T{i}\nown text of {i}" + ("\na quotation of both" if i in (4, 5) else "")
+    for i in range(6):
+        assert got[20 + i] == f"Teaser {i}\nthe main text of page {i}, much longer"
+
+
+def test_runs_of_copies_lose_the_template_and_stay_whole(spark):
+    body = "<body><div>Site head</div><div>Menu of the site</div>{}<div>Site foot</div></body>"
+    copy = "<p>a text that is told three times</p><p>with a second paragraph of it</p>"
+    texts = [f"<p>text {i} alone, told once</p><p>more of {i}</p>" for i in range(4)] + [copy] * 5 + [copy + "<p>and more</p>"] + [f"<p>text {i} alone, told once</p><p>more of {i}</p>" for i in range(10, 14)]
+    rows = [(i, f"http://h/a/{i}", body.format(t)) for i, t in enumerate(texts)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == t.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
+
+
+def test_text_does_not_depend_on_partitions(spark):
+    """Pages in pairs with head and foot of their own; ranges of pages begin anywhere."""
+    rows = [(i, f"http://h/a/{i}", f"<body><div>Head {i // 2}</div><p>text {i} of a page {'abc' * (i % 7)}</p><div>Foot {i // 2}</div></body>") for i in range(3000)]
+    rows += rows[:3] + [(1, "http://h/a/1", "<p>another text of one id and url</p>")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 4, 200, 1000):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(html_text.extract(frame.repartition(7) if n == 4 else frame).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == len(rows)
+    assert sum("Head" not in r["text"] for r in found[0]) > 2900
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for page_ in ("<a href=\"" * 100_000, "<!" * 100_000, "<a " * 100_000, "<a \"x>\" " * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<p><b>" * 50_000, "</" * 100_000, "<!--" * 50_000):
+        html_text.lines_of(page_)
+    html_text.common_lines(["x"] * 4000 + ["a"], ["x"] * 5000 + ["b"])
+    assert time.time() - began < 20
+
+
+def test_common_lines_in_halves(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(40))] for _ in range(2))
+        whole, _ = html_text.common_lines(a, b)
+        monkeypatch.setattr(html_text, "_CELLS", 8)
+        left, right = html_text.common_lines(a, b)
+        monkeypatch.undo()
+        assert len(whole) == len(left) and [a[i] for i in sorted(left)] == [b[j] for j in sorted(right)]
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------
 
 
