@@ -56,9 +56,14 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, and where they are written, for :func:`drop_scratch`."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def bounded_sample(df: DataFrame, n: int, *key: str) -> DataFrame:

@@ -576,6 +576,58 @@ def test_near_passages_with_a_line_that_the_leader_also_has_before(spark):
     assert found == {(2 * i, 2 * i + 1) for i in range(150)}
 
 
+def _edited(rng, words, n, kind):
+    out = list(words)
+    for k in range(n):
+        at = rng.randrange(2, len(out) - 2)
+        if kind == "insert":
+            out.insert(at, f"z{k}")
+        elif kind == "delete":
+            del out[at]
+        else:
+            out[at] = f"z{k}"
+    return out
+
+
+def _jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("contexts", [1, 12])
+def test_recall_of_near_passages_with_insertions(spark, contexts):
+    """Pairs of passages with a similarity of 0.8 or more by brute force; in the second case every line stands in 12 of them."""
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(8000)]
+    texts, pairs = [], set()
+    line = prose(rng, 24, vocabulary).split()
+    while len(pairs) < 240:
+        if contexts > 1 and len(pairs) % contexts == 0:
+            line = prose(rng, 24, vocabulary).split()
+        n = rng.choice([60, 80, 120])
+        passage = prose(rng, n, vocabulary).split()
+        if contexts > 1:
+            passage[18 : 18 + len(line)] = line
+        other = _edited(rng, passage, rng.choice([1, 1, 2]), rng.choice(["insert", "delete", "replace"]))
+        if _jaccard(passage, other) < 0.8 or len(other) < 50:
+            continue
+        pairs.add((len(texts), len(texts) + 1))
+        texts += [" ".join([prose(rng, 50, vocabulary), *p, prose(rng, 50, vocabulary)]) for p in (passage, other)]
+    got = substring.passages(frame(spark, texts)).collect()
+    found = {(r["match_id"], r["doc_id"]) for r in got}
+    assert len(found & pairs) >= 0.9 * len(pairs) and not found - pairs
+    for r in got:
+        a, b = texts[r["doc_id"]].split(), texts[r["match_id"]].split()
+        assert r["n_words"] >= 50 and r["similarity"] >= 0.8 and a[r["start_word"]] == b[r["match_word"]]
+
+
+def test_long_texts_have_windows_beyond_24_bits_of_places():
+    value = textops.mix64(np.arange(1, (1 << 24) + 4000, dtype=np.uint64))
+    value[: 1 << 24] |= np.uint64(1 << 63)
+    c, left, right = substring.windows(value, 46)
+    assert c.max() > 1 << 24 and (left <= c).all() and (c <= right).all() and right.max() == len(value) - 1
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------
 
 
