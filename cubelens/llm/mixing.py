@@ -4,14 +4,15 @@
 2. A source's documents are dealt by hash into blocks, about ``blocks`` in all, in proportion to the sources' sizes.
    A target of r times its source takes each block floor(r) times, then whole blocks in permuted order, and of the
    one block on the edge the documents in hash order up to the exact word (:func:`block_tickets`).
-3. Each take of a block is a ticket. A tree halves the shards again and again; at each node every ticket goes left
-   with the probability of drawing without replacement, so a node's counts by source are a multivariate
-   hypergeometric draw from its parent's and the quotas stay exact. A leaf's counts cut disjoint ranges from each
-   source's permuted tickets (:func:`split`).
-4. A shard's documents are put in hash order (:func:`mix`).
-
-All of it is DataFrame functions. What the tree and the tickets hold is bounded by ``blocks``, ``shards`` and the
-number of sources, not by the documents; Spark broadcasts them only where their stored size is below its threshold.
+3. Each take of a block is a ticket. A tree halves the shards again and again; at each node a share of its tickets goes
+   left that is drawn without replacement, so a node's counts by source are a multivariate hypergeometric draw from its
+   parent's and the quotas stay exact. A leaf's counts cut disjoint ranges from each source's permuted tickets
+   (:func:`split`).
+4. A shard's documents are put in hash order (:func:`mix`); a large shard is written in parts, ranges of that hash.
+
+All of it is DataFrame functions. Shards grow with the words to mix, ``SHARD`` words each, up to ``MOST`` shards; from
+there on the parts of a shard grow in number, so that no task grows with the input. The tree and the tickets are rows,
+a few for each block and source.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCKS, SHARDS, SEED = 512, 16, "mix"
+# words in a shard, the fewest and the most shards, blocks for each shard
+SHARD, LEAST, MOST, PER_SHARD, SEED = 1 << 22, 16, 4096, 32, "mix"
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -69,7 +71,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("src", "source", "source_size", "total", target.alias("target"))
 
 
-def block_tickets(sizes: DataFrame, per_source: DataFrame, blocks: int = BLOCKS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+def block_tickets(sizes: DataFrame, per_source: DataFrame, blocks: int = LEAST * PER_SHARD, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """Documents with their block (``row columns, src, n_blocks, block``), and one row for each block's take.
 
     A block has ``passes`` whole takes, and perhaps one more: ``extra`` "all", or "cut" for the block on the edge, of
@@ -98,68 +100,59 @@ def block_tickets(sizes: DataFrame, per_source: DataFrame, blocks: int = BLOCKS,
     return dealt, takes
 
 
-def split(tickets: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
+def sized(total: int) -> tuple[int, int, int]:
+    """(shards, blocks, parts of a shard) for so many words."""
+    shards = min(MOST, max(LEAST, -(-total // SHARD)))
+    return shards, PER_SHARD * shards, max(1, -(-total // (SHARD * shards)))
+
+
+def split(tickets: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
     """``src, rank, shard``: which shard gets each source's ticket of each rank, from rows of (src, rank)."""
-    root = tickets.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    root = root.agg(F.array_sort(F.collect_list(F.struct("src", "n"))).alias("counts")).where(F.size("counts") > 0)
-    node = root.select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "counts")
+    node = tickets.groupBy("src").agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "src", "n")
     widest = shards
     while widest > 1:
         node = _halved(node, seed)
         widest = (widest + 1) // 2
-    leaf = node.select(F.col("low").alias("shard"), F.explode("counts").alias("c")).select("shard", "c.src", "c.n")
-    after = F.sum("n").over(W.partitionBy("src").orderBy("shard"))
-    leaf = leaf.withColumn("last", after).where("n > 0")
+    after = F.sum("n").over(W.partitionBy("src").orderBy("low"))
+    leaf = node.select(F.col("low").alias("shard"), "src", "n", after.alias("last"))
     return leaf.select("src", "shard", F.explode(F.sequence(F.col("last") - F.col("n") + 1, F.col("last"))).alias("rank"))
 
 
 def _halved(node: DataFrame, seed: str) -> DataFrame:
-    """Each node of more than one shard becomes two; a ticket goes left with probability (left to fill) / (left to see)."""
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    """Each node of more than one shard becomes two: the tickets that come first by a draw go left, as many as its share of shards."""
+    each = node.select("low", "high", "src", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    both = W.partitionBy("low", "high")
+    each = each.withColumn("draw", _draw(F.lit(seed), F.lit("node"), F.col("low"), F.col("high"), F.col("src"), F.col("k")))
+    each = each.withColumns({"rank": F.row_number().over(both.orderBy("draw", "src", "k")), "total": F.count(F.lit(1)).over(both)})
     half = F.floor((F.col("high") - F.col("low")) / 2).cast("int")
-    node = node.select("low", "high", "counts", total.alias("total"), (F.col("low") + half).alias("middle"))
-    node = node.withColumn("fill", F.floor(F.col("total") * (F.col("middle") - F.col("low")) / (F.col("high") - F.col("low"))).cast("long"))
-
-    def source(acc: Column, c: Column) -> Column:
-        def ticket(k: Column, i: Column) -> Column:
-            seen = acc["seen"] + i - 1
-            u = F.pmod(F.xxhash64(F.lit(seed), F.col("low"), F.col("high"), seen), F.lit(1 << 40)) / F.lit(float(1 << 40))
-            return k + F.when(u * (F.col("total") - seen) < F.col("fill") - acc["taken"] - k, 1).otherwise(0)
-
-        each = F.when(c["n"] > 0, F.sequence(F.lit(1).cast("long"), c["n"])).otherwise(F.array().cast("array<bigint>"))
-        k = F.aggregate(each, F.lit(0).cast("long"), ticket)
-        return F.aggregate(
-            F.array(k), acc,
-            lambda a, n: F.struct((a["seen"] + c["n"]).alias("seen"), (a["taken"] + n).alias("taken"), F.concat(a["left"], F.array(F.struct(c["src"].alias("src"), n.alias("n")))).alias("left")),
-        )
+    each = each.withColumn("middle", F.col("low") + half)
+    left = F.col("rank") <= F.floor(F.col("total") * half / (F.col("high") - F.col("low")))
+    low = F.when(left | (half == 0), F.col("low")).otherwise(F.col("middle"))
+    high = F.when(left & (half > 0), F.col("middle")).otherwise(F.col("high"))
+    return each.select(low.alias("low"), high.alias("high"), "src").groupBy("low", "high", "src").agg(F.count(F.lit(1)).alias("n"))
 
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<struct<src:int,n:bigint>>").alias("left"))
-    node = node.withColumn("left", F.aggregate("counts", start, source)["left"])
-    right = F.zip_with("counts", "left", lambda c, x: F.struct(c["src"].alias("src"), (c["n"] - x["n"]).alias("n")))
-    one = F.struct("low", "middle", F.col("left").alias("counts")), F.struct(F.col("middle").alias("low"), F.col("high").alias("middle"), right.alias("counts"))
-    inner = F.when(F.col("high") - F.col("low") > 1, F.array(*one)).otherwise(F.array(F.struct("low", F.col("high").alias("middle"), "counts")))
-    return node.select(F.explode(inner).alias("x")).select("x.low", F.col("x.middle").alias("high"), "x.counts")
 
-
-def plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with block and hash but without texts, sources, tickets), each stored in the shared folder.
+def plan(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int, int]]:
+    """(documents with block and hash but without texts, sources, tickets; each stored in the shared folder; :func:`sized`).
 
     Tickets: ``src, block, copy, extra, edge, part_num, part_den, shard``; copy counts a block's takes from 0.
     Null sources are a source of their own, null texts have size 0; rows with the same id share a hash and hence a
-    block, and each counts. A source without words has target 0 and is not drawn. No documents: three empty tables.
+    block, and each counts. Sizes count whole texts of any length. A source without words has target 0 and is not
+    drawn. Other columns are not read. No documents: three empty tables.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _doc_hash(F.col(id_col), seed).alias("hash"))
     slim = common.stored(slim, "mix-sizes")
     per = common.stored(targets(slim), "mix-sources")
-    dealt, takes = block_tickets(slim, per, blocks, seed)
-    takes = common.stored(takes.coalesce(1), "mix-takes")
+    size = sized(per.agg(F.max("total")).first()[0] or 0)
+    dealt, takes = block_tickets(slim, per, size[1], seed)
+    takes = common.stored(takes, "mix-takes")
     copies = F.col("passes") + F.when(F.col("extra") == "none", 0).otherwise(1)
     each = takes.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     each = each.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(_draw(F.lit(seed), F.lit("ticket"), F.col("src"), F.col("block"), F.col("copy")), "block", "copy")).cast("long"))
-    tickets = each.join(split(each.select("src", "rank"), shards, seed), ["src", "rank"])
+    tickets = each.join(split(each.select("src", "rank"), size[0], seed), ["src", "rank"])
     last = (F.col("copy") == F.col("passes")) & (F.col("extra") == "cut")
     tickets = tickets.select("src", "block", "copy", last.alias("cut"), "edge", "part_num", "part_den", "shard")
-    return dealt, per, common.stored(tickets.coalesce(1), "mix-tickets")
+    return dealt, per, common.stored(tickets, "mix-tickets"), size
 
 
 def _words(size: Column, doc_hash: Column, t: str = "") -> Column:
@@ -169,43 +162,54 @@ def _words(size: Column, doc_hash: Column, t: str = "") -> Column:
     return F.when(F.col(f"{t}cut"), at_edge).otherwise(size)
 
 
-def mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents with all their columns, a row for each draw, by shard and in each shard in hash order.
 
-    The one document of a source that the target cuts keeps its first words, with single spaces between them.
+    The one document of a source that the target cuts keeps its first words, with single spaces between them. Rows that
+    are equal in id and copy stand next to each other in no set order. What :func:`plan` says of nulls, repeated rows,
+    long texts and empty tables holds; columns may have any names.
     """
-    _, per, tickets = plan(docs, blocks, shards, seed, id_col, text_col, source_col)
+    _, per, tickets, (shards, blocks, parts) = plan(docs, seed, id_col, text_col, source_col)
     count = F.greatest(F.lit(1), F.floor(F.lit(blocks) * F.col("source_size") / F.greatest(F.col("total"), F.lit(1)))).cast("long")
-    known = per.select(F.col("source").alias("_mix_source"), F.col("src").alias("_mix_src"), count.alias("_mix_blocks"))
-    names = {c: f"_mix_{c}" for c in tickets.columns}
-    tickets = tickets.withColumnsRenamed(names)
-    rows = docs.withColumn("_mix_hash", _doc_hash(F.col(id_col), seed)).join(known, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")))
-    rows = rows.withColumn("_mix_of", F.col("_mix_hash") % F.col("_mix_blocks")).withColumnRenamed("_mix_src", "_mix_in")
-    drawn = rows.join(tickets, (F.col("_mix_in") == F.col("_mix_src")) & (F.col("_mix_of") == F.col("_mix_block")))
-    touched = F.col("_mix_cut") & (F.col("_mix_hash") == F.col("_mix_edge"))
-    drawn = drawn.where(~F.col("_mix_cut") | (F.col("_mix_hash") <= F.col("_mix_edge")))
-    part = F.when(touched, _words(n_words(F.col(text_col)), F.col("_mix_hash"), "_mix_"))
-    held = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    known = per.select("source", "src", count.alias("n_blocks"))
+    # the row as one column, so that no name of its own meets one of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _doc_hash(F.col(id_col), seed).alias("hash"), F.col(source_col).cast("string").alias("of"))
+    rows = rows.join(known, F.col("of").eqNullSafe(F.col("source"))).withColumn("block", F.col("hash") % F.col("n_blocks"))
+    drawn = rows.select("row", "hash", "src", "block").join(tickets, ["src", "block"])
+    touched = F.col("cut") & (F.col("hash") == F.col("edge"))
+    drawn = drawn.where(~F.col("cut") | (F.col("hash") <= F.col("edge")))
+    text = F.col("row")[text_col]
+    part = F.when(touched, _words(n_words(text), F.col("hash")))
+    held = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(held, F.lit(1), F.greatest(part, F.lit(0)).cast("int")), " ")
-    drawn = drawn.where(~touched | (part > 0)).withColumn(text_col, F.when(touched, cut).otherwise(F.col(text_col)))
-    local = _draw(F.lit(seed), F.lit("local"), F.col("_mix_hash").cast("string"), F.col("_mix_copy").cast("string"))
-    drawn = drawn.withColumn("_mix_local", local).repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_local")
-    return drawn.select(*docs.columns)
+    values = [F.when(touched, cut).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    local = _draw(F.lit(seed), F.lit("local"), F.col("hash").cast("string"), F.col("copy").cast("string"))
+    drawn = drawn.where(~touched | (part > 0)).withColumns({"row": F.struct(*values), "local": local})
+    place = F.col("shard") * parts + F.floor(F.col("local") / F.lit((1 << 60) // parts + 1)).cast("int")
+    return drawn.repartitionById(shards * parts, place).sortWithinPartitions("shard", "local").select("row.*")
+
 
+def mixed_sizes(docs: DataFrame, seed: str = SEED, **columns: str) -> DataFrame:
+    """For each document: ``doc_id, size, source_size, target, taken, draws, n_shards, first_shard``.
 
-def mixed_sizes(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED, **columns: str) -> DataFrame:
-    """For each document: ``doc_id, size, source_size, target, taken, draws``."""
-    dealt, per, tickets = plan(docs, blocks, shards, seed, **columns)
+    The last two say in how many shards the tree has put it, and which comes first (null: in none).
+    """
+    dealt, per, tickets, _ = plan(docs, seed, **columns)
+    whole = F.when(~F.col("cut"), F.col("shard"))
     block = tickets.groupBy("src", "block").agg(
-        F.count_if(~F.col("cut")).alias("whole"), F.max("cut").alias("cut"),
-        F.max("edge").alias("edge"), F.max("part_num").alias("part_num"), F.max("part_den").alias("part_den"),
+        F.count(whole).alias("whole"), F.array_sort(F.collect_set(whole)).alias("shards"), F.max(F.when(F.col("cut"), F.col("shard"))).alias("cut_shard"),
+        F.max("cut").alias("cut"), F.max("edge").alias("edge"), F.max("part_num").alias("part_num"), F.max("part_den").alias("part_den"),
     )
-    block = common.stored(block.coalesce(1), "mix-blocks")
+    block = common.stored(block, "mix-blocks")
     rows = dealt.join(per.select("src", "source_size", "target"), "src").join(block, ["src", "block"], "left")
     edge = F.when(F.col("cut"), F.coalesce(_words(F.col("size"), F.col("hash")), F.lit(0))).otherwise(0)
     drawn = F.when(F.col("cut") & (edge > 0), 1).otherwise(0)
     whole = F.coalesce(F.col("whole"), F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", (whole * F.col("size") + edge).cast("long").alias("taken"), (whole + drawn).cast("long").alias("draws"))
+    held = F.when(drawn == 1, F.array_union("shards", F.array("cut_shard"))).otherwise(F.col("shards"))
+    return rows.select(
+        "doc_id", "size", "source_size", "target", (whole * F.col("size") + edge).cast("long").alias("taken"), (whole + drawn).cast("long").alias("draws"),
+        F.coalesce(F.size(held), F.lit(0)).cast("long").alias("n_shards"), F.array_min(held).cast("long").alias("first_shard"),
+    )
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +217,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH s AS (
+WITH RECURSIVE s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents
 ), p AS (
@@ -227,7 +231,8 @@ WITH s AS (
   SELECT *, (SELECT level FROM l AS x WHERE x.level <= x.ratio ORDER BY x.ratio, x.src LIMIT 1) AS final FROM l
 ), t AS (
   SELECT src, source, source_size, least((3 * source_size)::DOUBLE, coalesce(final * weight::DOUBLE, (3 * source_size)::DOUBLE)) AS target,
-         greatest(1, floor(512 * source_size / greatest(total, 1)))::BIGINT AS n_blocks FROM f
+         greatest(1, floor(32 * shards * source_size / greatest(total, 1)))::BIGINT AS n_blocks, shards
+  FROM (SELECT *, least(4096, greatest(16, -(-total // 4194304)))::BIGINT AS shards FROM f)
 ), u AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t
 ), v AS (
@@ -246,13 +251,33 @@ WITH s AS (
   SELECT *, coalesce(sum(words) OVER (PARTITION BY src, block ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM e
 ), h AS (
   SELECT src, block, hash AS edge, words_left - before AS num, words AS den FROM g WHERE before <= words_left AND before + words > words_left
+), tickets AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY ('0x' || substr(md5('mix|ticket|' || src || '|' || block || '|' || copy), 1, 15))::BIGINT, block, copy) AS rank FROM (
+    SELECT src, block, passes, extra, shards, unnest(range(passes + CASE WHEN extra = 'none' THEN 0 ELSE 1 END)) AS copy FROM (
+      SELECT DISTINCT src, block, passes, shards, CASE WHEN c.rest > 0 AND words_left >= words THEN 'all' WHEN words_left > 0 THEN 'cut' ELSE 'none' END AS extra
+      FROM c JOIN v USING (src)))
+), tree AS (
+  SELECT 0::BIGINT AS low, shards AS high, src, rank AS k FROM tickets
+  UNION ALL
+  SELECT low, high, src, row_number() OVER (PARTITION BY low, high, src ORDER BY place) AS k FROM (
+    SELECT src, place, CASE WHEN place <= fill THEN low ELSE middle END AS low, CASE WHEN place <= fill THEN middle ELSE high END AS high FROM (
+      SELECT *, low + (high - low) // 2 AS middle, count(*) OVER (PARTITION BY low, high) * ((high - low) // 2) // (high - low) AS fill,
+             row_number() OVER (PARTITION BY low, high ORDER BY ('0x' || substr(md5('mix|node|' || low || '|' || high || '|' || src || '|' || k), 1, 15))::BIGINT, src, k) AS place
+      FROM tree WHERE high - low > 1))
+), leaf AS (
+  SELECT src, low AS shard, row_number() OVER (PARTITION BY src ORDER BY low, k) AS rank FROM tree WHERE high - low = 1
+), held AS (
+  SELECT t.src, t.block, list(DISTINCT leaf.shard) FILTER (WHERE NOT (t.copy = t.passes AND t.extra = 'cut')) AS whole,
+         max(leaf.shard) FILTER (WHERE t.copy = t.passes AND t.extra = 'cut') AS cut FROM tickets t JOIN leaf USING (src, rank) GROUP BY t.src, t.block
 ), o AS (
-  SELECT d.doc_id, d.size, d.source_size, d.target, d.passes, c.rest, c.words_left, c.words,
+  SELECT d.src, d.block, d.doc_id, d.size, d.source_size, d.target, d.passes, c.rest, c.words_left, c.words,
          CASE WHEN c.words_left > 0 AND c.words_left < c.words THEN
            CASE WHEN d.hash < h.edge THEN d.size WHEN d.hash = h.edge THEN floor(h.num * d.size / h.den)::BIGINT ELSE 0 END ELSE 0 END AS part,
          CASE WHEN c.rest > 0 AND c.words_left >= c.words THEN 1 ELSE 0 END AS extra
   FROM d JOIN c USING (src, block) LEFT JOIN h USING (src, block)
 )
 SELECT doc_id, size, source_size, target, ((passes + extra) * size + part)::BIGINT AS taken,
-       (passes + extra + CASE WHEN part > 0 THEN 1 ELSE 0 END)::BIGINT AS draws FROM o
+       (passes + extra + CASE WHEN part > 0 THEN 1 ELSE 0 END)::BIGINT AS draws,
+       len(shards)::BIGINT AS n_shards, list_min(shards) AS first_shard
+FROM (SELECT o.*, list_distinct(list_concat(coalesce(held.whole, []), CASE WHEN part > 0 THEN [held.cut] ELSE [] END)) AS shards FROM o LEFT JOIN held USING (src, block))
 """

@@ -357,6 +357,26 @@ def test_mixing_of_nothing(spark):
     assert all(r["target"] == 0 and r["taken"] == 0 for r in mixing.mixed_sizes(blank).collect())
 
 
+def test_mixing_with_names_that_clash_and_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 200)
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randrange(1, 30)), f"s{i % 90}", "h", i, "c") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, hash string, block int, `row` string")
+    drawn = mixing.mix(docs)
+    assert drawn.columns == docs.columns and mixing.sized(10_000)[0] == 50 == drawn.rdd.getNumPartitions() * 50 // mixing.sized(sum(len(r[1].split()) for r in rows))[0]
+    times: dict = {}
+    for r in drawn.collect():
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    for r in mixing.mixed_sizes(docs).collect():
+        assert r["draws"] == times.get(r["doc_id"], 0) and (r["first_shard"] is None) == (r["draws"] == 0) and r["n_shards"] <= r["draws"]
+
+
+def test_shards_grow_with_the_words():
+    assert mixing.sized(0) == (16, 512, 1) and mixing.sized(10**9)[0] == 239
+    shards, blocks, parts = mixing.sized(16 * 10**12)  # a hundred terabytes
+    assert shards == 4096 and blocks == 131072 and parts * shards * mixing.SHARD >= 16 * 10**12
+
+
 # ---- 6 ------------------------------------------------------------------------------------------------------------
 
 
