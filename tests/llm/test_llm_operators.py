@@ -445,6 +445,23 @@ def test_exact_dedup_of_one_file_repeats_null_ids_and_nothing(spark, tmp_path):
     assert exact_dedup.dedup(spark, f"{tmp_path}/none.parquet").count() == 0
 
 
+def test_exact_dedup_keeps_its_state_for_later_files(spark, tmp_path, monkeypatch):
+    """A second run reads the new files alone and meets what the first has seen; beyond the bound hits are shuffled."""
+    rows = [(i, t) for i, t in enumerate(["a b", "c", "ab", "d" * 50_000])]
+    more = [(i + 10, t) for i, t in enumerate(["a  b", "c", "e", None, "d" * 50_000])]
+    path, state = f"{tmp_path}/d.parquet", f"{tmp_path}/state"
+    schema = "doc_id bigint, text string, _metadata string"
+    spark.createDataFrame([(*r, "x") for r in rows], schema).write.parquet(path)
+    assert exact_dedup.dedup(spark, path, state_dir=state).count() == 4
+    spark.createDataFrame([(*r, "x") for r in more], schema).write.mode("append").parquet(path)
+    monkeypatch.setattr(exact_dedup, "MOST_SENT", 0)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["text_sha256"]) for r in exact_dedup.dedup(spark, path, state_dir=state).collect()}
+    assert got == _dedup(rows + more)
+    batches = spark.read.parquet(f"{state}/batches")
+    assert batches.where("batch = 1").count() == 5 and batches.where("batch = 0").count() == 3
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != exact_dedup.ROCKSDB
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 
