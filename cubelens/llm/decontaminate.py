@@ -5,12 +5,16 @@ still shares a hash with the original. The benchmark's masked hashes are looked
 around a hit the two texts are laid on each other without gaps, and the longest stretch in which at least ``SIMILAR``
 of the words agree is an overlap if it has ``LEAST`` words, or as many as the item has.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. The benchmark is taken in blocks of at
-most ``BLOCK`` words, which bounds what is sent to the executors; the documents are read once for each block.
+An item that is shorter than the shortest mask is looked up by the hash of all its words.
+
+Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z; ideographs and kana are words of their
+own. The benchmark is taken in blocks of at most ``BLOCK`` bytes, or of one item if it is longer, which bounds what is
+sent to the executors; the documents are read once for each block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +26,8 @@ from . import common, textops
 
 # Masks of weight 5 and 6.
 MASKS = ("1101101", "11100101", "1011011", "1100100101", "110111")
-LEAST, SIMILAR, BLOCK = 13, 0.8, 1_000_000
-_FILTER_BITS = 22
+LEAST, SIMILAR, BLOCK = 13, 0.8, 6_000_000
+_FILTER_BITS, _PAIRS = 22, 1 << 20
 
 
 def seed_hashes(words: np.ndarray, mask: str, at: np.ndarray | None = None) -> np.ndarray:
@@ -37,26 +41,35 @@ def seed_hashes(words: np.ndarray, mask: str, at: np.ndarray | None = None) -> n
 
 
 class Seeds:
-    """One block of the benchmark: words end to end, and its masked hashes in order with their places."""
+    """One block of the benchmark: words end to end, and its masked hashes in order with their places; equal texts once."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        raw, at = common.text_bytes(pa.array([t for _, t in items], pa.string()))
-        start, end, self.first = textops.words(raw, at)
+        self.ids: list[list[int]] = []
+        texts: dict[str, int] = {}
+        for i, t in items:
+            if t not in texts:
+                texts[t] = len(self.ids)
+                self.ids.append([])
+            self.ids[texts[t]].append(i)
+        raw, at = common.text_bytes(pa.array(list(texts), pa.string()))
+        start, end, self.first = textops.words(raw, at, ideographs=True)
         self.words = textops.word_hashes(raw, start, end)
-        self.ids = [i for i, _ in items]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.words >> np.uint64(64 - _FILTER_BITS)] = True
         self.masks: list[tuple[str, np.ndarray, np.ndarray]] = []
-        for mask in MASKS:
-            places = np.concatenate([np.arange(a, max(a, b - len(mask) + 1)) for a, b in zip(self.first[:-1], self.first[1:], strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+        shortest = min(map(len, MASKS))
+        for mask in (*MASKS, *("1" * n for n in range(1, shortest))):
+            whole = len(mask) < shortest  # of items of so many words alone
+            spans = [np.arange(a, max(a, b - len(mask) + 1)) for a, b in zip(self.first[:-1], self.first[1:], strict=True) if not whole or b - a == len(mask)]
+            places = np.concatenate(spans or [np.zeros(0, np.int64)]).astype(np.int64)
+            if not len(places):
+                continue
             hashes = seed_hashes(self.words, mask, places)
             order = np.argsort(hashes, kind="stable")
             self.masks.append((mask, hashes[order], places[order]))
 
-    def overlaps(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, first word in the text, words, of them equal, first word in the item), the best of each text and item."""
-        if not len(words) or not len(self.words):
-            return []
+    def shifts(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, shift) of all hits of the masks; a bounded number of hits is held at once."""
         inside = self.filter[words >> np.uint64(64 - _FILTER_BITS)]
         pairs: set[tuple[int, int, int]] = set()
         for mask, hashes, places in self.masks:
@@ -71,13 +84,26 @@ class Seeds:
             got = seed_hashes(words, mask, at)
             low, high = np.searchsorted(hashes, got, "left"), np.searchsorted(hashes, got, "right")
             hit = np.flatnonzero(high > low)
-            text = np.searchsorted(first, at[hit], "right") - 1
-            for t, place, a, b in zip(text.tolist(), at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-                for where in places[a:b].tolist():
-                    item = int(np.searchsorted(self.first, where, "right")) - 1
-                    pairs.add((t, item, (place - int(first[t])) - (where - int(self.first[item]))))
+            ends = np.cumsum(high[hit] - low[hit])
+            k = 0
+            while k < len(hit):
+                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + _PAIRS, "right")))
+                some, count = hit[k:stop], (high - low)[hit[k:stop]]
+                where = places[np.repeat(low[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+                place = np.repeat(at[some], count)
+                text = np.searchsorted(first, place, "right") - 1
+                item = np.searchsorted(self.first, where, "right") - 1
+                found = np.unique(np.stack([text, item, (place - first[text]) - (where - self.first[item])], axis=1), axis=0)
+                pairs.update(map(tuple, found.tolist()))
+                k = stop
+        return sorted(pairs)
+
+    def overlaps(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item id, first word in the text, words, of them equal, first word in the item), the best of each text and item."""
+        if not len(words) or not len(self.words):
+            return []
         best: dict[tuple[int, int], tuple[int, int, int, int, int, int]] = {}
-        for t, item, shift in pairs:
+        for t, item, shift in self.shifts(words, first):
             a, b = int(first[t]), int(first[t + 1])
             p, q = int(self.first[item]), int(self.first[item + 1])
             low, high = max(0, -shift), min(q - p, b - a - shift)
@@ -88,7 +114,7 @@ class Seeds:
             s, n = longest(same, SIMILAR)
             if n >= need and ((t, item) not in best or n > best[t, item][3]):
                 best[t, item] = (t, item, low + shift + s, n, int(same[s : s + n].sum()), low + s)
-        return list(best.values())
+        return [(t, i, *rest) for t, item, *rest in best.values() for i in self.ids[item]]
 
 
 def longest(same: np.ndarray, share: float) -> tuple[int, int]:
@@ -104,12 +130,23 @@ def longest(same: np.ndarray, share: float) -> tuple[int, int]:
     return int(begin[end]), int(sizes[end])
 
 
+_HELD: dict[str, Seeds] = {}
+
+
+def _seeds(key: str, items: list[tuple[int, str]]) -> Seeds:
+    """The block's seeds, built once in a Python worker."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Seeds(items)
+    return _HELD[key]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items, a block of bounded size at a time; empty ones can't be found and are left out."""
     held: list[tuple[int, str]] = []
     size = 0
     for r in benchmark.where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        n = r["text"].count(" ") + 1
+        n = len(r["text"].encode("utf-8", "replace"))
         if held and size + n > BLOCK:
             yield held
             held, size = [], 0
@@ -123,28 +160,30 @@ def _found(seeds: Seeds, column: pa.Array) -> Iterator[tuple[int, list[tuple[int
     raw, at = common.text_bytes(column)
     for a, b in common.slices(at, 1 << 20):
         part, offsets = raw[at[a] : at[b]], at[a : b + 1] - at[a]
-        start, end, first = textops.words(part, offsets)
+        start, end, first = textops.words(part, offsets, ideographs=True)
         yield a, seeds.overlaps(textops.word_hashes(part, start, end), first)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, start_word, n_words, n_equal, similarity, item_word`` of every document and item that overlap.
 
-    Null or empty texts have no overlaps, rows of one id each their own; an item shorter than the shortest mask is never
-    found. An empty benchmark or no documents give no rows; other columns are not read.
+    Of the overlaps of one text and item the longest counts, of equally long ones the one with the least shift. An item
+    of fewer than ``LEAST`` words is found as a whole, one shorter than the shortest mask word by word. Null or empty
+    texts have no overlaps; each of repeated rows or items has its own; texts of any length are read whole. An empty
+    benchmark or no documents give no rows; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_equal bigint, similarity double, item_word bigint"
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
+        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent: object = sent, key: str = key) -> Iterator[pa.RecordBatch]:
+            seeds = _seeds(key, sent.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[a + t], seeds.ids[item], s, n, same, same / n, p) for a, got in _found(seeds, batch.column(1)) for t, item, s, n, same, p in sorted(got)]
+                rows = [(ids[a + t], item, s, n, same, same / n, p) for a, got in _found(seeds, batch.column(1)) for t, item, s, n, same, p in sorted(got)]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
                 kinds = [*[pa.int64()] * 5, pa.float64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "n_equal", "similarity", "item_word"])
@@ -154,16 +193,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without an overlap, with all their columns."""
+    """The rows of ``docs`` without an overlap, with all their columns, whatever their names.
+
+    Null and empty texts stay, and so do all of repeated rows without an overlap; what :func:`overlaps` says holds.
+    """
     spark, kind, at = docs.sparkSession, docs.schema, docs.columns.index(text_col)
     for block in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
+        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent: object = sent, key: str = key) -> Iterator[pa.RecordBatch]:
+            seeds = _seeds(key, sent.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for a, got in _found(seeds, batch.column(at)):
+                for a, got in _found(seeds, batch.column(at).cast(pa.string())):
                     keep[[a + g[0] for g in got]] = False
                 yield batch.filter(pa.array(keep))
 

@@ -36,10 +36,11 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ALNUM, ideographs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte ranges of the words of all texts, and for each text the number of words before it.
 
-    A word is a longest run of bytes that ``inside`` has; none crosses from one text to the next.
+    A word is a longest run of bytes that ``inside`` has; none crosses from one text to the next. With ``ideographs``
+    each character from U+3000 to U+9FFF, of scripts that are written without spaces, is a word of its own.
     """
     n = len(raw)
     if n == 0:
@@ -48,6 +49,13 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ALNUM) -> t
     opens, closes = mask.copy(), mask.copy()
     opens[1:] &= ~mask[:-1]
     closes[:-1] &= ~mask[1:]
+    if ideographs:
+        lead = np.flatnonzero((raw >= 0xE3) & (raw <= 0xE9))
+        opens[lead] = True
+        closes[np.minimum(lead + 2, n - 1)] = True
+        closes[lead[lead > 0] - 1] |= mask[lead[lead > 0] - 1]
+        behind = lead[lead + 3 < n] + 3
+        opens[behind] |= mask[behind]
     edge = offsets[1:-1]
     edge = edge[(edge > 0) & (edge < n)]
     opens[edge] |= mask[edge]
