@@ -123,11 +123,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes of text, one row at least: bounds what numpy holds at once."""
+def slices(offsets: np.ndarray, most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes of text and ``rows`` rows, one row at least: bounds what numpy holds at once."""
     start, n = 0, len(offsets) - 1
     while start < n:
         stop = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-        stop = min(max(stop, start + 1), n)
+        stop = min(max(stop, start + 1), n, start + rows)
         yield start, stop
         start = stop

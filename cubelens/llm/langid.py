@@ -5,8 +5,8 @@ byte n-grams says which side a text is on. Decoding is loss-weighted: a language
 logistic loss of the bit's margin against its codeword, weighted by how often that classifier is right on that
 language; the nearest language wins, and a text is ambiguous where the second is almost as near.
 
-The classifiers are fitted on a bounded sample: about ``PER_LANGUAGE`` training rows of each language, those first by
-a hash of the id. Features use the whole text: square roots of the shares of its byte pairs and triples, A-Z as a-z and
+The classifiers are fitted on a bounded sample: of the ``MOST`` languages with most training rows about ``PER_LANGUAGE``
+rows each, those first by a hash of the id, and about ``ROWS`` in all. Features use the whole text: square roots of the shares of its byte pairs and triples, A-Z as a-z and
 other ASCII that is no letter as spaces, in ``BUCKETS`` hashed buckets.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common, textops
 
-BUCKETS, PER_LANGUAGE, STEPS, MARGIN = 4096, 700, 250, 0.2
+BUCKETS, PER_LANGUAGE, ROWS, MOST, STEPS, MARGIN = 4096, 700, 20_000, 256, 250, 0.2
 
 _FOLD = textops.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -70,7 +70,7 @@ def codewords(n: int) -> np.ndarray:
     rng, bits, best = np.random.default_rng(0), 12 * int(np.ceil(np.log2(n))), None
     for _ in range(200):
         code = rng.choice(np.array([1, -1], np.float32), (n, bits))
-        least = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        least = int((bits - (code @ code.T - 2 * bits * np.eye(n)).max()) / 2)  # the least distance of two
         if best is None or least > best[0]:
             best = (least, code)
     return best[1]
@@ -121,22 +121,25 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
     return Model(languages, code, w, b, trust.astype(np.float32))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model of the languages in rows of (doc_id, text, lang); None where no row has a language and a text."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> Model | None:
+    """A model of the languages in rows of (doc_id, text, lang); None where no row has a language and a text.
+
+    Of languages with equally many rows those first by name count; rows that share an id are drawn or not together;
+    empty texts count as rows of their language; long ones are read whole. Other columns are not read.
+    """
     docs = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not counts:
+    counted = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not counted:
         return None
-    languages = sorted(counts)
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / counts[lang])).otherwise(share)
+    per_language = min(per_language, max(1, ROWS // len(counted)))
+    shares = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, per_language / r["n"]))])
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = common.text_bytes(batch.column(0))
-            for a, z in common.slices(offsets, 1 << 20):
+            for a, z in common.slices(offsets, 1 << 20, 1000):
                 x = features(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]).astype(np.float16)
                 yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, z - a)], ["x", "lang"])
 
@@ -153,14 +156,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, ambiguous`` of each row, from its whole text alone.
 
-    ``und`` with score 0 where the text is null or has no letter, or there is no model.
+    ``und`` with score 0 where the text is null or has no letter, or there is no model. Of languages that are equally
+    near the first by name counts. Each of repeated rows has its row; texts of any length are read whole. No documents
+    give no rows; other columns are not read, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = common.text_bytes(batch.column(1))
-            for a, z in common.slices(offsets, 1 << 20):
+            for a, z in common.slices(offsets, 1 << 20, 1000):
                 part, at = raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
                 known = has_letter(part, at) & (model is not None)
                 names, score, close = ["und"] * (z - a), np.zeros(z - a), np.zeros(z - a, bool)
@@ -180,4 +185,4 @@ def held_out(doc_id: Column) -> Column:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = predict(docs, train(docs.where(~held_out(F.col("doc_id")))))
-    return found.withColumn("held_out", held_out(F.col("doc_id")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
