@@ -264,7 +264,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, fp, component_id`` of each row; the component is named by the smallest id in it.
 
     Null texts count as empty, whose fingerprint is zero; repeated rows share a fingerprint and so a component; a null
-    id joins a component but never names it. No documents give no rows; other columns are not read.
+    id joins a component but never names it. A bit set in just half of the shingles is 0; texts of any length count
+    whole. No documents give no rows; other columns are not read, whatever their names.
     """
     rows = common.stored(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
@@ -281,17 +282,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with its smallest id, with all columns; of repeated rows with that id one.
+    """Of each component the row with its smallest id, with all columns, whatever their names; of repeated rows with that id one.
 
     The rows are joined with the ids that go, which are far fewer than those that stay. A row without an id can't stand
-    for others and stays.
+    for others and stays. What :func:`near_groups` says of nulls, long texts and empty tables holds.
     """
     found = near_groups(docs, id_col, text_col).where("doc_id is not null")
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("n"))
     ids = common.stored(ids.where("not kept or n > 1"), "simhash-ids")
-    gone, repeated = ids.where("not kept").select("_id"), ids.where("kept").select("_id")
-    out = docs.join(common.stored(gone, "simhash-gone"), F.col(id_col) == F.col("_id"), "left_anti")
+    name = "gone"  # of the joined column: none of the documents' own
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"{name}_"
+    among = F.col(id_col).cast("long") == F.col(name)
+    gone, repeated = (common.stored(ids.where(test).select(F.col("doc_id").alias(name)), "simhash-gone") for test in ("not kept", "kept"))
+    out = docs.join(gone, among, "left_anti")
     if repeated.isEmpty():
         return out
-    once = docs.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return out.join(repeated, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)
+    once = docs.join(repeated, among, "left_semi").dropDuplicates([id_col])
+    return out.join(repeated, among, "left_anti").unionByName(once)
