@@ -219,8 +219,9 @@ def train_dictionary(spark: SparkSession, docs: DataFrame, tokenizer: str, width
 def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every document of ``docs`` and write the files at ``path``; width 2 holds vocabularies below 65,536.
 
-    Ascending id order, null ids first, rows of one id by text; null texts are empty ones and give the end id alone.
-    No documents: files without rows.
+    Ascending id order, null ids first, rows of one id by a hash of their text and then the text; null texts are empty
+    ones and give the end id alone. Texts of any length are encoded whole; other columns are not read, whatever their
+    names. No documents: files without rows.
     """
     import zstandard
 
@@ -228,7 +229,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", widt
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dictionary = train_dictionary(spark, docs, tokenizer, width)
     dict_id = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
-    schema = "shard int, segment int, width int, dict_id string, first bigint, payload binary, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<bigint>"
+    schema = "shard int, segment int, width int, dict_id string, first bigint, low_id bigint, high_id bigint, payload binary, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<bigint>"
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -242,9 +243,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", widt
         size, first, segment = 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            cells = [[shard], [segment], [width], [dict_id], [first], [b"".join(frames)], [doc_ids], [np.cumsum([len(f) for f in frames]).tolist()], [counts]]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["shard", "segment", "width", "dict_id", "first", "payload", "doc_ids", "offsets", "n_tokens"])
+            cells = [[shard], [segment], [width], [dict_id], [first], [next((d for d in doc_ids if d is not None), None)], [doc_ids[-1]], [b"".join(frames)], [doc_ids], [np.cumsum([len(f) for f in frames]).tolist()], [counts]]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 3, pa.binary(), *[pa.list_(pa.int64())] * 3]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["shard", "segment", "width", "dict_id", "first", "low_id", "high_id", "payload", "doc_ids", "offsets", "n_tokens"])
 
         for doc_id, ids in encoded(batches, tokenizer):
             if len(ids) and int(ids.max()) >= 1 << (8 * width):
@@ -261,7 +262,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", widt
             yield row()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
     ordered.mapInArrow(common.released(segments), schema).write.option("compression", "uncompressed").parquet(f"{path}/segments")
     done = spark.read.parquet(f"{path}/segments").select("shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     totals = sorted((r["shard"], r["n"]) for r in done.groupBy("shard").agg(F.sum("n").alias("n")).collect())  # a row for each partition
@@ -315,7 +316,8 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray:
     """Ids of one document: its segment alone is read, and in it one frame decompressed."""
     import zstandard
 
-    found = spark.read.parquet(f"{path}/segments").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).limit(1).collect()
+    within = (F.col("low_id") <= doc_id) & (F.col("high_id") >= doc_id)  # pushed down to the files' statistics
+    found = spark.read.parquet(f"{path}/segments").where(within & F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).limit(1).collect()
     if not found:
         raise KeyError(doc_id)
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
