@@ -405,6 +405,63 @@ def test_every_license_of_a_document_is_found(spark):
     assert {x for x, _, _ in license_scan.TEMPLATES} <= got[0] and got[1] == {"mit", "apache-2.0"}
 
 
+BASE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d
+), w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM l
+), n AS (
+  SELECT doc_id, w, i, lead(w, 1) OVER (PARTITION BY doc_id ORDER BY i) AS w1, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w2 FROM w
+), p AS (
+  SELECT doc_id, i, CASE WHEN w = 'cc' AND w1 = 'by' THEN 'cc-by' WHEN w = 'general' AND w1 = 'public' AND w2 = 'license' THEN 'gpl'
+                         WHEN w = 'all' AND w1 = 'rights' AND w2 = 'reserved' THEN 'reserved' END AS label FROM n
+)
+SELECT d.doc_id, count(p.i)::BIGINT, count(p.label)::BIGINT, min(p.i) FILTER (WHERE p.label IS NOT NULL), max(p.i) FILTER (WHERE p.label IS NOT NULL),
+       coalesce(array_to_string(list_sort(list(DISTINCT p.label) FILTER (WHERE p.label IS NOT NULL)), ','), '') FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def test_license_base_columns_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(31)
+    parts = ["cc", "BY", "by", "all", "rights", "Reserved", "general", "public", "license", "mit", "\n", "é", "-", "CC-BY"]
+    texts = [*EDGES[:7], *(" ".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(300))]
+    d = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    want = sorted(duckdb.connect().execute(BASE_SQL).fetchall())
+    got = license_scan.scan_documents(frame(spark, texts)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_one_to_five_licenses_in_a_text_are_all_found(spark):
+    """Planted templates, some with a word put in, against the labels planted and against a comparison of every place."""
+    rng = random.Random(32)
+    texts, planted = [], []
+    for i in range(400):
+        chosen = rng.sample(license_scan.TEMPLATES, 1 + i % 5)
+        parts = []
+        for _, t, _ in chosen:
+            parts += [prose(rng, rng.randrange(0, 40), WORDS + ["license", "software", "version", "2", "copyright"]), t.upper() if rng.random() < 0.3 else t]
+        texts.append(".\n".join([*parts, prose(rng, rng.randrange(5), WORDS)]))
+        planted.append({x for x, _, _ in chosen})
+    got = license_scan.scan_documents(frame(spark, texts)).orderBy("doc_id").collect()
+    for r, want in zip(got, planted, strict=True):
+        assert want <= set(r["labels"].split(","))
+    index = license_scan.Index(license_scan.TEMPLATES, {w.encode(): float(len(w)) for w in WORDS})
+    for text in texts[:40] + ["license " * 50, "2 0 " * 30 + "licensed under cc by 4 0"]:
+        got = license_scan.words(text)
+        at = {w: [i for i, x in enumerate(got) if x == w] for w in set(got)}
+        assert index.find(got, at) == index.everywhere(got)
+
+
+def test_licenses_with_other_wording_are_not_mixed_up(spark):
+    texts = [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "the software is not licensed; ask the general public for version 3", "clean text about software and rights",
+    ]
+    got = [r["labels"] for r in license_scan.scan_documents(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["gpl,lgpl", "", ""]
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------------
 
 
