@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A clause's words become symbols: I insult, T threat, Y target, N negation, R reported speech, O other. Six small
-transducers over them are composed into one machine (:func:`grammar`): insult and threat give weights to their words;
-target raises what stands within reach of a target word; negation and reported speech lower what they govern. Running
-the machine over a clause gives the events of the clause with their weights; a text's score is a logistic function of
-what its matched clauses add up to.
+A clause's words become symbols: I insult, G what strengthens one, T threat, M intent, Y target, N negation, R reported
+speech, O other. Six small transducers over them (:func:`machines`) are composed into one (:func:`grammar`): the insult
+machine raises an insult after G, the threat machine halves a threat without M before it; reported speech and negation lower what they
+govern; two target machines raise what stands within reach behind or before a target word. Running the machine over a
+clause gives the events of the clause with their weights; a text's score is a logistic function of what its matched
+clauses add up to.
 
 The insult lexicon is a fixed list and what is learned from labels: words and word beginnings that mark toxic rows and
 stand in next to no clean one, chosen greedily by how many still unexplained toxic rows they explain. Stems and
@@ -18,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,18 @@ from . import common
 
 PER_CLASS, LEAST, MOST_STEMS = 6000, 4, 200
 
-# The seed lexicon by symbol; * ends a word beginning.
+# The seed lexicon by symbol, in English, German, French and Spanish.
 LEXICON = {
-    "I": "idiot idiots moron morons stupid clown clowns loser losers scum trash pathetic worthless disgusting imbecile dumbass scumbag vermin filth".split(),
-    "T": "kill hurt destroy murder strangle".split(),
-    "Y": "you your yours he him she her they them their people du dich sie tu vous te ils usted ellos".split(),
-    "N": "not never no isn't aren't wasn't don't nicht kein keine pas jamais nunca".split(),
-    "R": "said says wrote writes claimed called quoted allegedly sagte dit dijo".split(),
+    "I": """idiot idiots moron morons stupid clown clowns loser losers scum trash pathetic worthless disgusting imbecile dumbass scumbag vermin filth
+        trottel dummkopf versager abschaum arschloch idioten erbärmlich widerlich wertlos
+        idiote imbécile crétin connard ordure minable débile
+        idiota imbécil estúpido estúpida basura escoria patético payaso""".split(),
+    "G": "very total complete utter absolute fucking bloody sehr total völlig vraiment complètement muy totalmente tan".split(),
+    "T": "kill hurt destroy murder strangle stab töten umbringen verletzen vernichten erwürgen tuer détruire étrangler matar destruir estrangular".split(),
+    "M": "will gonna going shall i'll we'll werde werden vais allons voy vamos".split(),
+    "Y": "you your yours he him she her they them their people du dich dir sie euch tu toi vous te ils usted ustedes ellos".split(),
+    "N": "not never no isn't aren't wasn't don't won't nicht nie niemals kein keine pas jamais aucun nunca jamás".split(),
+    "R": "said says wrote writes claimed called quoted allegedly sagte schrieb behauptete nannte dit écrit affirme dijo escribió afirma llamó".split(),
 }
 EVENTS = ("insult", "aimed_insult", "negated_insult", "reported_insult", "threat", "aimed_threat")
 PRIOR = np.array([5.5, 6.0, 1.0, 1.0, 0.5, 4.0])
@@ -92,25 +99,31 @@ def _answered(openers: dict[str, tuple[str, float]], symbols: str, reach: int) -
     return Transducer(arcs)
 
 
-SYMBOLS = "ITYNRO" + "inrtat"
+SYMBOLS = "ITYNROGM" + "inrt"
 
 
-def grammar() -> Transducer:
-    """Reported speech, then negation, then target before and after, over the insult and threat acceptors.
+def machines() -> dict[str, Transducer]:
+    """The six machines in the order in which one reads what the other puts out.
 
-    Out: I insult, i aimed insult, n negated insult, r reported insult, T threat, t aimed threat; the last two changes
-    win over an aim, so that "they are not idiots" and "he said idiots" count little.
+    Out: I insult, i aimed insult, n negated, r reported, T threat, t aimed threat; report and negation come before the
+    targets, so that "they are not idiots" and "he said idiots" count little.
     """
-    everything = "".join(dict.fromkeys(SYMBOLS))
-    weigh = Transducer({(0, "I"): ("I", 1.0, 0), (0, "T"): ("T", 1.0, 0)})
-    reported = _reach("R", {"I": ("r", 0.5), "T": ("r", 0.5)}, everything, 8)
-    negated = _reach("N", {"I": ("n", 0.5), "T": ("n", 0.5)}, everything, 2, stop="I")
-    aimed = _reach("Y", {"I": ("i", 1.5), "T": ("t", 1.5)}, everything, 4)
-    machine = weigh
-    answered = _answered({"I": ("i", 1.5), "T": ("t", 1.5)}, everything, 3)
-    for part in (reported, negated, aimed, answered):
-        machine = compose(machine, part, everything)
-    return machine
+    threat = _reach("M", {}, SYMBOLS, 4)
+    threat.arcs[0, "T"] = ("T", 0.5, 0)
+    return {
+        "insult": _reach("G", {"I": ("I", 1.5)}, SYMBOLS, 2, stop="I"),
+        "threat": threat,
+        "reported": _reach("R", {"I": ("r", 0.5), "T": ("r", 0.5)}, SYMBOLS, 8),
+        "negated": _reach("N", {"I": ("n", 0.5), "T": ("n", 0.5)}, SYMBOLS, 2, stop="I"),
+        "target before": _reach("Y", {"I": ("i", 1.5), "T": ("t", 1.5)}, SYMBOLS, 4),
+        "target behind": _answered({"I": ("i", 1.5), "T": ("t", 1.5)}, SYMBOLS, 3),
+    }
+
+
+@lru_cache
+def grammar(without: tuple[str, ...] = ()) -> Transducer:
+    """The machines composed into one, but for those named."""
+    return reduce(lambda a, b: compose(a, b, SYMBOLS), (m for name, m in machines().items() if name not in without))
 
 
 _EVENT = {"I": 0, "i": 1, "n": 2, "r": 3, "T": 4, "t": 5}
@@ -186,7 +199,10 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, repeat: np.ndarray) -> tuple[np.n
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on (doc_id, text) rows with (doc_id, toxic) labels; with labels of one class only, the seed lexicon and prior weights.
 
-    The sample is drawn from the labels, so that what is joined with the documents has a bounded size.
+    The sample is drawn from the labels, so that what is joined with the documents has a bounded size. Null texts and
+    labels are left out, empty texts count; rows that share an id count once for each pair of row and label. Of terms
+    that explain equally many rows the shorter, then the first by its characters is chosen. Empty tables give the seed
+    lexicon; other columns are not read.
     """
     seed = _seed_words()
     start = Model(seed, (), PRIOR, BIAS)
@@ -248,20 +264,41 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return Model(words, stems, w, b)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with ``_toxic_score`` (0 to 1) and ``_toxic_events`` added; null texts count as empty."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_toxic_score", T.DoubleType()), T.StructField("_toxic_events", T.ArrayType(T.DoubleType()))])
+def _events(model: Model, column: pa.Array) -> np.ndarray:
+    texts = (t for k in range(0, len(column), 200) for t in column.slice(k, 200).cast(pa.string()).to_pylist())
+    return np.array([model.events(t or "") for t in texts]).reshape(-1, len(EVENTS))
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "_toxic_score", events_col: str = "_toxic_events") -> DataFrame:
+    """The rows with a score (0 to 1) and the summed weights of the events added, in place of columns of these names.
+
+    Null texts count as empty, texts of any length are read whole, other types are taken as text; each of repeated rows
+    has its own. No documents give no rows.
+    """
+    docs = docs.drop(*({score_col, events_col} - {text_col}))
     at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(events_col, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.events(t or "") for k in range(0, batch.num_rows, 200) for t in batch.column(at).slice(k, 200).to_pylist()]).reshape(-1, len(EVENTS))
+            x = _events(model, batch.column(at))
             more = [pa.array(model.score(x), pa.float64()), pa.array(list(x), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_toxic_score", "_toxic_events"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, score_col, events_col])
 
     return docs.mapInArrow(common.released(run), schema)
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that score below 0.5, with all their columns, whatever their names; nulls and repeats as in :func:`score`."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(_events(model, batch.column(at))) < 0.5))
+
+    return docs.mapInArrow(common.released(run), docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -274,11 +311,11 @@ def _trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.col("text").cast("string"))
-    found = score(docs, _trained(spark, docs, sf_dir))
-    events = [F.col("_toxic_events")[i].alias(e) for i, e in enumerate(EVENTS)]
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxic_score").alias("score"), (F.col("_toxic_score") >= 0.5).cast("int").alias("predicted"), *events)
+    found = score(docs, _trained(spark, docs, sf_dir), score_col="score", events_col="events")
+    events = [F.col("events")[i].alias(e) for i, e in enumerate(EVENTS)]
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *events)
 
 
 def reject(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with their columns."""
-    return score(docs, _trained(spark, docs, sf_dir)).where("_toxic_score < 0.5").select(*docs.columns)
+    """The rows of ``docs`` that score below 0.5, with their columns; fitted on labelled ones of them."""
+    return clean(docs, _trained(spark, docs, sf_dir))

@@ -145,6 +145,42 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
+def test_composed_grammar_is_the_machines_one_after_the_other():
+    rng = random.Random(33)
+    whole, parts = toxicity.grammar(), list(toxicity.machines().values())
+    assert len(parts) == 6
+    for _ in range(3000):
+        symbols = [rng.choice("ITYNROGM") for _ in range(rng.randrange(14))]
+        want = [(s, 1.0) for s in symbols]
+        for machine in parts:
+            state, after = 0, []
+            for symbol, weight in want:
+                put, w, state = machine.step(state, symbol)
+                after.append((put, weight * w))
+            want = after
+        state, got = 0, []
+        for symbol in symbols:
+            put, w, state = whole.step(state, symbol)
+            got.append((put, w))
+        assert [p for p, _ in got] == [p for p, _ in want] and np.allclose([w for _, w in got], [w for _, w in want])
+
+
+def test_negated_reported_and_threatening_clauses_in_four_languages():
+    model = toxicity.Model(toxicity._seed_words(), (), toxicity.PRIOR, toxicity.BIAS)
+    event = lambda text: {e for e, x in zip(toxicity.EVENTS, model.events(text), strict=True) if x}
+    cases = {
+        "you are a total idiot": "aimed_insult", "du bist ein Trottel": "aimed_insult", "tu es un crétin": "aimed_insult", "usted es escoria": "aimed_insult",
+        "they are not idiots": "negated_insult", "das ist kein Idiot": "negated_insult", "il n'est pas minable": "negated_insult", "no es basura": "negated_insult",
+        "he wrote that all were morons": "reported_insult", "sie schrieb über den Abschaum": "reported_insult", "dijo que es escoria": "reported_insult",
+        "I will kill you": "aimed_threat", "ich werde dich umbringen": "aimed_threat", "je vais te tuer": "aimed_threat", "to kill time": "threat",
+    }
+    for text, want in cases.items():
+        assert want in event(text) and event(text) <= {want, want.removeprefix("aimed_")}, text
+    assert model.events("a total idiot")[0] == 1.5 and model.events("I will surely kill")[4] == 1 and model.events("to kill time")[4] == 0.5
+    score = lambda text: float(model.score(model.events(text)[None])[0])
+    assert score("you are a total idiot") > 0.5 and score("I will kill you") > 0.5 and max(score(t) for t, e in cases.items() if e in ("negated_insult", "reported_insult", "threat")) < 0.5
+
+
 # ---- 3 ------------------------------------------------------------------------------------------------------------
 
 
