@@ -807,3 +807,145 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[0] == set(range(43)) and kept[1] == set(range(40)) | {42} and kept[2] == set(range(40)) and kept[3] <= kept[2]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == docs.count() and out.agg(F.min("start")).first()[0] == 0
+
+
+# ---- edges of every operator and stage ----------------------------------------------------------------------------
+
+CLASH = "hash row block score events gone _id place words sig src shard local edge _toxic_score _mix_src text_sha256 fp key".split()
+LONG = "a very long text, word by word " * 70_000  # 2 MB
+
+
+def edge_rows():
+    texts = [*EDGES, LONG, "one tie", "one tie", "Licensed under CC BY-NC 4.0. you idiot", "日本語の文章です"]
+    rows = [(i, t, "en" if i % 2 else "de", None if i % 4 == 0 else f"s{i % 2}") for i, t in enumerate(texts)]
+    rows += [rows[4], rows[5], (None, "no id", None, None), (5, "another text of id 5", "en", "s1")]
+    return [(*r, *([7] * len(CLASH))) for r in rows]
+
+
+def edge_frame(spark, rows):
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in CLASH)
+    return spark.createDataFrame(rows, schema)
+
+
+def _edge_cases():
+    model = toxicity.Model(toxicity._seed_words(), (), toxicity.PRIOR, toxicity.BIAS)
+    empty = "item_id bigint, text string"
+    items = lambda s: s.createDataFrame([(1, "one tie"), (1, "one tie"), (2, None), (3, "")], empty)
+    return {
+        "op1": (lambda s, d, p: (token_output.write(d, f"{p}/t"), token_output.read(s, f"{p}/t"))[1], 1),
+        "op2": (lambda s, d, p: toxicity.score(d, model), 1),
+        "op2 clean": (lambda s, d, p: toxicity.clean(d, model), None),
+        "op3": (lambda s, d, p: decontaminate.overlaps(d, items(s)), None),
+        "op3 clean": (lambda s, d, p: decontaminate.clean(d, items(s)), None),
+        "op3 no benchmark": (lambda s, d, p: decontaminate.clean(d, s.createDataFrame([], empty)), 1),
+        "op5": (lambda s, d, p: mixing.mixed_sizes(d), 1),
+        "op5 mix": (lambda s, d, p: mixing.mix(d), None),
+        "op6": (lambda s, d, p: license_scan.scan_documents(d), 1),
+        "op8": (lambda s, d, p: simhash.near_groups(d), 1),
+        "op8 one": (lambda s, d, p: simhash.keep_one(d), None),
+        "op9": (lambda s, d, p: substring.passages(d), None),
+        "op10": (lambda s, d, p: langid.predict(d, langid.train(d)), 1),
+    }
+
+
+@pytest.mark.parametrize("name", _edge_cases())
+def test_edges(spark, tmp_path, name):
+    """Nulls, empty and long texts, ties, repeated rows, columns whose names clash, and an empty table; results don't depend on the order of rows."""
+    run, share = _edge_cases()[name]
+    rows = edge_rows()
+    got = run(spark, edge_frame(spark, rows), f"{tmp_path}/a")
+    found = got.collect()
+    if share:
+        assert len(found) == len(rows)
+    if name in ("op2 clean", "op3 clean", "op5 mix", "op8 one"):
+        assert got.columns == edge_frame(spark, []).columns and len(found) < 3 * len(rows)
+        assert name == "op5 mix" or set(map(tuple, found)) <= set(rows)
+    again = run(spark, edge_frame(spark, rows[::-1]).repartition(5), f"{tmp_path}/b").collect()
+    plain = lambda rs: sorted(str(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in rs)
+    assert plain(found) == plain(again)
+    assert run(spark, edge_frame(spark, []), f"{tmp_path}/c").count() == 0
+    by = {r["doc_id"]: r for r in found} if "doc_id" in got.columns else {}
+    if name == "op1":
+        assert by[1]["n_tokens"] == by[0]["n_tokens"] == 1 and by[11]["n_tokens"] > 400_000 and min(r["start"] for r in found) == 0
+    if name == "op3":
+        assert sorted((r["doc_id"], r["item_id"]) for r in found) == sorted([(d, 1) for d in (12, 13)] * 2)
+    if name == "op6":
+        assert by[14]["labels"] == "cc-by,cc-by-nc-4.0" and by[1]["n_words"] == 0 and by[11]["n_words"] == 7 * 70_000
+    if name == "op8":
+        assert by[12]["component_id"] == by[13]["component_id"] == 12 and by[0]["component_id"] == by[1]["component_id"] == 0
+    if name == "op10":
+        assert by[1]["lang_pred"] == "und" and by[3]["lang_pred"] == "und"
+
+
+def test_edges_of_the_stages(spark, tmp_path):
+    """Every stage on rows with all the edges, and on no rows."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, "one tie"), (1, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(9, 1), (9, None), (12, 0), (None, 1)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = edge_frame(spark, edge_rows())
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, whole, str(tmp_path))
+        assert k == 4 or got.columns == whole.columns, name
+        texts = [r["text"] for r in got.collect()] if k < 4 else []
+        if name == "toxicity":
+            assert None in texts and "" in texts and LONG in texts and "idiot. You idiot!" not in texts
+        if name == "simhash":
+            assert texts.count("one tie") == 1 and LONG in texts and "no id" in texts
+        if name == "decontamination":
+            assert "one tie" not in texts and None in texts and texts.count("same text") == 4
+        if name == "mixing":
+            assert texts
+        if name == "tokens":
+            assert got.count() == whole.count()
+        assert stage(spark, edge_frame(spark, []), str(tmp_path)).count() == 0, name
+
+
+def test_pages_with_columns_that_clash(spark):
+    rows = [(i % 3, "http://h/a", f"<p>text {i}</p>" if i else None, 1, "x", 2) for i in range(7)]
+    rows.append((9, None, "<p>" + "long " * 400_000, 1, "x", 2))
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, block int, host string, lines int")).collect()
+    assert len(got) == 8 and max(r["n_chars"] for r in got) == 5 * 400_000 - 1 and min(r["n_chars"] for r in got) == 0
+
+
+def test_items_of_any_length_and_ideographs(spark):
+    """A benchmark of short items, repeated items and of a script without spaces, against a comparison of every place."""
+    rng = random.Random(34)
+    items = [(n, " ".join(f"q{n}x{k}" for k in range(n))) for n in range(1, 16)] + [(20, "q4x0 q4x1 q4x2 q4x3"), (30, "日本語の文章を読む練習"), (31, "a a a a a a a a a a a a a a")]
+    texts = [f"{prose(rng, rng.randrange(9))} {t.upper()}, {prose(rng, 7)}" for _, t in items]
+    texts += ["q4x0 q4x1 q4x3 q4x2", "これは日本語の文章を読む練習です", "a " * 3000, "日本語の練習"]
+    got = decontaminate.overlaps(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    tokens = lambda t: re.findall(r"[\u3000-\u9fff]|[0-9a-z]+", t.lower())
+    want = {(d, i) for d, t in enumerate(texts) for i, x in items if any(tokens(t)[k : k + len(tokens(x))] == tokens(x) for k in range(len(tokens(t))))}
+    assert found == want and len(got) == len(want)
+
+
+def _similar(words, item):
+    """Whether a stretch of LEAST words, or of the whole item, agrees in 80 % at some shift, with ends that agree."""
+    need, best = min(decontaminate.LEAST, len(item)), 0
+    for shift in range(-len(item), len(words)):
+        same = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(item)]
+        for a in range(len(item)):
+            for b in range(a + need, len(item) + 1):
+                if same[a] and same[b - 1] and sum(same[a:b]) >= decontaminate.SIMILAR * (b - a):
+                    best = max(best, b - a)
+    return best
+
+
+def test_decontamination_equals_every_place_compared(spark):
+    rng = random.Random(35)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, prose(rng, rng.randrange(6, 24), vocabulary)) for i in range(8)]
+    texts = []
+    for i in range(60):
+        words = prose(rng, rng.randrange(30), vocabulary).split()
+        item = items[i % 8][1].split()
+        for k in range(len(item)):
+            if rng.random() < 0.12:
+                item[k] = "zz"
+        texts.append(" ".join(words + item[: rng.randrange(4, len(item) + 1)] + prose(rng, 5, vocabulary).split()))
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in decontaminate.overlaps(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = {(d, i): n for d, t in enumerate(texts) for i, x in items if (n := _similar(t.split(), x.split()))}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert all(n == want[k] for k, n in got.items())
