@@ -18,6 +18,7 @@ from ..constants import SCORE_FIELDS
 TAGS = ("raw_valid_json", "extracted_embedded_json", "repaired_json", "schema_invalid", "unparseable", "empty")
 SCHEMA = "payload string, repair_type string, schema_valid boolean, schema_errors array<string>"
 
+# The patterns and characters that decide which repair a response counts as.
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
 _STRING = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)', re.S)
 _PLAIN = {0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'", 0xA0: " "}
@@ -26,7 +27,7 @@ _PLAIN = {0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'", 0xA0: " "}
 def _object(text: str) -> dict | None:
     try:
         found = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested too deeply to read
         return None
     return found if isinstance(found, dict) else None
 
@@ -53,6 +54,8 @@ def schema_errors(payload: dict) -> list[str]:
                 errors.append(f"out_of_range:{name}")
         except KeyError:
             errors.append(f"missing:{name}")
+        except OverflowError:  # an integer beyond any double
+            errors.append(f"out_of_range:{name}")
         except (TypeError, ValueError):
             errors.append(f"non_numeric:{name}")
     return errors

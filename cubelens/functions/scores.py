@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ def to_number(value: Column) -> Column:
 
 
 def number(value: Column) -> Column:
-    """A double without NaN, from a numeric column."""
-    x = value.cast("double")
+    """A double without NaN, or null where the value isn't a number."""
+    x = value.try_cast("double")
     return F.when(~F.isnan(x), x)
 
 
@@ -88,10 +89,18 @@ def round_temperature(value: Column) -> Column:
     return F.bround(number(value), 2)
 
 
+def numeric_ticks(low: float, high: float, step: float) -> list[float]:
+    """The multiples of ``step`` that span low to high, two at least; none where a limit isn't finite."""
+    if not (math.isfinite(low) and math.isfinite(high)):
+        return []
+    first, last = math.floor(low / step), math.ceil(high / step)
+    return [round(k * step, 10) for k in range(first, max(last, first + 1) + 1)]
+
+
 def temperature_group(value: Column) -> Column:
     """Four bins, right-closed."""
     t = number(value)
-    bins = ((-0.01, 0.55, "low"), (0.55, 0.70, "mid"), (0.70, 0.85, "high"), (0.85, 1.10, "very_high"))
+    bins = ((-0.01, 0.55, "low"), (0.55, 0.70, "midlow"), (0.70, 0.85, "midhigh"), (0.85, 1.10, "high"))
     return F.coalesce(*[F.when((t > a) & (t <= b), F.lit(name)) for a, b, name in bins])
 
 
@@ -233,17 +242,40 @@ def shot_label(value: Column) -> Column:
     return F.coalesce(_named(low, K.SHOT_NAMES), sentence_case(low))
 
 
+# Parts of a sequence name and how they are said; the longest part at a place counts.
+_SEQUENCE_PARTS = {
+    "all_docs_in_sequence": "All documents in sequence",
+    "preceding_clinic": "Preceding clinic letter",
+    "pre_clinic": "Preceding clinic letter",
+    "following_clinic": "Following clinic letter",
+    "follow_clinic": "Following clinic letter",
+    "preceding": "Preceding",
+    "pre": "Preceding",
+    "following": "Following",
+    "follow": "Following",
+    "clinic": "Clinic letter",
+    "endoscopy": "Endoscopy",
+    "endo": "Endoscopy",
+    "histology": "Histology",
+    "hist": "Histology",
+    "all": "All",
+    "docs": "documents",
+    "in": "in",
+    "sequence": "sequence",
+    "report": "report",
+    "letter": "letter",
+}
+
+
 def sequence_label(value: Column) -> Column:
-    """The sequence's name; of an unknown one its words, documents spelled out."""
+    """The sequence's name; of an unknown one its parts by name, as an order of documents where it holds any."""
     low = F.lower(F.trim(value))
-    # Words of a sequence name.
-    words = {"all": "All", "docs": "documents", "in": "in", "sequence": "sequence", "endo": "Endoscopy", "endoscopy": "Endoscopy", "hist": "Histology", "histology": "Histology", "clinic": "Clinic letter", "preceding": "Preceding", "pre": "Preceding", "following": "Following", "follow": "Following", "report": "report", "letter": "letter"}
-    parts = F.filter(F.split(low, "[_/]+"), lambda p: p != "")
-    joined = F.array_join(F.transform(parts, lambda p: F.coalesce(_named(p, words), sentence_case(p))), " / ")
-    for a, b in (("Preceding / Clinic letter", "Preceding clinic letter"), ("Following / Clinic letter", "Following clinic letter"), ("All / documents / in / sequence", "All documents in sequence")):
-        joined = F.replace(joined, F.lit(a), F.lit(b))
-    joined = F.when(joined.rlike(r"(?i)\b(Endoscopy|Histology|clinic letter)\b"), F.concat(joined, F.lit(" narrative order"))).otherwise(joined)
-    return F.coalesce(_named(low, K.SEQUENCE_NAMES), F.concat(F.upper(F.substring(joined, 1, 1)), F.substr(joined, F.lit(2))))
+    several = [p.replace("_", "[_/]+") + "(?![^_/])" for p in _SEQUENCE_PARTS if "_" in p]
+    parts = F.transform(F.regexp_extract_all(low, F.lit("(" + "|".join([*several, "[^_/]+"]) + ")"), F.lit(1)), lambda p: F.regexp_replace(p, "[_/]+", "_"))
+    said = F.array_join(F.transform(parts, lambda p: F.coalesce(_named(p, _SEQUENCE_PARTS), sentence_case(p))), " / ")
+    said = F.concat(F.upper(F.substring(said, 1, 1)), F.substr(said, F.lit(2)))
+    ordered = said.rlike(r"(?i)\b(endoscopy|histology|clinic letter)\b")
+    return F.coalesce(_named(low, K.SEQUENCE_NAMES), F.when(ordered, F.concat(said, F.lit(" narrative order"))).otherwise(said))
 
 
 def factor_label(factor: str, value: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,13 +57,31 @@ def kurtosis(x: str) -> Column:
     return F.when((n > 3) & (F.stddev_samp(x) > 0), found).otherwise(0.0)
 
 
+def log_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function for x > 0: Stirling's series eight places up, and the recurrence back."""
+    y = x + 8
+    # B(2k) / (2k (2k - 1)).
+    terms = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+    series = reduce(lambda a, b: a + b, [F.lit(t) / F.pow(y, F.lit(2.0 * k + 1)) for k, t in enumerate(terms)])
+    back = reduce(lambda a, b: a + b, [F.log(x + i) for i in range(8)])
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - back
+
+
 def mcnemar_p(n10: Column, n01: Column) -> Column:
-    """Exact two-sided p of the discordant counts: twice the lower binomial tail, 1 at most; logs, so that it can't overflow."""
-    n, least = (n10 + n01).cast("double"), F.least(n10, n01)
-    start = F.struct((-n * math.log(2)).alias("log"), F.lit(0.0).alias("total"))
+    """Exact two-sided p of the discordant counts: twice the lower binomial tail, 1 at most.
+
+    The tail's last term comes from log_gamma; before it each is k / (n - k + 1) times the next, so that ten times the
+    square root of n of them hold all that counts in a double.
+    """
+    n, least = (n10 + n01).cast("double"), F.least(n10, n01).cast("double")
+    last = log_gamma(n + 1) - log_gamma(least + 1) - log_gamma(n - least + 1) - n * math.log(2)
+    most = F.least(least, F.ceil(10 * F.sqrt(n)) + 50).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def term(acc: Column, i: Column) -> Column:
-        return F.struct((acc["log"] + F.log((n - i + 1) / i)).alias("log"), (acc["total"] + F.exp(acc["log"])).alias("total"))
+        t = acc["term"] * (least - i) / (n - least + 1 + i)
+        return F.struct(t.alias("term"), (acc["total"] + t).alias("total"))
 
-    run = F.aggregate(F.sequence(F.lit(1), (least + 1).cast("int")), start, term)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * run["total"]))
+    places = F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>"))
+    tail = F.exp(last) * F.aggregate(places, start, term)["total"]
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))

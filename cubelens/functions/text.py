@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,17 +30,49 @@ def keyword_pattern(keyword: str) -> str:
     return r"\b" + r"\s+".join(re.escape(p) for p in keyword.lower().split()) + r"\b"
 
 
-def density(text: Column, keywords: list[str]) -> Column:
-    """Keyword hits for each 100 words of two letters or more; keywords count independently; blank text is 0."""
-    low = F.lower(text)
-    hits = reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(keyword_pattern(k))) for k in keywords])
-    words = F.greatest(F.regexp_count(low, F.lit(r"\b[a-z]{2,}\b")), F.lit(1))
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0.0).otherwise(F.lit(100.0) * hits / words)
+def _layers(keywords: list[str]) -> list[list[str]]:
+    """Keywords parted so that none in a layer is the beginning of another: at each place a layer has one match at most."""
+    layers: list[list[str]] = []
+    for k in sorted(set(keywords)):
+        fits = next((x for x in layers if not any(o.startswith(k) or k.startswith(o) for o in x)), None)
+        if fits is None:
+            layers.append([k])
+        else:
+            fits.append(k)
+    return layers
+
+
+def keyword_hits(low: Column, keywords: list[str]) -> Column:
+    """Every keyword at every place where it stands in the lower-case text, single-spaced; one pass for each layer.
+
+    The match looks ahead and takes nothing, so that keywords may overlap each other.
+    """
+    form = r"\b(?=({})\b)"
+    bare = lambda k: keyword_pattern(k).removeprefix(r"\b").removesuffix(r"\b")
+    found = [F.regexp_extract_all(low, F.lit(form.format("|".join(map(bare, layer)))), F.lit(1)) for layer in _layers([" ".join(k.lower().split()) for k in keywords])]
+    return F.transform(F.concat(*found), lambda x: F.regexp_replace(x, r"\s+", " "))
 
 
 def densities(text: Column, lexicon: dict[str, list[str]]) -> Column:
-    """``array<struct<family, value>>`` in the lexicon's order."""
-    return F.array(*[F.struct(F.lit(f).alias("family"), density(text, ks).alias("value")) for f, ks in lexicon.items()])
+    """``array<struct<family, value>>`` in the lexicon's order: keyword hits for each 100 words of two letters or more.
+
+    Keywords count independently; blank text is 0. Hits and words are found once for all families: the one-element
+    array binds them to a name.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.greatest(F.regexp_count(low, F.lit(r"\b[a-z]{2,}\b")), F.lit(1))
+    bound = F.struct(keyword_hits(low, [k for ks in lexicon.values() for k in ks]).alias("hits"), words.alias("words"), (F.trim(low) == "").alias("blank"))
+
+    def each(x: Column) -> Column:
+        value = lambda ks: F.lit(100.0) * F.size(F.filter(x["hits"], lambda h: h.isin([" ".join(k.lower().split()) for k in ks]))) / x["words"]
+        return F.array(*[F.struct(F.lit(f).alias("family"), F.when(x["blank"], 0.0).otherwise(value(ks)).alias("value")) for f, ks in lexicon.items()])
+
+    return F.transform(F.array(bound), each)[0]
+
+
+def density(text: Column, keywords: list[str]) -> Column:
+    """The density of one family."""
+    return densities(text, {"": keywords})[0]["value"]
 
 
 def ngrams(tokens: Column, n: int) -> Column:

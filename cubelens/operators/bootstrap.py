@@ -4,7 +4,8 @@ All eight metrics follow from (n, tp, fp, tn, fn, sq), so a cluster is reduced t
 resampled are clusters, never rows. ``multinomial`` draws as many clusters as there are, by counters: draw i of
 replicate b is MD5(seed|b|i) modulo the number of clusters, the same on any engine. ``poisson`` gives each cluster a
 Poisson(1) weight in each replicate from a hash of its own: no join and no order of clusters, so that partial
-aggregation leaves one row for each group and replicate on a task; it is the form for very many clusters.
+aggregation leaves one row for each group and replicate on a task; the stages use it. :func:`metric_interval` does the
+same for any metric that follows from sums.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ def draw(seed: int, replicate: Column, i: Column, size: Column) -> Column:
 
 
 def _poisson(seed: int, *key: Column) -> Column:
-    u = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40)
+    """A Poisson(1) weight from 48 bits of MD5(seed|key...): the same on any engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in key])
+    u = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") / float(1 << 48)
     total, steps = 0.0, F.lit(0)
     for k in range(9):  # beyond 8 is less than one in a million
         total += math.exp(-1) / math.factorial(k)
@@ -51,6 +54,19 @@ def replicates(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 100
     return drawn.join(named, on).groupBy(*keys, "b").agg(*sums)
 
 
+def metric_interval(rows: DataFrame, keys: list[str], cluster: str, sums: dict[str, Column], metric: Column, n_boot: int = 250, seed: int = 42) -> DataFrame:
+    """``keys, mean, low, high`` of any metric: ``sums`` says what each row adds to named sums, ``metric`` is a column of these.
+
+    Poisson weights; replicates in which the metric is null or NaN are left out. No rows give none.
+    """
+    small = rows.groupBy(*keys, cluster).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()])
+    each = small.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    each = each.withColumn("w", _poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b"))).where("w > 0")
+    each = each.groupBy(*keys, "b").agg(*[F.sum(F.col(n) * F.col("w")).alias(n) for n in sums]).withColumn("value", metric.cast("double"))
+    each = each.where("value is not null and not isnan(value)")
+    return each.groupBy(*keys).agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+
+
 def intervals(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 1000, seed: int = 42, method: str = "multinomial", names: tuple[str, ...] = metrics.METRICS) -> DataFrame:
     """``keys`` and for each metric its bootstrap ``_mean``, the arms ``_lo`` and ``_hi`` around that mean, and the interval."""
     each = replicates(rows, keys, cluster, n_boot, seed, method)

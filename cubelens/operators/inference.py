@@ -37,17 +37,30 @@ def mcnemar_pairs(cube: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     return table.withColumns({"p_exact_mcnemar": stats.mcnemar_p(F.col("n10"), F.col("n01")), "accuracy_diff": F.col("accuracy_a") - F.col("accuracy_b")})
 
 
-def _design(cube: DataFrame, columns: list[str], roles: Roles) -> tuple[DataFrame, list, list[tuple[str, str]], np.ndarray]:
-    """(rows with ``ok`` and the factors as strings, counts by pattern of levels, dummies, a pattern's row of the design)."""
+#: Fixed effects; the temperature group only where models don't differ, with which it is confounded.
+FACTORS = ("model", "shot", "sequence", "temperature_group")
+
+
+def _design(cube: DataFrame, factors: tuple[str, ...], roles: Roles) -> tuple[DataFrame, list[str], list, list[tuple[str, str]], np.ndarray]:
+    """(rows with ``ok`` and the factors as strings, their columns, counts by pattern of levels, dummies, a pattern's row of the design).
+
+    A missing level is one of its own, "nan".
+    """
     rows = cube.withColumn("ok", correctness(scores.number(F.col(roles.truth)), scores.clean_likelihood(F.col(roles.score))))
-    rows = rows.where("ok is not null").dropna(subset=[roles.subject, *columns]).withColumns({c: F.col(c).cast("string") for c in columns})
+    rows = rows.where("ok is not null").dropna(subset=[roles.subject])
+    if "temperature_group" in factors:
+        rows = rows.withColumn("temperature_group", scores.temperature_group(scores.round_temperature(F.col(roles.temperature))))
+    columns = [c for f in factors if (c := getattr(roles, f, f)) in rows.columns]
+    rows = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns})
+    levels = {c: sorted(r[0] for r in rows.select(c).distinct().collect()) for c in columns}  # a row for each level
+    if len(levels.get(roles.model, ())) > 1 and "temperature_group" in columns:
+        columns.remove("temperature_group")
     cells = rows.groupBy(*columns).agg(F.sum("ok").alias("good"), F.count(F.lit(1)).alias("n")).orderBy(*columns).collect()  # a row for each pattern
-    levels = {c: sorted({r[c] for r in cells}) for c in columns}
     dummies = [(c, v) for c in columns if len(levels[c]) > 1 for v in levels[c][1:]]
-    return rows, cells, dummies, np.array([[1.0, *[float(r[c] == v) for c, v in dummies]] for r in cells])
+    return rows, columns, cells, dummies, np.array([[1.0, *[float(r[c] == v) for c, v in dummies]] for r in cells])
 
 
-def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = ("shot", "model"), least_rows: int = 50) -> DataFrame:
+def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = FACTORS, least_rows: int = 50) -> DataFrame:
     """Logistic regression of correctness on factors, with standard errors clustered by subject.
 
     Rows are reduced to counts by covariate pattern, on which Newton's steps run; the sandwich's middle is a grouped
@@ -56,8 +69,7 @@ def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[s
     """
     schema = "term string, estimate_log_odds double, std_error double, p_value double, odds_ratio double, n_rows bigint"
     spark = cube.sparkSession
-    columns = [getattr(roles, f) for f in factors]
-    rows, cells, dummies, x = _design(cube, columns, roles)
+    rows, columns, cells, dummies, x = _design(cube, factors, roles)
     n, good = np.array([r["n"] for r in cells], float), np.array([r["good"] for r in cells], float)
     n_rows = int(n.sum())
     if n_rows < least_rows or not dummies:
@@ -110,7 +122,7 @@ def _posterior(subjects: DataFrame, etas: list[float], variance: float) -> DataF
     return mode.select(F.explode(F.concat(parts, whole)).alias("s")).select("s.*")
 
 
-def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = ("shot", "model"), least_rows: int = 50, rounds: int = 25) -> DataFrame:
+def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = FACTORS, least_rows: int = 50, rounds: int = 25) -> DataFrame:
     """Logistic regression of correctness with a random intercept for each subject, by a Laplace approximation.
 
     Each round finds every subject's posterior mode and variance by Newton steps over the subject's own cells, in
@@ -121,13 +133,13 @@ def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str,
     """
     schema = "term string, estimate_log_odds double, posterior_sd double, p_value double, odds_ratio double, n_rows bigint"
     spark = cube.sparkSession
-    columns = [getattr(roles, f) for f in factors]
-    rows, cells, dummies, x = _design(cube, columns, roles)
+    rows, columns, cells, dummies, x = _design(cube, factors, roles)
     n_rows = sum(r["n"] for r in cells)
     if n_rows < least_rows or not dummies:
         return spark.createDataFrame([], schema)
     good = np.array([r["good"] for r in cells], float)
-    pattern = F.coalesce(*[F.when(F.concat_ws("\x1f", *columns) == "\x1f".join(r[c] for c in columns), F.lit(k)) for k, r in enumerate(cells)])
+    known = F.create_map(*[F.lit(x) for k, r in enumerate(cells) for x in ("\x1f".join(r[c] for c in columns), k)])
+    pattern = F.try_element_at(known, F.concat_ws("\x1f", *columns))
     per = rows.withColumn("k", pattern).groupBy(roles.subject, "k").agg(F.sum("ok").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
     subjects = per.groupBy(roles.subject).agg(F.collect_list(F.struct("k", "n", "good")).alias("cells")).select("cells").persist()  # at most a cell for each pattern
     beta, variance = np.zeros(x.shape[1]), 0.5

@@ -132,6 +132,20 @@ def factor_metrics(cube: DataFrame, roles: Roles = DEFAULT, truth: str | None =
     return metric_table(factor_rows(policy_rows(prepared(cube, roles, truth), roles), roles, skip), ["denominator", "factor", "value"])
 
 
+def primary_rows(cube: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
+    """Rows of the primary configurations, once as ``pooled`` (null model and temperature) and once as ``by_model``."""
+    rows = prepared(cube, roles).where(scores.is_primary(F.col(roles.model), F.col(roles.temperature), F.col(roles.shot), F.col(roles.sequence)))
+    rows = policy_rows(rows, roles, ("all_attempts",)).withColumn("scope", F.explode(F.array(F.lit("pooled"), F.lit("by_model"))))
+    mine = F.col("scope") == "by_model"
+    return rows.withColumns({c: F.when(mine, F.col(c)) for c in (roles.model, roles.temperature)})
+
+
+def by_metric(table: DataFrame, metric: str) -> DataFrame:
+    """The table with its best rows first: the Brier score and calibration errors ascending, all else descending."""
+    low = metric.split("_")[0] in ("brier", "ece", "mce")
+    return table.orderBy(F.col(metric).asc_nulls_last() if low else F.col(metric).desc_nulls_last())
+
+
 def primary_estimand(cube: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Metrics of the primary configurations, pooled and by model and temperature, as grouping sets."""
     rows = prepared(cube, roles).where(scores.is_primary(F.col(roles.model), F.col(roles.temperature), F.col(roles.shot), F.col(roles.sequence)))

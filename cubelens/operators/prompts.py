@@ -87,6 +87,21 @@ class Words:
         return "".join(tokens)
 
 
+class TokenizerFile:
+    """The tokens of a model's ``tokenizer.json``, wherever it lies; needs the tokenizers library on the executors."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def decode(self, tokens: list[int]) -> str:
+        return self.model.decode(tokens, skip_special_tokens=False)
+
+
 def fit(template: str, parts: Sequence[tuple[str, str]], tokenizer: object, limit: int) -> tuple[str, bool, list[str]]:
     """(message, whether anything was cut, headings of cut sections) within ``limit`` tokens.
 

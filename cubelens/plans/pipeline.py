@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +23,7 @@ ROLES = Roles(truth="ground_truth")
 def data_prep(spark: SparkSession, cfg: AnalysisConfig) -> Tables:
     """Scan, normalise, view, summaries, reference join, truths."""
     ship(spark)
-    parsed = batches.normalise(batches.read_batches(spark, cfg.batch_root), cfg.runner_metadata, cfg.model_mapping)
-    parsed = parsed.persist()
+    parsed = batches.normalise(batches.read_batches(spark, cfg.batch_root), cfg.runner_metadata, cfg.model_mapping).persist()
     reference = spark.read.csv(cfg.reference_path, header=True, inferSchema=True) if cfg.reference_path.endswith(".csv") else spark.read.parquet(cfg.reference_path)
     merged, counts = linkage.merge_reference(parsed, reference, cfg.id_column)
     markers = {d: c for d, c in (cfg.document_flag_columns or K.FLAG_COLUMNS).items() if c in merged.columns}
@@ -65,30 +64,34 @@ def missingness_threshold(cube: DataFrame, mode: str = "patient") -> Tables:
     have = metrics.prepared(rows, roles).where("bucket is not null").withColumn("model_pool", scores.model_pool(F.col("model_canon")))
     for name, keys in (("model", ["model_canon"]), ("model_temperature", ["model_canon", "temperature"]), ("model_pool", ["model_pool"])):
         out[f"macro_f1_threshold_curves_by_{name}"] = thresholds.sweep(have, keys)
-        out[f"best_thresholds_by_{name}"] = thresholds.best(have, keys)
+        out[f"best_thresholds_by_{name}"] = metrics.by_metric(thresholds.best(have, keys), "best_macro_f1")
     fixed = thresholds.fixed_tiers(have, ["model_canon", "temperature", "report_sequence_name"])
     return out | {
         "basic_threshold_performance": fixed, "basic_threshold_pivot": thresholds.tier_pivot(fixed),
-        "bucket_summary": descriptive.bucket_summary(have, [], roles), "grey_zone_3_6_summary": descriptive.bucket_summary(have.where("bucket between 3 and 6"), [], roles),
-        "bucket_summary_by_model_pool": descriptive.bucket_summary(have, ["model_pool"], roles), "macro_f1_by_certainty_bucket_model_pool": descriptive.certainty_f1(have, ["model_pool"], roles),
-        "calibration_table": calibration.table(have, ["model_canon"]), "calibration_summary_by_model": calibration.summary(have, ["model_canon"]), "calibration_summary_by_pool": calibration.summary(have, ["model_pool"]),
+        "bucket_summary": descriptive.bucket_summary(have, [], roles).orderBy("bucket"), "grey_zone_3_6_summary": descriptive.bucket_summary(have.where("bucket between 3 and 6"), [], roles).orderBy("bucket"),
+        "bucket_summary_by_model_pool": descriptive.bucket_summary(have, ["model_pool"], roles).orderBy(scores.pool_order(F.col("model_pool")), "model_pool", "bucket"), "macro_f1_by_certainty_bucket_model_pool": descriptive.certainty_f1(have, ["model_pool"], roles),
+        "calibration_table": calibration.table(have, ["model_canon"]), "calibration_summary_by_model": metrics.by_metric(calibration.summary(have, ["model_canon"]), "brier"),
+        "calibration_summary_by_pool": calibration.summary(have, ["model_pool"]).orderBy(scores.pool_order(F.col("model_pool")), "model_pool"),
     }
 
 
-def full_performance(cube: DataFrame, mode: str = "patient", n_boot: int = 1000, seed: int = 42, skip_temperature: bool = True) -> Tables:
-    """Factor tables with clustered intervals, primary estimand, paired tests and the logistic model."""
+def full_performance(cube: DataFrame, mode: str = "patient", n_boot: int = 1000, seed: int = 42, skip_temperature: bool = True, method: str = "poisson") -> Tables:
+    """Factor tables, primary estimand and strict sensitivity with clustered intervals, paired tests and the logistic models."""
     rows, roles = with_truth(cube, mode)
     if roles is None:
         return {}
     policies = metrics.policy_rows(metrics.prepared(rows, roles), roles)
-    long = metrics.factor_rows(policies, roles, {"temperature"} if skip_temperature else frozenset())
+    skip = {"temperature"} if skip_temperature else frozenset()
     keys = ["denominator", "factor", "value"]
+    arms = lambda long, by: bootstrap.with_intervals(long, by, roles.subject, n_boot, seed, method)
     out = {
-        "overall_performance_by_factor_fair": bootstrap.with_intervals(long, keys, roles.subject, n_boot, seed), "primary_estimand": metrics.primary_estimand(rows, roles),
+        "overall_performance_by_factor_fair": arms(metrics.factor_rows(policies, roles, skip), keys),
+        "primary_estimand": arms(metrics.primary_rows(rows, roles), ["scope", roles.model, roles.temperature]),
         "mcnemar_model_pairs": inference.mcnemar_pairs(rows, roles), "mixed_effects_correctness": inference.mixed_logistic(rows, roles), "clustered_logistic_correctness": inference.clustered_logistic(rows, roles),
     }
     if "_document_sequence_truth_strict" in rows.columns:
-        out["strict_marker_sensitivity"] = metrics.factor_metrics(rows, roles, "_document_sequence_truth_strict")
+        strict = metrics.policy_rows(metrics.prepared(rows, roles, "_document_sequence_truth_strict"), roles, ("all_attempts", "complete_case"))
+        out["strict_marker_sensitivity"] = arms(metrics.factor_rows(strict, roles, skip), keys)
     return out
 
 
@@ -100,32 +103,36 @@ def narrative_analysis(cube: DataFrame, column: str, mode: str = "patient") -> T
     cues = narrative.deltas(flagged, [roles.model], column, K.CUES)
     out = {
         "reasoning_cue_deltas_all_models": cues, "narrative_error_mechanisms": narrative.mechanisms(cues, roles.model), "theme_prevalence_by_outcome": narrative.theme_prevalence(flagged, column, K.THEMES),
-        "heuristic_theme_skew": narrative.theme_skew(flagged, column, K.THEMES), "certainty_error_rates": narrative.certainty_error_rates(flagged, roles), "catastrophic_failure_rates": narrative.catastrophic_rates(flagged, roles),
+        "heuristic_theme_skew": narrative.theme_skew(flagged, column, K.THEMES).orderBy(F.desc("skew_score")),
+        "certainty_error_rates": narrative.certainty_error_rates(flagged, roles).orderBy("model"), "catastrophic_failure_rates": narrative.catastrophic_rates(flagged, roles).orderBy("model"),
         "top_examples": narrative.top_examples(flagged, [roles.subject, column, roles.score], roles),
     }
     for n in (1, 3, 5):
         for side in ("fp", "fn"):
             out[f"ngrams_{n}_{side}"] = narrative.ngram_top(flagged.where(f"is_{side}"), column, n)
-    for factor in ("shot_type", "temperature", "report_sequence_name"):
+    for factor in ("shot_type", "model", "temperature", "report_sequence_name"):
         for name, lexicon in (("cue", K.CUES), ("heuristic_theme", K.THEMES)):
             out[f"{factor}_{name}_deltas"] = narrative.factor_deltas(rows, factor, column, lexicon, roles)
     return out | topics.section(flagged, column, roles.order)
 
 
-def tiered_performance(cube: DataFrame, n_boot: int = 1000, seed: int = 42, chart_truth: str = "ground_truth") -> Tables:
+def tiered_performance(cube: DataFrame, n_boot: int = 1000, seed: int = 42, chart_truth: str = "ground_truth", method: str = "poisson") -> Tables:
     """The four tiers; document and cumulative resample subjects, the subject tiers their rows, which are subjects."""
+    def arms(rows: DataFrame, by: list[str], cluster: str) -> DataFrame:
+        return bootstrap.with_intervals(rows, by, cluster, n_boot, seed, method).withColumn("model_display", scores.model_label(F.col("model_canon")))
+
     keys = ["denominator", "model_canon", "shot_type", "temperature"]
     out = {}
     per_row = {"document": tiers.document_rows(cube), "cumulative": tiers.cumulative_rows(cube)}
     for name, rows in per_row.items():
-        out[f"{name}_overall"] = bootstrap.with_intervals(rows, keys, "patient_id", n_boot, seed)
-        out[f"{name}_per_data_type"] = bootstrap.with_intervals(rows, [*keys, "report_sequence_name"], "patient_id", n_boot, seed)
+        out[f"{name}_overall"] = arms(rows, keys, "patient_id")
+        out[f"{name}_per_data_type"] = arms(rows, [*keys, "report_sequence_name"], "patient_id")
     for name, label in (("final", "patient_truth"), ("doc2patient", chart_truth)):
         if label in cube.columns:
             rows = tiers.subject_rows(cube, label)
-            out[f"{name}_overall"] = bootstrap.with_intervals(rows, keys, "patient_id", n_boot, seed)
+            out[f"{name}_overall"] = arms(rows, keys, "patient_id")
             cluster = rows.withColumn("_row", F.concat_ws("|", "patient_id", "shot_type", F.col("temperature").cast("string")))
-            out[f"{name}_per_model"] = bootstrap.with_intervals(cluster, keys[:2], "_row", n_boot, seed)
+            out[f"{name}_per_model"] = arms(cluster, keys[:2], "_row")
     return out
 
 
@@ -137,6 +144,8 @@ def run_all(spark: SparkSession, cfg: AnalysisConfig, column: str = "full_respon
     out |= full_performance(cube, cfg.truth_mode, cfg.bootstrap_iterations, cfg.random_seed, not cfg.enable_temperature_analysis)
     out |= narrative_analysis(cube, column, cfg.truth_mode) | tiered_performance(cube, cfg.bootstrap_iterations, cfg.random_seed)
     sinks.write_tables(out, cfg.output_dir)
+    for held in ("parsed_outputs", "merged_outputs"):
+        out[held].unpersist()
     return out
 
 
@@ -164,9 +173,9 @@ def run_experiments(spark: SparkSession, cfg: ClientConfig, respond: incremental
     fit = prompts.budgeted(prompts.Words, cfg.token_limit)
     work = work.withColumn("m", fit(F.col("prompt_content"), prompts.sections(F.col("report_sequence"), F.col("context_note_timing"))))
     work = work.select(*keys, "patient_id", "report_sequence_name", F.col("m.message").alias("message"), F.col("m.truncated").alias("truncated"), F.array_join("m.truncated_sections", ",").alias("truncated_sections"))
-    answered = incremental.respond_to(work, respond, retries=cfg.max_retries).withColumn("batch", F.lit(sinks.next_batch(spark, out)))
+    answered = incremental.respond_to(work, respond, retries=cfg.max_retries, timeout=cfg.timeout_seconds).withColumn("batch", F.lit(sinks.next_batch(spark, out)))
     answered.write.mode("append").partitionBy("batch").parquet(out)
     done = spark.read.parquet(out)
-    digest = reduce(lambda a, b: a ^ b, (hash(k) for k in cfg.active()), 0)
+    digest = hashlib.sha256("\n".join(sorted(cfg.active())).encode()).hexdigest()
     sinks.append_manifest(spark, f"{cfg.output_dir}/manifest", {"runners": list(cfg.active()), "rows": done.count(), "runner_digest": digest})
     return done

@@ -5,16 +5,18 @@ Measures are rounded to 6 places on both sides, after all arithmetic.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import jsonrepair, scores, stats, text
+from ..functions import jsonrepair, scores, text
 from ..shipping import ship
 from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, thresholds, tiers, topics, truth, views
+from ..sources import sinks
 from .surrogate import CUBE, MACRO_F1, MCC, POINT, PREPARED, bucket_sql, cube, point_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,7 +425,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(bootstrap.intervals(_attempts(spark, d), ["model_canon"], "ord", 25, names=("accuracy", "brier")), ["model_canon"])
 
 
-@query("bootstrap_poisson")
+def _poisson_sql(n: int) -> str:
+    total, steps = 0.0, []
+    for k in range(9):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(f"(u >= {total!r}::DOUBLE)::INT")
+    base = _boot_sql("patient_id", n, ()).split("base AS (", 1)[1].split("), num AS", 1)[0]
+    point = ", ".join(f"{POINT[m]} AS {m}" for m in metrics.METRICS)
+    arms = ", ".join(f"round(any_value(t.{m}), 6) AS {m}, round(avg(pt.{m}) - quantile_cont(pt.{m}, 0.025), 6) AS {m}_lo, round(quantile_cont(pt.{m}, 0.975) - avg(pt.{m}), 6) AS {m}_hi" for m in metrics.METRICS)
+    sums = "sum(n{w}) AS n, sum(tp{w}) AS tp, sum(fp{w}) AS fp, sum(tn{w}) AS tn, sum(fn{w}) AS fn, sum(sq{w}) AS sq"
+    return (
+        f"WITH {CUBE}, {PREPARED}, base AS ({base}), w AS (SELECT *, {' + '.join(steps)} AS w FROM (SELECT *, ('0x' || substr(md5('42|' || model_canon || '|' || coalesce(patient_id, '') || '|' || b), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM base, (SELECT unnest(range(0, {n})) AS b))), "
+        f"rep AS (SELECT model_canon, b, {sums.format(w=' * w')} FROM w WHERE w > 0 GROUP BY 1, 2), pt AS (SELECT model_canon, {point} FROM rep), "
+        f"whole AS (SELECT model_canon, {sums.format(w='')} FROM base GROUP BY 1), t AS (SELECT model_canon, n, {point} FROM whole) SELECT pt.model_canon, any_value(t.n)::BIGINT AS n, {arms} FROM pt JOIN t USING (model_canon) GROUP BY 1"
+    )
+
+
+@query("bootstrap_poisson", _poisson_sql(200))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(bootstrap.with_intervals(_attempts(spark, d), ["model_canon"], "patient_id", 200, method="poisson"), ["model_canon"])
 
@@ -477,7 +495,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 # t quantiles by group size, from the same rule as the operator's
-_T = {n: stats.t_quantile(0.975, n - 1) for n in range(2, 401)}
+def _t975(most: int) -> dict[int, float]:
+    """n -> Student's t quantile for n - 1 degrees of freedom, from the density itself by quadrature and Newton's steps."""
+    df = np.arange(1.0, most)
+    at, weight = np.polynomial.legendre.leggauss(80)
+    scale = np.exp([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) for v in df]) / np.sqrt(df * np.pi)
+    density = lambda t: scale[:, None] * (1 + t * t / df[:, None]) ** (-(df[:, None] + 1) / 2)
+    t = np.full(len(df), 2.0)
+    for _ in range(60):
+        area = (density(t[:, None] * (at + 1) / 2) * weight).sum(axis=1) * t / 2
+        t = t + (0.475 - area) / density(t[:, None])[:, 0]
+    return {int(v) + 1: float(q) for v, q in zip(df, t, strict=True)}
+
+
+_T = _t975(401)
 
 
 @query("folder_breakdown", f"""WITH {CUBE}, f AS (SELECT folder, model_canon AS model, replace(printf('%.2f', temperature), '.', '_') AS temperature, shot_type AS shot, report_sequence_name AS data_type, 100.0 * count(*) FILTER (likelihood_score >= 5) / count(*) AS percent_ge_5, 100.0 * count(*) FILTER (tag = 'raw_valid_json') / count(*) AS no_repair_percent FROM cube GROUP BY ALL),
@@ -626,8 +657,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("batch_slices", "SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 50)::BIGINT AS batch, o_orderstatus FROM orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    number = F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1
-    return _table(spark, d, "orders").select("o_orderkey", F.floor(number / 50).alias("batch"), "o_orderstatus")
+    found = sinks.with_batches(_table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), 50, ["o_orderkey"], ["o_orderstatus"])
+    return found.select("o_orderkey", F.col("batch").cast("long"), "o_orderstatus")
+
+
+@query("batch_ranges", "SELECT o_orderkey, o_totalprice, ((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 37)::BIGINT AS batch FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = sinks.with_batches(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 37, ["o_totalprice", "o_orderkey"])
+    return found.withColumn("batch", F.col("batch").cast("long"))
 
 
 @query("asof_ordered_forward", _ASOF.format(sides=_SIDES, order="b_ts, b_id", test=f"{_REV} > 0").replace("SELECT user_id, a_id, b_id FROM j WHERE r = 1", f"SELECT j.user_id, j.a_id, CASE WHEN {_REV} <= 5 THEN j.b_id END AS b_id FROM j JOIN a USING (a_id) LEFT JOIN b ON b.b_id = j.b_id WHERE r = 1"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import socket
+import tempfile
 import time
 from collections.abc import Mapping
 from pathlib import Path
@@ -25,36 +27,87 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
         raise ValueError(f"unknown format: {kind}")
 
 
-def write_tables(tables: Mapping[str, DataFrame], root: str, kind: str = "parquet", aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """Each table in a folder of its own, columns renamed by ``aliases``; gives an index of what was written."""
+INDEX = "table string, path string, n_columns int, stage string"
+
+
+def _files(spark: SparkSession, path: str) -> tuple[object, object]:
+    """(the file system of a path, the path), whatever store it is in."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, found = _files(spark, path)
+    return store.exists(found)
+
+
+def read_table(spark: SparkSession, root: str, *names: str, kind: str = "parquet") -> DataFrame | None:
+    """The first of the named tables that an earlier run has written; None if there is none."""
+    name = next((n for n in names if exists(spark, f"{root}/{n}")), None)
+    return None if name is None else spark.read.format(kind).load(f"{root}/{name}")
+
+
+def write_tables(tables: Mapping[str, DataFrame], root: str, kind: str = "parquet", aliases: Mapping[str, str] | None = None, stage: str = "all") -> DataFrame:
+    """Each table in a folder of its own, columns renamed by ``aliases``; gives an index of what stands there.
+
+    What an earlier run of the same stage (or of "all") has written and this one doesn't is deleted once the new tables
+    stand, so that no table outlives its input; other stages' tables stay in the index.
+    """
     spark = next(iter(tables.values())).sparkSession
+    at = f"{root}/output_index"
+    before = [tuple(r) for r in spark.read.schema(INDEX).format(kind).load(at).collect()] if exists(spark, at) else []  # a row for each table
     rows = []
     for name, df in tables.items():
         write_table(df.withColumnsRenamed(dict(aliases or {})), f"{root}/{name}", kind)
-        rows.append((name, f"{root}/{name}", len(df.columns)))
-    index = spark.createDataFrame(rows, "table string, path string, n_columns int")
-    write_table(index.coalesce(1), f"{root}/output_index", kind)
+        rows.append((name, f"{root}/{name}", len(df.columns), stage))
+    for name, path, n, of in before:
+        if name in tables:
+            continue
+        if stage in ("all", of):
+            store, old = _files(spark, path)
+            store.delete(old, True)
+        else:
+            rows.append((name, path, n, of))
+    index = spark.createDataFrame(rows, INDEX)
+    write_table(index.coalesce(1), at, kind)
     return index
 
 
 def write_json(data: object, path: str) -> None:
-    """A small driver-side JSON document."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(data, indent=2))
+    """A small JSON document, in the store that the path names; without a session in a local file."""
+    text = json.dumps(data, indent=2)
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text)
+        return
+    store, found = _files(spark, path)
+    out = store.create(found, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def with_batches(df: DataFrame, size: int, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Rows numbered in batches of ``size`` within each key; without keys by ranges, never through one task."""
+    """Rows with the number ``batch`` of their ``size`` rows in order, within each key; without keys over all rows.
+
+    Without keys the rows are put in ranges once, in a checkpoint; a row's number is its number in its range and the
+    rows of the ranges before, so that batches are the same however many ranges there are, and no task sees all rows.
+    """
     if keys:
         number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
         return df.withColumn("batch", F.floor(number / size).cast("int"))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()  # a row for each range
+    first = itertools.accumulate((r["n"] for r in sizes), initial=0)
+    offsets = spark.createDataFrame([(r["_p"], n) for r, n in zip(sizes, first, strict=False)], "_p int, _first bigint")
     number = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
-    local = ranged.withColumn("_b", F.floor(number / size))
-    sizes = [r["b"] for r in local.groupBy("_p").agg(F.max("_b").alias("b")).orderBy("_p").collect()]  # a row for each partition
-    before = [sum(b + 1 for b in sizes[:i]) for i in range(len(sizes))]
-    offset = F.array(*map(F.lit, before))[F.col("_p")] if before else F.lit(0)
-    return local.withColumn("batch", (offset + F.col("_b")).cast("int")).drop("_p", "_b")
+    numbered = ranged.withColumn("_n", number).join(offsets, "_p")
+    return numbered.withColumn("batch", F.floor((F.col("_first") + F.col("_n")) / size).cast("int")).drop("_p", "_n", "_first")
 
 
 def write_batches(df: DataFrame, root: str, size: int, order: list[str], runner: str, experiment: str) -> None:

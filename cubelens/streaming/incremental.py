@@ -6,6 +6,7 @@ The engine's batch operators run on finished tables; these are their Structured
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,26 +29,35 @@ def stub(messages: Sequence[str]) -> list[str]:
     return [json.dumps({"Likelihood of IBD": zlib.crc32(m.encode()) % 11, "Certainty Level": len(m) % 11, "Complexity of Case": 3}) for m in messages]
 
 
-def call(respond: Respond, messages: Sequence[str], retries: int = 3, wait: float = 0.5, sleep: Callable[[float], None] | None = None) -> list[str]:
-    """Responses, tried again with doubling pauses; what never succeeds says so."""
+def _within(respond: Respond, messages: Sequence[str], timeout: float) -> Sequence[str]:
+    """The responses, or a TimeoutError after so many seconds; the call that hangs is left behind."""
+    pool = ThreadPoolExecutor(max_workers=1)
+    try:
+        return pool.submit(respond, messages).result(timeout=timeout)
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def call(respond: Respond, messages: Sequence[str], retries: int = 3, wait: float = 0.5, sleep: Callable[[float], None] | None = None, timeout: float | None = None) -> list[str]:
+    """Responses, tried again with doubling pauses after an error or the timeout; what never succeeds says so."""
     import time
 
     for attempt in range(retries):
         try:
-            return list(respond(messages))
+            return list(_within(respond, messages, timeout) if timeout else respond(messages))
         except Exception:
             if attempt + 1 < retries:
                 (sleep or time.sleep)(wait * 2**attempt)
     return [FAILED] * len(messages)
 
 
-def respond_to(df: DataFrame, respond: Respond, message: str = "message", retries: int = 3, wait: float = 0.5) -> DataFrame:
+def respond_to(df: DataFrame, respond: Respond, message: str = "message", retries: int = 3, wait: float = 0.5, timeout: float | None = None) -> DataFrame:
     """Rows with ``full_response, json_response``: one call for each Arrow batch of messages."""
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows.assign(full_response=call(respond, rows[message].tolist(), retries, wait))
+            yield rows.assign(full_response=call(respond, rows[message].tolist(), retries, wait, timeout=timeout))
 
     out = df.mapInPandas(run, ", ".join([*columns, "full_response string"]))
     return out.withColumn("json_response", F.coalesce(client_json(F.col("full_response")), F.lit(UNREADABLE)))
