@@ -12,7 +12,7 @@
    end of the article and all of the three or four nearest neighbours have it. Where articles hold most of what is not
    shared, lines outside of them go.
 
-The order is cut into blocks at pages chosen by a hash of their keys, so that the blocks, and with them the result,
+The order is cut into blocks at pages drawn by a hash of their keys, so that the blocks, and with them the result,
 depend on the pages alone and not on the number of partitions. A page at which a block begins is also seen, but not
 returned, by the block before. Blocks are streamed: a host with most pages is spread over blocks and none is gathered.
 """
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 
 # pages in a block on average, blocks at most, neighbours looked at on each side, neighbours that decide
-BLOCK_PAGES, MOST_BLOCKS, REACH, PARTNERS = 256, 1 << 15, 8, 4
+BLOCK_PAGES, MOST_BLOCKS, REACH, PARTNERS = 128, 1 << 14, 8, 4
+# pages drawn for each block, of which every so many-th begins one: blocks of like size
+DRAWN = 8
 # share of a page's text from which on another is its copy, and the same where three neighbours share it alike
 COPY, MANY = 0.6, 0.8
 _CELLS = 1 << 28
@@ -379,11 +381,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     spark = pages.sparkSession
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    share = min(1 / BLOCK_PAGES, MOST_BLOCKS / max(1, pages.count()))
+    share = DRAWN * min(1 / BLOCK_PAGES, MOST_BLOCKS / max(1, pages.count()))
     place = F.pmod(F.xxhash64(F.lit("html"), "page_id", "url"), F.lit(1 << 40))
-    bounds = pages.where(place < int(share * (1 << 40))).select("page_id", "url").distinct().collect()  # about MOST_BLOCKS rows at most
+    drawn = pages.where(place < int(share * (1 << 40))).select("page_id", "url").distinct().collect()  # about DRAWN * MOST_BLOCKS rows at most
     key = lambda url, page_id: (*url_key(url), page_id is not None, page_id or 0)
-    sent = spark.sparkContext.broadcast(sorted({key(r["url"], r["page_id"]) for r in bounds}))
+    begins = sorted({key(r["url"], r["page_id"]) for r in drawn})[DRAWN - 1 :: DRAWN]
+    sent = spark.sparkContext.broadcast(begins)
     line_type = pa.struct([("line", pa.string()), ("place", pa.int8()), ("link", pa.bool_())])
     names = ["block", "own", "page_id", "url", "host", "path", "lines"]
 
@@ -433,7 +436,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = pages.mapInArrow(parse, f"block int, own boolean, page_id bigint, url string, host string, path string, lines {line}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*map(F.col, ("block", "host", "path", "page_id")), F.xxhash64("lines"), F.desc("own")]
-    ordered = parsed.repartition(parts, "block").sortWithinPartitions(*order)
+    place = F.floor(F.col("block") * parts / (len(begins) + 1)).cast("int")
+    ordered = parsed.repartitionById(parts, place).sortWithinPartitions(*order)
     return ordered.mapInArrow(common.released(run), "page_id bigint, url string, text string, n_chars bigint")
 
 
