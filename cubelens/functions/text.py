@@ -42,14 +42,26 @@ def _layers(keywords: list[str]) -> list[list[str]]:
     return layers
 
 
+def _factored(words: list[list[str]]) -> str:
+    """One pattern of words given as lists of patterns, common beginnings written once."""
+    heads: dict[str, list[list[str]]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = [head + _factored(rests) for head, rests in heads.items()]
+    if not parts:
+        return ""
+    whole = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{whole})?" if any(not w for w in words) else whole
+
+
 def keyword_hits(low: Column, keywords: list[str]) -> Column:
     """Every keyword at every place where it stands in the lower-case text, single-spaced; one pass for each layer.
 
     The match looks ahead and takes nothing, so that keywords may overlap each other.
     """
-    form = r"\b(?=({})\b)"
-    bare = lambda k: keyword_pattern(k).removeprefix(r"\b").removesuffix(r"\b")
-    found = [F.regexp_extract_all(low, F.lit(form.format("|".join(map(bare, layer)))), F.lit(1)) for layer in _layers([" ".join(k.lower().split()) for k in keywords])]
+    units = lambda k: [r"\s+" if c == " " else re.escape(c) for c in k]
+    found = [F.regexp_extract_all(low, F.lit(rf"\b(?=({_factored(list(map(units, layer)))})\b)"), F.lit(1)) for layer in _layers([" ".join(k.lower().split()) for k in keywords])]
     return F.transform(F.concat(*found), lambda x: F.regexp_replace(x, r"\s+", " "))
 
 

@@ -29,25 +29,31 @@ def draw(seed: int, replicate: Column, i: Column, size: Column) -> Column:
 def _poisson(seed: int, *key: Column) -> Column:
     """A Poisson(1) weight from 48 bits of MD5(seed|key...): the same on any engine."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in key])
-    u = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    bits = F.substring(F.md5(text), 1, 12)  # hex digits of one length are in order as text
     total, steps = 0.0, F.lit(0)
     for k in range(9):  # beyond 8 is less than one in a million
         total += math.exp(-1) / math.factorial(k)
-        steps = steps + (u >= total).cast("int")
+        steps = steps + (bits >= f"{math.ceil(total * (1 << 48)):012x}").cast("int")
     return steps
 
 
+def _spread(small: DataFrame) -> DataFrame:
+    """The clusters over all tasks: they are few bytes, which would be put in one, but each is about to be drawn for every replicate."""
+    return small.repartition(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def replicates(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 1000, seed: int = 42, method: str = "multinomial") -> DataFrame:
     """``keys, b`` and the six sums of each replicate, from rows of (keys, cluster, y, p)."""
     small = rows.groupBy(*keys, cluster).agg(*metrics.counts())
     sums = [F.sum(F.col(c) * F.col("w")).alias(c) for c in PARTS]
     b = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     if method == "poisson":
-        each = small.withColumn("b", b).withColumn("w", _poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b")))
-        return each.where("w > 0").groupBy(*keys, "b").agg(*sums)
+        each = _spread(small).withColumn("b", b).withColumn("w", _poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b")))
+        # the filter comes after the sums: before them the optimizer would draw every weight twice
+        return each.groupBy(*keys, "b").agg(*sums, F.sum("w").alias("w")).where("w > 0").drop("w")
     order = W.partitionBy(*keys).orderBy(cluster)
     small = small.withColumn("j", (F.row_number().over(order) - 1).cast("long")).withColumn("m", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    drawn = small.select(*keys, "m", F.col("j").alias("i")).withColumn("b", b)
+    drawn = _spread(small.select(*keys, "m", F.col("j").alias("i"))).withColumn("b", b)
     drawn = drawn.withColumn("j", draw(seed, F.col("b"), F.col("i"), F.col("m"))).groupBy(*keys, "b", "j").agg(F.count(F.lit(1)).alias("w"))
     named = small.drop("m").withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("j", "_j")
     on = [drawn[k].eqNullSafe(named[f"_{k}"]) for k in keys] + [drawn["j"] == named["_j"]]
@@ -60,10 +66,10 @@ def metric_interval(rows: DataFrame, keys: list[str], cluster: str, sums: dict[s
     Poisson weights; replicates in which the metric is null or NaN are left out. No rows give none.
     """
     small = rows.groupBy(*keys, cluster).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()])
-    each = small.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    each = each.withColumn("w", _poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b"))).where("w > 0")
-    each = each.groupBy(*keys, "b").agg(*[F.sum(F.col(n) * F.col("w")).alias(n) for n in sums]).withColumn("value", metric.cast("double"))
-    each = each.where("value is not null and not isnan(value)")
+    each = _spread(small).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    each = each.withColumn("w", _poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b")))
+    each = each.groupBy(*keys, "b").agg(*[F.sum(F.col(n) * F.col("w")).alias(n) for n in sums], F.sum("w").alias("_w")).withColumn("value", metric.cast("double"))
+    each = each.where("_w > 0 and value is not null and not isnan(value)")
     return each.groupBy(*keys).agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
 
 

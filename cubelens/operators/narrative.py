@@ -71,7 +71,8 @@ def factor_deltas(cube: DataFrame, factor: str, column: str, lexicon: dict[str,
 def theme_prevalence(rows: DataFrame, column: str, lexicon: dict[str, list[str]]) -> DataFrame:
     """``outcome_group, theme, mean_density_per_100_tokens, n_documents``; a row may be in two groups."""
     groups = F.array_compact(F.array(*[F.when(F.col(f), F.lit(o)) for o, f in OUTCOMES.items()]))
-    long = rows.select(groups.alias("_g"), text.densities(F.col(column), lexicon).alias("d")).select(F.explode("_g").alias("outcome_group"), "d")
+    # explode_outer: a filter on the array would be pushed to the scan with all the expressions that the flags are made of
+    long = rows.select(groups.alias("_g"), text.densities(F.col(column), lexicon).alias("d")).select(F.explode_outer("_g").alias("outcome_group"), "d").where("outcome_group is not null")
     found = long.groupBy("outcome_group").agg(F.count(F.lit(1)).alias("n_documents"), *[F.avg(F.col("d")[i]["value"]).alias(f"m{i}") for i in range(len(lexicon))])
     cells = F.array(*[F.struct(F.lit(t).alias("theme"), F.col(f"m{i}").alias("mean_density_per_100_tokens")) for i, t in enumerate(lexicon)])
     return found.select("outcome_group", "n_documents", F.explode(cells).alias("x")).select("outcome_group", "x.*", "n_documents")

@@ -105,6 +105,10 @@ def shot_skew(rows: DataFrame, column: str, shot: str = "shot_type", topics: int
 def section(flagged: DataFrame, column: str, order: str = "ord") -> dict[str, DataFrame]:
     """Topic tables of rows with outcome flags; none where either outcome has fewer than ``LEAST`` documents."""
     rows = sample(flagged.where(F.trim(F.coalesce(column, F.lit(""))) != ""), order).persist()
-    if not enough(rows):
-        return {}
-    return {"topic_skew_lda": lda(rows, column), "topic_skew_nmf": nmf(rows, column), "shot_topic_skew_lda": shot_skew(rows, column)}
+    try:
+        if not enough(rows):
+            return {}
+        made = {"topic_skew_lda": lda(rows, column), "topic_skew_nmf": nmf(rows, column), "shot_topic_skew_lda": shot_skew(rows, column)}
+        return {name: t.sparkSession.createDataFrame(t.collect(), t.schema) for name, t in made.items()}  # a row for each topic and level
+    finally:
+        rows.unpersist()

@@ -69,10 +69,22 @@ def any_of(flags: list[Column], strict: bool = False) -> Column:
 
 
 def sequence_truth(sequence: Column, markers: dict[str, str], sets: dict[str, tuple[str, ...]], strict: bool = False) -> Column:
-    """The OR over the documents of the row's sequence, by a table of document sets."""
-    flags = {d: scores.coerce_marker(F.col(c)) for d, c in markers.items()}
-    cases = [F.when(sequence == s, any_of([flags[d] for d in ds if d in flags], strict)) for s, ds in sets.items() if any(d in flags for d in ds)]
-    return F.coalesce(*cases).cast("double") if cases else F.lit(None).cast("double")
+    """The OR over the documents of the row's sequence, by a map from sequences to places among the markers.
+
+    The markers are read once for all sequences: the one-element array binds them to a name.
+    """
+    at = {d: i for i, d in enumerate(markers)}
+    known = {s: [at[d] for d in ds if d in at] for s, ds in sets.items() if any(d in at for d in ds)}
+    if not known:
+        return F.lit(None).cast("double")
+    table = F.create_map(*[x for s, places in known.items() for x in (F.lit(s), F.array(*map(F.lit, places)))])
+    bound = F.struct(F.array(*[scores.coerce_marker(F.col(c)) for c in markers.values()]).alias("flags"), F.try_element_at(table, sequence).alias("at"))
+
+    def either(x: Column) -> Column:
+        shown = F.transform(x["at"], lambda i: F.get(x["flags"], i))
+        return F.when(F.forall(shown, lambda v: v.isNotNull()), F.array_max(shown)) if strict else F.array_max(shown)
+
+    return F.transform(F.array(bound), either)[0].cast("double")
 
 
 def document_truth(df: DataFrame, roles: Roles = DEFAULT, markers: dict[str, str] | None = None, strict: bool = False, sequences: list[str] | None = None, into: str = "document_truth") -> DataFrame:
