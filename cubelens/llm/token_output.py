@@ -99,6 +99,7 @@ class Encoder:
         self.ids, self.ends = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
         self.ids[0], self.ends[1] = END, 1
         self.used = 1
+        self.first: dict[str, list[int]] = {}  # ids of words that begin a text
 
     def _tokens(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -139,7 +140,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text begins and the last ends)."""
-        if len(self.index) > _CACHE_LIMIT:
+        if len(self.index) + len(self.first) > _CACHE_LIMIT:
             self.forget()
         look = self.index.__getitem__
         pieces: list[np.ndarray] = []
@@ -150,7 +151,9 @@ class Encoder:
             else:
                 first, *rest = text.split(" ")
                 if first:
-                    lone[i] = self._tokens(first)
+                    if first not in self.first:
+                        self.first[first] = self._tokens(first)
+                    lone[i] = self.first[first]
                 if rest and not rest[-1]:  # a space at the end
                     lone[~i] = self._tokens(" ")
                     rest.pop()
