@@ -18,11 +18,15 @@ def days_between(late: Column, early: Column) -> Column:
 def band_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, days: int, into: str = "date_diff") -> DataFrame:
     """Inner join on the key where the times are at most ``days`` whole days apart; the distance is added.
 
-    The band stands in the join condition, so that the equal key stays the shuffle key.
+    Time is cut into spans longer than the band, and a left row meets the right rows of its span and the two beside it:
+    a key with very many rows is dealt by span, and only rows that are near in time are compared. Null times match none.
     """
-    r = right.withColumnRenamed(key, "_key")
-    gap = F.abs(days_between(left[left_time], r[right_time]))
-    joined = left.join(r, (left[key] == r["_key"]) & (gap <= days)).drop("_key")
+    span = (days + 2) * 86_400_000_000  # a day more than the band, for clocks that are put on or back
+    at = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(span))
+    spread = left.withColumn("_span", F.explode(F.array(*[at(F.col(left_time)) + k for k in (-1, 0, 1)])))
+    r = right.withColumnRenamed(key, "_key").withColumn("_right_span", at(F.col(right_time)))
+    gap = F.abs(days_between(spread[left_time], r[right_time]))
+    joined = spread.join(r, (spread[key] == r["_key"]) & (spread["_span"] == r["_right_span"]) & (gap <= days)).drop("_key", "_span", "_right_span")
     return joined.withColumn(into, F.abs(days_between(F.col(left_time), F.col(right_time))))
 
 
