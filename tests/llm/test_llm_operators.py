@@ -949,3 +949,107 @@ def test_decontamination_equals_every_place_compared(spark):
     want = {(d, i): n for d, t in enumerate(texts) for i, x in items if (n := _similar(t.split(), x.split()))}
     assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
     assert all(n == want[k] for k, n in got.items())
+
+
+def _events(model, text):
+    """The six machines one after the other over each clause, on symbols looked up word by word."""
+    out = [0.0] * len(toxicity.EVENTS)
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        run = [(model.symbol(w), 1.0) for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)]
+        for machine in toxicity.machines().values():
+            state, after = 0, []
+            for symbol, weight in run:
+                put, w, state = machine.step(state, symbol)
+                after.append((put, weight * w))
+            run = after
+        for put, weight in run:
+            if put in toxicity._EVENT:
+                out[toxicity._EVENT[put]] += weight
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage on its own input against a plain version of what it says."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(51)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, prose(rng, 16, vocabulary)) for i in range(3)]
+    texts = [prose(rng, rng.randrange(1, 90), vocabulary) for _ in range(120)]
+    texts += [texts[i] + rng.choice(["", " ", " end"]) for i in range(0, 60, 3)]
+    texts += [f"{prose(rng, 10, vocabulary)} {t} {prose(rng, 10, vocabulary)}" for _, t in items] + ["you total idiot", "they are not idiots. fine", "zorgy person zorgy", "", None]
+    labels = []
+    for k in range(60):
+        toxic = k % 2
+        labels.append((len(texts), 1, toxic))
+        texts.append(f"{prose(rng, 9, vocabulary)} {'zorgy' if toxic else 'calm'} {prose(rng, 5, vocabulary)}")
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    model = toxicity._trained(spark, docs, str(tmp_path))
+    kept = {i for i, t in enumerate(texts) if model.score(np.array([_events(model, t or "")]))[0] < 0.5}
+    assert {i for i, t in enumerate(texts) if "zorgy" in (t or "")}.isdisjoint(kept) and len(kept) > 140
+    docs = common.stored(stages["toxicity"](spark, docs, str(tmp_path)), "a")
+    assert {r["doc_id"] for r in docs.collect()} == kept
+
+    ids = sorted(kept)
+    kept = {i for i, root in zip(ids, _components([_fingerprint(texts[i]) for i in ids]), strict=True) if ids[root] == i}
+    docs = common.stored(stages["simhash"](spark, docs, str(tmp_path)), "b")
+    assert {r["doc_id"] for r in docs.collect()} == kept and len(kept) < len(ids)
+
+    kept = {i for i in kept if not any(_similar((texts[i] or "").split(), t.split()) for _, t in items)}
+    docs = common.stored(stages["decontamination"](spark, docs, str(tmp_path)), "c")
+    assert {r["doc_id"] for r in docs.collect()} == kept
+
+    con = duckdb.connect()
+    documents = pa.table({k: [r[k] for r in docs.collect()] for k in ("doc_id", "text", "source")})
+    con.register("documents", documents)
+    found = con.execute(mixing.ORACLE)
+    names = [x[0] for x in found.description]
+    draws = {r[names.index("doc_id")]: r[names.index("draws")] for r in found.fetchall()}
+    docs = common.stored(stages["mixing"](spark, docs, str(tmp_path)), "d")
+    drawn = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {i: sum(d == i for d, _ in drawn) for i in kept} == draws
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in drawn:
+        tokens = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, len(tokens), zlib.crc32(np.array(tokens, "<u4").tobytes())))
+    got = stages["tokens"](spark, docs, str(tmp_path)).orderBy("start").collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(want)
+    assert [r["start"] for r in got] == [0, *itertools.accumulate(r["n_tokens"] for r in got)][:-1]
+
+
+def test_language_features_and_decoding_equal_plain_loops():
+    rng = np.random.default_rng(52)
+    texts = ["Ab c!", "", "é", "x", "one Two 3", "ab" * 40]
+    raw, at = common.text_bytes(pa.array(texts))
+    got = langid.features(raw, at)
+    for row, t in zip(got, texts, strict=True):
+        b = [x if x >= 128 else ord(chr(x).lower()) if chr(x).isalpha() else 32 for x in t.encode()]
+        counts = np.zeros(langid.BUCKETS)
+        for i in range(len(b)):
+            second, third = (b[i + k] if i + k < len(b) else 32 for k in (1, 2))
+            for code in (b[i] | second << 8, b[i] | second << 8 | third << 16 | 1 << 24):
+                counts[(code * 2654435761 % 2**32) >> 20] += 1
+        want = np.sqrt(counts)
+        assert np.allclose(row, want / max(np.linalg.norm(want), 1e-9), atol=1e-5)
+    code = langid.codewords(9)
+    model = langid.Model([f"l{i}" for i in range(9)], code, rng.normal(size=(langid.BUCKETS, code.shape[1])).astype(np.float32), np.zeros(code.shape[1], np.float32), rng.random(code.shape).astype(np.float32))
+    best, score, _ = model.predict(got)
+    for k in range(len(texts)):
+        margin = [sum(float(got[k, f]) * float(model.weights[f, j]) for f in np.flatnonzero(got[k])) for j in range(code.shape[1])]
+        distance = [sum(float(model.trust[c, j]) * np.logaddexp(0, -float(code[c, j]) * margin[j]) for j in range(code.shape[1])) for c in range(9)]
+        near = np.exp(-4 * (np.array(distance) - min(distance)))
+        assert int(np.argmin(distance)) == best[k] and abs(near.max() / near.sum() - score[k]) < 1e-3
+
+
+def test_codewords_of_many_languages_are_apart():
+    code = langid.codewords(200)
+    assert min(int((code[i] != code[j]).sum()) for i in range(200) for j in range(i)) >= 10
