@@ -89,6 +89,20 @@ def parse_response(text: Column | str) -> Column:
     return run(text)
 
 
+def flattened(payload: Column, depth: int = 3) -> Column:
+    """``map<string, string>`` of an object's values by dotted path; objects are entered ``depth`` deep, lists stay as JSON text."""
+    found = F.map_entries(F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    if depth <= 1:
+        return F.map_from_entries(found)
+
+    def entered(e: Column) -> Column:
+        inner = F.map_entries(flattened(e["value"], depth - 1))
+        below = F.transform(inner, lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
+        return F.when(F.startswith(F.ltrim(e["value"]), F.lit("{")) & (F.size(inner) > 0), below).otherwise(F.array(e))
+
+    return F.map_from_entries(F.flatten(F.transform(found, entered)))
+
+
 def payload_number(payload: Column, name: str, nested: bool = False) -> Column:
     """A score of the payload's top level, and under OUTCOME too if asked for; null where it is no number."""
     from .scores import to_number

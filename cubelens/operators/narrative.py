@@ -78,6 +78,13 @@ def theme_prevalence(rows: DataFrame, column: str, lexicon: dict[str, list[str]]
     return found.select("outcome_group", "n_documents", F.explode(cells).alias("x")).select("outcome_group", "x.*", "n_documents")
 
 
+def theme_matrix(found: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+    """``theme, place`` and a column for each outcome: the prevalence as a matrix in the lexicon's order, 0 where there is none."""
+    wide = found.groupBy("theme").pivot("outcome_group", list(OUTCOMES)).agg(F.first("mean_density_per_100_tokens"))
+    order = found.sparkSession.createDataFrame(list(zip(lexicon, range(len(lexicon)), strict=True)), "theme string, place int")
+    return order.join(wide, "theme", "left").fillna(0.0).orderBy("place")
+
+
 def theme_skew(rows: DataFrame, column: str, lexicon: dict[str, list[str]]) -> DataFrame:
     """``theme, fp_weight, fn_weight, skew_score``: 0 where both are 0."""
     found = theme_prevalence(rows.where("is_fp or is_fn"), column, lexicon).where(F.col("outcome_group").isin("False positive", "False negative"))

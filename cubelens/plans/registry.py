@@ -6,6 +6,7 @@ Measures are rounded to 6 places on both sides, after all arithmetic.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ from .. import constants as K
 from ..functions import jsonrepair, scores, text
 from ..shipping import ship
 from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, thresholds, tiers, topics, truth, views
-from ..sources import sinks
+from ..sources import batches, sinks
 from .surrogate import CUBE, MACRO_F1, MCC, POINT, PREPARED, bucket_sql, cube, point_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,16 +630,52 @@ fol AS (SELECT one.pid, proc, note, written, row_number() OVER (PARTITION BY one
 
 
 @query("chronology", f"WITH {_CHRON} SELECT one.pid AS patient_id, one.pid || '::' || strftime(one.proc, '%Y-%m-%d') AS episode_id, report AS result_report, scope AS \"Combined_Content\", coalesce(pre.note, 'NOT_AVAILABLE') AS preceding_clinic_letter, coalesce(fol.note, 'NOT_AVAILABLE') AS following_clinic_letter, {_DAYS.format(early='pre.written', late='one.proc')} AS preceding_clinic_time_diff, {_DAYS.format(early='one.proc', late='fol.written')} AS following_clinic_time_diff, date_diff FROM one LEFT JOIN pre ON pre.pid = one.pid AND pre.proc = one.proc AND pre.r = 1 LEFT JOIN fol ON fol.pid = one.pid AND fol.proc = one.proc AND fol.r = 1")
-def _(spark: SparkSession, d: str) -> DataFrame:
+def _chronology(spark: SparkSession, d: str, max_cases: int | None = None) -> DataFrame:
     e = _table(spark, d, "events").withColumn("patient_id", F.concat(F.lit("P"), F.col("user_id").cast("string")))
     i = F.col("event_id").cast("string")
     primary = e.where("event_type = 'view'").select("patient_id", F.col("ts").alias("sample_received_date"), F.concat("event_type", i).alias("result_report"))
     secondary = e.where("event_type = 'purchase'").select("patient_id", F.col("ts").alias("procedure_date"), F.concat(F.lit("scope "), i).alias("Combined_Content"))
     notes = e.where("event_type = 'signup'").select("patient_id", F.col("ts").alias("date_creation"), F.concat(F.lit("note "), i).alias("clean_content"))
-    out = linkage.chronology(primary, secondary, notes, 2, 10)
+    out = linkage.chronology(primary, secondary, notes, 2, 10, max_cases)
     return out.select("patient_id", "episode_id", "result_report", "Combined_Content", "preceding_clinic_letter", "following_clinic_letter", "preceding_clinic_time_diff", "following_clinic_time_diff", "date_diff")
 
 
+@query("first_cases", f"{ORACLES['chronology']} ORDER BY patient_id, episode_id LIMIT 40")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The feature of a run on the first cases alone."""
+    return _chronology(spark, d, 40)
+
+
+@query("unanswered", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    done = _table(spark, d, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_orderkey", "o_orderkey")
+    return sinks.undone(_table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), done, ["o_orderkey"])
+
+
+@query("union_by_name", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::BIGINT AS suppkey FROM customer UNION ALL SELECT NULL, s_name, NULL, s_suppkey FROM supplier")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return batches.union([a, _table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_name").alias("name"))])
+
+
+@query("written_tables", "SELECT o_orderkey, o_totalprice, o_orderpriority, 'orders' AS read_as FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A stage's table written, found again and read."""
+    root = f"{sinks.shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    sinks.write_tables({"orders": _table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("p"))}, root, aliases={"p": "o_orderpriority"})
+    return sinks.read_table(spark, root, "merged_outputs", "orders").withColumn("read_as", F.lit("orders"))
+
+
+@query("slugs", "SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' #' || p_type || ' ', '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select("p_partkey", scores.slug(F.concat("p_name", F.lit(" #"), "p_type", F.lit(" "))).alias("slug"))
+
+
+@query("messages", f"SELECT conv_id, turn, md5(chr(10) || 'Read it.' || chr(10) || chr(10) || '**INPUT:**' || chr(10) || chr(10) || text || chr(10) || chr(10) || '{prompts.REMINDER}' || chr(10)) AS digest FROM conversations")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "conversations").select("conv_id", "turn", F.md5(prompts.message(F.lit("Read it."), F.col("text"))).alias("digest"))
+
+
 @query("reference_left_join", "SELECT c_custkey AS patient_id, c_mktsegment AS site, o_orderkey, o_orderstatus AS site_llm FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d)[0]
@@ -685,8 +722,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
-    c = _table(spark, d, "conversations").where("turn = 0")
-    return c.select("conv_id", F.col("text").alias("result_report"), F.when(F.col("conv_id") % 3 == 0, "  ").otherwise(F.concat(F.lit("scope "), F.col("conv_id").cast("string"))).alias("Combined_Content"), F.col("role").alias("preceding_clinic_letter"), F.lit(None).cast("string").alias("following_clinic_letter"))
+    c = _table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.col("text").alias("result_report"), F.when(F.col("conv_id") % 3 == 0, "  ").otherwise(F.concat(F.lit("scope "), F.col("conv_id").cast("string"))).alias("Combined_Content"), F.col("role").alias("preceding_clinic_letter"), F.lit(None).cast("string").alias("following_clinic_letter"))
 
 
 _SECTION = "'**' || '{0}' || '**:' || chr(10) || chr(10) || {1} || chr(10)"
@@ -698,7 +735,7 @@ def _sections_sql() -> str:
         "all_docs": [("PRECEDING CLINIC LETTER", "role"), ("ENDOSCOPY REPORT", scope), ("HISTOPATHOLOGY REPORT", "text")], "clinic_following": [("CLINIC LETTER", "'NOT_AVAILABLE'")],
         "both": [("PRECEDING CLINIC LETTER", "role"), ("FOLLOWING CLINIC LETTER", "'NOT_AVAILABLE'"), ("HISTOPATHOLOGY REPORT", "text")], "preceding_following": [("PRECEDING CLINIC LETTER", "role"), ("FOLLOWING CLINIC LETTER", "'NOT_AVAILABLE'")],
     }
-    made = [f"SELECT conv_id, '{s}' AS report_sequence_name, {len(ps)} AS n_sections, md5(trim({' || chr(10) || '.join(_SECTION.format(a, b) for a, b in ps)}, chr(10) || ' ')) AS digest FROM conversations WHERE turn = 0" for s, ps in parts.items()]
+    made = [f"SELECT conv_id, turn, '{s}' AS report_sequence_name, {len(ps)} AS n_sections, md5(trim({' || chr(10) || '.join(_SECTION.format(a, b) for a, b in ps)}, chr(10) || ' ')) AS digest FROM conversations" for s, ps in parts.items()]
     return " UNION ALL ".join(made)
 
 
@@ -708,7 +745,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     rows = _cases(spark, d).crossJoin(F.broadcast(asked))  # a configuration of four rows
     parts = prompts.sections(F.col("report_sequence"), F.col("context_note_timing"))
     said = F.regexp_replace(prompts.rendered(parts), r"^[\n ]+|[\n ]+$", "")
-    return rows.select("conv_id", "report_sequence_name", F.size(parts).alias("n_sections"), F.md5(said).alias("digest"))
+    return rows.select("conv_id", "turn", "report_sequence_name", F.size(parts).alias("n_sections"), F.md5(said).alias("digest"))
 
 
 @query("truncate_words", "WITH w AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS ws FROM conversations) SELECT conv_id, turn, md5(CASE WHEN len(ws) > 20 THEN array_to_string(ws[1:20], ' ') ELSE text END) AS digest, len(ws) > 20 AS cut FROM w")
@@ -722,8 +759,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     asked = prompts.experiments(spark, _TEMPLATES, _ASKED)
     rows = _cases(spark, d).crossJoin(F.broadcast(asked))  # a configuration of twelve rows
     fit = prompts.budgeted(prompts.Words, 60)
-    made = rows.select("conv_id", "experiment_name", fit(F.col("prompt_content"), prompts.sections(F.col("report_sequence"), F.col("context_note_timing"))).alias("m"))
-    return made.select("conv_id", "experiment_name", text.token_count(F.col("m.message")).alias("tokens"), "m.truncated", F.array_join("m.truncated_sections", ",").alias("truncated_sections"))
+    made = rows.select("conv_id", "turn", "experiment_name", fit(F.col("prompt_content"), prompts.sections(F.col("report_sequence"), F.col("context_note_timing"))).alias("m"))
+    return made.select("conv_id", "turn", "experiment_name", text.token_count(F.col("m.message")).alias("tokens"), "m.truncated", F.array_join("m.truncated_sections", ",").alias("truncated_sections"))
 
 
 # ---- narrative ----------------------------------------------------------------------------------------------------
@@ -802,6 +839,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(narrative.theme_prevalence(narrative.flagged(cube(spark, d)), "Combined_Content", K.THEMES), ["outcome_group", "theme"])
 
 
+@query("theme_matrix", f"{_THEMED}, o AS (" + " UNION ALL ".join(f"SELECT '{g}' AS g, family AS theme, avg(v) AS m FROM long WHERE {f} GROUP BY 2" for g, f in _GROUPS.items()) + "), t(theme, place) AS (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(K.THEMES)) + ") SELECT theme, place, " + ", ".join(f"""round(coalesce(max(m) FILTER (g = '{g}'), 0), 6) AS "{g}" """ for g in _GROUPS) + "FROM t LEFT JOIN o USING (theme) GROUP BY 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = narrative.theme_prevalence(narrative.flagged(cube(spark, d)), "Combined_Content", K.THEMES)
+    return _rounded(narrative.theme_matrix(found, K.THEMES), ["theme", "place"])
+
+
 @query("theme_skew", f"{_THEMED}, s AS (SELECT family AS theme, avg(v) FILTER (is_fp) AS a, avg(v) FILTER (is_fn) AS b FROM long GROUP BY 1) SELECT theme, round(a, 6) AS fp_weight, round(b, 6) AS fn_weight, round(CASE WHEN a + b > 0 THEN (a - b) / (a + b) ELSE 0 END, 6) AS skew_score FROM s")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(narrative.theme_skew(narrative.flagged(cube(spark, d)), "Combined_Content", K.THEMES), ["theme"])

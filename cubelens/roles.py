@@ -36,6 +36,14 @@ def first_existing(items: Iterable[str], candidates: Iterable[str]) -> str | Non
     return next((c for c in candidates if c in have), None)
 
 
+# Columns that hold the whole text of a case, the first that is there counts.
+FULL_CONTEXT = ("Combined_Content", "full_response", "reasoning_text", "clues_text", "full_context", "context_text")
+
+
+def full_context_column(columns: Iterable[str]) -> str | None:
+    return first_existing(columns, FULL_CONTEXT)
+
+
 def subject_column(columns: Iterable[str]) -> str | None:
     return first_existing(columns, K.ID_COLUMNS)
 

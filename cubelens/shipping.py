@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,7 +23,9 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     files = sorted(root.rglob("*.py"))
     tag = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:12]
-    target = os.path.join(tempfile.mkdtemp(), f"{root.name}-{tag}.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, f"{root.name}-{tag}.zip")
     with zipfile.ZipFile(target, "w") as z:
         for f in files:
             z.write(f, f.relative_to(root.parent))

@@ -39,11 +39,21 @@ def provenance(df: DataFrame) -> DataFrame:
     return df.select("*", part(3).alias("source_file"), part(2).alias("source_parent"), part(2).alias("experiment_name"), part(1).alias("runner_name"), F.col("_metadata.file_path").alias("_path"))
 
 
+def union(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows under all columns by name; a column that a frame lacks is null in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def file_hashes(spark: SparkSession, *paths: str) -> DataFrame:
+    """``path, sha256`` of whole files, for the record of a run's inputs."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def read_batches(spark: SparkSession, root: str, patterns: Sequence[str] = PATTERNS) -> DataFrame:
     """All batch files in one frame, columns by name; columns that only some have are null elsewhere."""
     readers = {
         "parquet": lambda p: spark.read.option("mergeSchema", True).parquet(*p),
-        "csv": lambda p: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [provenance(spark.read.csv(x, header=True, multiLine=True, escape='"')) for x in p]),
+        "csv": lambda p: union([provenance(spark.read.csv(x, header=True, multiLine=True, escape='"')) for x in p]),
         "json": lambda p: spark.read.json(p),
     }
     frames = []
@@ -54,7 +64,7 @@ def read_batches(spark: SparkSession, root: str, patterns: Sequence[str] = PATTE
             frames.append(df if kind == "csv" else provenance(df))
     if not frames:
         raise FileNotFoundError(f"no batch files below {root}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return union(frames)
 
 
 def read_source(spark: SparkSession, path: str, id_column: str, date_column: str, text_column: str, date_format: str, names: tuple[str, str, str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import json
 import os
+import shutil
 import socket
 import tempfile
 import time
@@ -87,6 +89,18 @@ def write_json(data: object, path: str) -> None:
     out.close()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local session may go without and gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        found = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def with_batches(df: DataFrame, size: int, order: list[str], keys: list[str] | None = None) -> DataFrame:
     """Rows with the number ``batch`` of their ``size`` rows in order, within each key; without keys over all rows.
 
@@ -97,10 +111,7 @@ def with_batches(df: DataFrame, size: int, order: list[str], keys: list[str] | N
         number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
         return df.withColumn("batch", F.floor(number / size).cast("int"))
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()  # a row for each range
     first = itertools.accumulate((r["n"] for r in sizes), initial=0)

@@ -132,3 +132,20 @@ def test_budgets_by_a_tokenizer_file(spark):
     tokenizer = prompts.Words()
     message, cut, which = prompts.fit("T", [("A", "one two three"), ("B", "word " * 500)], tokenizer, 120)
     assert cut and which == ["B"] and len(tokenizer.encode(message)) <= 120 and "one two three" in message
+
+
+def test_payloads_as_dotted_columns(spark):
+    rows = [('{"a": 1, "b": {"c": "x", "d": {"e": [1, 2]}}, "f": {}}',), ("not json",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string").select(jsonrepair.flattened(F.col("p"))).collect()]
+    assert got == [{"a": "1", "b.c": "x", "b.d.e": "[1,2]", "f": "{}"}, {}, {}]
+
+
+def test_hashes_and_columns_of_a_run(spark, tmp_path):
+    import hashlib
+
+    from cubelens import roles
+    from cubelens.sources import batches
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    assert batches.file_hashes(spark, f"{tmp_path}/a.bin").first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
+    assert roles.full_context_column(["x", "clues_text", "full_response"]) == "full_response" and roles.full_context_column(["x"]) is None
