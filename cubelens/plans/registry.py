@@ -503,13 +503,13 @@ def _t975(most: int) -> dict[int, float]:
     scale = np.exp([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) for v in df]) / np.sqrt(df * np.pi)
     density = lambda t: scale[:, None] * (1 + t * t / df[:, None]) ** (-(df[:, None] + 1) / 2)
     t = np.full(len(df), 2.0)
-    for _ in range(60):
+    for _ in range(25):
         area = (density(t[:, None] * (at + 1) / 2) * weight).sum(axis=1) * t / 2
         t = t + (0.475 - area) / density(t[:, None])[:, 0]
     return {int(v) + 1: float(q) for v, q in zip(df, t, strict=True)}
 
 
-_T = _t975(401)
+_T = _t975(1001)
 
 
 @query("folder_breakdown", f"""WITH {CUBE}, f AS (SELECT folder, model_canon AS model, replace(printf('%.2f', temperature), '.', '_') AS temperature, shot_type AS shot, report_sequence_name AS data_type, 100.0 * count(*) FILTER (likelihood_score >= 5) / count(*) AS percent_ge_5, 100.0 * count(*) FILTER (tag = 'raw_valid_json') / count(*) AS no_repair_percent FROM cube GROUP BY ALL),
@@ -729,13 +729,15 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
 _SECTION = "'**' || '{0}' || '**:' || chr(10) || chr(10) || {1} || chr(10)"
 
 
+_SCOPE = "CASE WHEN conv_id % 3 = 0 THEN 'NOT_AVAILABLE' ELSE 'scope ' || conv_id END"
+_PARTS = {
+    "all_docs": [("PRECEDING CLINIC LETTER", "role"), ("ENDOSCOPY REPORT", _SCOPE), ("HISTOPATHOLOGY REPORT", "text")], "clinic_following": [("CLINIC LETTER", "'NOT_AVAILABLE'")],
+    "both": [("PRECEDING CLINIC LETTER", "role"), ("FOLLOWING CLINIC LETTER", "'NOT_AVAILABLE'"), ("HISTOPATHOLOGY REPORT", "text")], "preceding_following": [("PRECEDING CLINIC LETTER", "role"), ("FOLLOWING CLINIC LETTER", "'NOT_AVAILABLE'")],
+}
+
+
 def _sections_sql() -> str:
-    scope = "CASE WHEN conv_id % 3 = 0 THEN 'NOT_AVAILABLE' ELSE 'scope ' || conv_id END"
-    parts = {
-        "all_docs": [("PRECEDING CLINIC LETTER", "role"), ("ENDOSCOPY REPORT", scope), ("HISTOPATHOLOGY REPORT", "text")], "clinic_following": [("CLINIC LETTER", "'NOT_AVAILABLE'")],
-        "both": [("PRECEDING CLINIC LETTER", "role"), ("FOLLOWING CLINIC LETTER", "'NOT_AVAILABLE'"), ("HISTOPATHOLOGY REPORT", "text")], "preceding_following": [("PRECEDING CLINIC LETTER", "role"), ("FOLLOWING CLINIC LETTER", "'NOT_AVAILABLE'")],
-    }
-    made = [f"SELECT conv_id, turn, '{s}' AS report_sequence_name, {len(ps)} AS n_sections, md5(trim({' || chr(10) || '.join(_SECTION.format(a, b) for a, b in ps)}, chr(10) || ' ')) AS digest FROM conversations" for s, ps in parts.items()]
+    made = [f"SELECT conv_id, turn, '{s}' AS report_sequence_name, {len(ps)} AS n_sections, md5(trim({' || chr(10) || '.join(_SECTION.format(a, b) for a, b in ps)}, chr(10) || ' ')) AS digest FROM conversations" for s, ps in _PARTS.items()]
     return " UNION ALL ".join(made)
 
 
@@ -754,7 +756,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "conversations").select("conv_id", "turn", F.md5(kept).alias("digest"), cut.alias("cut"))
 
 
-@query("token_budget")
+def _budget_sql(limit: int) -> str:
+    """The shares one section after the other; the frame leaves room in every case."""
+    words, made = lambda t: len(t.split()), []
+    for prompt, template in _TEMPLATES.items():
+        for sequence, parts in _PARTS.items():
+            room = limit - words(template) - words("**INPUT:**") - words(prompts.REMINDER)
+            sizes = ", ".join(f"len(regexp_extract_all({text}, '\\S+')) AS b{i}" for i, (_, text) in enumerate(parts))
+            q = f"SELECT conv_id, turn, {room} AS r0, {sizes} FROM conversations"
+            for i, (label, _) in enumerate(parts):
+                head, left = words(label), len(parts) - i
+                q = f"SELECT *, greatest(0, r{i}) // {left} - {head} AS s{i} FROM ({q})"
+                q = f"SELECT *, r{i} - {head} - CASE WHEN b{i} > greatest(0, s{i}) THEN greatest(s{i}, 1) ELSE b{i} END AS r{i + 1} FROM ({q})"
+            cut = [f"CASE WHEN b{i} > greatest(0, s{i}) THEN '{label}' END" for i, (label, _) in enumerate(parts)]
+            names, last = f"concat_ws(',', {', '.join(cut)})", f"r{len(parts)}"
+            made.append(f"SELECT conv_id, turn, '{prompt}_shot_{sequence}' AS experiment_name, least({limit}, {limit} - {last})::INT AS tokens, {names} <> '' OR {last} < 0 AS truncated, {names} AS truncated_sections FROM ({q})")
+    return " UNION ALL ".join(made)
+
+
+@query("token_budget", _budget_sql(60))
 def _(spark: SparkSession, d: str) -> DataFrame:
     asked = prompts.experiments(spark, _TEMPLATES, _ASKED)
     rows = _cases(spark, d).crossJoin(F.broadcast(asked))  # a configuration of twelve rows
@@ -900,7 +920,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("report_sequence_name", scores.sequence_label(F.col("report_sequence_name")).alias("sequence_label"))
 
 
-@query("statistics_by_segment", "SELECT c_mktsegment, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std_dev, count(*) AS n, round(median(c_acctbal), 6) AS median, round(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 6) AS iqr, round(skewness(c_acctbal), 6) AS skewness, round(kurtosis(c_acctbal), 6) AS kurtosis FROM customer GROUP BY 1")
+@query("statistics_by_segment", f"WITH tq(n, t) AS (VALUES {', '.join(f'({n}, {t!r}::DOUBLE)' for n, t in _T.items())}), s AS (SELECT c_mktsegment, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd, count(*) AS n, round(median(c_acctbal), 6) AS median, round(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 6) AS iqr, round(skewness(c_acctbal), 6) AS skewness, round(kurtosis(c_acctbal), 6) AS kurtosis FROM customer GROUP BY 1) SELECT c_mktsegment, round(m, 6) AS mean, round(sd, 6) AS std_dev, n, median, iqr, skewness, kurtosis, round(m - t * sd / sqrt(n), 6) AS ci_lower, round(m + t * sd / sqrt(n), 6) AS ci_upper FROM s LEFT JOIN tq USING (n)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = descriptive.statistics(_table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal").drop("ci_lower", "ci_upper")
+    found = descriptive.statistics(_table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal")
     return _rounded(found, ["c_mktsegment", "n"])
