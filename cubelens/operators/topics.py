@@ -10,10 +10,12 @@ import numpy as np
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.scores import safe_divide
 
 TOPICS, TERMS, FEATURES, LEAST, MOST, SKEW = 8, 10, 1000, 25, 3000, 0.10
 
@@ -36,18 +38,31 @@ def counted(rows: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
     return model.transform(tokens), model.vocabulary
 
 
-def table(shares: DataFrame, terms: list[list[str]]) -> DataFrame:
-    """``topic, topic_index, fp_weight, fn_weight, skew_score, abs_skew, exploratory_signal, top_terms`` of (outcome, weights)."""
-    long = shares.select("outcome", F.posexplode("weights").alias("topic_index", "w"))
-    side = lambda o: F.coalesce(F.avg(F.when(F.col("outcome") == o, F.col("w"))), F.lit(0.0))
-    found = long.groupBy("topic_index").agg(side("fp").alias("fp_weight"), side("fn").alias("fn_weight"))
+# Names of the topics in order; further ones go by number.
+NAMES = ("Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine", "Ten", "Eleven")
+
+
+def topic_name(index: Column) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, NAMES)), index), index.cast("string"))
+
+
+def table(weighted: DataFrame, terms: list[list[str]]) -> DataFrame:
+    """``topic, topic_index, fp_weight, fn_weight, skew_score, abs_skew, exploratory_signal, top_terms`` of (outcome, weights).
+
+    The weights are a topic's share of all weights of the outcome's documents; the most skewed to false positives first.
+    """
+    long = weighted.select("outcome", F.posexplode("weights").alias("topic_index", "w"))
+    side = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("w"))), F.lit(0.0))
+    found = long.groupBy("topic_index").agg(side("fp").alias("fp"), side("fn").alias("fn"))
+    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # a row for each topic
+    found = found.withColumns({f"{o}_weight": safe_divide(F.col(o), F.sum(o).over(every)) for o in ("fp", "fn")})
     total = F.col("fp_weight") + F.col("fn_weight")
     skew = F.when(total > 0, (F.col("fp_weight") - F.col("fn_weight")) / total).otherwise(0.0)
     names = F.array(*[F.lit(", ".join(t)) for t in terms])
     return found.select(
-        F.concat(F.lit("Topic "), (F.col("topic_index") + 1).cast("string")).alias("topic"), "topic_index", "fp_weight", "fn_weight",
+        topic_name(F.col("topic_index")).alias("topic"), "topic_index", "fp_weight", "fn_weight",
         skew.alias("skew_score"), F.abs(skew).alias("abs_skew"), (F.abs(skew) > SKEW).alias("exploratory_signal"), names[F.col("topic_index")].alias("top_terms"),
-    )
+    ).orderBy(F.desc("skew_score"), "topic_index")
 
 
 def lda(rows: DataFrame, column: str, topics: int = TOPICS, seed: int = 42) -> DataFrame:
@@ -85,21 +100,21 @@ def nmf(rows: DataFrame, column: str, topics: int = TOPICS) -> DataFrame:
     x = np.array([r["x"] for r in got])
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     w, h = _factors(x, topics)
-    share = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
     terms = [[vocabulary[i] for i in np.argsort(-row, kind="stable")[:TERMS]] for row in h]
-    frame = rows.sparkSession.createDataFrame([(r["outcome"], s.tolist()) for r, s in zip(got, share, strict=True)], "outcome string, weights array<double>")
+    frame = rows.sparkSession.createDataFrame([(r["outcome"], s.tolist()) for r, s in zip(got, w, strict=True)], "outcome string, weights array<double>")
     return table(frame, terms)
 
 
 def shot_skew(rows: DataFrame, column: str, shot: str = "shot_type", topics: int = TOPICS, seed: int = 42) -> DataFrame:
-    """``shot, topic_index, fp_weight, fn_weight, skew_score``: how a topic's skew differs by prompt style."""
+    """``topic, shot, topic_index, fp_weight, fn_weight, skew_score``: how a topic's skew differs by prompt style, from sums of weights."""
     vectors, _ = counted(rows, column)
     model = LDA(k=topics, maxIter=10, seed=seed, featuresCol="_counts").fit(vectors)
     long = model.transform(vectors).select(shot, "outcome", F.posexplode(vector_to_array("topicDistribution")).alias("topic_index", "w"))
-    side = lambda o: F.coalesce(F.avg(F.when(F.col("outcome") == o, F.col("w"))), F.lit(0.0))
+    side = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("w"))), F.lit(0.0))
     found = long.groupBy(shot, "topic_index").agg(side("fp").alias("fp_weight"), side("fn").alias("fn_weight"))
     total = F.col("fp_weight") + F.col("fn_weight")
-    return found.withColumn("skew_score", F.when(total > 0, (F.col("fp_weight") - F.col("fn_weight")) / total).otherwise(0.0))
+    skew = F.when(total > 0, (F.col("fp_weight") - F.col("fn_weight")) / total).otherwise(0.0)
+    return found.withColumn("skew_score", skew).select(topic_name(F.col("topic_index")).alias("topic"), "*").orderBy(shot, "topic_index")
 
 
 def section(flagged: DataFrame, column: str, order: str = "ord") -> dict[str, DataFrame]:

@@ -136,6 +136,34 @@ def tiered_performance(cube: DataFrame, n_boot: int = 1000, seed: int = 42, char
     return out
 
 
+# Where the narrative's tables stand once more, and how their columns are called there.
+MIRROR = {
+    "reasoning_cue_deltas_all_models": "reasoning_audit",
+    "narrative_error_mechanisms": "error_profiles",
+    "certainty_error_rates": "error_profiles",
+    "catastrophic_failure_rates": "error_profiles",
+    "theme_prevalence_by_outcome": "heuristic_themes/full_context",
+    "heuristic_theme_skew": "heuristic_themes/full_context",
+    "topic_skew_lda": "topic_models/full_context",
+    "topic_skew_nmf": "topic_models/full_context",
+    "shot_topic_skew_lda": "comparisons/by_shot_type",
+    "shot_type_cue_deltas": "comparisons/by_shot_type",
+    "model_cue_deltas": "comparisons/by_model",
+    "temperature_cue_deltas": "comparisons/by_temperature",
+    "report_sequence_name_cue_deltas": "comparisons/by_clinical_context",
+}
+HEADERS = {
+    "fp_weight": "false_positive_topic_share",
+    "fn_weight": "false_negative_topic_share",
+    "skew_score": "false_positive_minus_false_negative_skew",
+    "top_terms": "top_topic_terms",
+    "zero": "zero_shot",
+    "single": "single_shot",
+    "dual": "dual_shot",
+    "high_minus_low_error_rate": "high_certainty_minus_low_certainty_error_rate",
+}
+
+
 def run_all(spark: SparkSession, cfg: AnalysisConfig, column: str = "full_response") -> Tables:
     """Every stage over one persisted fact table; each table is written below the output folder."""
     out = data_prep(spark, cfg)
@@ -144,6 +172,7 @@ def run_all(spark: SparkSession, cfg: AnalysisConfig, column: str = "full_respon
     out |= full_performance(cube, cfg.truth_mode, cfg.bootstrap_iterations, cfg.random_seed, not cfg.enable_temperature_analysis)
     out |= narrative_analysis(cube, column, cfg.truth_mode) | tiered_performance(cube, cfg.bootstrap_iterations, cfg.random_seed)
     sinks.write_tables(out, cfg.output_dir)
+    sinks.mirror_tables(spark, cfg.output_dir, "narrative_outputs", MIRROR, HEADERS)
     for held in ("parsed_outputs", "merged_outputs"):
         out[held].unpersist()
     return out

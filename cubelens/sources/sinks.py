@@ -75,6 +75,24 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, kind: str = "parque
     return index
 
 
+def mirror_tables(spark: SparkSession, root: str, folder: str, layout: Mapping[str, str], aliases: Mapping[str, str], kind: str = "parquet") -> DataFrame:
+    """Written tables once more below ``folder``, where ``layout`` puts them, under readable column names; gives the folder's index.
+
+    The folder holds copies alone and is made anew.
+    """
+    store, old = _files(spark, f"{root}/{folder}")
+    store.delete(old, True)
+    rows = []
+    for name, place in layout.items():
+        if (df := read_table(spark, root, name, kind=kind)) is not None:
+            path = f"{root}/{folder}/{place}/{name}"
+            write_table(df.withColumnsRenamed(dict(aliases)), path, kind)
+            rows.append((name, path, len(df.columns), "mirror"))
+    index = spark.createDataFrame(rows, INDEX)
+    write_table(index.coalesce(1), f"{root}/{folder}/output_index", kind)
+    return index
+
+
 def write_json(data: object, path: str) -> None:
     """A small JSON document, in the store that the path names; without a session in a local file."""
     text = json.dumps(data, indent=2)

@@ -149,3 +149,21 @@ def test_hashes_and_columns_of_a_run(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     assert batches.file_hashes(spark, f"{tmp_path}/a.bin").first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
     assert roles.full_context_column(["x", "clues_text", "full_response"]) == "full_response" and roles.full_context_column(["x"]) is None
+
+
+def test_mirror_of_written_tables(spark, tmp_path):
+    root, t = f"{tmp_path}/out", spark.createDataFrame([(1, 0.5)], "a int, skew_score double")
+    sinks.write_tables({"x": t, "y": t}, root)
+    for layout in ({"x": "one/two", "gone": "z"}, {"y": "one"}):
+        index = sinks.mirror_tables(spark, root, "clean", layout, {"skew_score": "skew"})
+    assert [r["table"] for r in index.collect()] == ["y"] and not sinks.exists(spark, f"{root}/clean/one/two/x")
+    assert spark.read.parquet(f"{root}/clean/one/y").columns == ["a", "skew"] and sinks.read_table(spark, root, "y").columns == t.columns
+
+
+def test_topic_shares_are_of_all_weights(spark):
+    from cubelens.operators import topics
+
+    rows = [("fp", [1.0, 3.0]), ("fp", [0.0, 4.0]), ("fn", [2.0, 2.0])]
+    got = topics.table(spark.createDataFrame(rows, "outcome string, weights array<double>"), [["a"], ["b"]]).collect()
+    assert [(r["topic"], r["fp_weight"], r["fn_weight"]) for r in got] == [("One", 0.875, 0.5), ("Zero", 0.125, 0.5)]
+    assert got[0]["skew_score"] == pytest.approx(0.375 / 1.375) and got[0]["exploratory_signal"] and got[1]["top_terms"] == "a"
