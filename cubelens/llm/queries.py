@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, exact_dedup, html_text, langid, license_scan, mixing, simhash, substring, token_output, toxicity
+from . import common, decontaminate, exact_dedup, html_text, langid, license_scan, mixing, prefix_trie, simhash, substring, token_output, toxicity, vector_codes, warc
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,9 @@ _ALL = (
     simhash.op8_simhash,
     substring.op9_substring,
     langid.op10_language_id,
+    warc.op11_warc,
+    vector_codes.op12_vector_codes,
+    prefix_trie.op13_prefix_trie,
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}
-ORACLES = {"op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op5_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op11_warc": warc.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
