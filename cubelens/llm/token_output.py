@@ -72,10 +72,10 @@ class _Index(dict):
 class Encoder:
     """Ids of whole texts, each with the end id after it, from a byte-level BPE file of the tokenizers library.
 
-    The rule by which such files split texts never joins what stands before a single space between two other
-    characters with what follows, so the texts are cut there, and the library's model encodes each distinct piece
-    once; tests hold this against the library on whole texts. Texts with two spaces in a row or a special token's
-    string, and all texts where the file has another rule or a normalizer, are encoded whole.
+    The rule by which such files split texts never joins what stands before a single space without white space beside it
+    with what follows, so the texts are cut there, and the library's model encodes each distinct piece once; tests hold
+    this against the library on whole texts. Texts with a space beside other white space, with two spaces in a row or a
+    special token's string, and all texts where the file has another rule or a normalizer, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -100,6 +100,7 @@ class Encoder:
         self.ids[0], self.ends[1] = END, 1
         self.used = 1
         self.first: dict[str, list[int]] = {}  # ids of words that begin a text
+        self.edge, self.edges = np.zeros(len(self.ends), bool), 0  # pieces with white space at an end, and how many
 
     def _tokens(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -110,16 +111,22 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while at + len(sizes) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.edge = np.concatenate([self.edge, np.zeros_like(self.edge)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.ends[at + 1 : at + len(sizes) + 1] = self.used + np.cumsum(sizes)
         self.used += len(ids)
 
     def _learn(self) -> None:
-        """Pieces that hold more than white space are split end to end into words, each word encoded once."""
+        """Pieces are split end to end into words, each word encoded once.
+
+        The rule cuts at a single space that has no white space beside it, so pieces joined by spaces are cut as each is
+        alone. A piece with white space at an end depends on what stands beside it: it is marked and has no ids, and
+        texts that hold it are encoded whole.
+        """
         new, self.index.new = self.index.new, []
         at = len(self.index) - len(new)
-        odd = [i for i, p in enumerate(new) if p.isspace()]
-        joined = [p for p in new if not p.isspace()] if odd else new
+        edge = np.fromiter((p[0].isspace() or p[-1].isspace() for p in new), bool, len(new))
+        joined = [p for p, e in zip(new, edge, strict=True) if not e] if edge.any() else new
         cut = self.split.findall(" " + " ".join(joined)) if joined else []
         known = {w: i for i, w in enumerate(dict.fromkeys(cut))}
         tokenize = self.tokenizer.model.tokenize
@@ -132,11 +139,11 @@ class Encoder:
         begins = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))  # characters after each word
         last = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)) + 1))
         sizes = np.diff(np.concatenate([[0], after[last + 1]])) if joined else np.zeros(0, np.int64)
-        if odd:  # white space alone, in its place among the others
-            rows = iter(np.split(ids, np.cumsum(sizes)[:-1]) if joined else [])
-            parts = [np.array(self._tokens(" " + p), np.uint32) if p.isspace() else next(rows) for p in new]
-            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
-        self._store(ids, sizes, at)
+        full = np.zeros(len(new), np.int64)
+        full[~edge] = sizes
+        self._store(ids, full, at)
+        self.edge[at : at + len(new)] = edge
+        self.edges += int(edge.sum())
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text begins and the last ends)."""
@@ -146,10 +153,10 @@ class Encoder:
         pieces: list[np.ndarray] = []
         lone: dict[int, list[int]] = {}  # ids that no piece has: of the first word, or of the whole text
         for i, text in enumerate(texts):
-            if not self.plain or any(w in text for w in self.whole):
+            first, *rest = text.split(" ")
+            if not self.plain or any(w in text for w in self.whole) or (rest == [""] and first[-1:].isspace()):
                 lone[i], rest = self._tokens(text), []
             else:
-                first, *rest = text.split(" ")
                 if first:
                     if first not in self.first:
                         self.first[first] = self._tokens(first)
@@ -160,6 +167,10 @@ class Encoder:
             pieces.append(np.fromiter(map(look, rest), np.int64, len(rest)))
         if self.index.new:
             self._learn()
+        if self.edges:
+            for i in np.flatnonzero([self.edge[p].any() for p in pieces]).tolist():
+                lone.pop(~i, None)
+                lone[i], pieces[i] = self._tokens(texts[i]), np.zeros(0, np.int64)
         zero = np.zeros(1, np.int64)
         at = np.concatenate([x for p in pieces for x in (p, zero)] or [zero[:0]])
         low = self.ends[at]
