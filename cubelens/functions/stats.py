@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache, reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+EXACT = 200  # degrees of freedom up to which t quantiles are numbers
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz)."""
     tiny = 1e-300
@@ -43,6 +47,22 @@ def t_quantile(p: float, df: int) -> float:
     return (low + high) / 2
 
 
+def t_quantile_of(p: float, df: Column) -> Column:
+    """Student's t quantile for a column of degrees of freedom, 1 or more; null else.
+
+    Up to ``EXACT`` degrees it is looked up among numbers, beyond that it is the normal quantile with four terms of
+    Fisher's expansion, which is exact to ten digits there.
+    """
+    z = NormalDist().inv_cdf(p)
+    # Coefficients of z, z^3, z^5, ... and divisors of the expansion's terms.
+    terms = (((1, 1), 4), ((3, 16, 5), 96), ((-15, 17, 19, 3), 384), ((-945, -1920, 1482, 776, 79), 92160))
+    series = F.lit(z)
+    for k, (coefficients, divisor) in enumerate(terms, 1):
+        series = series + F.lit(sum(c * z ** (2 * i + 1) for i, c in enumerate(coefficients)) / divisor) / F.pow(df, F.lit(float(k)))
+    known = F.array(*[F.lit(t_quantile(p, d)) for d in range(1, EXACT + 1)])
+    return F.when(df.between(1, EXACT), F.try_element_at(known, df.cast("int"))).when(df > EXACT, series)
+
+
 def skewness(x: str) -> Column:
     """Bias-corrected; 0 for fewer than three values or no spread."""
     n = F.count(x).cast("double")

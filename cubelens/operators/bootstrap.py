@@ -2,21 +2,29 @@
 
 All eight metrics follow from (n, tp, fp, tn, fn, sq), so a cluster is reduced to these six numbers first; what is
 resampled are clusters, never rows. ``multinomial`` draws as many clusters as there are, by counters: draw i of
-replicate b is MD5(seed|b|i) modulo the number of clusters, the same on any engine. ``poisson`` gives each cluster a
+replicate b is MD5(seed|b|i) modulo the number of clusters, the same on any engine; clusters are numbered in ranges.
+``poisson`` gives each cluster a
 Poisson(1) weight in each replicate from a hash of its own: no join and no order of clusters, so that partial
-aggregation leaves one row for each group and replicate on a task; the stages use it. :func:`metric_interval` does the
-same for any metric that follows from sums.
+aggregation leaves one row for each group and replicate on a task; the stages use it. Other metrics, by the same draws:
+:func:`metric_interval` those that follow from sums, :func:`histogram_interval` those that follow from counts by value
+(AUC, quantiles, calibration), :func:`user_interval` whatever a function of (rows, weights) can add up.
 """
 
 from __future__ import annotations
 
+import io
 import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, ranges
 
 PARTS = ("n", "tp", "fp", "tn", "fn", "sq")
 
@@ -51,8 +59,8 @@ def replicates(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 100
         each = _spread(small).withColumn("b", b).withColumn("w", _poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b")))
         # the filter comes after the sums: before them the optimizer would draw every weight twice
         return each.groupBy(*keys, "b").agg(*sums, F.sum("w").alias("w")).where("w > 0").drop("w")
-    order = W.partitionBy(*keys).orderBy(cluster)
-    small = small.withColumn("j", (F.row_number().over(order) - 1).cast("long")).withColumn("m", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    small = ranges.numbered(small, keys, [cluster], "j")
+    small = ranges.null_safe(small, small.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), keys) if keys else small.crossJoin(F.broadcast(small.agg(F.count(F.lit(1)).alias("m"))))  # one row
     drawn = _spread(small.select(*keys, "m", F.col("j").alias("i"))).withColumn("b", b)
     drawn = drawn.withColumn("j", draw(seed, F.col("b"), F.col("i"), F.col("m"))).groupBy(*keys, "b", "j").agg(F.count(F.lit(1)).alias("w"))
     named = small.drop("m").withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("j", "_j")
@@ -73,6 +81,160 @@ def metric_interval(rows: DataFrame, keys: list[str], cluster: str, sums: dict[s
     return each.groupBy(*keys).agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
 
 
+def histograms(rows: DataFrame, keys: list[str], cluster: str, value: str, y: str = "y", n_boot: int = 250, seed: int = 42) -> DataFrame:
+    """``keys, b, v, pos, neg``: how often each value stands with truth 1 and 0 in replicate b; b = -1 is the table itself.
+
+    A task hands on one row for each key, replicate and value, however many rows it has. Rows without value are left out.
+    """
+    small = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster, F.col(value).alias("v")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    each = _spread(small).withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))))
+    each = each.withColumn("w", F.when(F.col("b") < 0, 1).otherwise(_poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b"))))
+    found = each.groupBy(*keys, "b", "v").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"), F.sum("w").alias("w"))
+    return found.where("w > 0").drop("w")
+
+
+def auc_of(cells: DataFrame, by: list[str]) -> DataFrame:
+    """``by, x``: the area under the ROC curve by midranks; null with one class."""
+    below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = cells.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2))
+    return won.groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("pos").cast("double") * F.sum("neg")).alias("x"))
+
+
+def quantile_of(q: float) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """``by, x``: a quantile of the values, between neighbours in proportion."""
+
+    def metric(cells: DataFrame, by: list[str]) -> DataFrame:
+        n = F.col("pos") + F.col("neg")
+        upto = F.sum(n).over(W.partitionBy(*by).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+        spot = F.lit(q) * (F.sum(n).over(W.partitionBy(*by)) - 1)
+        low, high = F.floor(spot), F.ceil(spot)
+        first = F.col("_upto") - n
+        placed = cells.where(n > 0).withColumns({"_upto": upto, "_low": low, "_high": high, "_part": spot - low})
+        # the greatest value that begins at or before a rank holds it
+        found = placed.groupBy(*by).agg(F.max(F.when(first <= F.col("_low"), F.col("v"))).alias("_a"), F.max(F.when(first <= F.col("_high"), F.col("v"))).alias("_b"), F.max("_part").alias("_part"))
+        return found.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("x"))
+
+    return metric
+
+
+def calibration_of(probability: Callable[[Column], Column]) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """``by, x``: the expected calibration error with a bin for each value, whose probability the function says."""
+
+    def metric(cells: DataFrame, by: list[str]) -> DataFrame:
+        n = F.col("pos") + F.col("neg")
+        return cells.groupBy(*by).agg(F.try_divide(F.sum(F.abs(F.col("pos") - n * probability(F.col("v")))), F.sum(n).cast("double")).alias("x"))
+
+    return metric
+
+
+def histogram_interval(rows: DataFrame, keys: list[str], cluster: str, value: str, metric: Callable[[DataFrame, list[str]], DataFrame], n_boot: int = 250, seed: int = 42, y: str = "y") -> DataFrame:
+    """``keys, point, mean, low, high`` of a metric of (v, pos, neg) counts, such as :func:`auc_of`.
+
+    Each key and replicate is ordered apart, so that work is dealt by replicate. Replicates in which the metric is null
+    are left out, and keys in which it always is.
+    """
+    each = metric(histograms(rows, keys, cluster, value, y, n_boot, seed), [*keys, "b"]).where("x is not null and not isnan(x)")
+    drawn = F.when(F.col("b") >= 0, F.col("x"))
+    return each.groupBy(*keys).agg(F.max(F.when(F.col("b") < 0, F.col("x"))).alias("point"), F.avg(drawn).alias("mean"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+
+
+@dataclass(frozen=True)
+class Mergeable:
+    """A metric of (rows, weights) for all replicates at once, as a sum over parts of the rows.
+
+    ``partial(rows, weights)`` gives a state for a part: an array whose first axis are the replicates; ``weights`` is
+    [row, replicate], and its first column, of ones, is the table itself. ``merge`` joins two states and ``finish`` gives
+    a number for each replicate. States have the same size whatever the rows, so that no task holds all rows of a key.
+    """
+
+    partial: Callable[[pd.DataFrame, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], np.ndarray]
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add
+
+
+def row_weights(cluster: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """[row, 1 + replicate]: ones, then Poisson(1) draws from a mix of the cluster's 64-bit hash and the replicate."""
+    with np.errstate(over="ignore"):
+        x = cluster.astype(np.int64).view(np.uint64)[:, None] + np.arange(n_boot, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 & (2**64 - 1))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    drawn = np.searchsorted(steps, (x >> np.uint64(11)) / float(1 << 53), side="right")
+    return np.concatenate([np.ones((len(x), 1), np.int64), drawn], axis=1)
+
+
+def _packed(state: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, state, allow_pickle=False)
+    return out.getvalue()
+
+
+def user_interval(rows: DataFrame, keys: list[str], cluster: str, metric: Mergeable, columns: list[str], n_boot: int = 250, seed: int = 42) -> DataFrame:
+    """``keys, point, mean, low, high`` of a user's metric, whose function sees ``columns`` of the rows.
+
+    Tasks add up their rows to one state a key; the states of a key, one for each task, meet in about as many tasks as
+    the root of their number, and then in one that holds two at a time. Replicates that give NaN are left out.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = math.isqrt(tasks) + 1
+    named = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.xxhash64(cluster).alias("_h"), *columns)
+    kinds = [f"_k{i} {rows.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)]
+    at, step, most = [f"_k{i}" for i in range(len(keys))], max(1, (1 << 21) // (n_boot + 1)), 1 << 12
+
+    def frame(states: dict[tuple, np.ndarray], salt: int) -> pd.DataFrame:
+        return pd.DataFrame([(*k, salt, _packed(s)) for k, s in states.items()], columns=[*at, "_salt", "_state"], dtype=object)
+
+    def partials(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        salt, states = TaskContext.get().partitionId() % salts, {}
+        for part in parts:
+            for low in range(0, len(part), step):
+                some = part.iloc[low : low + step]
+                groups = some.groupby(at, dropna=False, sort=False) if at else [((), some)]
+                for key, own in groups:
+                    key = tuple(None if pd.isna(k) else k for k in key)
+                    state = np.asarray(metric.partial(own[columns], row_weights(own["_h"].to_numpy(), n_boot, seed)))
+                    states[key] = metric.merge(states[key], state) if key in states else state
+                if len(states) > most:  # many keys: hand them on, they meet later
+                    yield frame(states, salt)
+                    states = {}
+        if states:
+            yield frame(states, salt)
+
+    def meet(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        """Joins states that stand one after the other; the last time it finishes them."""
+        key, state, row = None, None, None
+        names = [*at, *(["_values"] if last else ["_state"])]
+
+        def done() -> pa.RecordBatch:
+            cell = pa.array([np.asarray(metric.finish(state), np.float64).tolist()], pa.list_(pa.float64())) if last else pa.array([_packed(state)], pa.binary())
+            return pa.RecordBatch.from_arrays([*[row.column(c) for c in at], cell], names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                this = tuple(one.column(c)[0].as_py() for c in [*at, *([] if last else ["_salt"])])
+                found = np.load(io.BytesIO(one.column("_state")[0].as_py()), allow_pickle=False)
+                if state is not None and this == key:
+                    state = metric.merge(state, found)
+                else:
+                    if state is not None:
+                        yield done()
+                    key, state, row = this, found, one
+        if state is not None:
+            yield done()
+
+    first = named.mapInPandas(partials, ", ".join([*kinds, "_salt int", "_state binary"]))
+    some = first.repartition(tasks, *at, "_salt").sortWithinPartitions(*at, "_salt").mapInArrow(lambda x: meet(x, False), ", ".join([*kinds, "_state binary"]))
+    whole = some.repartition(tasks, *at).sortWithinPartitions(*at) if at else some.coalesce(1)
+    values = whole.mapInArrow(lambda x: meet(x, True), ", ".join([*kinds, "_values array<double>"]))
+    drawn = F.filter(F.slice("_values", 2, n_boot), lambda v: v.isNotNull() & ~F.isnan(v))
+    each = values.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_values")[0].alias("point"), F.explode_outer(drawn).alias("x"))
+    return each.groupBy(*keys).agg(F.first("point").alias("point"), F.avg("x").alias("mean"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
+
+
 def intervals(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 1000, seed: int = 42, method: str = "multinomial", names: tuple[str, ...] = metrics.METRICS) -> DataFrame:
     """``keys`` and for each metric its bootstrap ``_mean``, the arms ``_lo`` and ``_hi`` around that mean, and the interval."""
     each = replicates(rows, keys, cluster, n_boot, seed, method)
@@ -84,7 +246,7 @@ def intervals(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 1000
     return out.select(*keys, *arms)
 
 
-def with_intervals(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 1000, seed: int = 42, method: str = "multinomial") -> DataFrame:
+def with_intervals(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 1000, seed: int = 42, method: str = "poisson") -> DataFrame:
     """The metric table with each metric's arms: ``keys, n``, eight times (metric, _lo, _hi)."""
     table = metrics.metric_table(rows, keys)
     arms = intervals(rows, keys, cluster, n_boot, seed, method).select(*keys, *[f"{m}_{e}" for m in metrics.METRICS for e in ("lo", "hi")])

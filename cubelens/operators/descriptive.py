@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import jsonrepair, scores, stats
 from ..functions.scores import count_percent
 from ..roles import DEFAULT, Roles
-from . import metrics
+from ..sources.scratch import stored
+from . import metrics, ranges
 
 
 def cohort(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -62,19 +63,18 @@ def parse_outcomes(df: DataFrame, by: str = "source_parent") -> DataFrame:
 def statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys`` and mean, sd, n, t interval, median, IQR, corrected skew and kurtosis of a column's numbers.
 
-    The t quantiles of the distinct degrees of freedom are computed on the driver and joined: a number for each
-    distinct group size.
+    The numbers are written once, so that the input is run once; moments are one aggregate of them, and the quartiles
+    are found in ranges of the sorted values, without a buffer of a group's values.
     """
-    rows = df.withColumn("_v", scores.number(F.col(value))).where("_v is not null")
+    rows = stored(df.select(*keys, scores.number(F.col(value)).alias("_v")).where("_v is not null"), "statistics")
     found = rows.groupBy(*keys).agg(
-        F.avg("_v").alias("mean"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("std_dev"), F.count("_v").alias("n"), F.median("_v").alias("median"),
-        (F.percentile("_v", 0.75) - F.percentile("_v", 0.25)).alias("iqr"), stats.skewness("_v").alias("skewness"), stats.kurtosis("_v").alias("kurtosis"),
+        F.avg("_v").alias("mean"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("std_dev"), F.count("_v").alias("n"),
+        stats.skewness("_v").alias("skewness"), stats.kurtosis("_v").alias("kurtosis"),
     )
-    sizes = sorted(r["n"] for r in found.select("n").distinct().collect())
-    quantile = df.sparkSession.createDataFrame([(n, stats.t_quantile(0.975, n - 1) if n > 1 else 0.0) for n in sizes], "n bigint, _t double")
-    half = F.when((F.col("n") > 1) & (F.col("std_dev") > 0), F.col("_t") * F.col("std_dev") / F.sqrt("n")).otherwise(0.0)
-    found = found.join(quantile, "n")
-    return found.select(*keys, "mean", "std_dev", "n", (F.col("mean") - half).alias("ci_lower"), (F.col("mean") + half).alias("ci_upper"), "median", "iqr", "skewness", "kurtosis")
+    quartiles = ranges.quantiles(rows, keys, "_v", {"_q25": 0.25, "median": 0.5, "_q75": 0.75})
+    found = ranges.null_safe(found, quartiles, keys)
+    half = F.when((F.col("n") > 1) & (F.col("std_dev") > 0), stats.t_quantile_of(0.975, F.col("n") - 1) * F.col("std_dev") / F.sqrt("n")).otherwise(0.0)
+    return found.select(*keys, "mean", "std_dev", "n", (F.col("mean") - half).alias("ci_lower"), (F.col("mean") + half).alias("ci_upper"), "median", (F.col("_q75") - F.col("_q25")).alias("iqr"), "skewness", "kurtosis")
 
 
 def with_strings(table: DataFrame) -> DataFrame:
@@ -104,10 +104,10 @@ def missingness(df: DataFrame) -> DataFrame:
 def numeric_describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, count, mean, std, min, q25, q50, q75, max`` with exact quartiles; null for a column without values."""
     long = df.select(*[scores.number(F.col(c)).alias(c) for c in columns]).unpivot([], columns, "column", "x")
-    return long.groupBy("column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-        F.percentile("x", 0.25).alias("q25"), F.percentile("x", 0.5).alias("q50"), F.percentile("x", 0.75).alias("q75"), F.max("x").alias("max"),
-    )
+    long = stored(long, "describe")
+    found = long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quartiles = ranges.quantiles(long, ["column"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return found.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def score_means(df: DataFrame, keys: list[str], roles: Roles = DEFAULT) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranges
+
 MISSING = "NOT_AVAILABLE"
 
 
@@ -38,53 +40,31 @@ def keep_best(df: DataFrame, keys: list[str], order: list[Column | str]) -> Data
 
 def asof_join(
     left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: dict[str, str],
-    direction: str = "backward", window_days: int | None = None, order: str | None = None, grain: list[str] | None = None,
+    direction: str = "backward", window_days: int | None = None, order: str | None = None,
 ) -> DataFrame:
-    """Each left row with the nearest right row on one side of it, or nulls.
+    """Each left row with the nearest right row on one side of it, or nulls; repeated left rows stay.
 
     Backward takes the latest row that lies before (whole days below 0, that is any earlier instant), forward the
-    earliest at least 24 hours after (whole days above 0). ``values`` maps right columns to output names; equal times
-    go by ``order``. With ``grain`` (unique left columns) rows are reduced with one partial aggregate.
-    """
-    sign = 1 if direction == "forward" else -1
-    grain = grain or [key, left_time]
-    names = {c: f"_r_{c}" for c in right.columns}
-    r = right.withColumnsRenamed(names)
-    gap = days_between(F.col(names[right_time]), left[left_time])
-    near = gap > 0 if sign > 0 else gap < 0
-    if window_days is not None:
-        near = near & (F.abs(gap) <= window_days)
-    joined = left.join(r, (left[key] == r[names[key]]) & near, "left")
-    rank = F.struct(F.lit(-sign) * F.unix_micros(F.col(names[right_time]).cast("timestamp")), *([-F.col(names[order])] if order else []))
-    taken = F.max_by(F.struct(*[F.col(names[c]).alias(v) for c, v in values.items()]), F.when(F.col(names[right_time]).isNotNull(), rank)).alias("_taken")
-    rest = [c for c in left.columns if c not in grain]
-    out = joined.groupBy(*grain).agg(*[F.first(c).alias(c) for c in rest], taken)
-    return out.select(*left.columns, *[F.col(f"_taken.{v}").alias(v) for v in values.values()])
-
-
-def asof_ordered(
-    left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: dict[str, str],
-    direction: str = "backward", window_days: int | None = None, order: str | None = None,
-) -> DataFrame:
-    """:func:`asof_join` in one sort: both sides in one stream by time, the last right value carried on.
+    earliest at least 24 hours after (whole days above 0). ``values`` maps right columns to output names; of right rows of
+    equal time the one with the least ``order``. Beyond ``window_days`` there is none.
 
-    Linear in a subject's rows, where an equi-join would multiply its two sides; keeps repeated left rows. Right rows of
-    equal time go by ``order``, its least winning.
+    Both sides are one stream by time, and the last right value is carried on. The stream is cut into ranges by subject
+    and time, so that a subject with half of all rows is dealt to many tasks and none meets all pairs of its rows.
     """
     ahead = direction == "forward"
-    shift = F.make_dt_interval(F.lit(1)) if ahead else F.make_dt_interval(F.lit(0))
+    sign, shift = (-1, 86_400_000_000) if ahead else (1, 0)
+    at = lambda c, more=0: F.lit(sign) * (F.unix_micros(F.col(c).cast("timestamp")) + F.lit(more))
     taken = F.struct(*[F.col(c).alias(v) for c, v in values.items()], F.col(right_time).alias("_at"))
     rank = -F.col(order) if order else F.lit(0)
-    a = left.select(F.col(key).alias("_k"), (F.col(left_time) + shift).alias("_t"), F.lit(int(ahead)).alias("_side"), F.lit(0).cast("long").alias("_o"), F.struct(*left.columns).alias("_row"))
-    b = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(int(not ahead)).alias("_side"), rank.cast("long").alias("_o"), taken.alias("_value"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    time = F.col("_t").desc() if ahead else F.col("_t").asc()
-    run = W.partitionBy("_k").orderBy(time, "_side", "_o").rowsBetween(W.unboundedPreceding, W.currentRow)
-    carried = both.withColumn("_last", F.last("_value", ignorenulls=True).over(run)).where("_row is not null")
+    a = left.select(F.col(key).alias("_k"), at(left_time, shift).alias("_t"), F.lit(int(ahead)).alias("_side"), F.lit(0).cast("long").alias("_o"), F.struct(*left.columns).alias("_row"))
+    b = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("_k"), at(right_time).alias("_t"), F.lit(int(not ahead)).alias("_side"), rank.cast("long").alias("_o"), taken.alias("_value"))
+    # a left row without a key or time comes before all right rows, so that it meets none
+    both = a.unionByName(b.where("_k is not null"), allowMissingColumns=True)
+    found = ranges.carried(both, ["_k"], ["_t", "_side", "_o"], "_value", "_last").where("_row is not null")
     if window_days is not None:
         near = F.abs(days_between(F.col("_last._at"), F.col(f"_row.{left_time}"))) <= window_days
-        carried = carried.withColumn("_last", F.when(near, F.col("_last")))
-    return carried.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values.values()])
+        found = found.withColumn("_last", F.when(near, F.col("_last")))
+    return found.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values.values()])
 
 
 def chronology(primary: DataFrame, secondary: DataFrame, notes: DataFrame, band_days: int = 2, window_days: int | None = None, max_cases: int | None = None) -> DataFrame:
@@ -99,7 +79,7 @@ def chronology(primary: DataFrame, secondary: DataFrame, notes: DataFrame, band_
     out = linked
     for side, direction in (("preceding", "backward"), ("following", "forward")):
         values = {"clean_content": f"{side}_clinic_letter", "date_creation": f"{side}_clinic_date"}
-        out = asof_ordered(out, notes, "patient_id", "procedure_date", "date_creation", values, direction, window_days)
+        out = asof_join(out, notes, "patient_id", "procedure_date", "date_creation", values, direction, window_days)
     day = F.date_format("procedure_date", "yyyy-MM-dd")
     out = out.withColumns({
         "episode_id": F.concat_ws("::", "patient_id", day),

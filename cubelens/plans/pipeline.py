@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scores
-from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, thresholds, tiers, topics, truth, views
+from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, ranges, thresholds, tiers, topics, truth, views
 from ..roles import Roles
 from ..shipping import ship
 from ..sources import batches, sinks
 from ..sources.config import AnalysisConfig, ClientConfig
+from ..sources.scratch import stored
 from ..streaming import incremental
 
 Tables = dict[str, DataFrame]
@@ -24,7 +25,7 @@ def data_prep(spark: SparkSession, cfg: AnalysisConfig) -> Tables:
     """Scan, normalise, view, summaries, reference join, truths."""
     ship(spark)
     parsed = batches.normalise(batches.read_batches(spark, cfg.batch_root), cfg.runner_metadata, cfg.model_mapping).persist()
-    reference = spark.read.csv(cfg.reference_path, header=True, inferSchema=True) if cfg.reference_path.endswith(".csv") else spark.read.parquet(cfg.reference_path)
+    reference = batches.read_file(spark, cfg.reference_path, infer=True)
     merged, counts = linkage.merge_reference(parsed, reference, cfg.id_column)
     markers = {d: c for d, c in (cfg.document_flag_columns or K.FLAG_COLUMNS).items() if c in merged.columns}
     if markers:
@@ -187,24 +188,49 @@ def run_views(spark: SparkSession, cfg: AnalysisConfig) -> dict[str, Tables]:
 
 
 def run_experiments(spark: SparkSession, cfg: ClientConfig, respond: incremental.Respond = incremental.stub) -> DataFrame:
-    """Link the sources, cross cases with experiments and runners, answer what isn't answered yet, and append it."""
+    """Link the sources, ask every runner of every experiment about each case, batch by batch, and go on where a run ended.
+
+    Cases are numbered in order, and ``batch_size`` of them are a batch. ``batches_per_commit`` batches are one Spark job
+    over all runners and experiments: its rows go to ``responses/runner_name=/experiment_name=/batch=``, a line for each
+    call to ``manifest``, and last a line for each runner and experiment to ``commits``, which says how many cases it
+    has answered. A later run begins at the batch after those, whatever an ended job has left: its partitions are
+    overwritten. A batch that was not full is asked again once there are more cases. Cases without any report are left out.
+    """
     ship(spark)
     names = {"primary": ("patient_id", "sample_received_date", "result_report"), "secondary": ("patient_id", "procedure_date", "Combined_Content"), "context_notes": ("patient_id", "date_creation", "clean_content")}
     read = {k: batches.read_source(spark, s["path"], s["id_column"], s["date_column"], s["text_column"], s["date_format"], names[k]) for k, s in cfg.sources.items() if k in names}
     cases = linkage.chronology(read["primary"], read["secondary"], read["context_notes"], max_cases=cfg.max_cases)
+    cases = stored(ranges.numbered(cases, [], ["patient_id", "procedure_date"], "row_index"), "cases")
+    n, size = cases.count(), cfg.batch_size
+    cases = cases.withColumn("batch", F.floor(F.col("row_index") / size).cast("int"))
+
+    out, log, manifest = (f"{cfg.output_dir}/{x}" for x in ("responses", "commits", "manifest"))
+    done = sinks.answered(spark, log)
     asked = prompts.experiments(spark, cfg.prompt_templates, cfg.report_sequences)
-    runners = spark.createDataFrame([(k,) for k in cfg.active()], "runner_name string")
-    work = cases.crossJoin(F.broadcast(asked.crossJoin(F.broadcast(runners))))  # a configuration's size
-    keys = ["episode_id", "experiment_name", "runner_name"]
-    out = f"{cfg.output_dir}/responses"
-    if sinks.next_batch(spark, out) > 0:
-        work = sinks.undone(work, spark.read.parquet(out), keys)
-    fit = prompts.budgeted(prompts.Words, cfg.token_limit)
-    work = work.withColumn("m", fit(F.col("prompt_content"), prompts.sections(F.col("report_sequence"), F.col("context_note_timing"))))
-    work = work.select(*keys, "patient_id", "report_sequence_name", F.col("m.message").alias("message"), F.col("m.truncated").alias("truncated"), F.array_join("m.truncated_sections", ",").alias("truncated_sections"))
-    answered = incremental.respond_to(work, respond, retries=cfg.max_retries, timeout=cfg.timeout_seconds).withColumn("batch", F.lit(sinks.next_batch(spark, out)))
-    answered.write.mode("append").partitionBy("batch").parquet(out)
-    done = spark.read.parquet(out)
-    digest = hashlib.sha256("\n".join(sorted(cfg.active())).encode()).hexdigest()
-    sinks.append_manifest(spark, f"{cfg.output_dir}/manifest", {"runners": list(cfg.active()), "rows": done.count(), "runner_digest": digest})
-    return done
+    pairs = [(r, cfg.runners[r].url, e["experiment_name"]) for r in cfg.active() for e in asked.select("experiment_name").collect()]  # a configuration's size
+    todo = [(r, url, e, done.get((r, e), 0) // size) for r, url, e in pairs if done.get((r, e), 0) < n]
+    if todo:
+        work = asked.join(F.broadcast(spark.createDataFrame(todo, "runner_name string, url string, experiment_name string, from_batch int")), "experiment_name")
+        fit = prompts.budgeted(functools.partial(prompts.TokenizerFile, cfg.tokenizer) if cfg.tokenizer else prompts.Words, cfg.token_limit)
+        policy = incremental.CallPolicy(cfg.max_retries, cfg.retry_delay_seconds, cfg.timeout_seconds, cfg.calls_at_once, cfg.calls_per_second)
+        for low in range(min(t[3] for t in todo), -(-n // size), cfg.batches_per_commit):
+            high = low + cfg.batches_per_commit
+            part = cases.where(F.col("batch").between(low, high - 1)).crossJoin(F.broadcast(work)).where("batch >= from_batch")
+            part = part.withColumn("sections", prompts.sections(F.col("report_sequence"), F.col("context_note_timing"))).where(prompts.rendered(F.col("sections")) != "")
+            part = part.withColumn("m", fit(F.col("prompt_content"), F.col("sections")))
+            part = part.select(
+                "runner_name", "url", "experiment_name", "batch", "row_index", "patient_id", "episode_id", "prompt_name", "report_sequence_name", "report_sequence", "context_note_timing", F.sha2("prompt_content", 256).alias("prompt_template_sha256"),
+                F.col("m.message").alias("message"), F.col("m.truncated").alias("truncated"), F.array_join("m.truncated_sections", ",").alias("truncated_sections"),
+            )
+            rows = incremental.respond_to(spread(part), respond, policy=policy, endpoint="runner_name")
+            sinks.write_partitions(rows, out, ["runner_name", "experiment_name", "batch"])
+            reach = [(r, e, low, high - 1, min(high * size, n)) for r, _, e, first in todo if first < high]
+            mine = spark.read.parquet(out).where(F.col("batch").between(low, high - 1)).join(F.broadcast(work.select("runner_name", "experiment_name", "from_batch")), ["runner_name", "experiment_name"]).where("batch >= from_batch")
+            sinks.append_lines(sinks.call_lines(mine, cfg.token_limit), manifest)
+            sinks.append_lines(spark.createDataFrame(reach, sinks.COMMIT).select(F.to_json(F.struct("*")).alias("value")).coalesce(1), log)
+    return spark.read.parquet(out)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all tasks, in rows and not in bytes: calls take long and messages are short."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -17,7 +17,7 @@ from .. import constants as K
 from ..functions import jsonrepair, scores, text
 from ..shipping import ship
 from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, thresholds, tiers, topics, truth, views
-from ..sources import batches, sinks
+from ..sources import batches, scratch, sinks
 from .surrogate import CUBE, MACRO_F1, MCC, POINT, PREPARED, bucket_sql, cube, point_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,6 +447,47 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(bootstrap.with_intervals(_attempts(spark, d), ["model_canon"], "patient_id", 200, method="poisson"), ["model_canon"])
 
 
+def _cells_sql(n: int, then: str) -> str:
+    """Replicates of (model, score, truth) counts by the draws of the Poisson bootstrap; replicate -1 is the table itself."""
+    total, steps = 0.0, []
+    for k in range(9):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(f"(u >= {total!r}::DOUBLE)::INT")
+    return (
+        f"WITH {CUBE}, {PREPARED}, base AS (SELECT model_canon, patient_id, complexity_score AS v, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM policy WHERE denominator = 'all_attempts' AND complexity_score IS NOT NULL GROUP BY ALL), "
+        f"u AS (SELECT model_canon, patient_id, b, ('0x' || substr(md5('42|' || model_canon || '|' || coalesce(patient_id, '') || '|' || b), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM (SELECT DISTINCT model_canon, patient_id FROM base), (SELECT unnest(range(-1, {n})) AS b)), "
+        f"w AS (SELECT model_canon, patient_id, b, CASE WHEN b < 0 THEN 1 ELSE {' + '.join(steps)} END AS w FROM u), "
+        f"h AS (SELECT model_canon, b, v, sum(pos * w) AS pos, sum(neg * w) AS neg FROM base JOIN w USING (model_canon, patient_id) GROUP BY ALL HAVING sum(w) > 0), "
+        f"m AS ({then}) SELECT model_canon, round(max(x) FILTER (b < 0), 6) AS point, round(avg(x) FILTER (b >= 0), 6) AS mean, round(quantile_cont(x, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(x, 0.975) FILTER (b >= 0), 6) AS high FROM m WHERE x IS NOT NULL GROUP BY 1"
+    )
+
+
+_AUC_SQL = "SELECT model_canon, b, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0)::DOUBLE AS x FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model_canon, b ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h) GROUP BY 1, 2"
+_MEDIAN_SQL = """SELECT model_canon, b, max(v) FILTER (upto - n <= floor((total - 1) / 2.0)) / 2.0 + max(v) FILTER (upto - n <= ceil((total - 1) / 2.0)) / 2.0 AS x
+FROM (SELECT model_canon, b, v, pos + neg AS n, sum(pos + neg) OVER (PARTITION BY model_canon, b ORDER BY v) AS upto, sum(pos + neg) OVER (PARTITION BY model_canon, b) AS total FROM h WHERE pos + neg > 0) GROUP BY 1, 2"""
+_ECE_SQL = "SELECT model_canon, b, sum(abs(pos - (pos + neg) * v / 10)) / nullif(sum(pos + neg), 0) AS x FROM h GROUP BY 1, 2"
+
+
+def _histogram_query(spark: SparkSession, d: str, metric: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    found = bootstrap.histogram_interval(_attempts(spark, d), ["model_canon"], "patient_id", "complexity_score", metric, 200)
+    return _rounded(found, ["model_canon"])
+
+
+@query("bootstrap_auc", _cells_sql(200, _AUC_SQL))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _histogram_query(spark, d, bootstrap.auc_of)
+
+
+@query("bootstrap_median", _cells_sql(200, _MEDIAN_SQL))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _histogram_query(spark, d, bootstrap.quantile_of(0.5))
+
+
+@query("bootstrap_calibration", _cells_sql(200, _ECE_SQL))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _histogram_query(spark, d, bootstrap.calibration_of(lambda v: v / 10))
+
+
 @query("clustered_logistic")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return inference.clustered_logistic(cube(spark, d))
@@ -606,19 +647,19 @@ _REV = _DAYS.format(early="a_ts", late="b_ts")
 @query("asof_backward", _ASOF.format(sides=_SIDES, order="b_ts DESC, b_id", test=f"{_REV} < 0"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    return linkage.asof_join(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}, "backward", order="b_id", grain=["user_id", "a_id", "a_ts"]).select("user_id", "a_id", "b_id")
+    return linkage.asof_join(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}, "backward", order="b_id").select("user_id", "a_id", "b_id")
 
 
 @query("asof_forward", _ASOF.format(sides=_SIDES, order="b_ts, b_id", test=f"{_REV} > 0 AND {_REV} <= 5"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    return linkage.asof_join(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}, "forward", 5, "b_id", ["user_id", "a_id", "a_ts"]).select("user_id", "a_id", "b_id")
+    return linkage.asof_join(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}, "forward", 5, "b_id").select("user_id", "a_id", "b_id")
 
 
 @query("asof_ordered", f"WITH {_SIDES} SELECT a.user_id, a_id, b_id FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a_ts > b_ts")
 def _(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    return linkage.asof_ordered(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}).select("user_id", "a_id", "b_id")
+    return linkage.asof_join(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}).select("user_id", "a_id", "b_id")
 
 
 _CHRON = f"""prim AS (SELECT 'P' || user_id AS pid, ts AS received, event_type || event_id AS report FROM events WHERE event_type = 'view'), sec AS (SELECT 'P' || user_id AS pid, ts AS proc, 'scope ' || event_id AS scope FROM events WHERE event_type = 'purchase'),
@@ -661,7 +702,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("written_tables", "SELECT o_orderkey, o_totalprice, o_orderpriority, 'orders' AS read_as FROM orders")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A stage's table written, found again and read."""
-    root = f"{sinks.shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    root = f"{scratch.shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
     sinks.write_tables({"orders": _table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("p"))}, root, aliases={"p": "o_orderpriority"})
     return sinks.read_table(spark, root, "merged_outputs", "orders").withColumn("read_as", F.lit("orders"))
 
@@ -707,7 +748,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("asof_ordered_forward", _ASOF.format(sides=_SIDES, order="b_ts, b_id", test=f"{_REV} > 0").replace("SELECT user_id, a_id, b_id FROM j WHERE r = 1", f"SELECT j.user_id, j.a_id, CASE WHEN {_REV} <= 5 THEN j.b_id END AS b_id FROM j JOIN a USING (a_id) LEFT JOIN b ON b.b_id = j.b_id WHERE r = 1"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    return linkage.asof_ordered(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}, "forward", 5, "b_id").select("user_id", "a_id", "b_id")
+    return linkage.asof_join(a, b, "user_id", "a_ts", "b_ts", {"b_id": "b_id"}, "forward", 5, "b_id").select("user_id", "a_id", "b_id")
 
 
 # ---- prompts ------------------------------------------------------------------------------------------------------

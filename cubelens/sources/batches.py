@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATTERNS = ("batch_*.parquet", "batch_*.csv", "batch_*.json")
+from . import spreadsheets
+
+PATTERNS = ("batch_*.parquet", "batch_*.csv", "batch_*.json", "batch_*.xlsx")
 ROLES = {"json": "_Json_Response_", "full": "_Full_Response_", "payload": "_Payload_"}
 
 
@@ -35,8 +37,10 @@ def find_batches(spark: SparkSession, root: str, patterns: Sequence[str] = PATTE
 
 def provenance(df: DataFrame) -> DataFrame:
     """``source_file, source_parent, experiment_name, runner_name`` from ``<runner>/<experiment>/<file>``, and a row order."""
-    part = lambda i: F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)/([^/]+)$", i)
-    return df.select("*", part(3).alias("source_file"), part(2).alias("source_parent"), part(2).alias("experiment_name"), part(1).alias("runner_name"), F.col("_metadata.file_path").alias("_path"))
+    if "_path" not in df.columns:  # spreadsheets bring it
+        df = df.select("*", F.col("_metadata.file_path").alias("_path"))
+    part = lambda i: F.regexp_extract("_path", r"([^/]+)/([^/]+)/([^/]+)$", i)
+    return df.withColumns({"source_file": part(3), "source_parent": part(2), "experiment_name": part(2), "runner_name": part(1)})
 
 
 def union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -55,6 +59,7 @@ def read_batches(spark: SparkSession, root: str, patterns: Sequence[str] = PATTE
         "parquet": lambda p: spark.read.option("mergeSchema", True).parquet(*p),
         "csv": lambda p: union([provenance(spark.read.csv(x, header=True, multiLine=True, escape='"')) for x in p]),
         "json": lambda p: spark.read.json(p),
+        "xlsx": lambda p: spreadsheets.read(spark, *p, file_column="_path"),
     }
     frames = []
     for kind, read in readers.items():
@@ -67,12 +72,19 @@ def read_batches(spark: SparkSession, root: str, patterns: Sequence[str] = PATTE
     return union(frames)
 
 
+def read_file(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+    """A table by its suffix: CSV, spreadsheet or else Parquet. With ``infer`` the columns of a CSV get types."""
+    if path.endswith(".csv"):
+        return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=infer)
+    return spreadsheets.read(spark, path) if path.endswith(".xlsx") else spark.read.parquet(path)
+
+
 def read_source(spark: SparkSession, path: str, id_column: str, date_column: str, text_column: str, date_format: str, names: tuple[str, str, str]) -> DataFrame:
     """A dated text source: id upper and trimmed, date parsed or null, text never null; rows without a date go.
 
     A missing id becomes ``NAN`` and stays, as a text of its own.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"') if path.endswith(".csv") else spark.read.parquet(path)
+    df = read_file(spark, path)
     key = F.upper(F.trim(F.coalesce(F.col(id_column).cast("string"), F.lit("nan"))))
     day = F.try_to_timestamp(F.col(date_column).cast("string"), F.lit(date_format)).cast("timestamp_ntz")
     out = df.select(key.alias(names[0]), day.alias(names[1]), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias(names[2]))

@@ -88,12 +88,21 @@ class ClientConfig:
     max_cases: int | None = None
     max_parallel_runners: int = 4
     token_limit: int = 4000
-    timeout_seconds: int = 300
+    timeout_seconds: float | None = 300
     max_retries: int = 3
+    retry_delay_seconds: float = 0.5
+    calls_at_once: int = 8
+    calls_per_second: float | None = None
+    batches_per_commit: int = 1000
+    tokenizer: str | None = None
 
     def __post_init__(self) -> None:
         if self.batch_size < 1 or self.token_limit < 1:
             raise ConfigError("batch_size and token_limit must be positive")
+        if min(self.max_retries, self.calls_at_once, self.batches_per_commit) < 1 or self.retry_delay_seconds < 0:
+            raise ConfigError("max_retries, calls_at_once and batches_per_commit must be positive, retry_delay_seconds not negative")
+        if self.calls_per_second is not None and self.calls_per_second <= 0:
+            raise ConfigError("calls_per_second must be positive")
         if not 1 <= self.max_parallel_runners <= 4:
             raise ConfigError("max_parallel_runners must be 1 to 4")
         for name in ("primary", "secondary", "context_notes"):

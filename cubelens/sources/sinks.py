@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import itertools
 import json
 import os
-import shutil
 import socket
-import tempfile
 import time
 from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import ranges
+from . import spreadsheets
+
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Overwrite a table; nested columns are written as JSON text where the format can't hold them."""
@@ -25,6 +23,10 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
         df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     elif kind in ("parquet", "json"):
         getattr(df.write.mode("overwrite"), kind)(path)
+    elif kind == "xlsx":
+        store, old = _files(df.sparkSession, path)
+        store.delete(old, True)
+        spreadsheets.write(df, path)
     else:
         raise ValueError(f"unknown format: {kind}")
 
@@ -107,42 +109,32 @@ def write_json(data: object, path: str) -> None:
     out.close()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only a local session may go without and gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        found = tempfile.mkdtemp()
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def with_batches(df: DataFrame, size: int, order: list[str], keys: list[str] | None = None) -> DataFrame:
     """Rows with the number ``batch`` of their ``size`` rows in order, within each key; without keys over all rows.
 
-    Without keys the rows are put in ranges once, in a checkpoint; a row's number is its number in its range and the
-    rows of the ranges before, so that batches are the same however many ranges there are, and no task sees all rows.
+    Numbers are found in ranges of the sorted rows, so that batches are the same however many ranges there are, and no
+    task sees all rows, or all rows of a key.
     """
-    if keys:
-        number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-        return df.withColumn("batch", F.floor(number / size).cast("int"))
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()  # a row for each range
-    first = itertools.accumulate((r["n"] for r in sizes), initial=0)
-    offsets = spark.createDataFrame([(r["_p"], n) for r, n in zip(sizes, first, strict=False)], "_p int, _first bigint")
-    number = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
-    numbered = ranged.withColumn("_n", number).join(offsets, "_p")
-    return numbered.withColumn("batch", F.floor((F.col("_first") + F.col("_n")) / size).cast("int")).drop("_p", "_n", "_first")
-
-
-def write_batches(df: DataFrame, root: str, size: int, order: list[str], runner: str, experiment: str) -> None:
-    """Batches as ``runner=/experiment=/batch=``; Spark's committer makes each all or nothing."""
-    rows = with_batches(df, size, order).withColumns({"runner": F.lit(runner), "experiment": F.lit(experiment)})
-    rows.write.mode("append").partitionBy("runner", "experiment", "batch").parquet(root)
+    return ranges.numbered(df, keys or [], order, "_n").withColumn("batch", F.floor(F.col("_n") / size).cast("int")).drop("_n")
+
+
+def write_batches(df: DataFrame, root: str, runner: str, experiment: str, order: list[str], promote_bytes: int = spreadsheets.PROMOTE_BYTES) -> None:
+    """Rows with ``batch`` as spreadsheets ``<runner>/<experiment>/batch_<n>.xlsx``, all or none; large ones as Parquet."""
+    rows = df.withColumn("_file", F.concat(F.lit(f"{runner}/{experiment}/batch_"), F.col("batch").cast("string"))).drop("batch")
+    spreadsheets.write(rows, root, "_file", order, promote_bytes)
+
+
+def export_answers(answers: DataFrame, cases: DataFrame, root: str, promote_bytes: int = spreadsheets.PROMOTE_BYTES) -> None:
+    """A run's answers beside their cases, as batch files under the names that the scan of batches reads."""
+    from . import batches
+
+    for runner, experiment in sorted(tuple(r) for r in answers.select("runner_name", "experiment_name").distinct().collect()):  # a configuration's size
+        names = batches.result_columns(runner, experiment)
+        own = answers.where((F.col("runner_name") == runner) & (F.col("experiment_name") == experiment)).select(
+            "episode_id", "batch", F.col("full_response").alias(names["full"]), F.col("json_response").alias(names["json"]), F.col("message").alias(names["payload"]),
+            F.col("truncated").alias(names["truncated"]), F.col("truncated_sections").alias(names["sections"]),
+        )
+        write_batches(cases.join(own, "episode_id"), root, runner, experiment, ["patient_id", "procedure_date"], promote_bytes)
 
 
 def next_batch(spark: SparkSession, root: str) -> int:
@@ -160,6 +152,40 @@ def undone(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+COMMIT = "runner_name string, experiment_name string, first_batch int, last_batch int, answered bigint"
+
+
+def answered(spark: SparkSession, log: str) -> dict[tuple[str, str], int]:
+    """Cases that each runner and experiment has answered, by a run's commit log: a number for each pair of the configuration."""
+    if not exists(spark, log):
+        return {}
+    lines = spark.read.schema(COMMIT).json(log).groupBy("runner_name", "experiment_name").agg(F.max("answered"))
+    return {(r[0], r[1]): r[2] for r in lines.collect()}
+
+
+def write_partitions(df: DataFrame, root: str, by: list[str]) -> None:
+    """Rows below ``root/key=value``; partitions that are there already and have new rows are replaced whole, others stay.
+
+    Spark moves files to their place when the job commits: a job that fails leaves none.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(root)
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    lines.write.mode("append").text(path)
+
+
+def call_lines(calls: DataFrame, token_limit: int) -> DataFrame:
+    """A line of JSON for each call: what was asked of whom, hashes of template and message, what was cut, and the outcome."""
+    size = lambda c: F.char_length(F.coalesce(F.col(c), F.lit("")))
+    cells = F.struct(
+        F.col("experiment_name").alias("experiment"), F.col("prompt_name").alias("prompt_template"), "report_sequence_name", "report_sequence", "context_note_timing", "runner_name", F.col("url").alias("endpoint"), "row_index",
+        "patient_id", "episode_id", F.col("batch").alias("batch_number"), F.lit(token_limit).alias("token_limit"), "prompt_template_sha256", F.sha2("message", 256).alias("message_sha256"), F.col("truncated").alias("section_truncated"),
+        "truncated_sections", "attempts", "error", size("full_response").alias("full_response_chars"), size("json_response").alias("json_response_chars"), F.current_timestamp().alias("timestamp"),
+    )
+    return calls.select(F.to_json(cells).alias("value"))
+
+
 def append_manifest(spark: SparkSession, path: str, entry: Mapping[str, object]) -> None:
     """One line of run history, with time, host and process."""
     line = json.dumps({"timestamp": time.time(), "host": socket.gethostname(), "pid": os.getpid(), **entry}, default=str)

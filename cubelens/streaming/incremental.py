@@ -5,8 +5,11 @@ The engine's batch operators run on finished tables; these are their Structured
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+import queue
+import threading
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,38 +32,120 @@ def stub(messages: Sequence[str]) -> list[str]:
     return [json.dumps({"Likelihood of IBD": zlib.crc32(m.encode()) % 11, "Certainty Level": len(m) % 11, "Complexity of Case": 3}) for m in messages]
 
 
-def _within(respond: Respond, messages: Sequence[str], timeout: float) -> Sequence[str]:
-    """The responses, or a TimeoutError after so many seconds; the call that hangs is left behind."""
-    pool = ThreadPoolExecutor(max_workers=1)
-    try:
-        return pool.submit(respond, messages).result(timeout=timeout)
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
+@dataclass(frozen=True)
+class CallPolicy:
+    """How one message is called: tries, the first pause between them (it doubles), seconds for a try, calls at once in a
+    task, and calls a second to one endpoint over all tasks (None: no limit)."""
 
+    retries: int = 3
+    wait: float = 0.5
+    timeout: float | None = None
+    at_once: int = 8
+    per_second: float | None = None
 
-def call(respond: Respond, messages: Sequence[str], retries: int = 3, wait: float = 0.5, sleep: Callable[[float], None] | None = None, timeout: float | None = None) -> list[str]:
-    """Responses, tried again with doubling pauses after an error or the timeout; what never succeeds says so."""
-    import time
 
-    for attempt in range(retries):
-        try:
-            return list(_within(respond, messages, timeout) if timeout else respond(messages))
-        except Exception:
-            if attempt + 1 < retries:
-                (sleep or time.sleep)(wait * 2**attempt)
-    return [FAILED] * len(messages)
+def _within(respond: Respond, message: str, timeout: float | None) -> str:
+    """The response to one message, or a TimeoutError after so many seconds.
+
+    A call that hangs goes on in a daemon thread, which ends with the worker and holds up neither it nor the task.
+    """
+    if timeout is None:
+        return respond([message])[0]
+    box: queue.SimpleQueue = queue.SimpleQueue()
 
+    def run() -> None:
+        try:
+            box.put((respond([message])[0], None))
+        except BaseException as e:  # handed to the caller
+            box.put((None, e))
 
-def respond_to(df: DataFrame, respond: Respond, message: str = "message", retries: int = 3, wait: float = 0.5, timeout: float | None = None) -> DataFrame:
-    """Rows with ``full_response, json_response``: one call for each Arrow batch of messages."""
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        found, error = box.get(timeout=timeout)
+    except queue.Empty:
+        raise TimeoutError(f"no response within {timeout:g} s") from None
+    if error is not None:
+        raise error
+    return found
+
+
+def call_one(respond: Respond, message: str, policy: CallPolicy, sleep: Callable[[float], None] = time.sleep) -> tuple[str, int, str | None]:
+    """(response, tries, error) of one message: tried again with doubling pauses after an error, the timeout or an empty response."""
+    error = None
+    for attempt in range(1, policy.retries + 1):
+        try:
+            found = _within(respond, message, policy.timeout)
+            if isinstance(found, str) and found.strip():
+                return found, attempt, None
+            raise ValueError("empty response")
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"[:500]
+            if attempt < policy.retries:
+                sleep(policy.wait * 2 ** (attempt - 1))
+    return FAILED, policy.retries, error
+
+
+class Pace:
+    """Starts of calls to each endpoint, held ``gap`` seconds apart."""
+
+    def __init__(self, gap: float):
+        self.gap, self.next, self.lock = gap, {}, threading.Lock()
+
+    def wait(self, endpoint: object) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            now = time.monotonic()
+            at = max(now, self.next.get(endpoint, now))
+            self.next[endpoint] = at + self.gap
+        time.sleep(at - now)
+
+
+def call_each(respond: Respond | Mapping[object, Respond], messages: Sequence[str], policy: CallPolicy, endpoints: Sequence[object] | None = None, pace: Pace | None = None) -> list[tuple[str, int, str | None]]:
+    """The outcome of every message by itself, in order; ``at_once`` messages are under way at a time."""
+    out: list = [None] * len(messages)
+    left = iter(range(len(messages)))
+    lock = threading.Lock()
+
+    def work() -> None:
+        while True:
+            with lock:
+                i = next(left, None)
+            if i is None:
+                return
+            if pace is not None:
+                pace.wait(endpoints[i] if endpoints is not None else None)
+            out[i] = call_one(respond[endpoints[i]] if isinstance(respond, Mapping) else respond, messages[i], policy)
+
+    threads = [threading.Thread(target=work, daemon=True) for _ in range(min(policy.at_once, len(messages)))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    return out
+
+
+def respond_to(df: DataFrame, respond: Respond | Mapping[object, Respond], message: str = "message", policy: CallPolicy = CallPolicy(), endpoint: str | None = None) -> DataFrame:
+    """Rows with ``full_response, json_response, attempts, error``: each message has its own tries, timeout and outcome.
+
+    A message that never succeeds says so in both responses and its last error in ``error``, which is null else; other
+    messages don't wait for it beyond its place among ``at_once``. The rate is shared by the tasks that run at once.
+    ``respond`` is one function, or one for each value of the column ``endpoint``.
+    """
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields]
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    gap = tasks / policy.per_second if policy.per_second else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace(gap)
         for rows in batches:
-            yield rows.assign(full_response=call(respond, rows[message].tolist(), retries, wait, timeout=timeout))
+            found = call_each(respond, rows[message].tolist(), policy, rows[endpoint].tolist() if endpoint else None, pace)
+            full, tries, errors = zip(*found, strict=True) if found else ((), (), ())
+            yield rows.assign(full_response=list(full), attempts=list(tries), error=pd.Series(errors, index=rows.index, dtype=object))
 
-    out = df.mapInPandas(run, ", ".join([*columns, "full_response string"]))
-    return out.withColumn("json_response", F.coalesce(client_json(F.col("full_response")), F.lit(UNREADABLE)))
+    out = df.mapInPandas(run, ", ".join([*columns, "full_response string", "attempts int", "error string"]))
+    json_text = F.when(F.col("error").isNull(), F.coalesce(client_json(F.col("full_response")), F.lit(UNREADABLE))).otherwise(FAILED)
+    return out.withColumn("json_response", json_text)
 
 
 def run_available(cases: DataFrame, respond: Respond, out: str, checkpoint: str) -> None:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cubelens.plans import pipeline
-from cubelens.sources import batches, config, sinks, synthetic
+from cubelens.sources import batches, config, sinks, spreadsheets, synthetic
 from cubelens.streaming import incremental
 
 RUNNERS = ("mixtral_t075", "qwen32_t060")
@@ -106,28 +107,107 @@ def client(root, spark, **more):
 
 
 def test_experiments_resume(spark, tmp_path):
-    cfg = client(tmp_path, spark)
+    cfg = client(tmp_path, spark, batch_size=2)
     assert list(cfg.active()) == ["r0", "r2"]
     first = pipeline.run_experiments(spark, cfg)
     assert first.count() == 6 * 2 * 2 and first.where("json_response like '%Likelihood%'").count() == 24
-    again = pipeline.run_experiments(spark, cfg)
-    assert again.count() == 24 and sinks.next_batch(spark, f"{cfg.output_dir}/responses") == 1
-    assert sinks.read_manifest(spark, f"{cfg.output_dir}/manifest").count() == 2
+    assert sinks.next_batch(spark, f"{cfg.output_dir}/responses") == 3
+    assert pipeline.run_experiments(spark, cfg, lambda m: 1 / 0).count() == 24  # nobody is asked again
+    cases = spark.read.parquet(cfg.sources["secondary"]["path"]).select("patient_id", "procedure_date").withColumn("episode_id", F.concat_ws("::", "patient_id", F.date_format("procedure_date", "yyyy-MM-dd")))
+    sinks.export_answers(first, cases, f"{tmp_path}/export")
+    wide = batches.read_batches(spark, f"{tmp_path}/export")
+    assert wide.count() == 24 and len(list((tmp_path / "export/r0/zero_shot_hist").glob("batch_*.xlsx"))) == 3
+    assert batches.normalise(wide).where("json_parse_success = 1 and likelihood_score is not null").count() == 24
+    lines = sinks.read_manifest(spark, f"{cfg.output_dir}/manifest")
+    assert lines.count() == 24 and lines.where("message_sha256 is null or batch_number != row_index div 2").count() == 0
     with pytest.raises(config.ConfigError):
         client(tmp_path, spark, max_parallel_runners=9)
-
-
-def test_calls_are_tried_again():
+    with pytest.raises(config.ConfigError):
+        client(tmp_path, spark, batches_per_commit=0)
+
+
+def answers(spark, root):
+    names = ["runner_name", "experiment_name", "batch", "row_index", "episode_id", "message", "full_response", "json_response", "attempts", "error"]
+    return sorted(tuple(r) for r in spark.read.parquet(f"{root}/responses").select(*names).collect())
+
+
+def test_a_run_that_ends_in_its_third_batch_goes_on_there(spark, tmp_path):
+    whole = client(tmp_path / "whole", spark, batch_size=1, batches_per_commit=1)
+    pipeline.run_experiments(spark, whole)
+    cut = client(tmp_path / "cut", spark, batch_size=1, batches_per_commit=1)
+    jobs, write = [], sinks.write_partitions
+
+    def ends(df, root, by):
+        jobs.append(1)
+        write(df, root, by)
+        if len(jobs) == 3:  # its rows stand, its commit is missing
+            raise KeyboardInterrupt
+
+    sinks.write_partitions = ends
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            pipeline.run_experiments(spark, cut)
+    finally:
+        sinks.write_partitions = write
+    assert set(sinks.answered(spark, f"{cut.output_dir}/commits").values()) == {2}
+    seen = spark.sparkContext.accumulator(0)
+
+    def respond(messages):
+        seen.add(len(messages))
+        return incremental.stub(messages)
+
+    pipeline.run_experiments(spark, cut, respond)
+    assert seen.value == 4 * 2 * 2  # four of six batches, two runners, two experiments
+    assert answers(spark, cut.output_dir) == answers(spark, whole.output_dir)
+
+
+def test_a_batch_that_was_not_full_is_asked_again_with_more_cases(spark, tmp_path):
+    few = client(tmp_path, spark, batch_size=4, max_cases=5)
+    pipeline.run_experiments(spark, few)
+    more = client(tmp_path, spark, batch_size=4)
+    pipeline.run_experiments(spark, more)
+    found = answers(spark, more.output_dir)
+    assert len(found) == len({f[:4] for f in found}) == 6 * 2 * 2 and set(sinks.answered(spark, f"{more.output_dir}/commits").values()) == {6}
+
+
+def test_one_bad_message_fails_alone(spark):
+    def respond(messages):
+        if messages[0] == "message 77":
+            raise RuntimeError("no")
+        if messages[0] == "message 78":
+            time.sleep(60)
+        return ["  "] if messages[0] == "message 79" else incremental.stub(messages)
+
+    cases = spark.createDataFrame([(i, f"message {i}") for i in range(200)], "id int, message string").repartition(2)
+    began = time.time()
+    got = incremental.respond_to(cases, respond, policy=incremental.CallPolicy(2, 0.01, 1.0, 8)).collect()
+    assert time.time() - began < 40
+    bad = {r["id"]: r for r in got if r["error"] is not None}
+    assert len(got) == 200 and set(bad) == {77, 78, 79}
+    assert all(r["full_response"] == r["json_response"] == incremental.FAILED and r["attempts"] == 2 for r in bad.values())
+    assert "no" in bad[77]["error"] and "Timeout" in bad[78]["error"] and "empty" in bad[79]["error"]
+    assert all(r["attempts"] == 1 and "Likelihood" in r["json_response"] for r in got if r["id"] not in bad)
+
+
+def test_calls_are_tried_again_and_paced():
     tries, pauses = [], []
 
     def flaky(messages):
         tries.append(1)
         if len(tries) < 3:
-            raise TimeoutError
-        return ["{}"] * len(messages)
+            raise OSError
+        return ["{}"]
 
-    assert incremental.call(flaky, ["a"], 3, 1.0, pauses.append) == ["{}"] and pauses == [1.0, 2.0]
-    assert incremental.call(lambda m: 1 / 0, ["a", "b"], 2, 0, lambda s: None) == [incremental.FAILED] * 2
+    policy = incremental.CallPolicy(retries=3, wait=1.0)
+    assert incremental.call_one(flaky, "a", policy, pauses.append) == ("{}", 3, None) and pauses == [1.0, 2.0]
+    assert incremental.call_one(lambda m: 1 / 0, "a", incremental.CallPolicy(2, 0), lambda s: None)[:2] == (incremental.FAILED, 2)
+    starts = []
+    each = {"x": lambda m: starts.append(("x", time.monotonic())) or ["x"], "y": lambda m: starts.append(("y", time.monotonic())) or ["y"]}
+    got = incremental.call_each(each, list("abcdef"), incremental.CallPolicy(), list("xyxyxy"), incremental.Pace(0.1))
+    assert [g[0] for g in got] == list("xyxyxy") and incremental.call_each(each, [], incremental.CallPolicy()) == []
+    for name in "xy":
+        at = sorted(t for n, t in starts if n == name)
+        assert all(b - a > 0.08 for a, b in zip(at, at[1:], strict=False))
 
 
 def test_streaming_answers_only_new_cases(spark, tmp_path):
@@ -160,9 +240,13 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/c", header=True).count() == 23
     numbered = sinks.with_batches(df, 5, ["id"]).collect()
     assert max(sum(r["batch"] == b for r in numbered) for b in {r["batch"] for r in numbered}) <= 5 and sorted(r["id"] for r in numbered) == list(range(23))
-    sinks.write_batches(df, f"{tmp_path}/b", 10, ["id"], "r", "e")
-    assert sinks.next_batch(spark, f"{tmp_path}/b") >= 3 and sinks.next_batch(spark, f"{tmp_path}/none") == 0
-    with pytest.raises(ValueError):
+    sinks.write_batches(sinks.with_batches(df, 10, ["id"]), f"{tmp_path}/b", "r", "e", ["id"])
+    assert sinks.next_batch(spark, f"{tmp_path}/b") == 3 and sinks.next_batch(spark, f"{tmp_path}/none") == 0
+    assert batches.read_batches(spark, f"{tmp_path}/b").where("runner_name = 'r' and experiment_name = 'e'").count() == 23
+    for _ in range(2):
         sinks.write_table(df, f"{tmp_path}/x", "xlsx")
+    assert spreadsheets.read(spark, f"{tmp_path}/x").count() == 23
+    with pytest.raises(ValueError):
+        sinks.write_table(df, f"{tmp_path}/y", "doc")
     sinks.write_json({"a": 1}, f"{tmp_path}/j/x.json")
     assert json.loads((tmp_path / "j/x.json").read_text()) == {"a": 1}

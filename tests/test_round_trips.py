@@ -94,8 +94,9 @@ def test_tables_of_an_earlier_run_go(spark, tmp_path):
 
 def test_calls_end_at_their_timeout():
     began = time.time()
-    assert incremental.call(lambda m: time.sleep(5) or m, ["a", "b"], retries=2, wait=0.01, timeout=0.2) == [incremental.FAILED] * 2
-    assert time.time() - began < 4 and incremental.call(lambda m: [x.upper() for x in m], ["a"], timeout=5) == ["A"]
+    slow = incremental.CallPolicy(retries=2, wait=0.01, timeout=0.2)
+    assert [r[0] for r in incremental.call_each(lambda m: time.sleep(5) or m, ["a", "b"], slow)] == [incremental.FAILED] * 2
+    assert time.time() - began < 4 and incremental.call_one(lambda m: [x.upper() for x in m], "a", incremental.CallPolicy(timeout=5)) == ("A", 1, None)
 
 
 def test_bootstrap_of_any_metric(spark):
