@@ -1,20 +1,21 @@
 """Benchmark decontamination with spaced seeds.
 
 A mask such as ``1101011`` hashes the words at its ones and ignores the others, so that a copy with some words replaced
-still shares a hash with the original. The benchmark's masked hashes are looked up at every place of every document;
+still shares a hash with the original. Masked hashes of every place of the benchmark and of the documents are joined;
 around a hit the two texts are laid on each other without gaps, and the longest stretch in which at least ``SIMILAR``
 of the words agree is an overlap if it has ``LEAST`` words, or as many as the item has.
 
-An item that is shorter than the shortest mask is looked up by the hash of all its words.
+An item that is shorter than the shortest mask is looked up by the hash of all its words. No word of an item below 6
+words may differ, and in one of 6 words only the third; from 7 words on any single inner word may.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z; ideographs and kana are words of their
-own. The benchmark is taken in blocks of at most ``BLOCK`` bytes, or of one item if it is longer, which bounds what is
-sent to the executors; the documents are read once for each block.
+own. Which places of the documents can have a hash of the benchmark is told by two tables of bits, of its words and of
+its hashes, whose size is bounded by ``_WORD_BITS`` and ``_HASH_BITS`` however large it is; what passes them is joined
+exactly. So the documents are read once, and the plan is the same for a benchmark of any size.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from . import common, textops
 
 # Masks of weight 5 and 6.
 MASKS = ("1101101", "11100101", "1011011", "1100100101", "110111")
-LEAST, SIMILAR, BLOCK = 13, 0.8, 6_000_000
-_FILTER_BITS, _PAIRS = 22, 1 << 20
+SHORTEST = min(map(len, MASKS))
+SEEDS = (*MASKS, *("1" * n for n in range(1, SHORTEST)))
+LEAST, SIMILAR = 13, 0.8
+_WORD_BITS, _HASH_BITS = 22, 28
 
 
 def seed_hashes(words: np.ndarray, mask: str, at: np.ndarray | None = None) -> np.ndarray:
@@ -40,83 +43,6 @@ def seed_hashes(words: np.ndarray, mask: str, at: np.ndarray | None = None) -> n
     return textops.mix64(out)
 
 
-class Seeds:
-    """One block of the benchmark: words end to end, and its masked hashes in order with their places; equal texts once."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids: list[list[int]] = []
-        texts: dict[str, int] = {}
-        for i, t in items:
-            if t not in texts:
-                texts[t] = len(self.ids)
-                self.ids.append([])
-            self.ids[texts[t]].append(i)
-        raw, at = common.text_bytes(pa.array(list(texts), pa.string()))
-        start, end, self.first = textops.words(raw, at, ideographs=True)
-        self.words = textops.word_hashes(raw, start, end)
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.words >> np.uint64(64 - _FILTER_BITS)] = True
-        self.masks: list[tuple[str, np.ndarray, np.ndarray]] = []
-        shortest = min(map(len, MASKS))
-        for mask in (*MASKS, *("1" * n for n in range(1, shortest))):
-            whole = len(mask) < shortest  # of items of so many words alone
-            spans = [np.arange(a, max(a, b - len(mask) + 1)) for a, b in zip(self.first[:-1], self.first[1:], strict=True) if not whole or b - a == len(mask)]
-            places = np.concatenate(spans or [np.zeros(0, np.int64)]).astype(np.int64)
-            if not len(places):
-                continue
-            hashes = seed_hashes(self.words, mask, places)
-            order = np.argsort(hashes, kind="stable")
-            self.masks.append((mask, hashes[order], places[order]))
-
-    def shifts(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, item, shift) of all hits of the masks; a bounded number of hits is held at once."""
-        inside = self.filter[words >> np.uint64(64 - _FILTER_BITS)]
-        pairs: set[tuple[int, int, int]] = set()
-        for mask, hashes, places in self.masks:
-            n = len(words) - len(mask) + 1
-            if n <= 0:
-                continue
-            likely = np.ones(n, bool)
-            for i, c in enumerate(mask):
-                if c == "1":
-                    likely &= inside[i : i + n]
-            at = np.flatnonzero(likely)
-            got = seed_hashes(words, mask, at)
-            low, high = np.searchsorted(hashes, got, "left"), np.searchsorted(hashes, got, "right")
-            hit = np.flatnonzero(high > low)
-            ends = np.cumsum(high[hit] - low[hit])
-            k = 0
-            while k < len(hit):
-                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + _PAIRS, "right")))
-                some, count = hit[k:stop], (high - low)[hit[k:stop]]
-                where = places[np.repeat(low[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                place = np.repeat(at[some], count)
-                text = np.searchsorted(first, place, "right") - 1
-                item = np.searchsorted(self.first, where, "right") - 1
-                found = np.unique(np.stack([text, item, (place - first[text]) - (where - self.first[item])], axis=1), axis=0)
-                pairs.update(map(tuple, found.tolist()))
-                k = stop
-        return sorted(pairs)
-
-    def overlaps(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item id, first word in the text, words, of them equal, first word in the item), the best of each text and item."""
-        if not len(words) or not len(self.words):
-            return []
-        best: dict[tuple[int, int], tuple[int, int, int, int, int, int]] = {}
-        for t, item, shift in self.shifts(words, first):
-            a, b = int(first[t]), int(first[t + 1])
-            p, q = int(self.first[item]), int(self.first[item + 1])
-            low, high = max(0, -shift), min(q - p, b - a - shift)
-            need = min(LEAST, q - p)
-            if high - low < need:
-                continue
-            same = words[a + shift + low : a + shift + high] == self.words[p + low : p + high]
-            s, n = longest(same, SIMILAR)
-            if n >= need and ((t, item) not in best or n > best[t, item][3]):
-                best[t, item] = (t, item, low + shift + s, n, int(same[s : s + n].sum()), low + s)
-        return [(t, i, *rest) for t, item, *rest in best.values() for i in self.ids[item]]
-
-
 def longest(same: np.ndarray, share: float) -> tuple[int, int]:
     """(start, length) of the longest stretch that begins and ends with True and of which at least ``share`` is True."""
     total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, 0.0) - share)]) + np.arange(len(same) + 1) * 1e-12
@@ -130,38 +56,136 @@ def longest(same: np.ndarray, share: float) -> tuple[int, int]:
     return int(begin[end]), int(sizes[end])
 
 
-_HELD: dict[str, Seeds] = {}
+def _wordlists(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of the first text, word hashes of some texts end to end, limits of the texts) for all texts of a column."""
+    raw, at = common.text_bytes(column.cast(pa.string()))
+    for a, b in common.slices(at, 1 << 20):
+        part, offsets = raw[at[a] : at[b]], at[a : b + 1] - at[a]
+        start, end, first = textops.words(part, offsets, ideographs=True)
+        yield a, textops.word_hashes(part, start, end), first
 
 
-def _seeds(key: str, items: list[tuple[int, str]]) -> Seeds:
-    """The block's seeds, built once in a Python worker."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Seeds(items)
-    return _HELD[key]
+def items_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``item, item_id`` of every item, ``item, n, words`` of every different text with words): written once."""
+    rows = benchmark.where("text is not null").select(F.md5("text").alias("item"), "item_id", "text")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for a, words, first in _wordlists(batch.column(1)):
+                some = [(names[a + t], int(high - low), words[low:high].tobytes()) for t, (low, high) in enumerate(zip(first[:-1], first[1:], strict=True)) if high > low]
+                columns = list(zip(*some, strict=True)) or [()] * 3
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["item", "n", "words"])
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, a block of bounded size at a time; empty ones can't be found and are left out."""
-    held: list[tuple[int, str]] = []
-    size = 0
-    for r in benchmark.where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"].encode("utf-8", "replace"))
-        if held and size + n > BLOCK:
-            yield held
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += n
-    if held:
-        yield held
+    texts = rows.groupBy("item").agg(F.any_value("text").alias("text"))
+    return rows.select("item", "item_id"), common.stored(texts.mapInArrow(common.released(cut), "item string, n bigint, words binary"), "benchmark-words")
 
 
-def _found(seeds: Seeds, column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, int, int, int]]]]:
-    raw, at = common.text_bytes(column)
-    for a, b in common.slices(at, 1 << 20):
-        part, offsets = raw[at[a] : at[b]], at[a : b + 1] - at[a]
-        start, end, first = textops.words(part, offsets, ideographs=True)
-        yield a, seeds.overlaps(textops.word_hashes(part, start, end), first)
+def seeds_of(items: DataFrame) -> DataFrame:
+    """``hash, item, place`` of every mask at every place of the items that has room for it."""
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.frombuffer(raw, np.uint64)
+                for seed in SEEDS if len(words) < SHORTEST else MASKS:
+                    if len(seed) < SHORTEST and len(seed) != len(words):
+                        continue
+                    found = seed_hashes(words, seed)
+                    if len(found):
+                        yield pa.record_batch([pa.array(found.view(np.int64)), pa.array([item] * len(found)), pa.array(np.arange(len(found)))], ["hash", "item", "place"])
+
+    return items.select("item", "words").mapInArrow(common.released(mask), "hash bigint, item string, place bigint")
+
+
+def _bits(items: DataFrame, seeds: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bits of the words, bits of the hashes, power of two of the latter): tasks set bits, and the tables merge through a tree."""
+    power = min(_HASH_BITS, max(12, int(8 * seeds.count()).bit_length()))
+
+    def table(values: Iterator[np.ndarray], n: int) -> Iterator[np.ndarray]:
+        bits = np.zeros(1 << n, bool)
+        for v in values:
+            bits[v >> np.uint64(64 - n)] = True
+        yield np.packbits(bits, bitorder="little")
+
+    words = items.select("words").rdd.mapPartitions(lambda rows: table((np.frombuffer(r["words"], np.uint64) for r in rows), _WORD_BITS))
+    hashes = seeds.select("hash").rdd.mapPartitions(lambda rows: table((np.array([r["hash"]], np.int64).view(np.uint64) for r in rows), power))
+    return words.treeReduce(np.bitwise_or), hashes.treeReduce(np.bitwise_or), power
+
+
+def hits_of(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray, int], *keep: str) -> DataFrame:
+    """``row, keep..., words, hashes, places`` of each text with a place whose masked hash may be one of the benchmark's."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(bits)  # at most 2**_WORD_BITS + 2**_HASH_BITS bits, 33 MB
+    kinds = [f"{c} {t}" for c, t in docs.select(*keep).dtypes]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, hashed, power = sent.value
+        known = np.unpackbits(packed, bitorder="little").view(bool)
+        for batch in batches:
+            for a, words, first in _wordlists(batch.column(batch.num_columns - 1)):
+                inside = known[words >> np.uint64(64 - _WORD_BITS)]
+                found, places = [], []
+                for seed in SEEDS:
+                    n = len(words) - len(seed) + 1
+                    likely = np.ones(max(0, n), bool)
+                    for i, c in enumerate(seed):
+                        if c == "1":
+                            likely &= inside[i : i + max(0, n)]
+                    at = np.flatnonzero(likely)
+                    at = at[at + len(seed) <= first[np.searchsorted(first, at, "right")]] if len(at) else at  # none crosses to the next text
+                    got = seed_hashes(words, seed, at)
+                    spot = got >> np.uint64(64 - power)
+                    hit = (hashed[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    found.append(got[hit])
+                    places.append(at[hit])
+                place, value = np.concatenate(places), np.concatenate(found).view(np.int64)
+                text = np.searchsorted(first, place, "right") - 1
+                order = np.argsort(text, kind="stable")
+                rows, begins = np.unique(text[order], return_index=True)
+                offsets = pa.array(np.append(begins, len(order)).astype(np.int32))
+                whole = batch.slice(a).take(pa.array(rows))
+                columns = [*whole.columns[:-1], pa.array([words[first[t] : first[t + 1]].tobytes() for t in rows.tolist()], pa.binary())]
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(value[order])), pa.ListArray.from_arrays(offsets, pa.array(place[order] - first[text[order]]))]
+                yield pa.record_batch(columns, ["row", *keep, "words", "hashes", "places"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, "text")
+    return common.stored(rows.mapInArrow(common.released(look), ", ".join(["row bigint", *kinds, "words binary", "hashes array<bigint>", "places array<bigint>"])), "benchmark-hits")
+
+
+def found_of(docs: DataFrame, benchmark: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(``row, keep..., item, start_word, n_words, n_equal, item_word`` of each text and item that overlap, ``item, item_id``)."""
+    ids, items = items_of(benchmark)
+    seeds = common.stored(seeds_of(items), "benchmark-seeds")
+    hits = hits_of(docs, _bits(items, seeds), *keep)
+    pairs = hits.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("row", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
+    pairs = pairs.join(seeds, "hash").select("row", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    # the part of the text that lies under the item, cut out as soon as the two meet
+    laid = pairs.join(items, "item").join(hits.select("row", *keep, "words").withColumnRenamed("words", "text_words"), "row")
+    low = F.greatest(F.lit(0).cast("long"), -F.col("shift"))
+    high = F.least(F.col("n"), F.octet_length("text_words") / 8 - F.col("shift")).cast("long")
+    part = lambda c, at: F.substring(F.col(c), (at * 8 + 1).cast("int"), ((high - low) * 8).cast("int"))
+    laid = laid.where(high - low >= F.least(F.lit(LEAST), F.col("n"))).select("row", *keep, "item", "n", "shift", low.alias("low"), part("text_words", F.col("shift") + low).alias("a"), part("words", low).alias("b"))
+    kinds = [f"{c} {t}" for c, t in laid.select("row", *keep, "item").dtypes]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, shift, low, a, b = (batch.column(c).to_pylist() for c in ("n", "shift", "low", "a", "b"))
+            good, out = [], []
+            for i in range(batch.num_rows):
+                same = np.frombuffer(a[i], np.uint64) == np.frombuffer(b[i], np.uint64)
+                s, size = longest(same, SIMILAR)
+                if size >= min(LEAST, n[i]):
+                    good.append(i)
+                    out.append((low[i] + shift[i] + s, size, int(same[s : s + size].sum()), low[i] + s))
+            some = batch.take(pa.array(good, pa.int64()))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.record_batch([*[some.column(c) for c in ("row", *keep, "item")], *[pa.array(c, pa.int64()) for c in columns]], ["row", *keep, "item", "start_word", "n_words", "n_equal", "item_word"])
+
+    good = laid.mapInArrow(common.released(verify), ", ".join([*kinds, "start_word bigint, n_words bigint, n_equal bigint, item_word bigint"]))
+    rank = F.struct("n_words", (F.col("item_word") - F.col("start_word")).alias("back"))  # the longest, then the least shift
+    best = good.groupBy("row", *keep, "item").agg(F.max_by(F.struct("start_word", "n_words", "n_equal", "item_word"), rank).alias("best"))
+    return best.select("row", *keep, "item", "best.*"), ids
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,24 +196,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     texts have no overlaps; each of repeated rows or items has its own; texts of any length are read whole. An empty
     benchmark or no documents give no rows; other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_equal bigint, similarity double, item_word bigint"
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark):
-        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], sent: object = sent, key: str = key) -> Iterator[pa.RecordBatch]:
-            seeds = _seeds(key, sent.value)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = [(ids[a + t], item, s, n, same, same / n, p) for a, got in _found(seeds, batch.column(1)) for t, item, s, n, same, p in sorted(got)]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kinds = [*[pa.int64()] * 5, pa.float64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "n_equal", "similarity", "item_word"])
-
-        out = out.unionByName(docs.mapInArrow(common.released(run), schema))
-    return out
+    found, ids = found_of(docs, benchmark, "doc_id")
+    return found.join(ids, "item").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "start_word", "n_words", "n_equal", (F.col("n_equal") / F.col("n_words")).alias("similarity"), "item_word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -197,20 +206,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
 
     Null and empty texts stay, and so do all of repeated rows without an overlap; what :func:`overlaps` says holds.
     """
-    spark, kind, at = docs.sparkSession, docs.schema, docs.columns.index(text_col)
-    for block in _blocks(benchmark):
-        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], sent: object = sent, key: str = key) -> Iterator[pa.RecordBatch]:
-            seeds = _seeds(key, sent.value)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for a, got in _found(seeds, batch.column(at).cast(pa.string())):
-                    keep[[a + g[0] for g in got]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(common.released(run), kind)
-    return docs
+    digest = F.md5(docs[text_col].cast("string"))
+    found, _ = found_of(docs.select(docs[text_col].cast("string").alias("text")).withColumn("digest", F.md5("text")), benchmark, "digest")
+    # whether a text overlaps depends on the text alone
+    bad = found.select(F.col("digest").alias("_overlapping")).distinct()
+    return docs.join(bad, digest == F.col("_overlapping"), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, groupby
 
@@ -45,6 +45,8 @@ NO_TEXT = "script style noscript template svg math iframe object canvas video au
 FURNITURE = "nav footer aside form dialog menu head header".split()
 BLOCKS = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
+MODIFIERS = "has hide hides no show shows with without".split()
+READERS = "comment comments disqus feedback replies reply respond".split()
 MARKS = """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-ads comment comments consent cookie cookies copyright disqus
 feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager paywall popup promo promoted
 recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
@@ -58,20 +60,38 @@ _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _QUOTE = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_NO_TEXT, _FURNITURE, _BLOCKS, _VOID, _MARKS, _ROLES = (frozenset(x) for x in (NO_TEXT, FURNITURE, BLOCKS, VOID, MARKS, ROLES))
+_NO_TEXT, _FURNITURE, _BLOCKS, _VOID, _MARKS, _ROLES, _READERS, _MODIFIERS = (frozenset(x) for x in (NO_TEXT, FURNITURE, BLOCKS, VOID, MARKS, ROLES, READERS, MODIFIERS))
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset({"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "td", "th"})
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> tuple[bool, frozenset[str]]:
+    """(whether a page says that the element is hidden or furniture, the marks in its class and id)."""
+    marks: set[str] = set()
     for name, *values in _NAMED.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
+            return True, frozenset()
+        if name in ("class", "id"):
+            for word in value.split():
+                parts = _SPLIT.split(word)
+                if _MODIFIERS.isdisjoint(parts[:-1]):  # such as has-sidebar, which says what an element holds
+                    marks |= _MARKS.intersection(parts)
+    return False, frozenset(marks)
+
+
+class _Wrap:
+    """An element that a name or its being a form makes likely furniture: what it holds decides once the page is read."""
+
+    def __init__(self, reader: bool):
+        self.reader, self.chars, self.articles = reader, 0, 0
+
+    def furniture(self, chars: int, articles: int) -> bool:
+        """Not if it holds all of the page's articles, or most of the text of a page that has none outside of it."""
+        if self.articles < articles:
             return True
-        if name in ("class", "id") and not _MARKS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+        return not self.articles and (self.reader or 2 * self.chars <= chars)
 
 
 class _Tags:
@@ -116,13 +136,15 @@ class _Tags:
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, ARTICLE, OTHER or CHROME, whether all of it is links) of each block with text, in page order."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int]] = []  # tag, place inside it
+    out: list[tuple[str, tuple, bool]] = []
+    stack: list[tuple[str, tuple]] = []  # tag, place inside it: what encloses it, from the outside, and decides
+    wraps: list[_Wrap] = []
+    articles = 0
     opened: Counter[str] = Counter()
     text: list[str] = []
     linked = plain = 0
     in_link = 0
-    place = OTHER
+    place: tuple = ()
     tags = _Tags(page)
 
     def flush() -> None:
@@ -179,10 +201,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 k = len(stack) - 1
                 while stack[k][0] != tag:
                     k -= 1
-                if (stack[k - 1][1] if k else OTHER) != place:
+                if (stack[k - 1][1] if k else ()) is not place:
                     flush()
             if close(tag):
-                place = stack[-1][1] if stack else OTHER
+                place = stack[-1][1] if stack else ()
             continue
         if tag == "br":
             text.append(" ")
@@ -200,25 +222,52 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             for wanted in ({"p"}, _CLOSES.get(tag, ())):  # a block ends an open paragraph, an item the one before
                 if wanted and (found := above(wanted)):
                     close(found)
-            place = stack[-1][1] if stack else OTHER
+            place = stack[-1][1] if stack else ()
         if tag == "a":
             in_link += 1
         inner = place
-        if tag in _NO_TEXT or tag in _FURNITURE and not (tag == "header" and place == ARTICLE):
-            inner = CHROME
-        elif attributes and tag not in ("html", "body") and _marked(attributes):
-            inner = CHROME
-        elif tag in ("article", "main") and place != CHROME:
-            inner = ARTICLE
+        hidden, marks = _marked(attributes) if attributes and tag not in ("html", "body") else (False, frozenset())
+        inside = ARTICLE in place
+        if inside:
+            marks -= {"header"}  # the head of an article is its title
+        if CHROME in place:
+            pass  # nothing in hard furniture is text
+        elif hidden or tag in _NO_TEXT or tag in _FURNITURE and tag != "form" and not (tag == "header" and inside):
+            inner = (*place, CHROME)
+        else:
+            if marks or tag == "form":
+                wraps.append(_Wrap(not _READERS.isdisjoint(marks)))
+                inner = (*place, wraps[-1])
+            if tag in ("article", "main"):
+                inner = (*inner, ARTICLE)
+                if not any(isinstance(w, _Wrap) and w.reader for w in inner):  # a reader's comment is no article of the page
+                    articles += 1
+                    for w in inner:
+                        if isinstance(w, _Wrap):
+                            w.articles += 1
         if attributes.endswith("/"):
             continue
-        if inner != place and tag not in _BLOCKS:
+        if inner is not place and tag not in _BLOCKS:
             flush()
         stack.append((tag, inner))
         opened[tag] += 1
         place = inner
     flush()
-    return out
+    total = 0
+    for line, around, _ in out:
+        if CHROME not in around:
+            total += len(line)
+            for w in around:
+                if isinstance(w, _Wrap):
+                    w.chars += len(line)
+    decided: dict[int, bool] = {id(w): w.furniture(total, articles) for w in wraps}
+
+    def settled(around: tuple) -> int:
+        if CHROME in around or any(decided[id(w)] for w in around if isinstance(w, _Wrap)):
+            return CHROME
+        return ARTICLE if ARTICLE in around else OTHER
+
+    return [(line, settled(around), link) for line, around, link in out]
 
 
 def _rows(a: list[str], b: list[str]) -> Iterator[int]:
@@ -346,26 +395,55 @@ def main_text(page: Page, near: list[Page], difference: bool = True) -> str:
 
 
 def _differenced(pages: Iterator[Page], difference: bool) -> Iterator[tuple[Page, str]]:
-    """Each of the pages of one block with its text; at most 2 * REACH + 1 pages are held."""
-    held: deque[Page] = deque()
+    """Each of the pages of one block with its text, in their order.
+
+    A page is differenced with up to ``REACH`` pages on either side, and beyond these with the nearest page of its host
+    on either side that is no near copy of it. So a page waits while all pages after it are near copies, a run of which
+    is held in memory up to its end or that of the block.
+    """
+    held: list[Page] = []
+    alone: list[Page] = []  # the last pages before those held, near copies of each other left out
     done = 0  # of those held
+    seen = 0  # pages after the next one that are near copies of it
+
+    def copies(page: Page, other: Page) -> bool:
+        found, _ = common_lines(page.lines, other.lines)
+        return sum(len(page.lines[i]) for i in found) > COPY * sum(map(len, page.lines))
 
     def text(k: int) -> tuple[Page, str]:
         page = held[k]
-        near = [(-nearness(page.path, held[j].path), abs(k - j), j) for j in range(max(0, k - REACH), min(len(held), k + REACH + 1)) if j != k and held[j].host == page.host]
-        return page, main_text(page, [held[j] for _, _, j in sorted(near)], difference)
+        window = [j for j in range(max(0, k - REACH), min(len(held), k + REACH + 1)) if j != k and held[j].host == page.host]
+        near = [held[j] for j in sorted(window, key=lambda j: (-nearness(page.path, held[j].path), abs(k - j), j))]
+        if near and difference and all(copies(page, o) for o in near):
+            near += [o for o in (*reversed(alone), held[-1]) if o.host == page.host and o not in near and o is not page][:2]
+        return page, main_text(page, near, difference)
+
+    def settled(k: int) -> bool:
+        """Whether what comes later can't matter: ``REACH`` pages follow, and the last of them or of all is no near copy."""
+        nonlocal seen
+        if not difference or held[-1].host != held[k].host:
+            return len(held) - 1 - k > REACH
+        if len(held) - 1 - k <= REACH:
+            return False
+        later = held[max(k, seen) + 1 :]
+        if any(not copies(held[k], o) for o in reversed(later)):
+            return True
+        seen = len(held) - 1
+        return False
 
     for page in pages:
         if held and held[-1].same(page):
             held[-1].rows += page.rows
             continue
         held.append(page)
-        if len(held) - 1 - done > REACH:
+        while settled(done):
             yield text(done)
-            done += 1
+            done, seen = done + 1, 0
             if done > REACH:
-                held.popleft()
+                gone = held.pop(0)
                 done -= 1
+                if not alone or alone[-1].host != gone.host or not copies(gone, alone[-1]):
+                    alone = [*[o for o in alone if o.host == gone.host][1 - PARTNERS :], gone]
     for k in range(done, len(held)):
         yield text(k)
 

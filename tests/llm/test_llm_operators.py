@@ -219,15 +219,21 @@ def test_decontamination_finds_changed_copies_and_leaves_clean_rows(spark, tmp_p
     assert decontaminate.overlaps(docs, empty).count() == 0 and decontaminate.clean(docs, empty).count() == docs.count()
 
 
-def test_decontamination_in_blocks_gives_the_same(spark, monkeypatch):
+def test_decontamination_is_one_plan_for_any_benchmark_and_exact_where_the_bits_are_full(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [(i, prose(rng, 30, vocabulary)) for i in range(8)]
+    items = [(i, prose(rng, 30, vocabulary)) for i in range(40)]
     docs = frame(spark, [prose(rng, 20, vocabulary) + " " + t for _, t in items])
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
-    one = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK", 60)
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()} == one == {(i, i) for i in range(8)}
+    plans = []
+    for n in (2, 40):
+        found = decontaminate.overlaps(docs, spark.createDataFrame(items[:n], "item_id bigint, text string"))
+        plans.append(len(re.findall(r"MapInArrow|Join|Aggregate", found._jdf.queryExecution().optimizedPlan().toString())))
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(n)}
+    assert plans[0] == plans[1]
+    monkeypatch.setattr(decontaminate, "_HASH_BITS", 3)
+    monkeypatch.setattr(decontaminate, "_WORD_BITS", 3)
+    found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(40)}
 
 
 # ---- 4 ------------------------------------------------------------------------------------------------------------
@@ -301,6 +307,36 @@ def test_runs_of_copies_lose_the_template_and_stay_whole(spark):
         assert got[i] == t.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
 
 
+def test_a_run_of_near_copies_longer_than_the_window_loses_the_template(spark):
+    body = "<body><div>Site head</div><div>Menu of the site with many entries</div>{}<div>Site foot and address</div></body>"
+    shared = "".join(f"<p>paragraph {k} that all thirty pages of the run have</p>" for k in range(6))
+    rows = [(i, f"http://h/a/{i}", body.format(f"{shared}<p>own words of page {i}</p>")) for i in range(30)]
+    rows += [(100 + i, f"http://h/b/{i}", body.format(f"<p>another text, number {i}</p><p>and its end {i}</p>")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i].split("\n") == [f"paragraph {k} that all thirty pages of the run have" for k in range(6)] + [f"own words of page {i}"]
+    for i in range(5):
+        assert got[100 + i] == f"another text, number {i}\nand its end {i}"
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="content has-sidebar">{}</div>', '<div class="sidebar-right">{}<div class="sidebar">links</div></div>', '<div class="layout-with-menu"><ul class="menu"><li>links</ul>{}</div>',
+    '<div class="no-comments">{}</div>', '<main class="search-page">{}</main>', '<form id="aspnetForm"><nav>links</nav>{}</form>', '{}<section id="comments"><article>I say so</article></section>',
+    '<div id="page"><div class="cookie-banner">links</div>{}<form class="newsletter">links</form></div>',
+])
+def test_names_and_forms_around_an_article_do_not_hide_it(wrapper):
+    article = '<article><div class="entry-header"><h1>Title</h1></div><p>' + "the body of it " * 20 + '</p><div class="share">links</div></article>'
+    lines = html_text.lines_of(f"<html><body>{wrapper.format(article)}<footer>links</footer></body></html>")
+    text = html_text.main_text(html_text.Page("h", "p", *map(list, zip(*lines, strict=True))), [])
+    assert text == "Title\n" + ("the body of it " * 20).strip()
+
+
+def test_most_of_a_page_is_no_furniture_unless_its_readers_wrote_it():
+    plain = lambda inner: [x for x, p, _ in html_text.lines_of(f"<body>{inner}</body>") if p != html_text.CHROME]
+    assert plain("<form class='search'><p>" + "long text " * 20 + "</p></form><form>q</form>") == [("long text " * 20).strip()]
+    assert plain("<div class='comments'><p>" + "I say " * 50 + "</p></div><p>short</p>") == ["short"]
+
+
 def test_text_does_not_depend_on_partitions(spark):
     """Pages in pairs with head and foot of their own; ranges of pages begin anywhere."""
     rows = [(i, f"http://h/a/{i}", f"<body><div>Head {i // 2}</div><p>text {i} of a page {'abc' * (i % 7)}</p><div>Foot {i // 2}</div></body>") for i in range(3000)]
