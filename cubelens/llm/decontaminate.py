@@ -98,35 +98,43 @@ def seeds_of(items: DataFrame) -> DataFrame:
     return items.select("item", "words").mapInArrow(common.released(mask), "hash bigint, item string, place bigint")
 
 
-def _bits(items: DataFrame, seeds: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bits of the words, bits of the hashes, power of two of the latter): tasks set bits, and the tables merge through a tree."""
-    power = min(_HASH_BITS, max(12, int(8 * seeds.count()).bit_length()))
+def _spots(hashes: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash: its first and its last ``power`` bits."""
+    return hashes >> np.uint64(64 - power), hashes & np.uint64((1 << power) - 1)
 
-    def table(values: Iterator[np.ndarray], n: int) -> Iterator[np.ndarray]:
+
+def _bits(items: DataFrame, seeds: DataFrame) -> tuple[np.ndarray, np.ndarray, int, list[str]]:
+    """(bits of the words, bits of the hashes, power of two of the latter, masks in use): tasks set bits, and the tables
+    merge through a tree. A hash has two bits in a table of 256 bits or more a hash, as long as the bound allows it."""
+    power = min(_HASH_BITS, max(12, int(256 * seeds.count()).bit_length()))
+
+    def table(values: Iterator[np.ndarray], n: int, both: bool) -> Iterator[np.ndarray]:
         bits = np.zeros(1 << n, bool)
         for v in values:
-            bits[v >> np.uint64(64 - n)] = True
+            for spot in _spots(v, n)[: 1 + both]:
+                bits[spot] = True
         yield np.packbits(bits, bitorder="little")
 
-    words = items.select("words").rdd.mapPartitions(lambda rows: table((np.frombuffer(r["words"], np.uint64) for r in rows), _WORD_BITS))
-    hashes = seeds.select("hash").rdd.mapPartitions(lambda rows: table((np.array([r["hash"]], np.int64).view(np.uint64) for r in rows), power))
-    return words.treeReduce(np.bitwise_or), hashes.treeReduce(np.bitwise_or), power
+    words = items.select("words").rdd.mapPartitions(lambda rows: table((np.frombuffer(r["words"], np.uint64) for r in rows), _WORD_BITS, False))
+    hashes = seeds.select("hash").rdd.mapPartitions(lambda rows: table((np.array([r["hash"]], np.int64).view(np.uint64) for r in rows), power, True))
+    short = {r["n"] for r in items.where(F.col("n") < SHORTEST).select("n").distinct().collect()}  # five numbers at most
+    return words.treeReduce(np.bitwise_or), hashes.treeReduce(np.bitwise_or), power, [s for s in SEEDS if len(s) >= SHORTEST or len(s) in short]
 
 
-def hits_of(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray, int], *keep: str) -> DataFrame:
+def hits_of(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray, int, list[str]], *keep: str) -> DataFrame:
     """``row, keep..., words, hashes, places`` of each text with a place whose masked hash may be one of the benchmark's."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(bits)  # at most 2**_WORD_BITS + 2**_HASH_BITS bits, 33 MB
     kinds = [f"{c} {t}" for c, t in docs.select(*keep).dtypes]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, hashed, power = sent.value
+        packed, hashed, power, seeds = sent.value
         known = np.unpackbits(packed, bitorder="little").view(bool)
         for batch in batches:
             for a, words, first in _wordlists(batch.column(batch.num_columns - 1)):
                 inside = known[words >> np.uint64(64 - _WORD_BITS)]
                 found, places = [], []
-                for seed in SEEDS:
+                for seed in seeds:
                     n = len(words) - len(seed) + 1
                     likely = np.ones(max(0, n), bool)
                     for i, c in enumerate(seed):
@@ -135,8 +143,9 @@ def hits_of(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray, int], *keep: st
                     at = np.flatnonzero(likely)
                     at = at[at + len(seed) <= first[np.searchsorted(first, at, "right")]] if len(at) else at  # none crosses to the next text
                     got = seed_hashes(words, seed, at)
-                    spot = got >> np.uint64(64 - power)
-                    hit = (hashed[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    hit = np.ones(len(got), bool)
+                    for spot in _spots(got, power):
+                        hit &= (hashed[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
                     found.append(got[hit])
                     places.append(at[hit])
                 place, value = np.concatenate(places), np.concatenate(found).view(np.int64)
@@ -214,4 +223,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all ``documents`` with all of ``benchmark``; odd rows as :func:`overlaps` says."""
     return overlaps(common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "benchmark", "item_id", "text"))
