@@ -455,7 +455,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     then of their html, and each of repeated rows has its row. Of neighbours that are equally near the earlier one
     counts first. Pages of any length are taken whole: tags are scanned once whatever is left open, and alignment takes
     memory in proportion to the lines. No pages give no rows; other columns are not read. Without ``difference`` the
-    markup alone decides.
+    markup alone decides. A host all of whose pages are near copies of each other loses nothing by differencing.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -520,4 +520,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all ``pages``; odd rows as :func:`extract` says."""
     return extract(common.table(spark, sf_dir, "pages", "page_id", "url", "html"))

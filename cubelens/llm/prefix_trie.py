@@ -72,7 +72,6 @@ def numbered(turns: DataFrame) -> DataFrame:
     d1, d2 = _bits(F.sha2(F.concat_ws(":", F.char_length(role), role, text), 256))
     rows = turns.select("conv_id", "turn", d1.alias("d1"), d2.alias("d2"), F.char_length(text).cast("long").alias("n_chars"), role.alias("role"), F.substring(text, 1, 64).alias("begin"), F.monotonically_increasing_id().alias("row"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # among equal turns the role decides, then the text, of which its first characters stand in for the order of ranges
     order = ["conv_id", "turn", "role", "begin", "d1", "d2", "row"]
     ranged = rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id())
     ranged = common.stored(ranged, "trie-turns")
@@ -194,9 +193,10 @@ def peel(runs: DataFrame) -> DataFrame:
 def trie(conversations: DataFrame) -> DataFrame:
     """A row for each node of the trie over (conv_id, turn, role, text): the columns of ``op13_prefix_trie``.
 
-    Null roles and texts are empty, null turns come first, turns that share a number go by role, then text, and repeated
-    rows are turns of their own. Rows without conv_id belong to no conversation. A conversation that is left without turns
-    ends at the root. Turns of any length are hashed whole. Other columns are not read. No rows: no nodes.
+    Null roles and texts are empty, null turns come first, turns that share a number go by role, then the text's first 64
+    characters and then its hash, and repeated rows are turns of their own. Rows without conv_id belong to no
+    conversation. A conversation that is left without turns ends at the root. Turns of any length are hashed whole. Other
+    columns are not read. No rows: no nodes.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     own = common.stored(numbered(turns.where("conv_id is not null")), "trie-numbered")

@@ -340,6 +340,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all ``documents``, read back; odd rows as :func:`write` says."""
     path = common.scratch(spark, "token-files")
     write(common.table(spark, sf_dir, "documents", "doc_id", "text"), path)
     return read(spark, path)
