@@ -29,21 +29,26 @@ def run_stage(spark: SparkSession, cfg: config.AnalysisConfig, stage: str, colum
 
     Only the stage's tables are written; those of its earlier run that it doesn't make again are deleted.
     """
+    prepared: pipeline.Tables = {}
     cube = None if stage == "data_prep" else sinks.read_table(spark, cfg.output_dir, "merged_outputs", "parsed_outputs")
     summary = None if stage == "data_prep" else sinks.read_table(spark, cfg.output_dir, "llm_json_processing_summary")
     if cube is None or summary is None:
         prepared = pipeline.data_prep(spark, cfg)
         cube, summary = prepared["merged_outputs"], prepared["llm_json_processing_summary"]
-    made = {
+    stages = {
         "data_prep": lambda: prepared,
         "dropout": lambda: pipeline.dropout(summary),
         "missingness_threshold": lambda: pipeline.missingness_threshold(cube, cfg.truth_mode),
         "full_performance": lambda: pipeline.full_performance(cube, cfg.truth_mode, cfg.bootstrap_iterations, cfg.random_seed, not cfg.enable_temperature_analysis),
         "narrative_analysis": lambda: pipeline.narrative_analysis(cube, column, cfg.truth_mode),
         "tiered_performance": lambda: pipeline.tiered_performance(cube, cfg.bootstrap_iterations, cfg.random_seed),
-    }[stage]()
-    if made:
-        sinks.write_tables(made, cfg.output_dir, stage=stage)
+    }
+    try:
+        made = stages[stage]()
+        if made:
+            sinks.write_tables(made, cfg.output_dir, stage=stage)
+    finally:
+        pipeline.release(prepared)
     return made
 
 

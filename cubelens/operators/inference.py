@@ -18,13 +18,28 @@ def correctness(truth: Column, bucket: Column) -> Column:
     return (scores.prediction(bucket) == truth.cast("int")).cast("int")
 
 
+# Truth columns in the order in which the first that is there counts.
+TRUTHS = ("_document_level_truth", "ground_truth", "document_truth_label", "patient_truth_label", "truth_label")
+
+
+def with_correctness(rows: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
+    """Rows with ``ok``: from ``y`` and ``bucket`` where a stage has made them, else from the role's truth or the first
+    of ``TRUTHS`` and the raw score; null where the truth is."""
+    if {"y", "bucket"} <= set(rows.columns):
+        return rows.withColumn("ok", correctness(scores.number(F.col("y")), F.col("bucket")))
+    truth = next((c for c in (roles.truth, *TRUTHS) if c in rows.columns), None)
+    if truth is None:
+        return rows.withColumn("ok", F.lit(None).cast("int"))
+    return rows.withColumn("ok", correctness(scores.number(F.col(truth)), scores.clean_likelihood(F.col(roles.score))))
+
+
 def mcnemar_pairs(cube: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Exact McNemar tests of all model pairs on the subjects and experiments that both have.
 
     Of a model's rows with one key the one with the lowest temperature counts, then the first.
     """
     keys = [roles.subject, roles.experiment]
-    rows = cube.withColumn("ok", correctness(scores.number(F.col(roles.truth)), scores.clean_likelihood(F.col(roles.score)))).where("ok is not null")
+    rows = with_correctness(cube, roles).where("ok is not null")
     order = W.partitionBy(*keys, roles.model).orderBy(F.col(roles.temperature).asc_nulls_last(), roles.order)
     rows = rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, F.col(roles.model).alias("m"), "ok")
     b = rows.select(*keys, F.col("m").alias("model_b"), F.col("ok").alias("ok_b"))
@@ -46,8 +61,7 @@ def _design(cube: DataFrame, factors: tuple[str, ...], roles: Roles) -> tuple[Da
 
     A missing level is one of its own, "nan".
     """
-    rows = cube.withColumn("ok", correctness(scores.number(F.col(roles.truth)), scores.clean_likelihood(F.col(roles.score))))
-    rows = rows.where("ok is not null").dropna(subset=[roles.subject])
+    rows = with_correctness(cube, roles).where("ok is not null").dropna(subset=[roles.subject])
     if "temperature_group" in factors:
         rows = rows.withColumn("temperature_group", scores.temperature_group(scores.round_temperature(F.col(roles.temperature))))
     columns = [c for f in factors if (c := getattr(roles, f, f)) in rows.columns]
@@ -99,37 +113,76 @@ def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[s
     return spark.createDataFrame(out, schema)
 
 
-def _posterior(subjects: DataFrame, etas: list[float], variance: float) -> DataFrame:
-    """``k, p, q``: for each pattern k and subject n * mu and n * mu * (1 - mu); for k = -1 the mode squared plus variance, and 1."""
-    eta = F.array(*map(F.lit, etas))
+NODES, INNER = 11, 12  # quadrature nodes, steps of a subject's own update
+PRIOR_SD, PRIOR_LOG_SD = 2.0, 1.0  # of the fixed effects, and of the logarithm of the intercepts' standard deviation
+
+
+def _subject_posterior(subjects: DataFrame, etas: list[float], spreads: list[float], precision: float) -> DataFrame:
+    """``k, p, q``: n E[mu] and n E[mu (1 - mu)] of each pattern k and subject; for k = -1 the intercept's E[b^2], and 1.
+
+    A subject's intercept is normal with mean b and variance v; a cell's linear predictor is normal with the mean
+    etas[k] + b and the variance spreads[k] + v, and expectations over it are sums over Gauss-Hermite nodes.
+    """
+    at, weight = np.polynomial.hermite_e.hermegauss(NODES)
+    nodes = F.array(*[F.struct(F.lit(float(z)).alias("z"), F.lit(float(w)).alias("w")) for z, w in zip(at, weight / weight.sum(), strict=True)])
+    eta, spread = F.array(*map(F.lit, etas)), F.array(*map(F.lit, spreads))
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 
-    def mu(c: Column, b: Column) -> Column:
-        return 1 / (1 + F.exp(-(eta[c["k"]] + b)))
+    def expected(c: Column, b: Column, v: Column) -> Column:
+        scale = F.sqrt(spread[c["k"]] + v)
 
-    def slope(b: Column) -> Column:
-        return F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["good"] - c["n"] * mu(c, b)) - b / variance
+        def add(a: Column, n: Column) -> Column:
+            mu = 1 / (1 + F.exp(-(eta[c["k"]] + b + scale * n["z"])))
+            return F.struct((a["p"] + n["w"] * mu).alias("p"), (a["q"] + n["w"] * mu * (1 - mu)).alias("q"))
 
-    def bend(b: Column) -> Column:
-        return F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["n"] * mu(c, b) * (1 - mu(c, b))) + 1 / variance
+        return F.aggregate(nodes, zero, add)
 
-    def step(b: Column, _: Column) -> Column:
-        return b + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), slope(b) / bend(b)))
+    def step(x: Column, _: Column) -> Column:
+        def add(a: Column, c: Column) -> Column:
+            e = expected(c, x["b"], x["v"])
+            return F.struct((a["p"] + c["good"] - c["n"] * e["p"]).alias("p"), (a["q"] + c["n"] * e["q"]).alias("q"))
 
-    mode = subjects.withColumn("b", F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.lit(0.0), step)).withColumn("v", 1 / bend(F.col("b")))
-    b = F.col("b")
-    parts = F.transform("cells", lambda c: F.struct(c["k"].alias("k"), (c["n"] * mu(c, b)).alias("p"), (c["n"] * mu(c, b) * (1 - mu(c, b))).alias("q")))
-    whole = F.array(F.struct(F.lit(-1).alias("k"), (b * b + F.col("v")).alias("p"), F.lit(1.0).alias("q")))
-    return mode.select(F.explode(F.concat(parts, whole)).alias("s")).select("s.*")
+        def moved(a: Column) -> Column:
+            bend = a["q"] + precision
+            return F.struct((x["b"] + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (a["p"] - precision * x["b"]) / bend))).alias("b"), (1 / bend).alias("v"))
+
+        return F.aggregate("cells", zero, add, moved)
+
+    start = F.struct(F.lit(0.0).alias("b"), F.lit(1 / (1 + precision)).alias("v"))
+    found = subjects.withColumn("u", F.aggregate(F.sequence(F.lit(1), F.lit(INNER)), start, step))
+    b, v = F.col("u.b"), F.col("u.v")
+
+    def cell(c: Column) -> Column:
+        e = expected(c, b, v)
+        return F.struct(c["k"].alias("k"), (c["n"] * e["p"]).alias("p"), (c["n"] * e["q"]).alias("q"))
+
+    whole = F.array(F.struct(F.lit(-1).alias("k"), (b * b + v).alias("p"), F.lit(1.0).alias("q")))
+    return found.select(F.explode(F.concat(F.transform("cells", cell), whole)).alias("s")).select("s.*")
+
+
+def log_sd_posterior(total: float, n: float) -> tuple[float, float]:
+    """(mean, variance) of the log standard deviation of n intercepts whose expected squares sum to ``total``."""
+    t, w = 0.5 * math.log(max(total / n, 1e-12)), 1 / (1 / PRIOR_LOG_SD**2 + 2 * n)
+    for _ in range(200):
+        pull = total * math.exp(-2 * t + 2 * w)
+        move = (pull - n - t / PRIOR_LOG_SD**2) / (2 * pull + 1 / PRIOR_LOG_SD**2)
+        t, last = t + max(-1.0, min(1.0, move)), w
+        w = 1 / (1 / PRIOR_LOG_SD**2 + 2 * total * math.exp(-2 * t + 2 * w))
+        if abs(move) < 1e-12 and abs(w - last) < 1e-14:
+            break
+    return t, w
 
 
-def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = FACTORS, least_rows: int = 50, rounds: int = 25) -> DataFrame:
-    """Logistic regression of correctness with a random intercept for each subject, by a Laplace approximation.
+def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = FACTORS, least_rows: int = 50, rounds: int = 60) -> DataFrame:
+    """Logistic regression of correctness with a random intercept for each subject, by mean-field variational Bayes.
 
-    Each round finds every subject's posterior mode and variance by Newton steps over the subject's own cells, in
-    parallel and inside the JVM; what comes back is three sums for each pattern of levels, on which the fixed effects
-    take one Newton step, and the mean of mode squared plus variance, which is the new variance of the intercepts. An
-    approximation of the variational fit that a mixed model package would make. Columns: ``term, estimate_log_odds,
-    posterior_sd, p_value, odds_ratio, n_rows``, the intercepts' standard deviation as term ``subject_sd``.
+    Fixed effects, intercepts and the logarithm of the intercepts' standard deviation are independent normals, with
+    priors of standard deviation ``PRIOR_SD`` and ``PRIOR_LOG_SD`` for the first and last; their means and variances
+    maximise the evidence bound by coordinate steps. Each round updates every subject's intercept inside the JVM, from
+    its own cells; what comes back is two sums for each pattern of levels, on which the fixed effects take a Newton step,
+    and the sum of the intercepts' squares. Columns: ``term, estimate_log_odds, posterior_sd, p_value, odds_ratio,
+    n_rows``; the term ``subject_log_sd`` is the logarithm's mean, ``subject_sd`` its exponential. Too few rows or no
+    factor that varies give no rows.
     """
     schema = "term string, estimate_log_odds double, posterior_sd double, p_value double, odds_ratio double, n_rows bigint"
     spark = cube.sparkSession
@@ -142,21 +195,20 @@ def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str,
     pattern = F.try_element_at(known, F.concat_ws("\x1f", *columns))
     per = rows.withColumn("k", pattern).groupBy(roles.subject, "k").agg(F.sum("ok").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
     subjects = per.groupBy(roles.subject).agg(F.collect_list(F.struct("k", "n", "good")).alias("cells")).select("cells").persist()  # at most a cell for each pattern
-    beta, variance = np.zeros(x.shape[1]), 0.5
+    m, s2, t, w = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1), math.log(0.7), 0.01
     try:
         for _ in range(rounds):
-            found = _posterior(subjects, (x @ beta).tolist(), variance).groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()
-            sums = {r["k"]: (r["p"], r["q"]) for r in found}
+            found = _subject_posterior(subjects, (x @ m).tolist(), (x**2 @ s2).tolist(), math.exp(-2 * t + 2 * w)).groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()
+            sums = {r["k"]: (r["p"], r["q"]) for r in found}  # a row for each pattern
             weight = np.array([sums[k][1] for k in range(len(cells))])
-            bread = (x * weight[:, None]).T @ x + 1e-8 * np.eye(len(beta))
-            move = np.clip(np.linalg.solve(bread, x.T @ (good - np.array([sums[k][0] for k in range(len(cells))]))), -2, 2)
-            last, variance = variance, max(1e-6, sums[-1][0] / sums[-1][1])
-            beta = beta + move
-            if np.abs(move).max() < 1e-5 and abs(variance - last) < 1e-4:
+            bread = (x * weight[:, None]).T @ x + np.eye(len(m)) / PRIOR_SD**2
+            move = np.clip(np.linalg.solve(bread, x.T @ (good - np.array([sums[k][0] for k in range(len(cells))])) - m / PRIOR_SD**2), -2, 2)
+            m, s2, last = m + move, 1 / np.diag(bread), t
+            t, w = log_sd_posterior(*sums[-1])
+            if np.abs(move).max() < 1e-5 and abs(t - last) < 1e-5:
                 break
     finally:
         subjects.unpersist()
-    sd = np.sqrt(np.diag(np.linalg.inv(bread)))
     names = ["Intercept", *[f"{c}[T.{v}]" for c, v in dummies]]
-    out = [(t, float(b), float(d), math.erfc(abs(b / d) / math.sqrt(2)), float(np.exp(b)), n_rows) for t, b, d in zip(names, beta, sd, strict=True)]
-    return spark.createDataFrame([*out, ("subject_sd", float(np.sqrt(variance)), None, None, None, n_rows)], schema)
+    out = [(term, float(b), float(d), math.erfc(abs(b / d) / math.sqrt(2)), float(np.exp(b)), n_rows) for term, b, d in zip(names, m, np.sqrt(s2), strict=True)]
+    return spark.createDataFrame([*out, ("subject_log_sd", t, math.sqrt(w), None, None, n_rows), ("subject_sd", math.exp(t), None, None, None, n_rows)], schema)

@@ -86,7 +86,11 @@ def cell_quantiles(cells: DataFrame, keys: Sequence[str], value: str, weight: st
 
 
 def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, into: str) -> DataFrame:
-    """The rows with the last ``value`` that isn't null at or before their place within their key, as ``into``."""
+    """The rows with the last ``value`` that isn't null at or before their place within their key, as ``into``.
+
+    Nothing is carried on under a null key beyond its range. Values may be long, so they are joined, not sent: the join is
+    by the keys by which the rows are dealt already.
+    """
     ranged = in_ranges(df, keys, order)
     run = W.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     own = ranged.withColumn(into, F.last(value, ignorenulls=True).over(run))
@@ -96,4 +100,4 @@ def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     last = going.groupBy(*keys, RANGE).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_value"))
     before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     earlier = last.select(*keys, RANGE, F.last("_value", ignorenulls=True).over(before).alias("_earlier")).where("_earlier is not null")
-    return null_safe(own, earlier, [*keys, RANGE], "left", small=True).withColumn(into, F.coalesce(into, "_earlier")).drop("_earlier", RANGE)
+    return own.join(earlier, [*keys, RANGE], "left").withColumn(into, F.coalesce(into, "_earlier")).drop("_earlier", RANGE)

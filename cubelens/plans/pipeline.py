@@ -168,17 +168,25 @@ HEADERS = {
 def run_all(spark: SparkSession, cfg: AnalysisConfig, column: str = "full_response") -> Tables:
     """Every stage over one persisted fact table; each table is written below the output folder."""
     out = data_prep(spark, cfg)
-    cube = out["merged_outputs"]
-    out |= dropout(out["llm_json_processing_summary"]) | missingness_threshold(cube, cfg.truth_mode)
-    out |= full_performance(cube, cfg.truth_mode, cfg.bootstrap_iterations, cfg.random_seed, not cfg.enable_temperature_analysis)
-    out |= narrative_analysis(cube, column, cfg.truth_mode) | tiered_performance(cube, cfg.bootstrap_iterations, cfg.random_seed)
-    sinks.write_tables(out, cfg.output_dir)
-    sinks.mirror_tables(spark, cfg.output_dir, "narrative_outputs", MIRROR, HEADERS)
-    for held in ("parsed_outputs", "merged_outputs"):
-        out[held].unpersist()
+    try:
+        cube = out["merged_outputs"]
+        out |= dropout(out["llm_json_processing_summary"]) | missingness_threshold(cube, cfg.truth_mode)
+        out |= full_performance(cube, cfg.truth_mode, cfg.bootstrap_iterations, cfg.random_seed, not cfg.enable_temperature_analysis)
+        out |= narrative_analysis(cube, column, cfg.truth_mode) | tiered_performance(cube, cfg.bootstrap_iterations, cfg.random_seed)
+        sinks.write_tables(out, cfg.output_dir)
+        sinks.mirror_tables(spark, cfg.output_dir, "narrative_outputs", MIRROR, HEADERS)
+    finally:
+        release(out)
     return out
 
 
+def release(tables: Tables) -> None:
+    """Give back what ``data_prep`` holds in memory."""
+    for held in ("parsed_outputs", "merged_outputs"):
+        if held in tables:
+            tables[held].unpersist()
+
+
 VIEWS = (("document", "document"), ("cumulative", "document"), ("final", "patient"), ("doc2patient", "patient"))
 
 

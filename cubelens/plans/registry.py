@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import jsonrepair, scores, text
 from ..shipping import ship
-from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, thresholds, tiers, topics, truth, views
-from ..sources import batches, scratch, sinks
+from ..operators import bootstrap, calibration, descriptive, inference, linkage, metrics, narrative, prompts, ranges, thresholds, tiers, topics, truth, views
+from ..sources import batches, scratch, sinks, spreadsheets
+from ..streaming import incremental
 from .surrogate import CUBE, MACRO_F1, MCC, POINT, PREPARED, bucket_sql, cube, point_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -757,9 +758,10 @@ _TEMPLATES = {"zero": "Read and judge.", "single": "One example first.", "dual":
 _ASKED = {"all_docs": ["PRECEDING CLINIC LETTER", "ENDOSCOPY REPORT", "HISTOPATHOLOGY REPORT"], "clinic_following": ["CLINIC LETTER"], "both": ["BOTH CLINIC LETTERS", "PRIMARY REPORT"], "preceding_following": ["CONTEXT NOTE"]}
 
 
-@query("experiments_cross", "WITH t(prompt_name) AS (VALUES ('zero'), ('single'), ('dual')), s(report_sequence_name, n, context_note_timing) AS (VALUES ('all_docs', 3, 'preceding'), ('clinic_following', 1, 'following'), ('both', 2, 'preceding'), ('preceding_following', 1, 'both')) SELECT prompt_name || '_shot_' || report_sequence_name AS experiment_name, prompt_name, report_sequence_name, n AS n_documents, context_note_timing FROM t, s")
+@query("experiments_cross", "WITH t(prompt_name) AS (VALUES ('zero'), ('single'), ('dual')), s(report_sequence_name, n, context_note_timing) AS (VALUES ('all_docs', 3, 'preceding'), ('clinic_following', 1, 'following'), ('both', 2, 'preceding'), ('preceding_following', 1, 'both')) SELECT conv_id, prompt_name || '_shot_' || report_sequence_name AS experiment_name, prompt_name, report_sequence_name, n AS n_documents, context_note_timing FROM (SELECT DISTINCT conv_id FROM conversations), t, s")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return prompts.experiments(spark, _TEMPLATES, _ASKED).select("experiment_name", "prompt_name", "report_sequence_name", F.size("report_sequence").alias("n_documents"), "context_note_timing")
+    asked = prompts.experiments(spark, _TEMPLATES, _ASKED).select("experiment_name", "prompt_name", "report_sequence_name", F.size("report_sequence").alias("n_documents"), "context_note_timing")
+    return _table(spark, d, "conversations").select("conv_id").distinct().crossJoin(F.broadcast(asked))  # a configuration's size
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
@@ -955,13 +957,71 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return topics.shot_skew(topics.sample(narrative.flagged(cube(spark, d)), "ord"), "Combined_Content", topics=4)
 
 
-@query("display_labels_sequences", "SELECT s AS report_sequence_name, l AS sequence_label FROM (VALUES " + ", ".join(f"('{s}', '{K.SEQUENCE_NAMES[s]}')" for s in K.SEQUENCE_NAMES) + ") AS t(s, l)")
+@query("display_labels_sequences", f"WITH {CUBE}, t(s, l) AS (VALUES " + ", ".join(f"('{s}', '{K.SEQUENCE_NAMES[s]}')" for s in K.SEQUENCE_NAMES) + ") SELECT report_sequence_name, coalesce(l, report_sequence_name) AS sequence_label, count(*) AS n FROM cube LEFT JOIN t ON s = report_sequence_name GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in K.SEQUENCE_NAMES], "report_sequence_name string")
-    return rows.select("report_sequence_name", scores.sequence_label(F.col("report_sequence_name")).alias("sequence_label"))
+    rows = cube(spark, d).groupBy("report_sequence_name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("report_sequence_name", scores.sequence_label(F.col("report_sequence_name")).alias("sequence_label"), "n")
 
 
 @query("statistics_by_segment", f"WITH tq(n, t) AS (VALUES {', '.join(f'({n}, {t!r}::DOUBLE)' for n, t in _T.items())}), s AS (SELECT c_mktsegment, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd, count(*) AS n, round(median(c_acctbal), 6) AS median, round(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 6) AS iqr, round(skewness(c_acctbal), 6) AS skewness, round(kurtosis(c_acctbal), 6) AS kurtosis FROM customer GROUP BY 1) SELECT c_mktsegment, round(m, 6) AS mean, round(sd, 6) AS std_dev, n, median, iqr, skewness, kurtosis, round(m - t * sd / sqrt(n), 6) AS ci_lower, round(m + t * sd / sqrt(n), 6) AS ci_upper FROM s LEFT JOIN tq USING (n)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     found = descriptive.statistics(_table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal")
     return _rounded(found, ["c_mktsegment", "n"])
+
+
+# ---- order within keys, calls and spreadsheets ----------------------------------------------------------------------
+
+
+@query("order_statistics", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.975), 6) AS q975 FROM lineitem GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("x"))
+    return _rounded(ranges.quantiles(rows, ["l_returnflag"], "x", {"q25": 0.25, "q50": 0.5, "q975": 0.975}), ["l_returnflag"])
+
+
+@query("keyed_numbers", "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS n FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranges.numbered(rows, ["o_orderpriority"], ["o_totalprice", "o_orderkey"], "n").select("o_orderkey", "o_orderpriority", "n")
+
+
+def _counting(messages: Sequence[str]) -> list[str]:
+    """A responder by the length of the message: it fails for every 7th, is silent for every 11th and wraps its JSON for every 3rd."""
+    n = len(messages[0])
+    if n % 7 == 0:
+        raise RuntimeError(f"no answer to {n}")
+    return ["" if n % 11 == 0 else f'Here: {{"n": {n}}} Done.' if n % 3 == 0 else f'{{"n": {n}}}']
+
+
+_FAILS = "length(text) % 7 = 0 OR length(text) % 11 = 0"
+
+
+@query("call_outcomes", f"""SELECT conv_id, turn, CASE WHEN {_FAILS} THEN 2 ELSE 1 END AS attempts,
+    CASE WHEN length(text) % 7 = 0 THEN 'RuntimeError: no answer to ' || length(text) WHEN length(text) % 11 = 0 THEN 'ValueError: empty response' END AS error,
+    CASE WHEN {_FAILS} THEN 'API call failed' ELSE '{{"n": ' || length(text) || '}}' END AS json_response FROM conversations""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as a message of its own: bad ones fail alone."""
+    asked = _table(spark, d, "conversations").select("conv_id", "turn", "text")
+    found = incremental.respond_to(asked, _counting, "text", incremental.CallPolicy(retries=2, wait=0.0))
+    return found.select("conv_id", "turn", "attempts", "error", "json_response")
+
+
+@query("resumed_batches", "SELECT conv_id, turn, ((row_number() OVER (ORDER BY conv_id, turn) - 1) // 40)::INT AS batch, length(text) AS n_chars FROM conversations")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Turns in batches of 40, written in two commits, of which the second overwrites what the first has left half done."""
+    root = f"{scratch.shared_folder(spark).rstrip('/')}/batches-{uuid.uuid4().hex}"
+    rows = sinks.with_batches(_table(spark, d, "conversations").select("conv_id", "turn", F.char_length("text").alias("n_chars")), 40, ["conv_id", "turn"])
+    group = F.floor(F.col("batch") / 10).cast("int")
+    rows = scratch.stored(rows.withColumn("part", group), "batches")
+    sinks.write_partitions(rows.where("part % 2 = 0 or turn > 2").select("conv_id", "turn", "n_chars", "part", "batch"), root, ["part", "batch"])
+    sinks.write_partitions(rows.where("part % 2 = 1").select("conv_id", "turn", "n_chars", "part", "batch"), root, ["part", "batch"])
+    return spark.read.parquet(root).select("conv_id", "turn", "batch", "n_chars")
+
+
+@query("spreadsheet_round_trip", "SELECT c_custkey, c_name, c_acctbal::DOUBLE AS c_acctbal, c_acctbal > 0 AS in_credit, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment, 'nation_' || c_nationkey || '.xlsx' AS file FROM customer")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a workbook for each nation, read again with types."""
+    root = f"{scratch.shared_folder(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
+    rows = _table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), (F.col("c_acctbal") > 0).alias("in_credit"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("segment"), F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("to"))
+    spreadsheets.write(rows, root, "to", ["c_custkey"], promote_bytes=1 << 40)
+    found = spreadsheets.read(spark, root, schema="c_custkey bigint, c_name string, c_acctbal double, in_credit boolean, segment string, path string", file_column="path")
+    return found.select("c_custkey", "c_name", "c_acctbal", "in_credit", "segment", F.element_at(F.split("path", "/"), -1).alias("file"))

@@ -148,20 +148,68 @@ def test_clustered_logistic_recovers_odds(spark):
     assert inference.clustered_logistic(df.limit(10)).count() == 0
 
 
-def test_mixed_logistic_finds_effect_and_spread(spark):
+def variational(y, x, subject, rounds=200):
+    """The same updates in a plain loop over rows: mean-field normals, ten-point quadrature by numpy."""
+    import numpy as np
+
+    at, weight = np.polynomial.hermite_e.hermegauss(15)
+    weight = weight / weight.sum()
+    m, s2, t, w = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1), 0.0, 0.01
+    b, v = np.zeros(subject.max() + 1), np.full(subject.max() + 1, 0.5)
+
+    def expected():
+        mu = 1 / (1 + np.exp(-((x @ m + b[subject])[:, None] + np.sqrt(x**2 @ s2 + v[subject])[:, None] * at)))
+        return mu @ weight, (mu * (1 - mu)) @ weight
+
+    for _ in range(rounds):
+        for _ in range(3):
+            p, q = expected()
+            precision = np.exp(-2 * t + 2 * w)
+            bend = np.bincount(subject, q) + precision
+            b, v = b + (np.bincount(subject, y - p) - precision * b) / bend, 1 / bend
+        p, q = expected()
+        bread = (x * q[:, None]).T @ x + np.eye(len(m)) / 4
+        m, s2 = m + np.linalg.solve(bread, x.T @ (y - p) - m / 4), 1 / np.diag(bread)
+        total = (b**2 + v).sum()
+        for _ in range(50):
+            pull = total * np.exp(-2 * t + 2 * w)
+            t += (pull - len(b) - t) / (2 * pull + 1)
+            w = 1 / (1 + 2 * total * np.exp(-2 * t + 2 * w))
+    return m, np.sqrt(s2), t
+
+
+def test_mixed_logistic_is_the_variational_fit(spark):
     import math
     import random
 
+    import numpy as np
+
     rng = random.Random(5)
     rows = []
-    for s in range(150):
+    for s in range(2000):
         own = rng.gauss(0, 1.0)
-        for i in range(60):
+        for i in range(12):
             zero = i % 2
             p = 1 / (1 + math.exp(-(-0.3 + 0.9 * zero + own)))
             rows.append((i, f"p{s}", "zero" if zero else "dual", "m", 0.6, 8.0 if rng.random() < p else 1.0, 1))
     df = spark.createDataFrame(rows, "ord int, patient_id string, shot_type string, model_canon string, temperature double, likelihood_score double, truth int")
     got = {r["term"]: r for r in inference.mixed_logistic(df).collect()}
-    assert got["shot_type[T.zero]"]["estimate_log_odds"] == pytest.approx(0.9, abs=0.2)
-    assert got["subject_sd"]["estimate_log_odds"] == pytest.approx(1.0, abs=0.25) and 0 < got["shot_type[T.zero]"]["posterior_sd"] < 0.1
+    assert got["shot_type[T.zero]"]["estimate_log_odds"] == pytest.approx(0.9, abs=0.1)
+    assert got["subject_sd"]["estimate_log_odds"] == pytest.approx(1.0, abs=0.15)
+    y = np.array([float(r[5] == 8.0) for r in rows])
+    x = np.array([[1.0, float(r[2] == "zero")] for r in rows])
+    m, sd, t = variational(y, x, np.array([int(r[1][1:]) for r in rows]))
+    for k, term in enumerate(("Intercept", "shot_type[T.zero]")):
+        assert got[term]["estimate_log_odds"] == pytest.approx(m[k], abs=0.005) and got[term]["posterior_sd"] == pytest.approx(sd[k], abs=0.002)
+    assert got["subject_log_sd"]["estimate_log_odds"] == pytest.approx(t, abs=0.01) and got["subject_sd"]["estimate_log_odds"] == pytest.approx(math.exp(t), abs=0.01)
     assert inference.mixed_logistic(df.limit(10)).count() == 0
+
+
+def test_correctness_by_either_path(spark):
+    rows = spark.createDataFrame([(8.0, 1, "0"), (None, 0, "1"), (2.0, None, "1"), (0.7, 1, None)], "likelihood_score double, ground_truth int, truth_label string")
+    assert [r["ok"] for r in inference.with_correctness(rows).collect()] == [1, 1, None, 1]
+    assert [r["ok"] for r in inference.with_correctness(rows.drop("ground_truth")).collect()] == [0, 0, 0, None]
+    made = rows.selectExpr("cast(ground_truth as double) y", "cast(null as int) bucket", "likelihood_score")
+    assert [r["ok"] for r in inference.with_correctness(made).collect()] == [0, 1, None, 0]
+    assert [r["ok"] for r in inference.with_correctness(rows.select("likelihood_score")).collect()] == [None] * 4
+
