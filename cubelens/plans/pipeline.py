@@ -203,11 +203,12 @@ def run_experiments(spark: SparkSession, cfg: ClientConfig, respond: incremental
     call to ``manifest``, and last a line for each runner and experiment to ``commits``, which says how many cases it
     has answered. A later run begins at the batch after those, whatever an ended job has left: its partitions are
     overwritten. A batch that was not full is asked again once there are more cases. Cases without any report are left out.
+    If the configuration saves spreadsheets or CSV, all answers stand beside their cases as files in ``batches`` too.
     """
     ship(spark)
     names = {"primary": ("patient_id", "sample_received_date", "result_report"), "secondary": ("patient_id", "procedure_date", "Combined_Content"), "context_notes": ("patient_id", "date_creation", "clean_content")}
-    read = {k: batches.read_source(spark, s["path"], s["id_column"], s["date_column"], s["text_column"], s["date_format"], names[k]) for k, s in cfg.sources.items() if k in names}
-    cases = linkage.chronology(read["primary"], read["secondary"], read["context_notes"], max_cases=cfg.max_cases)
+    read = {k: batches.read_source(spark, s["path"], s["id_column"], s["date_column"], s["text_column"], s.get("date_format"), names[k]) for k, s in cfg.sources.items() if k in names}
+    cases = linkage.chronology(read["primary"], read["secondary"], read["context_notes"], cfg.band_days, cfg.window_days, cfg.max_cases)
     cases = stored(ranges.numbered(cases, [], ["patient_id", "procedure_date"], "row_index"), "cases")
     n, size = cases.count(), cfg.batch_size
     cases = cases.withColumn("batch", F.floor(F.col("row_index") / size).cast("int"))
@@ -236,6 +237,8 @@ def run_experiments(spark: SparkSession, cfg: ClientConfig, respond: incremental
             mine = spark.read.parquet(out).where(F.col("batch").between(low, high - 1)).join(F.broadcast(work.select("runner_name", "experiment_name", "from_batch")), ["runner_name", "experiment_name"]).where("batch >= from_batch")
             sinks.append_lines(sinks.call_lines(mine, cfg.token_limit), manifest)
             sinks.append_lines(spark.createDataFrame(reach, sinks.COMMIT).select(F.to_json(F.struct("*")).alias("value")).coalesce(1), log)
+    if cfg.save_format != "parquet":
+        sinks.export_answers(spark.read.parquet(out), cases.drop("batch", "row_index"), f"{cfg.output_dir}/batches", cfg.save_format)
     return spark.read.parquet(out)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -72,6 +73,21 @@ def read_batches(spark: SparkSession, root: str, patterns: Sequence[str] = PATTE
     return union(frames)
 
 
+# Percent codes of date formats and Spark's letters for them.
+CODES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM"}
+
+
+def spark_format(pattern: str) -> str:
+    """A date format in Spark's letters; one that has no percent code is in them already."""
+    parts = re.split(r"(%.)", pattern)
+    if len(parts) == 1:
+        return pattern
+    unknown = [p for p in parts[1::2] if p not in CODES]
+    if unknown:
+        raise ValueError(f"no such date code: {', '.join(unknown)}")
+    return "".join(CODES.get(p, re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", p)) for p in parts)
+
+
 def read_file(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     """A table by its suffix: CSV, spreadsheet or else Parquet. With ``infer`` the columns of a CSV get types."""
     if path.endswith(".csv"):
@@ -79,14 +95,15 @@ def read_file(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     return spreadsheets.read(spark, path) if path.endswith(".xlsx") else spark.read.parquet(path)
 
 
-def read_source(spark: SparkSession, path: str, id_column: str, date_column: str, text_column: str, date_format: str, names: tuple[str, str, str]) -> DataFrame:
+def read_source(spark: SparkSession, path: str, id_column: str, date_column: str, text_column: str, date_format: str | None, names: tuple[str, str, str]) -> DataFrame:
     """A dated text source: id upper and trimmed, date parsed or null, text never null; rows without a date go.
 
-    A missing id becomes ``NAN`` and stays, as a text of its own.
+    A missing id becomes ``NAN`` and stays, as a text of its own. Without a format dates are read as ISO dates or times;
+    formats may be written with percent codes.
     """
     df = read_file(spark, path)
     key = F.upper(F.trim(F.coalesce(F.col(id_column).cast("string"), F.lit("nan"))))
-    day = F.try_to_timestamp(F.col(date_column).cast("string"), F.lit(date_format)).cast("timestamp_ntz")
+    day = F.try_to_timestamp(F.col(date_column).cast("string"), *([F.lit(spark_format(date_format))] if date_format else [])).cast("timestamp_ntz")
     out = df.select(key.alias(names[0]), day.alias(names[1]), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias(names[2]))
     return out.where(F.col(names[1]).isNotNull())
 

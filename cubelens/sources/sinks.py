@@ -124,8 +124,11 @@ def write_batches(df: DataFrame, root: str, runner: str, experiment: str, order:
     spreadsheets.write(rows, root, "_file", order, promote_bytes)
 
 
-def export_answers(answers: DataFrame, cases: DataFrame, root: str, promote_bytes: int = spreadsheets.PROMOTE_BYTES) -> None:
-    """A run's answers beside their cases, as batch files under the names that the scan of batches reads."""
+def export_answers(answers: DataFrame, cases: DataFrame, root: str, kind: str = "xlsx", promote_bytes: int = spreadsheets.PROMOTE_BYTES) -> None:
+    """A run's answers beside their cases, as batches under the names that the scan of batches reads.
+
+    Spreadsheets are files ``<runner>/<experiment>/batch_<n>.xlsx``, CSV folders of them ``<runner>/<experiment>/batch=<n>``.
+    """
     from . import batches
 
     for runner, experiment in sorted(tuple(r) for r in answers.select("runner_name", "experiment_name").distinct().collect()):  # a configuration's size
@@ -134,7 +137,11 @@ def export_answers(answers: DataFrame, cases: DataFrame, root: str, promote_byte
             "episode_id", "batch", F.col("full_response").alias(names["full"]), F.col("json_response").alias(names["json"]), F.col("message").alias(names["payload"]),
             F.col("truncated").alias(names["truncated"]), F.col("truncated_sections").alias(names["sections"]),
         )
-        write_batches(cases.join(own, "episode_id"), root, runner, experiment, ["patient_id", "procedure_date"], promote_bytes)
+        rows = cases.join(own, "episode_id")
+        if kind == "xlsx":
+            write_batches(rows, root, runner, experiment, ["patient_id", "procedure_date"], promote_bytes)
+        else:
+            rows.write.mode("overwrite").partitionBy("batch").option("header", True).option("escape", '"').csv(f"{root}/{runner}/{experiment}")
 
 
 def next_batch(spark: SparkSession, root: str) -> int:

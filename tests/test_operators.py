@@ -207,7 +207,7 @@ def test_mixed_logistic_is_the_variational_fit(spark):
 
 def test_correctness_by_either_path(spark):
     rows = spark.createDataFrame([(8.0, 1, "0"), (None, 0, "1"), (2.0, None, "1"), (0.7, 1, None)], "likelihood_score double, ground_truth int, truth_label string")
-    assert [r["ok"] for r in inference.with_correctness(rows).collect()] == [1, 1, None, 1]
+    assert [r["ok"] for r in inference.with_correctness(rows).collect()] == [1, 1, None, 0]
     assert [r["ok"] for r in inference.with_correctness(rows.drop("ground_truth")).collect()] == [0, 0, 0, None]
     made = rows.selectExpr("cast(ground_truth as double) y", "cast(null as int) bucket", "likelihood_score")
     assert [r["ok"] for r in inference.with_correctness(made).collect()] == [0, 1, None, 0]

@@ -106,6 +106,48 @@ def client(root, spark, **more):
     return config.ClientConfig(sources, runners, {"zero": "Judge."}, {"all_docs": ["PRIMARY REPORT", "ENDOSCOPY REPORT"], "hist": ["PRIMARY REPORT"]}, f"{root}/answers", **more)
 
 
+def test_a_configuration_in_sections_runs(spark, tmp_path):
+    people = synthetic.patients(spark, 6)
+    for name, df in synthetic.sources(people).items():
+        spreadsheets.write(df.coalesce(1), f"{tmp_path}/{name}")
+    (tmp_path / "zero.txt").write_text("Judge.")
+    source = lambda name, date, text, **more: {"path": f"./{name}/part-00000.xlsx", "patient_id_column": "patient_id", "date_column": date, "text_column": text, **more}
+    raw = {
+        "general": {"batch_size": 4, "version": "v1", "output_dir": "./out", "max_parallel_runners": 2, "max_retries": 2, "retry_delay_seconds": 0, "tokenizer_encoding": "x"},
+        "data_sources": {
+            "primary_reports": source("primary", "sample_received_date", "result_report", label="PRIMARY REPORT", date_format=None), "secondary_reports": source("secondary", "procedure_date", "Combined_Content", label="SECONDARY REPORT"),
+            "clinic_letters": source("notes", "date_creation", "clean_content", preceding_label="A", following_label="B"),
+        },
+        "matching": {"max_days_between_primary_and_secondary": 2}, "prompt_templates": {"zero": "zero.txt"}, "report_sequences": {"both": ["PRIMARY REPORT", "SECONDARY REPORT"]},
+        "runner_endpoints": {"r0": {"enabled": True, "display_name": "R0", "url": "http://x"}, "r1": {"enabled": False}},
+    }
+    at = tmp_path / "client.json"
+    at.write_text(json.dumps(raw))
+    cfg = config.load_client(str(at))
+    assert cfg.save_format == "xlsx" and cfg.output_dir == f"{tmp_path}/out/v1" and list(cfg.active()) == ["r0"] and cfg.prompt_templates == {"zero": "Judge."}
+    assert pipeline.run_experiments(spark, cfg).count() == 6
+    assert sorted(p.name for p in (tmp_path / "out/v1/batches/r0/zero_shot_both").glob("*.xlsx")) == ["batch_0.xlsx", "batch_1.xlsx"]
+    broken = [("general", "version", "version"), ("data_sources", "primary_reports", "primary"), ("prompt_templates", None, "prompt_templates")]
+    for section, key, said in broken:
+        less = json.loads(json.dumps(raw))
+        less.pop(section) if key is None else less[section].pop(key)
+        at.write_text(json.dumps(less))
+        with pytest.raises(config.ConfigError, match=said):
+            config.load_client(str(at))
+    at.write_text(json.dumps(raw | {"prompt_templates": {"zero": "gone.txt"}}))
+    with pytest.raises(config.ConfigError, match="zero"):
+        config.load_client(str(at))
+    at.write_text(json.dumps(raw | {"general": raw["general"] | {"save_format": "doc"}}))
+    with pytest.raises(config.ConfigError, match="save_format"):
+        config.load_client(str(at))
+
+
+def test_date_formats_with_percent_codes(spark):
+    assert batches.spark_format("%d/%m/%Y %H:%M") == "dd/MM/yyyy HH:mm" and batches.spark_format("%Y-%m-%dT%H") == "yyyy-MM-dd'T'HH" and batches.spark_format("dd.MM.yyyy") == "dd.MM.yyyy"
+    with pytest.raises(ValueError):
+        batches.spark_format("%Q")
+
+
 def test_experiments_resume(spark, tmp_path):
     cfg = client(tmp_path, spark, batch_size=2)
     assert list(cfg.active()) == ["r0", "r2"]
