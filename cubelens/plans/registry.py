@@ -957,7 +957,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return topics.shot_skew(topics.sample(narrative.flagged(cube(spark, d)), "ord"), "Combined_Content", topics=4)
 
 
-@query("display_labels_sequences", f"WITH {CUBE}, t(s, l) AS (VALUES " + ", ".join(f"('{s}', '{K.SEQUENCE_NAMES[s]}')" for s in K.SEQUENCE_NAMES) + ") SELECT report_sequence_name, coalesce(l, report_sequence_name) AS sequence_label, count(*) AS n FROM cube LEFT JOIN t ON s = report_sequence_name GROUP BY 1, 2")
+@query("display_labels_sequences", f"WITH {CUBE}, t(s, l) AS (VALUES " + ", ".join(f"('{s}', '{K.SEQUENCE_NAMES[s]}')" for s in K.SEQUENCE_NAMES) + ") SELECT report_sequence_name, coalesce(l, array_to_string(list_transform(string_split(report_sequence_name, '_'), lambda p: CASE p WHEN 'hist' THEN 'Histology' WHEN 'endo' THEN 'Endoscopy' WHEN 'clinic' THEN 'Clinic letter' END), ' / ') || ' narrative order') AS sequence_label, count(*) AS n FROM cube LEFT JOIN t ON s = report_sequence_name GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = cube(spark, d).groupBy("report_sequence_name").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("report_sequence_name", scores.sequence_label(F.col("report_sequence_name")).alias("sequence_label"), "n")
