@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,47 +120,41 @@ NODES, INNER = 11, 12  # quadrature nodes, steps of a subject's own update
 PRIOR_SD, PRIOR_LOG_SD = 2.0, 1.0  # of the fixed effects, and of the logarithm of the intercepts' standard deviation
 
 
-def _subject_posterior(subjects: DataFrame, etas: list[float], spreads: list[float], precision: float) -> DataFrame:
-    """``k, p, q``: n E[mu] and n E[mu (1 - mu)] of each pattern k and subject; for k = -1 the intercept's E[b^2], and 1.
+def _subject_posterior(subjects: DataFrame, etas: np.ndarray, spreads: np.ndarray, precision: float) -> DataFrame:
+    """``k, p, q`` of each task: sums of n E[mu] and n E[mu (1 - mu)] by pattern k; for k = -1 of E[b^2], and the subjects.
 
     A subject's intercept is normal with mean b and variance v; a cell's linear predictor is normal with the mean
     etas[k] + b and the variance spreads[k] + v, and expectations over it are sums over Gauss-Hermite nodes.
     """
     at, weight = np.polynomial.hermite_e.hermegauss(NODES)
-    nodes = F.array(*[F.struct(F.lit(float(z)).alias("z"), F.lit(float(w)).alias("w")) for z, w in zip(at, weight / weight.sum(), strict=True)])
-    eta, spread = F.array(*map(F.lit, etas)), F.array(*map(F.lit, spreads))
-    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    weight = weight / weight.sum()
 
-    def expected(c: Column, b: Column, v: Column) -> Column:
-        scale = F.sqrt(spread[c["k"]] + v)
+    def solve(k: np.ndarray, n: np.ndarray, good: np.ndarray, of: np.ndarray, subjects: int) -> tuple[np.ndarray, np.ndarray, float]:
+        b, v = np.zeros(subjects), np.full(subjects, 1 / (1 + precision))
 
-        def add(a: Column, n: Column) -> Column:
-            mu = 1 / (1 + F.exp(-(eta[c["k"]] + b + scale * n["z"])))
-            return F.struct((a["p"] + n["w"] * mu).alias("p"), (a["q"] + n["w"] * mu * (1 - mu)).alias("q"))
+        def expected() -> tuple[np.ndarray, np.ndarray]:
+            mu = 1 / (1 + np.exp(-((etas[k] + b[of])[:, None] + np.sqrt(spreads[k] + v[of])[:, None] * at)))
+            return n * (mu @ weight), n * ((mu * (1 - mu)) @ weight)
 
-        return F.aggregate(nodes, zero, add)
+        for _ in range(INNER):
+            p, q = expected()
+            bend = np.bincount(of, q, subjects) + precision
+            b, v = b + np.clip((np.bincount(of, good - p, subjects) - precision * b) / bend, -2, 2), 1 / bend
+        p, q = expected()
+        return np.bincount(k, p, len(etas)), np.bincount(k, q, len(etas)), float((b * b + v).sum())
 
-    def step(x: Column, _: Column) -> Column:
-        def add(a: Column, c: Column) -> Column:
-            e = expected(c, x["b"], x["v"])
-            return F.struct((a["p"] + c["good"] - c["n"] * e["p"]).alias("p"), (a["q"] + c["n"] * e["q"]).alias("q"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, q, square, count = np.zeros(len(etas)), np.zeros(len(etas)), 0.0, 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                cells = batch.column(0).slice(low, 1000)
+                sizes, flat = pc.list_value_length(cells).to_numpy(), cells.flatten()
+                k, n, good = (flat.field(c).to_numpy() for c in ("k", "n", "good"))
+                more = solve(k, n, good, np.repeat(np.arange(len(cells)), sizes), len(cells))
+                p, q, square, count = p + more[0], q + more[1], square + more[2], count + len(cells)
+        yield pa.record_batch([pa.array(np.append(np.arange(len(etas)), -1)), pa.array(np.append(p, square)), pa.array(np.append(q, float(count)))], ["k", "p", "q"])
 
-        def moved(a: Column) -> Column:
-            bend = a["q"] + precision
-            return F.struct((x["b"] + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (a["p"] - precision * x["b"]) / bend))).alias("b"), (1 / bend).alias("v"))
-
-        return F.aggregate("cells", zero, add, moved)
-
-    start = F.struct(F.lit(0.0).alias("b"), F.lit(1 / (1 + precision)).alias("v"))
-    found = subjects.withColumn("u", F.aggregate(F.sequence(F.lit(1), F.lit(INNER)), start, step))
-    b, v = F.col("u.b"), F.col("u.v")
-
-    def cell(c: Column) -> Column:
-        e = expected(c, b, v)
-        return F.struct(c["k"].alias("k"), (c["n"] * e["p"]).alias("p"), (c["n"] * e["q"]).alias("q"))
-
-    whole = F.array(F.struct(F.lit(-1).alias("k"), (b * b + v).alias("p"), F.lit(1.0).alias("q")))
-    return found.select(F.explode(F.concat(F.transform("cells", cell), whole)).alias("s")).select("s.*")
+    return subjects.mapInArrow(run, "k bigint, p double, q double")
 
 
 def log_sd_posterior(total: float, n: float) -> tuple[float, float]:
@@ -178,9 +175,9 @@ def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str,
 
     Fixed effects, intercepts and the logarithm of the intercepts' standard deviation are independent normals, with
     priors of standard deviation ``PRIOR_SD`` and ``PRIOR_LOG_SD`` for the first and last; their means and variances
-    maximise the evidence bound by coordinate steps. Each round updates every subject's intercept inside the JVM, from
-    its own cells; what comes back is two sums for each pattern of levels, on which the fixed effects take a Newton step,
-    and the sum of the intercepts' squares. Columns: ``term, estimate_log_odds, posterior_sd, p_value, odds_ratio,
+    maximise the evidence bound by coordinate steps. Each round updates every subject's intercept from its own cells, many
+    at once in NumPy; what comes back is two sums for each pattern of levels, on which the fixed effects take a Newton
+    step, and the sum of the intercepts' squares. Columns: ``term, estimate_log_odds, posterior_sd, p_value, odds_ratio,
     n_rows``; the term ``subject_log_sd`` is the logarithm's mean, ``subject_sd`` its exponential. Too few rows or no
     factor that varies give no rows.
     """
@@ -192,21 +189,24 @@ def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str,
         return spark.createDataFrame([], schema)
     good = np.array([r["good"] for r in cells], float)
     known = F.create_map(*[F.lit(x) for k, r in enumerate(cells) for x in ("\x1f".join(r[c] for c in columns), k)])
-    pattern = F.try_element_at(known, F.concat_ws("\x1f", *columns))
+    pattern = F.try_element_at(known, F.concat_ws("\x1f", *columns)).cast("long")
     per = rows.withColumn("k", pattern).groupBy(roles.subject, "k").agg(F.sum("ok").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
     subjects = per.groupBy(roles.subject).agg(F.collect_list(F.struct("k", "n", "good")).alias("cells")).select("cells").persist()  # at most a cell for each pattern
-    m, s2, t, w = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1), math.log(0.7), 0.01
+    m, s2, t, w, steps = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1), math.log(0.7), 0.01, []
     try:
         for _ in range(rounds):
-            found = _subject_posterior(subjects, (x @ m).tolist(), (x**2 @ s2).tolist(), math.exp(-2 * t + 2 * w)).groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()
+            found = _subject_posterior(subjects, x @ m, x**2 @ s2, math.exp(-2 * t + 2 * w)).groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()
             sums = {r["k"]: (r["p"], r["q"]) for r in found}  # a row for each pattern
             weight = np.array([sums[k][1] for k in range(len(cells))])
             bread = (x * weight[:, None]).T @ x + np.eye(len(m)) / PRIOR_SD**2
             move = np.clip(np.linalg.solve(bread, x.T @ (good - np.array([sums[k][0] for k in range(len(cells))])) - m / PRIOR_SD**2), -2, 2)
             m, s2, last = m + move, 1 / np.diag(bread), t
             t, w = log_sd_posterior(*sums[-1])
-            if np.abs(move).max() < 1e-5 and abs(t - last) < 1e-5:
+            steps = [*steps, t - last]
+            if np.abs(move).max() < 1e-4 and abs(t - last) < 1e-3 * (1 - min(0.95, abs(steps[-1] / steps[-2]) if len(steps) > 1 and steps[-2] else 0)):
                 break
+            if len(steps) >= 3 and 0.2 < (ratio := steps[-1] / steps[-2] if steps[-2] else 0) < 0.98:  # a step in a geometric series: go to its end
+                t, steps = t + max(-2.0, min(2.0, steps[-1] * ratio / (1 - ratio))), []
     finally:
         subjects.unpersist()
     names = ["Intercept", *[f"{c}[T.{v}]" for c, v in dummies]]
