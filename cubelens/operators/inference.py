@@ -69,10 +69,15 @@ def _design(cube: DataFrame, factors: tuple[str, ...], roles: Roles) -> tuple[Da
         rows = rows.withColumn("temperature_group", scores.temperature_group(scores.round_temperature(F.col(roles.temperature))))
     columns = [c for f in factors if (c := getattr(roles, f, f)) in rows.columns]
     rows = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns})
-    levels = {c: sorted(r[0] for r in rows.select(c).distinct().collect()) for c in columns}  # a row for each level
+    counted = rows.groupBy(*columns).agg(F.sum("ok").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # a row for each pattern
+    levels = {c: sorted({r[c] for r in counted}) for c in columns}
     if len(levels.get(roles.model, ())) > 1 and "temperature_group" in columns:
         columns.remove("temperature_group")
-    cells = rows.groupBy(*columns).agg(F.sum("ok").alias("good"), F.count(F.lit(1)).alias("n")).orderBy(*columns).collect()  # a row for each pattern
+    sums: dict[tuple, list] = {}
+    for r in counted:
+        both = sums.setdefault(tuple(r[c] for c in columns), [0, 0])
+        both[0], both[1] = both[0] + (r["good"] or 0), both[1] + r["n"]
+    cells = [{**dict(zip(columns, key, strict=True)), "good": good, "n": n} for key, (good, n) in sorted(sums.items())]
     dummies = [(c, v) for c in columns if len(levels[c]) > 1 for v in levels[c][1:]]
     return rows, columns, cells, dummies, np.array([[1.0, *[float(r[c] == v) for c, v in dummies]] for r in cells])
 
@@ -102,8 +107,8 @@ def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[s
     # meat: sum over subjects of the outer product of their score sums
     design = [F.lit(1.0), *[(F.col(c) == v).cast("double") for c, v in dummies]]
     eta = sum((d * float(b) for d, b in zip(design[1:], beta[1:], strict=True)), F.lit(float(beta[0])))
-    gap = F.col("ok") - 1 / (1 + F.exp(-eta))
-    per = rows.groupBy(roles.subject).agg(*[F.sum(gap * d).alias(f"s{i}") for i, d in enumerate(design)])
+    gaps = rows.select(roles.subject, *columns, (F.col("ok") - 1 / (1 + F.exp(-eta))).alias("_gap"))
+    per = gaps.groupBy(roles.subject).agg(*[F.sum(F.col("_gap") * d).alias(f"s{i}") for i, d in enumerate(design)])
     p = len(beta)
     sums = per.agg(F.count(F.lit(1)).alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(p) for j in range(i, p)]).first()
     meat = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
@@ -116,12 +121,13 @@ def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[s
     return spark.createDataFrame(out, schema)
 
 
-NODES, INNER = 11, 12  # quadrature nodes, steps of a subject's own update
+NODES, INNER, CLOSE = 11, 12, 1e-9  # quadrature nodes, most steps of a subject's own update, the step at which it ends
 PRIOR_SD, PRIOR_LOG_SD = 2.0, 1.0  # of the fixed effects, and of the logarithm of the intercepts' standard deviation
 
 
 def _subject_posterior(subjects: DataFrame, etas: np.ndarray, spreads: np.ndarray, precision: float) -> DataFrame:
-    """``k, p, q`` of each task: sums of n E[mu] and n E[mu (1 - mu)] by pattern k; for k = -1 of E[b^2], and the subjects.
+    """``k, p, q`` of each task: sums of n E[mu] and n E[mu (1 - mu)] by pattern k; for k = -1 of E[b^2], and the subjects;
+    for k = -2 by how much about the sum of E[b^2] falls as the precision rises.
 
     A subject's intercept is normal with mean b and variance v; a cell's linear predictor is normal with the mean
     etas[k] + b and the variance spreads[k] + v, and expectations over it are sums over Gauss-Hermite nodes.
@@ -129,42 +135,59 @@ def _subject_posterior(subjects: DataFrame, etas: np.ndarray, spreads: np.ndarra
     at, weight = np.polynomial.hermite_e.hermegauss(NODES)
     weight = weight / weight.sum()
 
-    def solve(k: np.ndarray, n: np.ndarray, good: np.ndarray, of: np.ndarray, subjects: int) -> tuple[np.ndarray, np.ndarray, float]:
+    def solve(k: np.ndarray, n: np.ndarray, good: np.ndarray, of: np.ndarray, subjects: int) -> tuple[np.ndarray, np.ndarray, float, float]:
         b, v = np.zeros(subjects), np.full(subjects, 1 / (1 + precision))
+        eta, spread, mu = etas[k], spreads[k], np.empty(len(k))
 
         def expected() -> tuple[np.ndarray, np.ndarray]:
-            mu = 1 / (1 + np.exp(-((etas[k] + b[of])[:, None] + np.sqrt(spreads[k] + v[of])[:, None] * at)))
-            return n * (mu @ weight), n * ((mu * (1 - mu)) @ weight)
+            mean, sd, first, second = eta + b[of], np.sqrt(spread + v[of]), np.zeros(len(k)), np.zeros(len(k))
+            for node, share in zip(at, weight, strict=True):
+                np.multiply(sd, -node, out=mu)
+                np.subtract(mu, mean, out=mu)
+                np.exp(mu, out=mu)
+                np.add(mu, 1, out=mu)
+                np.divide(1, mu, out=mu)
+                first += share * mu
+                np.multiply(mu, mu, out=mu)
+                second += share * mu
+            return n * first, n * (first - second)
 
         for _ in range(INNER):
             p, q = expected()
             bend = np.bincount(of, q, subjects) + precision
-            b, v = b + np.clip((np.bincount(of, good - p, subjects) - precision * b) / bend, -2, 2), 1 / bend
+            step, last = np.clip((np.bincount(of, good - p, subjects) - precision * b) / bend, -2, 2), v
+            b, v = b + step, 1 / bend
+            if max(np.abs(step).max(), np.abs(v - last).max()) < CLOSE:
+                break
         p, q = expected()
-        return np.bincount(k, p, len(etas)), np.bincount(k, q, len(etas)), float((b * b + v).sum())
+        return np.bincount(k, p, len(etas)), np.bincount(k, q, len(etas)), float((b * b + v).sum()), float((v * (2 * b * b + v)).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, q, square, count = np.zeros(len(etas)), np.zeros(len(etas)), 0.0, 0
+        p, q, square, count, falls = np.zeros(len(etas)), np.zeros(len(etas)), 0.0, 0, 0.0
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                cells = batch.column(0).slice(low, 1000)
+            for low in range(0, batch.num_rows, 250):
+                cells = batch.column(0).slice(low, 250)
                 sizes, flat = pc.list_value_length(cells).to_numpy(), cells.flatten()
                 k, n, good = (flat.field(c).to_numpy() for c in ("k", "n", "good"))
                 more = solve(k, n, good, np.repeat(np.arange(len(cells)), sizes), len(cells))
-                p, q, square, count = p + more[0], q + more[1], square + more[2], count + len(cells)
-        yield pa.record_batch([pa.array(np.append(np.arange(len(etas)), -1)), pa.array(np.append(p, square)), pa.array(np.append(q, float(count)))], ["k", "p", "q"])
+                p, q, square, count, falls = p + more[0], q + more[1], square + more[2], count + len(cells), falls + more[3]
+        yield pa.record_batch([pa.array(np.append(np.arange(len(etas)), [-1, -2])), pa.array(np.append(p, [square, falls])), pa.array(np.append(q, [float(count), 0.0]))], ["k", "p", "q"])
 
     return subjects.mapInArrow(run, "k bigint, p double, q double")
 
 
-def log_sd_posterior(total: float, n: float) -> tuple[float, float]:
-    """(mean, variance) of the log standard deviation of n intercepts whose expected squares sum to ``total``."""
+def log_sd_posterior(total: float, n: float, power: float = 0.0, precision: float = 1.0) -> tuple[float, float]:
+    """(mean, variance) of the log standard deviation of n intercepts whose expected squares sum to ``total``.
+
+    With a ``power`` the sum is ``total`` at ``precision`` and goes with the precision to the power -``power``.
+    """
     t, w = 0.5 * math.log(max(total / n, 1e-12)), 1 / (1 / PRIOR_LOG_SD**2 + 2 * n)
+    pulled = lambda: total * precision**power * math.exp((1 - power) * (2 * w - 2 * t))
     for _ in range(200):
-        pull = total * math.exp(-2 * t + 2 * w)
-        move = (pull - n - t / PRIOR_LOG_SD**2) / (2 * pull + 1 / PRIOR_LOG_SD**2)
+        pull = pulled()
+        move = (pull - n - t / PRIOR_LOG_SD**2) / (2 * (1 - power) * pull + 1 / PRIOR_LOG_SD**2)
         t, last = t + max(-1.0, min(1.0, move)), w
-        w = 1 / (1 / PRIOR_LOG_SD**2 + 2 * total * math.exp(-2 * t + 2 * w))
+        w = 1 / (1 / PRIOR_LOG_SD**2 + 2 * pulled())
         if abs(move) < 1e-12 and abs(w - last) < 1e-14:
             break
     return t, w
@@ -177,7 +200,8 @@ def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str,
     priors of standard deviation ``PRIOR_SD`` and ``PRIOR_LOG_SD`` for the first and last; their means and variances
     maximise the evidence bound by coordinate steps. Each round updates every subject's intercept from its own cells, many
     at once in NumPy; what comes back is two sums for each pattern of levels, on which the fixed effects take a Newton
-    step, and the sum of the intercepts' squares. Columns: ``term, estimate_log_odds, posterior_sd, p_value, odds_ratio,
+    step, and the sum of the intercepts' squares with its slope by their precision, so that the standard deviation too
+    moves by about a Newton step instead of many small ones. Columns: ``term, estimate_log_odds, posterior_sd, p_value, odds_ratio,
     n_rows``; the term ``subject_log_sd`` is the logarithm's mean, ``subject_sd`` its exponential. Too few rows or no
     factor that varies give no rows.
     """
@@ -192,21 +216,21 @@ def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str,
     pattern = F.try_element_at(known, F.concat_ws("\x1f", *columns)).cast("long")
     per = rows.withColumn("k", pattern).groupBy(roles.subject, "k").agg(F.sum("ok").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
     subjects = per.groupBy(roles.subject).agg(F.collect_list(F.struct("k", "n", "good")).alias("cells")).select("cells").persist()  # at most a cell for each pattern
-    m, s2, t, w, steps = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1), math.log(0.7), 0.01, []
+    m, s2, t, w = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1), math.log(0.7), 0.01
     try:
         for _ in range(rounds):
-            found = _subject_posterior(subjects, x @ m, x**2 @ s2, math.exp(-2 * t + 2 * w)).groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()
+            precision = math.exp(-2 * t + 2 * w)
+            found = _subject_posterior(subjects, x @ m, x**2 @ s2, precision).groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()
             sums = {r["k"]: (r["p"], r["q"]) for r in found}  # a row for each pattern
             weight = np.array([sums[k][1] for k in range(len(cells))])
             bread = (x * weight[:, None]).T @ x + np.eye(len(m)) / PRIOR_SD**2
             move = np.clip(np.linalg.solve(bread, x.T @ (good - np.array([sums[k][0] for k in range(len(cells))])) - m / PRIOR_SD**2), -2, 2)
-            m, s2, last = m + move, 1 / np.diag(bread), t
-            t, w = log_sd_posterior(*sums[-1])
-            steps = [*steps, t - last]
-            if np.abs(move).max() < 1e-4 and abs(t - last) < 1e-3 * (1 - min(0.95, abs(steps[-1] / steps[-2]) if len(steps) > 1 and steps[-2] else 0)):
+            (total, count), last = sums[-1], t
+            m, s2 = m + move, 1 / np.diag(bread)
+            goal, w = log_sd_posterior(total, count, min(1.0, precision * sums[-2][0] / total), precision)
+            t += max(-2.0, min(2.0, goal - t))
+            if np.abs(move).max() < 1e-4 and abs(t - last) < 1e-4:
                 break
-            if len(steps) >= 3 and 0.2 < (ratio := steps[-1] / steps[-2] if steps[-2] else 0) < 0.98:  # a step in a geometric series: go to its end
-                t, steps = t + max(-2.0, min(2.0, steps[-1] * ratio / (1 - ratio))), []
     finally:
         subjects.unpersist()
     names = ["Intercept", *[f"{c}[T.{v}]" for c, v in dummies]]

@@ -213,3 +213,31 @@ def test_correctness_by_either_path(spark):
     assert [r["ok"] for r in inference.with_correctness(made).collect()] == [0, 1, None, 0]
     assert [r["ok"] for r in inference.with_correctness(rows.select("likelihood_score")).collect()] == [None] * 4
 
+
+
+def test_mixed_logistic_settles_in_few_rounds_without_subject_effects(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(i, f"p{s}", "zero" if i % 2 else "dual", "m", 0.6, 8.0 if rng.random() < 0.5 else 1.0, 1) for s in range(300) for i in range(12)]
+    df = spark.createDataFrame(rows, "ord int, patient_id string, shot_type string, model_canon string, temperature double, likelihood_score double, truth int")
+    calls, whole = [], inference._subject_posterior
+    monkeypatch.setattr(inference, "_subject_posterior", lambda *a: calls.append(1) or whole(*a))
+    got = {r["term"]: r for r in inference.mixed_logistic(df).collect()}
+    assert len(calls) <= 15
+    # the fixed point: from its standard deviation the plain step leads back to it
+    t = got["subject_log_sd"]["estimate_log_odds"]
+    m = np.array([got[k]["estimate_log_odds"] for k in ("Intercept", "shot_type[T.zero]")])
+    s2 = np.array([got[k]["posterior_sd"] for k in ("Intercept", "shot_type[T.zero]")]) ** 2
+    w = got["subject_log_sd"]["posterior_sd"] ** 2
+    b, v, node, share = np.zeros(300), np.full(300, 0.01), *np.polynomial.hermite_e.hermegauss(11)
+    x = np.array([[1.0, float(r[2] == "zero")] for r in rows])
+    y, of = np.array([float(r[5] == 8.0) for r in rows]), np.array([int(r[1][1:]) for r in rows])
+    for _ in range(50):
+        mu = 1 / (1 + np.exp(-((x @ m + b[of])[:, None] + np.sqrt(x**2 @ s2 + v[of])[:, None] * node)))
+        p, q = mu @ share / share.sum(), (mu * (1 - mu)) @ share / share.sum()
+        bend = np.bincount(of, q) + np.exp(-2 * t + 2 * w)
+        b, v = b + (np.bincount(of, y - p) - np.exp(-2 * t + 2 * w) * b) / bend, 1 / bend
+    assert inference.log_sd_posterior(float((b * b + v).sum()), 300)[0] == pytest.approx(t, abs=1e-4)
