@@ -82,11 +82,39 @@ def _design(cube: DataFrame, factors: tuple[str, ...], roles: Roles) -> tuple[Da
     return rows, columns, cells, dummies, np.array([[1.0, *[float(r[c] == v) for c, v in dummies]] for r in cells])
 
 
+def _subject_cells(rows: DataFrame, columns: list[str], cells: list, roles: Roles) -> DataFrame:
+    """``cells``, a row for each subject: array of (pattern k, rows n, right ones good), at most one for each pattern."""
+    known = F.create_map(*[F.lit(x) for k, r in enumerate(cells) for x in ("\x1f".join(r[c] for c in columns), k)])
+    pattern = F.try_element_at(known, F.concat_ws("\x1f", *columns)).cast("long")
+    per = rows.withColumn("k", pattern).groupBy(roles.subject, "k").agg(F.sum("ok").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
+    return per.groupBy(roles.subject).agg(F.collect_list(F.struct("k", "n", "good")).alias("cells")).select("cells")
+
+
+def _subject_scores(subjects: DataFrame, x: np.ndarray, mu: np.ndarray) -> DataFrame:
+    """``i, j, m`` of each task: sums over subjects of the products of their scores i and j; for -1, -1 the subjects."""
+    terms = x.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meat, count = np.zeros((terms, terms)), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                cells = batch.column(0).slice(low, 1000)
+                sizes, flat = pc.list_value_length(cells).to_numpy(), cells.flatten()
+                k, n, good = (flat.field(c).to_numpy() for c in ("k", "n", "good"))
+                of, gap = np.repeat(np.arange(len(cells)), sizes), good - n * mu[k]
+                scores_ = np.stack([np.bincount(of, gap * x[k, j], len(cells)) for j in range(terms)])
+                meat, count = meat + scores_ @ scores_.T, count + len(cells)
+        i, j = np.divmod(np.arange(terms * terms), terms)
+        yield pa.record_batch([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(meat.ravel(), float(count)))], ["i", "j", "m"])
+
+    return subjects.mapInArrow(run, "i bigint, j bigint, m double")
+
+
 def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str, ...] = FACTORS, least_rows: int = 50) -> DataFrame:
     """Logistic regression of correctness on factors, with standard errors clustered by subject.
 
-    Rows are reduced to counts by covariate pattern, on which Newton's steps run; the sandwich's middle is a grouped
-    sum of each subject's scores. A factor of one level is left out; too few rows or no factor give no rows. Columns:
+    Rows are reduced to counts by covariate pattern, on which Newton's steps run; the sandwich's middle is a sum over
+    subjects' scores, in NumPy over Arrow batches of their cells. A factor of one level is left out; too few rows or no factor give no rows. Columns:
     ``term, estimate_log_odds, std_error, p_value, odds_ratio, n_rows``.
     """
     schema = "term string, estimate_log_odds double, std_error double, p_value double, odds_ratio double, n_rows bigint"
@@ -104,16 +132,12 @@ def clustered_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[s
         beta += step
         if np.abs(step).max() < 1e-10:
             break
-    # meat: sum over subjects of the outer product of their score sums
-    design = [F.lit(1.0), *[(F.col(c) == v).cast("double") for c, v in dummies]]
-    eta = sum((d * float(b) for d, b in zip(design[1:], beta[1:], strict=True)), F.lit(float(beta[0])))
-    gaps = rows.select(roles.subject, *columns, (F.col("ok") - 1 / (1 + F.exp(-eta))).alias("_gap"))
-    per = gaps.groupBy(roles.subject).agg(*[F.sum(F.col("_gap") * d).alias(f"s{i}") for i, d in enumerate(design)])
     p = len(beta)
-    sums = per.agg(F.count(F.lit(1)).alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(p) for j in range(i, p)]).first()
-    meat = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+    found = _subject_scores(_subject_cells(rows, columns, cells, roles), x, 1 / (1 + np.exp(-x @ beta)))
+    sums = {(r["i"], r["j"]): r["m"] for r in found.groupBy("i", "j").agg(F.sum("m").alias("m")).collect()}  # a row for each pair of terms
+    meat = np.array([[sums[i, j] for j in range(p)] for i in range(p)])
     inverse = np.linalg.inv(bread)
-    g = sums["g"]
+    g = sums[-1, -1]
     scale = g / (g - 1) * (n_rows - 1) / max(1, n_rows - p) if g > 1 else 1.0
     se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * scale, 0))
     names = ["Intercept", *[f"{c}[T.{v}]" for c, v in dummies]]
@@ -212,10 +236,7 @@ def mixed_logistic(cube: DataFrame, roles: Roles = DEFAULT, factors: tuple[str,
     if n_rows < least_rows or not dummies:
         return spark.createDataFrame([], schema)
     good = np.array([r["good"] for r in cells], float)
-    known = F.create_map(*[F.lit(x) for k, r in enumerate(cells) for x in ("\x1f".join(r[c] for c in columns), k)])
-    pattern = F.try_element_at(known, F.concat_ws("\x1f", *columns)).cast("long")
-    per = rows.withColumn("k", pattern).groupBy(roles.subject, "k").agg(F.sum("ok").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
-    subjects = per.groupBy(roles.subject).agg(F.collect_list(F.struct("k", "n", "good")).alias("cells")).select("cells").persist()  # at most a cell for each pattern
+    subjects = _subject_cells(rows, columns, cells, roles).persist()
     m, s2, t, w = np.zeros(x.shape[1]), np.full(x.shape[1], 0.1), math.log(0.7), 0.01
     try:
         for _ in range(rounds):
