@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import metrics, ranges
 
 PARTS = ("n", "tp", "fp", "tn", "fn", "sq")
+LISTED = 1000  # values of a cluster in one list
 
 
 def draw(seed: int, replicate: Column, i: Column, size: Column) -> Column:
@@ -53,19 +54,20 @@ def _spread(small: DataFrame) -> DataFrame:
 def replicates(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 1000, seed: int = 42, method: str = "multinomial") -> DataFrame:
     """``keys, b`` and the six sums of each replicate, from rows of (keys, cluster, y, p)."""
     small = rows.groupBy(*keys, cluster).agg(*metrics.counts())
-    sums = [F.sum(F.col(c) * F.col("w")).alias(c) for c in PARTS]
     b = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     if method == "poisson":
+        sums = [F.sum(F.col(c) * F.col("w")).alias(c) for c in PARTS]
         each = _spread(small).withColumn("b", b).withColumn("w", _poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b")))
         # the filter comes after the sums: before them the optimizer would draw every weight twice
         return each.groupBy(*keys, "b").agg(*sums, F.sum("w").alias("w")).where("w > 0").drop("w")
     small = ranges.numbered(small, keys, [cluster], "j")
     small = ranges.null_safe(small, small.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), keys) if keys else small.crossJoin(F.broadcast(small.agg(F.count(F.lit(1)).alias("m"))))  # one row
     drawn = _spread(small.select(*keys, "m", F.col("j").alias("i"))).withColumn("b", b)
-    drawn = drawn.withColumn("j", draw(seed, F.col("b"), F.col("i"), F.col("m"))).groupBy(*keys, "b", "j").agg(F.count(F.lit(1)).alias("w"))
+    # each draw meets its cluster in one shuffle: counting a cluster's draws first would be another, of about as many rows
+    drawn = drawn.select(*keys, "b", draw(seed, F.col("b"), F.col("i"), F.col("m")).alias("j"))
     named = small.drop("m").withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("j", "_j")
     on = [drawn[k].eqNullSafe(named[f"_{k}"]) for k in keys] + [drawn["j"] == named["_j"]]
-    return drawn.join(named, on).groupBy(*keys, "b").agg(*sums)
+    return drawn.join(named, on).groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in PARTS])
 
 
 def metric_interval(rows: DataFrame, keys: list[str], cluster: str, sums: dict[str, Column], metric: Column, n_boot: int = 250, seed: int = 42) -> DataFrame:
@@ -86,9 +88,15 @@ def histograms(rows: DataFrame, keys: list[str], cluster: str, value: str, y: st
 
     A task hands on one row for each key, replicate and value, however many rows it has. Rows without value are left out.
     """
-    small = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster, F.col(value).alias("v")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    cells = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster, F.col(value).alias("v")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    by = [*keys, *([] if cluster in keys else [cluster])]
+    # a weight is drawn for a cluster and LISTED of its values at once, not for each value
+    many = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LISTED)
+    parts = F.pmod(F.xxhash64("v"), F.ceil(F.coalesce("_n", F.lit(1)) / LISTED))
+    small = ranges.null_safe(cells, many, by, "left").groupBy(*by, parts.alias("_part")).agg(F.collect_list(F.struct("v", "pos", "neg")).alias("_cells"))
     each = _spread(small).withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(n_boot - 1))))
     each = each.withColumn("w", F.when(F.col("b") < 0, 1).otherwise(_poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b"))))
+    each = each.select(*keys, "b", "w", F.explode("_cells").alias("_x")).select(*keys, "b", "w", "_x.*")
     found = each.groupBy(*keys, "b", "v").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"), F.sum("w").alias("w"))
     return found.where("w > 0").drop("w")
 

@@ -241,3 +241,64 @@ def test_mixed_logistic_settles_in_few_rounds_without_subject_effects(spark, mon
         bend = np.bincount(of, q) + np.exp(-2 * t + 2 * w)
         b, v = b + (np.bincount(of, y - p) - np.exp(-2 * t + 2 * w) * b) / bend, 1 / bend
     assert inference.log_sd_posterior(float((b * b + v).sum()), 300)[0] == pytest.approx(t, abs=1e-4)
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_cube_parses_props_once_a_row(spark):
+    from cubelens.operators import metrics
+    from cubelens.plans.surrogate import cube
+
+    rows = metrics.prepared(cube(spark, "/root/testdata/sf0.001")).where("bucket is not null").select("y", "bucket")
+    assert optimized(rows).count("get_json_object") == 1
+
+
+def test_subject_scores_are_summed_over_tasks(spark):
+    import numpy as np
+
+    x, mu = np.array([[1.0, 0.0], [1.0, 1.0]]), np.array([0.5, 0.25])
+    cells = [[(0, 2.0, 1.0), (1, 4.0, 3.0)], [(1, 4.0, 0.0)], [(0, 1.0, 1.0)]]
+    df = spark.createDataFrame([(c,) for c in cells], "cells array<struct<k: bigint, n: double, good: double>>").repartition(3)
+    got = {(r["i"], r["j"]): r["m"] for r in inference._subject_scores(df, x, mu).groupBy("i", "j").sum("m").withColumnRenamed("sum(m)", "m").collect()}
+    want = [np.array([2.0, 2.0]), np.array([-1.0, -1.0]), np.array([0.5, 0.0])]
+    meat = sum(np.outer(s, s) for s in want)
+    assert got[-1, -1] == 3 and all(got[i, j] == pytest.approx(meat[i, j]) for i in range(2) for j in range(2))
+
+
+def test_histograms_draw_once_for_a_list_of_values(spark, monkeypatch):
+    from cubelens.operators import bootstrap
+
+    rows = spark.createDataFrame([("m" if i % 3 else None, f"p{i % 4}" if i % 7 else None, float(i % 11), i % 2) for i in range(300)], "m string, c string, s double, y int")
+    whole = sorted(map(str, bootstrap.histograms(rows, ["m"], "c", "s", n_boot=5).collect()))
+    monkeypatch.setattr(bootstrap, "LISTED", 2)
+    assert sorted(map(str, bootstrap.histograms(rows, ["m"], "c", "s", n_boot=5).collect())) == whole and whole
+
+
+def test_multinomial_draws_meet_their_clusters_in_one_shuffle(spark):
+    from cubelens.operators import bootstrap
+
+    rows = spark.createDataFrame([("m", f"p{i}", i % 2, 0.9) for i in range(20)], "model string, c string, y int, p double")
+    found = bootstrap.replicates(rows, ["model"], "c", 3)
+    assert "count(1) AS w#" not in optimized(found) and [r["n"] for r in found.collect()] == [20] * 3
+
+
+def test_topics_read_a_stored_sample(spark):
+    from cubelens.operators import topics
+
+    rows = spark.range(50).selectExpr("id as ord", "'a b' as t", "id % 2 = 0 as is_fp", "id % 2 = 1 as is_fn")
+    found = topics.stored_sample(rows, "ord", ["t"])
+    assert "parquet" in optimized(found) and "Range" not in optimized(found) and found.count() == 50 and found.columns == ["ord", "t", "is_fp", "is_fn", "outcome"]
+
+
+def test_texts_are_searched_once_however_many_rows_hold_them(spark):
+    from cubelens.operators import narrative
+
+    flags = ("is_fp", "is_fn", "is_tp", "is_tn", "catastrophic", "other_error")
+    rows = spark.range(40).selectExpr("concat('Crohn disease ', id % 2) as t", *[f"id % 4 = {i} as {f}" for i, f in enumerate(flags)])
+    for found in (narrative.theme_prevalence(rows, "t", {"a": ["crohn"]}), narrative.deltas(rows, [], "t", {"a": ["crohn"]}), narrative.diverging(rows, "t", 1)):
+        assert "regexp" not in optimized(found).rsplit("Aggregate", 1)[1].split("\n", 1)[1]  # below the first aggregate
+    got = {r["outcome_group"]: (r["n_documents"], r["mean_density_per_100_tokens"]) for r in narrative.theme_prevalence(rows, "t", {"a": ["crohn"]}).collect()}
+    assert got == {g: (10, 50.0) for g in ("False positive", "False negative", "True positive", "True negative")}
+    assert {r["term"]: (r["fp_count"], r["fn_count"]) for r in narrative.diverging(rows, "t", 1).collect()} == {"crohn": (10, 10), "disease": (10, 10)}
