@@ -302,3 +302,21 @@ def test_texts_are_searched_once_however_many_rows_hold_them(spark):
     got = {r["outcome_group"]: (r["n_documents"], r["mean_density_per_100_tokens"]) for r in narrative.theme_prevalence(rows, "t", {"a": ["crohn"]}).collect()}
     assert got == {g: (10, 50.0) for g in ("False positive", "False negative", "True positive", "True negative")}
     assert {r["term"]: (r["fp_count"], r["fn_count"]) for r in narrative.diverging(rows, "t", 1).collect()} == {"crohn": (10, 10), "disease": (10, 10)}
+
+
+def test_top_ngrams_shuffle_only_full_buckets(spark):
+    from cubelens.operators import narrative
+
+    texts = [f"Same words here. {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} KelvinK é{i}x {chr(97 + i * 7 % 26)}" for i in range(400)] + [None, "", "a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    low = df.selectExpr("lower(coalesce(t, '')) as low")
+    for n in (1, 3):
+        want = {}
+        for t in texts:
+            words = "".join(c if "a" <= c <= "z" else " " for c in (t or "").lower()).split()
+            for i in range(len(words) - n + 1):
+                want[" ".join(words[i : i + n])] = want.get(" ".join(words[i : i + n]), 0) + 1
+        best = sorted(want.items(), key=lambda x: (-x[1], x[0]))
+        for top in (1, 30):
+            assert [(r["term"], r["count"]) for r in narrative.ngram_top(df, "t", n, top).collect()] == best[:top]
+    assert narrative._heavy(low, 3, 1).count() < len(want) / 2
