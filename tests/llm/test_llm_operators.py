@@ -787,6 +787,21 @@ def test_recall_of_near_passages_with_insertions(spark, contexts):
         assert r["n_words"] >= 50 and r["similarity"] >= 0.8 and a[r["start_word"]] == b[r["match_word"]]
 
 
+def test_near_passages_between_documents_with_passages_of_other_leaders(spark):
+    """Of four documents each has a near passage with the next alone, so that those between have two leaders that share nothing."""
+    rng = random.Random(24)
+    vocabulary = [f"w{i}" for i in range(8000)]
+    texts, families = [], 60
+    for _ in range(families):
+        passage = prose(rng, 70, vocabulary).split()
+        # each is one word from the next and two or three from the others
+        for places in ((20, 50), (50,), (35,), (35, 12)):
+            near = [f"y{i}" if i in places else w for i, w in enumerate(passage)]
+            texts.append(" ".join([prose(rng, 50, vocabulary), *near, prose(rng, 50, vocabulary)]))
+    found = {(r["match_id"], r["doc_id"]) for r in substring.passages(frame(spark, texts)).collect()}
+    assert found == {(4 * f + i, 4 * f + i + 1) for f in range(families) for i in range(3)}
+
+
 def test_long_texts_have_windows_beyond_24_bits_of_places():
     value = textops.mix64(np.arange(1, (1 << 24) + 4000, dtype=np.uint64))
     value[: 1 << 24] |= np.uint64(1 << 63)
