@@ -802,6 +802,16 @@ def test_near_passages_between_documents_with_passages_of_other_leaders(spark):
     assert found == {(4 * f + i, 4 * f + i + 1) for f in range(families) for i in range(3)}
 
 
+def test_candidates_of_a_common_line_do_not_grow_with_its_square(spark, monkeypatch):
+    rng = random.Random(25)
+    vocabulary = [f"w{i}" for i in range(8000)]
+    line, n, laid, counts = prose(rng, 44, vocabulary), 150, substring._laid, []
+    texts = [" ".join([prose(rng, 30, vocabulary), line, prose(rng, 30, vocabulary)]) for _ in range(n)]
+    monkeypatch.setattr(substring, "_laid", lambda docs, pairs: counts.append(pairs.count()) or laid(docs, pairs))
+    assert substring.passages(frame(spark, texts)).count() == 0
+    assert n - 1 <= sum(counts) <= 10 * n
+
+
 def test_long_texts_have_windows_beyond_24_bits_of_places():
     value = textops.mix64(np.arange(1, (1 << 24) + 4000, dtype=np.uint64))
     value[: 1 << 24] |= np.uint64(1 << 63)
