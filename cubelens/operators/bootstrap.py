@@ -2,7 +2,8 @@
 
 All eight metrics follow from (n, tp, fp, tn, fn, sq), so a cluster is reduced to these six numbers first; what is
 resampled are clusters, never rows. ``multinomial`` draws as many clusters as there are, by counters: draw i of
-replicate b is MD5(seed|b|i) modulo the number of clusters, the same on any engine; clusters are numbered in ranges.
+replicate b is MD5(seed|b|i) modulo the number of clusters, the same on any engine; clusters are numbered in ranges, and
+draws are made and counted in NumPy, so that none is a row.
 ``poisson`` gives each cluster a
 Poisson(1) weight in each replicate from a hash of its own: no join and no order of clusters, so that partial
 aggregation leaves one row for each group and replicate on a task; the stages use it. Other metrics, by the same draws:
@@ -24,15 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import metrics, ranges
+from ..sources.scratch import stored
+from . import draws, metrics, ranges
 
 PARTS = ("n", "tp", "fp", "tn", "fn", "sq")
 LISTED = 1000  # values of a cluster in one list
-
-
-def draw(seed: int, replicate: Column, i: Column, size: Column) -> Column:
-    text = F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), i.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % size
+BLOCK, HELD, LANES = 1 << 18, 1 << 28, 64  # clusters in a block, bytes of blocks in a task, tasks for the replicates
 
 
 def _poisson(seed: int, *key: Column) -> Column:
@@ -60,14 +58,105 @@ def replicates(rows: DataFrame, keys: list[str], cluster: str, n_boot: int = 100
         each = _spread(small).withColumn("b", b).withColumn("w", _poisson(seed, *[F.col(k) for k in keys], F.col(cluster), F.col("b")))
         # the filter comes after the sums: before them the optimizer would draw every weight twice
         return each.groupBy(*keys, "b").agg(*sums, F.sum("w").alias("w")).where("w > 0").drop("w")
-    small = ranges.numbered(small, keys, [cluster], "j")
-    small = ranges.null_safe(small, small.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), keys) if keys else small.crossJoin(F.broadcast(small.agg(F.count(F.lit(1)).alias("m"))))  # one row
-    drawn = _spread(small.select(*keys, "m", F.col("j").alias("i"))).withColumn("b", b)
-    # each draw meets its cluster in one shuffle: counting a cluster's draws first would be another, of about as many rows
-    drawn = drawn.select(*keys, "b", draw(seed, F.col("b"), F.col("i"), F.col("m")).alias("j"))
-    named = small.drop("m").withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("j", "_j")
-    on = [drawn[k].eqNullSafe(named[f"_{k}"]) for k in keys] + [drawn["j"] == named["_j"]]
-    return drawn.join(named, on).groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in PARTS])
+    return _redrawn(ranges.numbered(small.select(*keys, cluster, *PARTS), keys, [cluster], "_j").drop(cluster), keys, n_boot, seed)
+
+
+def _kinds(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and for each row which it is."""
+    codes = np.zeros(len(sums), np.int64)
+    for column in sums.T:
+        values, own = np.unique(column, return_inverse=True)
+        _, first, codes = np.unique(codes * len(values) + own, return_index=True, return_inverse=True)
+    return sums[first], codes.astype(np.min_scalar_type(len(first)))
+
+
+class _Clusters:
+    """Sums of a key's clusters by number, as far as a task holds their blocks of ``size``; ``m`` is how many the key has."""
+
+    def __init__(self, key: list[pa.Array], m: int, size: int, blocks: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.key, self.m, self.size, self.found = key, m, size, []
+        blocks = sorted(blocks, key=lambda x: x[0])
+        ends = np.cumsum([0, *[len(kinds) for _, kinds, _ in blocks]])
+        self.kinds, as_one = np.concatenate([kinds for _, kinds, _ in blocks]), np.arange(ends[-1])
+        if len(blocks) > 1 and ends[-1] <= 1 << 16:  # blocks of rows have the same few kinds
+            self.kinds, as_one = _kinds(self.kinds)
+        as_one = as_one.astype(np.min_scalar_type(len(self.kinds)))
+        self.codes = np.concatenate([as_one[low:high][codes] for (_, _, codes), low, high in zip(blocks, ends, ends[1:])])
+        self.slots = None
+        if len(self.codes) < m:
+            self.slots = np.full(-(-m // size), -1, np.int64)
+            self.slots[[number for number, _, _ in blocks]] = np.arange(len(blocks)) * size
+
+    def count(self, drawn: np.ndarray) -> np.ndarray:
+        """How often each kind is drawn."""
+        at = drawn - drawn // self.m * self.m
+        if self.slots is not None:
+            slot = self.slots[at // self.size]
+            at = (slot + at % self.size)[slot >= 0]
+        return np.bincount(self.codes[at], minlength=len(self.kinds))
+
+
+def _redrawn(small: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
+    """``keys, b`` and the six sums, from clusters (keys, _j, six sums) numbered by ``_j`` within their key.
+
+    Clusters are packed in blocks of BLOCK, a code for each cluster and the sums that a code stands for: a byte for each
+    cluster if they are rows. Blocks go to each lane of replicates, and a task makes a replicate's draws once for all the
+    keys that it holds, HELD bytes of blocks; beyond, blocks are dealt to more tasks, and a draw counts where its block is.
+    """
+    block_size = BLOCK
+
+    def pack(found: pa.Table) -> pa.Table:
+        found = found.sort_by("_j")
+        sums = np.stack([found.column(c).fill_null(0).to_numpy().astype(np.float64) for c in PARTS], axis=1)
+        kinds, codes = _kinds(sums)
+        own = {"_rows": pa.array([len(codes)], pa.int64()), "_width": pa.array([codes.itemsize], pa.int32()), "_codes": pa.array([codes.tobytes()], pa.binary()), "_kinds": pa.array([kinds.tobytes()], pa.binary())}
+        one = found.slice(0, 1)
+        return pa.table([*[one.column(c) for c in [*keys, "_block"]], *own.values()], [*keys, "_block", *own])
+
+    def redraw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                block, lane, m, width, codes, kinds = (row.column(c)[0].as_py() for c in ("_block", "_lane", "_m", "_width", "_codes", "_kinds"))
+                key = [row.column(c) for c in keys]
+                own = held.setdefault(tuple(c[0].as_py() for c in key), [key, m, block_size, []])
+                own[3].append((block, np.frombuffer(kinds).reshape(-1, len(PARTS)), np.frombuffer(codes, f"u{width}")))
+        if not held:
+            return
+        every = [_Clusters(*x) for x in held.values()]
+        held.clear()
+        most, step = max(x.m for x in every), max(1 << 18, *[len(x.kinds) for x in every])
+        mine = range(lane * n_boot // lanes, (lane + 1) * n_boot // lanes)
+        for b in mine:
+            counts = [np.zeros(len(x.kinds), np.int64) for x in every]
+            for low in range(0, most, step):
+                drawn = draws.draws(seed, b, low, min(most, low + step))
+                for x, count in zip(every, counts):
+                    if x.m > low:
+                        count += x.count(drawn[: x.m - low])
+            for x, count in zip(every, counts):
+                x.found.append(count @ x.kinds)
+        for x in every:
+            sums = np.array(x.found).reshape(-1, len(PARTS)).T
+            columns = [c.take(pa.array(np.zeros(len(mine), np.int64))) for c in x.key]
+            parts = [pa.array(v if c == "sq" else np.rint(v).astype(np.int64)) for c, v in zip(PARTS, sums)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(mine, pa.int32()), *parts], [*keys, "b", *PARTS])
+
+    kinds_of = [f"`{k}` {small.schema[k].dataType.simpleString()}" for k in keys]
+    blocks = small.withColumn("_block", F.floor(F.col("_j") / block_size).cast("long")).groupBy(*keys, "_block")
+    packed = stored(blocks.applyInArrow(pack, ", ".join([*kinds_of, "_block long, _rows long, _width int, _codes binary, _kinds binary"])), "blocks")
+    sizes = packed.groupBy(*keys).agg(F.sum("_rows").alias("_m"))
+    packed = ranges.null_safe(packed, sizes, keys) if keys else packed.crossJoin(F.broadcast(sizes))  # one row
+    size, most = packed.agg(F.sum(F.length("_codes") + F.length("_kinds")), F.max("_m")).first()
+    bundles = -(-(size or 1) // HELD)
+    # a replicate of few draws costs as much as one of some tens of thousands
+    lanes = min(n_boot, max(LANES, 2 * small.sparkSession.sparkContext.defaultParallelism), 1 + n_boot * ((most or 0) + 100_000) // 2_000_000)
+    bundle = F.pmod(F.xxhash64(*keys, "_block"), F.lit(bundles))
+    spread = packed.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    spread = spread.repartitionById(int(bundles * lanes), (bundle * lanes + F.col("_lane")).cast("int"))
+    found = spread.mapInArrow(redraw, ", ".join([*kinds_of, "b int", *[f"{c} {'double' if c == 'sq' else 'long'}" for c in PARTS]]))
+    return found.groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in PARTS])
 
 
 def metric_interval(rows: DataFrame, keys: list[str], cluster: str, sums: dict[str, Column], metric: Column, n_boot: int = 250, seed: int = 42) -> DataFrame:
